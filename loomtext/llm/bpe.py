@@ -63,7 +63,7 @@ class _Cache(dict):
 
 
 class BpeCodec:
-    def __init__(self, path: str, cache: int = CACHE):
+    def __init__(self, path: str, cache: int = CACHE, library: bool = False):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, pre = spec["model"], spec["pre_tokenizer"] or {}
@@ -84,6 +84,7 @@ class BpeCodec:
         self.added = {x["content"]: x["id"] for x in spec.get("added_tokens", ())}
         self.strings |= {i: s.encode() for s, i in self.added.items()}
         self.added_pattern = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
+        self.library = self._library() if library else None
         self.words = regex.compile(PATTERN.replace(r"^\s", r"^\p{White_Space}").replace(r"\s+", r"\p{White_Space}+").replace(r"\S", r"\P{White_Space}"))
         self.word_ids = _Cache(self._merge_word, cache)
         self.piece_ids = _Cache(self._piece, cache)
@@ -115,7 +116,19 @@ class BpeCodec:
                 heappush(heap, rank << 32 | h)
         return [s for s in symbols if s >= 0]
 
+    def _library(self):
+        """tiktoken over the same vocabulary: for callers that want the ids and not this module's merging."""
+        import tiktoken
+
+        if any(a >= b for a, b in zip(self.made, self.made[1:])):
+            raise ValueError("the vocabulary's ids don't follow the ranks of its merges")
+        ranks = {s: i for i, s in self.strings.items() if i not in self.added.values()}
+        return tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
     def _merge_word(self, word: str) -> bytes:
+        if self.library:
+            found = self.library(word)
+            return pack(f"<{len(found)}I", *found)
         ids = self.byte_ids
         merged = self.merge([ids[b] for b in word.encode("utf-8", "surrogatepass")])
         return pack(f"<{len(merged)}I", *merged)
@@ -154,9 +167,9 @@ class BpeCodec:
 
 
 @functools.cache
-def codec(path: str) -> BpeCodec:
+def codec(path: str, library: bool = False) -> BpeCodec:
     """One codec in each process for each vocabulary."""
-    return BpeCodec(path)
+    return BpeCodec(path, library=library)
 
 
 def bpe_digests(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
