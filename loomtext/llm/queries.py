@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, exact_dedup, line_dedup, lm_score, packing, toxicity, url_filter
+from . import ann, bpe, chat_format, exact_dedup, line_dedup, lm_score, ngram_join, packing, toxicity, url_filter
 from .common import table
 
 URL_RULES = (
@@ -26,6 +26,10 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), n=5, percent=75)
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
     return found.withColumn("text_sha256", F.lower(F.hex("digest"))).drop("digest")
@@ -44,6 +48,11 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+    return found.select(F.col("query_id").cast("long"), "rank", F.col("vec_id").cast("long"), "score")
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary(), max_tokens=2048, end_id=0)
 
@@ -73,10 +82,12 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_line_dedup": op3_line_dedup,
     "op4_bpe": op4_bpe,
     "op5_url_filter": op5_url_filter,
+    "op6_ann": op6_ann,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_toxicity": op8_toxicity,
     "op9_lm_score": op9_lm_score,
