@@ -103,10 +103,10 @@ def _sets(raw: list[bytes], n: int) -> list[np.ndarray]:
         if b - a >= n:
             out.append(np.unique(grams[a : b - n + 1]))
         elif b > a:
-            whole = _U(b - a)
-            for w in words[a:b]:
-                whole = whole * _BASE + w
-            out.append(_mixed(np.array([whole ^ _U(0x5851F42D4C957F2D)], dtype=np.uint64)))
+            whole = np.array([b - a], dtype=np.uint64)
+            for k in range(a, b):
+                whole = whole * _BASE + words[k : k + 1]
+            out.append(_mixed(whole ^ _U(0x5851F42D4C957F2D)))
         else:
             out.append(np.zeros(0, dtype=np.uint64))
     return out
@@ -201,10 +201,10 @@ def repeated_ngrams(rows: DataFrame, profile: DataFrame, n: int, percent: int, h
                 held, size = [], 0
         yield from dealt(held, hot_grams, buckets)
 
-    def count(key, table: pa.Table) -> pa.Table:
+    def count(table: pa.Table) -> pa.Table:
         return counted(table, homes, shared.value[1])
 
-    def gather(key, table: pa.Table) -> pa.Table:
+    def gather(table: pa.Table) -> pa.Table:
         return gathered(table, percent)
 
     blocks = rows.mapInArrow(deal, schema)
@@ -406,7 +406,9 @@ def remaining_links(stars: DataFrame, labels: DataFrame, sets: DataFrame, percen
     rest = inside.where("component != largest").withColumn("c", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     # what is outside the largest component is dealt too, in blocks, so that a task has a chunk of each side
     rest = rest.withColumn("r", F.pmod(F.xxhash64("id", F.lit(3)), F.col("chunks")).cast("int")).select("hub", "c", "r", "id", "component", F.col("n_shingles").alias("n"), "grams")
-    every = every.join(rest.select("hub", "c", "r").distinct(), ["hub", "c"]).select("hub", "c", "r", "id", "component", "n", "grams")
+    rest = rest.toDF(*rest.columns)  # names of their own, since both sides come from one table
+    every = every.join(rest.select("hub", "c", "r").distinct().toDF("hub", "c", "r"), ["hub", "c"]).select("hub", "c", "r", "id", "component", "n", "grams")
+    every = every.toDF(*every.columns)
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         found = between(left, right, percent)

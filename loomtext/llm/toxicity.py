@@ -224,3 +224,19 @@ def score(documents: DataFrame, model: ToxicityModel, *, id_col: str = "doc_id",
     terms = [F.lit(float(w)) * F.col("f")[i] for i, w in enumerate(model.weights[:-1])]
     z = sum(terms, F.lit(float(model.weights[-1])))
     return rows.select(id_col, (1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))).alias("score"))
+
+
+def without_toxic(documents: DataFrame, model: ToxicityModel, *, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """documents, all columns, without those that score threshold or more."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+    at = documents.columns.index(text_col)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        matches = matcher(known.terms)
+        for batch in batches:
+            if batch.num_rows:
+                f = np.array([features(text.as_py(), matches, known.odds, known.window) for text in batch.column(at)])
+                yield batch.filter(pa.array(known.score(f) < threshold))
+
+    return documents.mapInArrow(walk, documents.schema)
