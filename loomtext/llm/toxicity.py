@@ -138,8 +138,11 @@ def matcher(terms: list[str]) -> _Cache:
 def _terms(text: Column) -> Column:
     """Each distinct word of the text and its stems."""
     words = F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+"))
-    stems = [F.transform(F.filter(words, lambda w, n=n: F.length(w) > n), lambda w, n=n: F.concat(F.substring(w, 1, n), F.lit("*"))) for n in STEMS]
-    return F.array_distinct(F.concat(F.filter(words, lambda w: w != ""), *stems))
+
+    def stems(n: int) -> Column:
+        return F.transform(F.filter(words, lambda w: F.length(w) > n), lambda w: F.concat(F.substring(w, 1, n), F.lit("*")))
+
+    return F.array_distinct(F.concat(F.filter(words, lambda w: w != ""), *[stems(n) for n in STEMS]))
 
 
 def learn_lexicon(labelled: DataFrame, *, min_docs: int = 4, min_share: float = 0.8, max_terms: int = 2000) -> list[tuple[str, float]]:
