@@ -41,11 +41,12 @@ def _confidence(kind: str) -> float:
 
 def _found(text: Column, kinds: tuple[str, ...], surnames: str) -> Column:
     """All matches as array<struct<start, k, end, span, type, confidence>>, by start, then order of detection."""
-    parts = []
-    for k, kind in enumerate(kinds):
-        item = lambda s, k=k, kind=kind: F.struct(s["start"].alias("start"), F.lit(k).alias("k"), s["end"].alias("end"), s["span"].alias("span"), F.lit(kind).alias("type"), F.lit(_confidence(kind)).alias("confidence"))
-        parts.append(F.transform(spans(text, pattern(kind, surnames)), item))
-    return F.array_sort(F.concat(*parts))
+
+    def of(k: int, kind: str) -> Column:
+        found = spans(text, pattern(kind, surnames))
+        return F.transform(found, lambda s: F.struct(s["start"].alias("start"), F.lit(k).alias("k"), s["end"].alias("end"), s["span"].alias("span"), F.lit(kind).alias("type"), F.lit(_confidence(kind)).alias("confidence")))
+
+    return F.array_sort(F.concat(*[of(k, kind) for k, kind in enumerate(kinds)]))
 
 
 def without_overlaps(found: Column) -> Column:

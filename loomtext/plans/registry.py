@@ -2,5 +2,653 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.text import is_blank, n_tokens
+from ..operators import advise, agreement, completion, consensus, pii, profile, review, segment, tfidf
+from ..sources import io
+from . import inputs
+from .inputs import table, with_inputs
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None, needs: str = "") -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE_SQL[name] = with_inputs(needs, sql) if needs else sql
+        return f
+
+    return add
+
+
+def _scratch(spark: SparkSession) -> str:
+    """A folder of its own in the shared folder, for round trips."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomtext-")
+    return f"{base.rstrip('/')}/roundtrip-{uuid.uuid4().hex}"
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents")
+
+
+# sources and sinks: written and read again
+
+def _nation(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "nation").select(F.col("n_nationkey").cast("long"), "n_name", F.col("n_regionkey").cast("long"))
+
+
+def _typed(df: DataFrame) -> DataFrame:
+    return df.select(F.col("n_nationkey").cast("long"), "n_name", F.col("n_regionkey").cast("long"))
+
+
+NATION = "SELECT n_nationkey::BIGINT AS n_nationkey, n_name, n_regionkey::BIGINT AS n_regionkey FROM nation"
+
+
+@query("a2_b1_csv", NATION)
+def a2_b1_csv(spark, d):
+    io.save_csv(_nation(spark, d), path := _scratch(spark) + ".csv", single=True)
+    return _typed(io.load(spark, path))
+
+
+@query("a4_json", NATION)
+def a4_json(spark, d):
+    rows = _nation(spark, d).agg(F.to_json(F.struct(F.collect_list(F.struct("n_nationkey", "n_name", "n_regionkey")).alias("data"))).alias("value"))
+    rows.write.text(path := _scratch(spark) + ".json")
+    return _typed(io.load(spark, path))
+
+
+@query("a5_jsonl", NATION)
+def a5_jsonl(spark, d):
+    _nation(spark, d).write.json(path := _scratch(spark) + ".jsonl")
+    return _typed(io.load(spark, path))
+
+
+@query("a6_b4_text", "SELECT n_name AS text FROM nation")
+def a6_b4_text(spark, d):
+    io.save_lines(_nation(spark, d), "n_name", path := _scratch(spark) + ".txt")
+    return io.load(spark, path)
+
+
+@query("a7_document", "SELECT sum(length(n_name) + 1)::INT AS n_chars, (count(*) + 1)::INT AS n_lines FROM nation")
+def a7_document(spark, d):
+    io.save_lines(_nation(spark, d), "n_name", path := _scratch(spark) + ".txt")
+    return io.load_document(spark, path + "/*.txt").select("n_chars", "n_lines")
+
+
+@query("a10_parquet", NATION)
+def a10_parquet(spark, d):
+    return _typed(io.load(spark, f"{d}/nation.parquet"))
+
+
+@query("b5_finetune", """SELECT count(*) AS n, count(DISTINCT doc_id) AS ids, sum(length(text))::BIGINT AS chars FROM labelled""", "labelled")
+def b5_finetune(spark, d):
+    lines = io.finetune_lines(inputs.labelled(spark, d), "doc_id", "text", "quality", ["0", "1"], "Rate the text.")
+    said = F.from_json("line", "messages array<struct<role:string,content:string>>")["messages"]
+    return lines.agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"), F.sum(F.length(said[1]["content"])).alias("chars"))
+
+
+@query("b7_project", NATION)
+def b7_project(spark, d):
+    io.save_project(spark, {"nation": _nation(spark, d)}, {"step": 3}, path := _scratch(spark))
+    tables, _, _ = io.load_project(spark, path)
+    return tables["nation"]
+
+
+# validation and diagnostics
+
+TOKENS = "len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''))"
+
+
+@query("c2_empty", f"SELECT count(*) FILTER (text IS NULL OR trim(text, ' ' || chr(9) || chr(10) || chr(13)) = '') AS n_empty, count(*) AS n_rows FROM documents")
+def c2_empty(spark, d):
+    return _docs(spark, d).agg(F.count_if(is_blank(F.col("text"))).alias("n_empty"), F.count("*").alias("n_rows"))
+
+
+@query(
+    "c3_validate",
+    f"""WITH t AS (SELECT {TOKENS} AS n, text FROM documents),
+    s AS (SELECT count(*) FILTER (n = 0) AS e, median(n) FILTER (n > 0) AS m, count(*) FILTER (n > 512) AS l FROM t),
+    c AS (SELECT max(n) / min(n) AS r, count(*) AS k FROM (SELECT lang, count(*) AS n FROM documents GROUP BY 1))
+    SELECT 'warning' AS severity, 'text' AS field, 'empty_rows' AS "check", e::DOUBLE AS value FROM s WHERE e > 0
+    UNION ALL SELECT 'warning', 'text', 'short_texts', m FROM s WHERE m < 10
+    UNION ALL SELECT 'info', 'text', 'long_texts', l::DOUBLE FROM s WHERE l > 0
+    UNION ALL SELECT 'warning', 'lang', 'imbalance', r FROM c WHERE k >= 2 AND r > 5""",
+)
+def c3_validate(spark, d):
+    return profile.validate(_docs(spark, d), label_col="lang")
+
+
+@query("c4_imbalance", "SELECT count(*) AS n_classes, max(n) / min(n) AS ratio FROM (SELECT lang, count(*) AS n FROM documents GROUP BY 1)")
+def c4_imbalance(spark, d):
+    return profile.imbalance(_docs(spark, d), "lang")
+
+
+@query("c5_qualitative", r"""WITH s AS (SELECT count(*) FILTER (regexp_matches(text, '[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+')) AS e,
+    count(*) FILTER (regexp_matches(text, '\b\d{3}[-.]?\d{3}[-.]?\d{4}\b')) AS p FROM documents)
+    SELECT 'warning' AS severity, 'text' AS field, 'emails' AS "check", e::DOUBLE AS value FROM s WHERE e > 0
+    UNION ALL SELECT 'warning', 'text', 'phones', p::DOUBLE FROM s WHERE p > 0
+    UNION ALL SELECT 'warning', 'columns', 'no_speaker_column', NULL""")
+def c5_qualitative(spark, d):
+    return profile.validate(_docs(spark, d), mode="qualitative").where(F.col("check").isin("emails", "phones", "no_speaker_column"))
+
+
+@query("c6_auto_fix", "SELECT doc_id FROM documents WHERE trim(coalesce(text, '')) <> ''")
+def c6_auto_fix(spark, d):
+    return profile.drop_empty(_docs(spark, d), "text").select("doc_id")
+
+
+@query("c8_unlabeled", "SELECT count(*) FILTER (c IS NULL) AS n_unlabeled, count(*) AS n FROM coders_wide", "coders_wide")
+def c8_unlabeled(spark, d):
+    return inputs.coders_wide(spark, d).agg(F.count_if(profile.unlabeled(F.col("c"))).alias("n_unlabeled"), F.count("*").alias("n"))
+
+
+@query("c9_head", "SELECT doc_id, lang FROM documents WHERE text IS NOT NULL ORDER BY doc_id LIMIT 50")
+def c9_head(spark, d):
+    return _docs(spark, d).dropna(subset=["text"]).orderBy("doc_id").limit(50).select("doc_id", "lang")
+
+
+# reliability and evaluation
+
+_MARGINS = """m AS (SELECT label, sum(r)::BIGINT AS r, sum(c)::BIGINT AS c, sum(tp)::BIGINT AS tp FROM (
+        SELECT x AS label, 1 AS r, 0 AS c, (x = y)::INT AS tp FROM p UNION ALL SELECT y, 0, 1, 0 FROM p) GROUP BY 1),
+    n AS (SELECT count(*) AS n FROM p)"""
+_KAPPA = """CASE WHEN pe >= 1 THEN 0.0 ELSE (po - pe) / (1 - pe) END"""
+_SCALE = "CASE WHEN k < 0 THEN 'Poor agreement' WHEN k < 0.21 THEN 'Slight agreement' WHEN k < 0.41 THEN 'Fair agreement' WHEN k < 0.61 THEN 'Moderate agreement' WHEN k < 0.81 THEN 'Substantial agreement' ELSE 'Almost perfect agreement' END"
+
+
+@query("d1_kappa", f"""WITH p AS (SELECT a AS x, b AS y FROM coders_wide), {_MARGINS},
+    s AS (SELECT sum(tp) / max(n) AS po, sum(r * c) / (max(n)::DOUBLE * max(n)) AS pe, max(n) AS n_items, count(*) AS n_categories FROM m, n),
+    t AS (SELECT *, {_KAPPA} AS k FROM s)
+    SELECT round(k, 4)::DOUBLE AS kappa, n_items, n_categories, {_SCALE} AS interpretation FROM t""", "coders_wide")
+def d1_kappa(spark, d):
+    return agreement.cohens_kappa(inputs.coders_wide(spark, d), "a", "b")
+
+
+_ALPHA = """WITH c AS (SELECT item_id, label, count(*) AS n FROM coders_long WHERE label IS NOT NULL GROUP BY ALL),
+    i AS (SELECT item_id, sum(n) AS m, sum(n * n) AS q FROM c GROUP BY 1 HAVING sum(n) > 1),
+    v AS (SELECT label, sum(n) AS nc FROM c JOIN i USING (item_id) GROUP BY 1),
+    o AS (SELECT {observed} AS d_o, count(*) AS n_units FROM i),
+    e AS (SELECT (sum(nc) * sum(nc) - sum(nc * nc)) / (sum(nc)::DOUBLE * (sum(nc) - 1)) AS d_e FROM v),
+    t AS (SELECT 1 - d_o / d_e AS a, n_units FROM o, e)
+    SELECT round(a, 4)::DOUBLE AS alpha, n_units, (SELECT count(DISTINCT label) FROM c) AS n_categories,
+    CASE WHEN a < 0.667 THEN 'Unreliable — discard or recode' WHEN a < 0.8 THEN 'Tentatively reliable' ELSE 'Reliable' END AS interpretation FROM t"""
+
+
+@query("d2_alpha", _ALPHA.format(observed="sum(m * m - q) / sum(m * (m - 1))::DOUBLE"), "coders_long")
+def d2_alpha(spark, d):
+    return agreement.krippendorffs_alpha(inputs.coders_long(spark, d))
+
+
+@query("d2_alpha_standard", _ALPHA.format(observed="sum((m * m - q) / (m - 1)::DOUBLE) / sum(m)"), "coders_long")
+def d2_alpha_standard(spark, d):
+    return agreement.krippendorffs_alpha(inputs.coders_long(spark, d), form="standard")
+
+
+_SETS = """d AS (SELECT doc_id AS item_id FROM documents),
+    s AS (SELECT d.item_id, coalesce(x, []) AS x, coalesce(y, []) AS y FROM d
+      LEFT JOIN (SELECT item_id, list(theme) AS x FROM theme_long WHERE coder = 'c1' GROUP BY 1) a ON a.item_id = d.item_id
+      LEFT JOIN (SELECT item_id, list(theme) AS y FROM theme_long WHERE coder = 'c2' GROUP BY 1) b ON b.item_id = d.item_id)"""
+
+
+@query("d3_jaccard", f"""WITH {_SETS}, j AS (SELECT avg(CASE WHEN len(x) + len(y) = 0 THEN 1.0 ELSE len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) END) AS k, count(*) AS n FROM s)
+    SELECT round(k, 4)::DOUBLE AS jaccard, n AS n_items, CASE WHEN k < 0.2 THEN 'Poor agreement' WHEN k < 0.4 THEN 'Fair agreement' WHEN k < 0.6 THEN 'Moderate agreement'
+    WHEN k < 0.8 THEN 'Substantial agreement' ELSE 'Almost perfect agreement' END AS interpretation FROM j""", "theme_long")
+def d3_jaccard(spark, d):
+    return agreement.mean_jaccard(inputs.theme_sets(spark, d), "x", "y")
+
+
+@query("d4_per_category", f"""WITH p AS (SELECT a AS x, b AS y FROM coders_wide), {_MARGINS}
+    SELECT label AS category, round((n - r - c + 2 * tp) / n, 4)::DOUBLE AS observed, round((r / n) * (c / n) + (1 - r / n) * (1 - c / n), 4)::DOUBLE AS expected,
+    round(tp / (r + c - tp), 4)::DOUBLE AS specific FROM m, n""", "coders_wide")
+def d4_per_category(spark, d):
+    return agreement.per_category(agreement.label_margins(agreement.pair_counts(inputs.coders_wide(spark, d), "a", "b")))
+
+
+@query("d6_theme_kappa", f"""WITH {_SETS}, t AS (SELECT theme, count(*) FILTER (list_contains(x, theme)) AS r, count(*) FILTER (list_contains(y, theme)) AS c,
+      count(*) FILTER (list_contains(x, theme) AND list_contains(y, theme)) AS tp, count(*) AS n FROM s, (SELECT DISTINCT theme FROM theme_long) GROUP BY 1),
+    k AS (SELECT *, (n - r - c + 2 * tp) / n AS po, (r * c + (n - r) * (n - c)) / (n::DOUBLE * n) AS pe FROM t)
+    SELECT theme, round({_KAPPA}, 4)::DOUBLE AS kappa, round(po, 4)::DOUBLE AS observed, round(tp / (r + c - tp), 4)::DOUBLE AS specific FROM k""", "theme_long")
+def d6_theme_kappa(spark, d):
+    return agreement.multilabel_kappa(inputs.theme_sets(spark, d), "item_id", "x", "y")
+
+
+@query("d7_pairwise", f"""WITH q AS (SELECT 'a' AS coder_a, 'b' AS coder_b, a AS x, b AS y FROM coders_wide UNION ALL SELECT 'a', 'c', a, coalesce(c, 'nan') FROM coders_wide
+      UNION ALL SELECT 'b', 'c', b, coalesce(c, 'nan') FROM coders_wide),
+    m AS (SELECT coder_a, coder_b, label, sum(r) AS r, sum(c) AS c, sum(tp) AS tp FROM (
+        SELECT coder_a, coder_b, x AS label, 1 AS r, 0 AS c, (x = y)::INT AS tp FROM q UNION ALL SELECT coder_a, coder_b, y, 0, 1, 0 FROM q) GROUP BY ALL),
+    s AS (SELECT coder_a, coder_b, sum(tp) / sum(r) AS po, sum(r * c) / (sum(r)::DOUBLE * sum(r)) AS pe, sum(r)::BIGINT AS n_items, count(*) AS n_categories FROM m GROUP BY ALL),
+    t AS (SELECT *, {_KAPPA} AS k FROM s)
+    SELECT coder_a, coder_b, round(k, 4)::DOUBLE AS kappa, n_items, n_categories, {_SCALE} AS interpretation FROM t""", "coders_wide")
+def d7_pairwise(spark, d):
+    return agreement.pairwise_kappa(inputs.coders_long(spark, d))
+
+
+_EVAL = f"""p AS (SELECT truth AS x, predicted AS y FROM predicted), {_MARGINS},
+    e AS (SELECT label, round(CASE WHEN c > 0 THEN tp / c ELSE 0 END, 4)::DOUBLE AS "precision", round(CASE WHEN r > 0 THEN tp / r ELSE 0 END, 4)::DOUBLE AS recall,
+      round(2 * tp / (r + c), 4)::DOUBLE AS f1, r AS support, n AS total, tp FROM m, n)"""
+
+
+@query("d9_evaluate", f'WITH {_EVAL} SELECT label, "precision", recall, f1, support, total FROM e', "predicted")
+def d9_evaluate(spark, d):
+    return agreement.evaluate(agreement.label_margins(agreement.pair_counts(inputs.predicted(spark, d), "truth", "predicted"))).drop("tp")
+
+
+@query("d9_summary", f"WITH {_EVAL} SELECT round(sum(tp) / max(total), 4)::DOUBLE AS accuracy, round(avg(f1), 4)::DOUBLE AS macro_f1, round(sum(f1 * support) / sum(support), 4)::DOUBLE AS weighted_f1, max(total) AS n FROM e", "predicted")
+def d9_summary(spark, d):
+    return agreement.evaluation_summary(agreement.evaluate(agreement.label_margins(agreement.pair_counts(inputs.predicted(spark, d), "truth", "predicted"))))
+
+
+@query("d11_confusion", """SELECT 'true:' || t AS "row", count(*) FILTER (truth = t AND predicted = '0') AS "pred:0", count(*) FILTER (truth = t AND predicted = '1') AS "pred:1"
+    FROM predicted, (VALUES ('0'), ('1')) v(t) GROUP BY t""", "predicted")
+def d11_confusion(spark, d):
+    return agreement.confusion_wide(agreement.pair_counts(inputs.predicted(spark, d), "truth", "predicted"), ["0", "1"])
+
+
+@query("d13_macro_f1", f"WITH p AS (SELECT truth AS x, predicted AS y FROM predicted), {_MARGINS} SELECT round(avg(2 * tp / (r + c)), 4)::DOUBLE AS macro_f1 FROM m WHERE r > 0", "predicted")
+def d13_macro_f1(spark, d):
+    return agreement.macro_f1_of_truth(inputs.predicted(spark, d), "truth", "predicted")
+
+
+# diagnostics and features
+
+
+@query("e1_diagnostics", """SELECT 'rows' AS metric, count(*) AS value FROM documents UNION ALL SELECT 'columns', 5 UNION ALL SELECT 'empty_texts', count(*) FILTER (trim(coalesce(text, '')) = '') FROM documents
+    UNION ALL SELECT 'unique_texts', count(DISTINCT text) FROM documents UNION ALL SELECT 'classes', count(DISTINCT lang) FROM documents
+    UNION ALL SELECT 'n_duplicates', count(*) - count(DISTINCT (doc_id, text, lang, source, n_chars)) FROM documents""")
+def e1_diagnostics(spark, d):
+    return profile.diagnostics(_docs(spark, d), "text", "lang")
+
+
+@query("e2_token_stats", f"""SELECT min(n) AS n_min, max(n) AS n_max, round(avg(n), 1)::DOUBLE AS n_mean, round(quantile_cont(n, 0.25), 1)::DOUBLE AS p25, round(quantile_cont(n, 0.5), 1)::DOUBLE AS median,
+    round(quantile_cont(n, 0.75), 1)::DOUBLE AS p75, round(quantile_cont(n, 0.95), 1)::DOUBLE AS p95 FROM (SELECT {TOKENS} AS n FROM documents) WHERE n > 0""")
+def e2_token_stats(spark, d):
+    return profile.token_stats(_docs(spark, d), "text")
+
+
+@query("e3_distribution", "SELECT lang AS label, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 4)::DOUBLE AS share FROM documents WHERE lang IS NOT NULL GROUP BY 1")
+def e3_distribution(spark, d):
+    return profile.distribution(_docs(spark, d), "lang")
+
+
+@query("e4_duplicates", "SELECT count(*) AS n_rows, count(*) - count(DISTINCT text) AS n_duplicates, round((count(*) - count(DISTINCT text)) / count(*), 4)::DOUBLE AS rate FROM documents")
+def e4_duplicates(spark, d):
+    return profile.duplicates(_docs(spark, d), ["text"])
+
+
+@query("e5_time_span", """SELECT n_valid, days, CASE WHEN n_valid <= 10 THEN NULL WHEN days <= 1 THEN 'one_day' WHEN days <= 7 THEN 'one_week' END AS warning
+    FROM (SELECT count(ts) AS n_valid, ((epoch_us(max(ts)) - epoch_us(min(ts))) // 86400000000)::BIGINT AS days FROM events)""")
+def e5_time_span(spark, d):
+    return profile.time_span(table(spark, d, "events"), "ts")
+
+
+@query("e5_uniqueness", "SELECT count(text) AS n_texts, count(DISTINCT text) AS n_unique, round(count(DISTINCT text) / count(text), 4)::DOUBLE AS rate, count(DISTINCT text) / count(text) < 0.8 AS warning FROM documents")
+def e5_uniqueness(spark, d):
+    return profile.text_uniqueness(_docs(spark, d), "text")
+
+
+@query("e7_majority", """SELECT lang AS value, round(n / t, 4)::DOUBLE AS share, n / t < 0.9 AS mixed FROM (SELECT lang, count(*) AS n, sum(count(*)) OVER () AS t FROM documents GROUP BY 1) ORDER BY n DESC, lang LIMIT 1""")
+def e7_majority(spark, d):
+    return profile.majority(_docs(spark, d), "lang")
+
+
+@query("e8_tokens", f"SELECT doc_id, {TOKENS} AS n_tokens FROM documents")
+def e8_tokens(spark, d):
+    return _docs(spark, d).select("doc_id", n_tokens(F.col("text")).alias("n_tokens"))
+
+
+@query("e9_features", f"""SELECT count(*) AS n_samples, count(quality) AS n_labeled, (SELECT count(DISTINCT quality) FROM labels) AS n_classes,
+    (SELECT round(max(n) / min(n), 2)::DOUBLE FROM (SELECT count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY quality)) AS balance, floor(avg({TOKENS}))::BIGINT AS mean_tokens
+    FROM documents LEFT JOIN labels USING (doc_id)""")
+def e9_features(spark, d):
+    rows = _docs(spark, d).join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return profile.features(rows, "text", "quality")
+
+
+_WEIGHTS = """tf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]{2,}')) AS term FROM src) GROUP BY ALL),
+    idf AS (SELECT term, ln((1 + (SELECT count(*) FROM src)) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY 1),
+    raw AS (SELECT id, term, tf * idf AS w FROM tf JOIN idf USING (term)),
+    weights AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS weight FROM raw)"""
+
+
+@query("e10_diversity", f"""WITH src AS (SELECT item_id AS id, text FROM benchmark), {_WEIGHTS}, s AS (SELECT sum(s * s) AS total, sum(q) AS own FROM (SELECT sum(weight) AS s, sum(weight * weight) AS q FROM weights GROUP BY term))
+    SELECT n, round(1 - (total - own) / (n * (n - 1)), 4)::DOUBLE AS diversity FROM s, (SELECT count(DISTINCT id) AS n FROM weights)""")
+def e10_diversity(spark, d):
+    return tfidf.diversity(tfidf.tfidf(table(spark, d, "benchmark"), "item_id", "text"))
+
+
+# advice
+
+_TASKS = "SELECT user_id AS task, (user_id * 37 % 900) * (user_id % 3) AS n_labeled, CASE WHEN user_id % 2 = 0 THEN 'sentiment' ELSE 'topic' END AS task_type, user_id % 7 + 2 AS n_classes, CASE WHEN user_id % 5 < 3 THEN 0.8 ELSE 0.9 END AS target_f1, CASE WHEN user_id % 4 = 0 THEN 'hypothesis_testing' ELSE 'description' END AS downstream_use FROM (SELECT DISTINCT user_id FROM events)"
+
+
+@query("f1_f2_recommend", f"""WITH t AS ({_TASKS}), r AS (SELECT *, CASE WHEN n_labeled = 0 AND target_f1 <= 0.85 AND task_type = 'sentiment' AND n_classes <= 3 THEN 1 WHEN n_labeled = 0 AND target_f1 <= 0.85 THEN 2
+      WHEN n_labeled = 0 THEN 3 WHEN n_labeled < 200 THEN 4 WHEN n_labeled < 500 THEN 5 WHEN target_f1 <= 0.85 THEN 6 ELSE 7 END AS rule,
+      CASE WHEN n_classes <= 3 AND task_type = 'sentiment' THEN 1 WHEN n_classes <= 5 THEN 2 ELSE 3 END AS lv FROM t)
+    SELECT task, rule, ['zero_shot', 'few_shot', 'fine_tune', 'few_shot', 'few_shot', 'fine_tune', 'active_learning'][rule] AS method, [0.75, 0.65, 0.70, 0.75, 0.78, 0.85, 0.87][rule]::DOUBLE AS expected_f1,
+    [0.05, 0.08, 0.08, 0.05, 0.05, 0.03, 0.03][rule]::DOUBLE AS margin, downstream_use = 'hypothesis_testing' AS sensitivity_analysis,
+    CASE WHEN rule = 3 THEN [200, 300, 500][lv] END AS minimum_n, CASE WHEN rule = 3 THEN [500, 800, 1200][lv] END AS recommended_n, CASE WHEN rule = 3 THEN [1000, 1500, 2000][lv] END AS diminishing_n FROM r""")
+def f1_f2_recommend(spark, d):
+    u = F.col("user_id")
+    tasks = table(spark, d, "events").select("user_id").distinct().select(
+        u.alias("task"), ((u * 37 % 900) * (u % 3)).alias("n_labeled"), F.when(u % 2 == 0, "sentiment").otherwise("topic").alias("task_type"), (u % 7 + 2).alias("n_classes"),
+        F.when(u % 5 < 3, 0.8).otherwise(0.9).alias("target_f1"), F.when(u % 4 == 0, "hypothesis_testing").otherwise("description").alias("downstream_use"),
+    )
+    return advise.recommend(tasks).drop("n_labeled", "task_type", "n_classes", "target_f1", "downstream_use")
+
+
+@query("f3_f7_budget")
+def f3_f7_budget(spark, d):
+    plan = advise.budget(spark, "sentiment", 3, 0.8)
+    return spark.createDataFrame([(plan["recommended_n"], *plan["interval"], plan["basis"])], "recommended_n long, low long, high long, basis string")
+
+
+@query("f5_curve", "SELECT n::INT AS n, round(least(1.0, 0.1 * pow(n, 0.25) + 0.2), 6)::DOUBLE AS f1 FROM range(100, 5001, 100) r(n)")
+def f5_curve(spark, d):
+    return advise.curve(spark, 0.1, 0.25, 0.2)
+
+
+@query("f8_curve_table", "WITH c AS (SELECT n::INT AS n, round(least(1.0, 0.1 * pow(n, 0.25) + 0.2), 6)::DOUBLE AS f1 FROM range(100, 5001, 100) r(n)) SELECT n, f1, n = 1300 AS recommended FROM c WHERE (n - 100) // 100 % 6 = 0 OR n = 1300")
+def f8_curve_table(spark, d):
+    return advise.curve_table(advise.curve(spark, 0.1, 0.25, 0.2), 1250)
+
+
+# annotation sessions
+
+
+def _session(spark, d):
+    items = inputs.items(spark, d).where("item_id < 200").select(F.lit("s").alias("session"), F.col("item_id").alias("item"), F.lit(None).cast("string").alias("label"))
+    e = F.col("event_id")
+    name = F.element_at(F.array(*[F.lit(x) for x in ("annotate", "skip", "annotate", "flag", "undo", "annotate", "goto")]), (e % 7 + 1).cast("int"))
+    log = table(spark, d, "events").where("event_id < 150").select(F.lit("s").alias("session"), e.alias("seq"), name.alias("action"), (e * 13 % 200).alias("target"), F.concat(F.lit("L"), e % 3).alias("label"), F.lit("").alias("note"))
+    return items, log
+
+
+@query("g1_g4_annotations")
+def g1_g4_annotations(spark, d):
+    return review.fold_annotations(*_session(spark, d))
+
+
+@query("g5_g6_stats")
+def g5_g6_stats(spark, d):
+    return review.annotation_stats(review.fold_annotations(*_session(spark, d)))
+
+
+@query("g7_export")
+def g7_export(spark, d):
+    return review.export_annotations(review.fold_annotations(*_session(spark, d)))
+
+
+@query("g8_merge_labels", """WITH l AS (SELECT text, arg_max(quality, doc_id)::VARCHAR AS label FROM labelled GROUP BY 1) SELECT doc_id, label FROM documents LEFT JOIN l USING (text)""", "labelled")
+def g8_merge_labels(spark, d):
+    state = inputs.labelled(spark, d).select("text", F.col("doc_id").alias("item"), F.col("quality").cast("string").alias("label"))
+    docs = _docs(spark, d).select("doc_id", "text", F.lit(None).cast("string").alias("label"))
+    return review.merge_labels(docs, state, "text", "label").select("doc_id", "label")
+
+
+# segmentation
+
+
+@query("h1_h4_paragraphs", """SELECT doc_id, k::INT AS segment_id, trim(text, ' ' || chr(10)) AS text, (1 + lines)::INT AS line_start, (1 + lines + length(text) - length(replace(text, chr(10), '')))::INT AS line_end,
+    pos::INT AS char_start, (pos + length(text))::INT AS char_end, (k - 1)::INT AS paragraph_index FROM turns""", "turns")
+def h1_h4_paragraphs(spark, d):
+    return segment.segment(inputs.transcripts(spark, d))
+
+
+@query("h2_sentences")
+def h2_sentences(spark, d):
+    return segment.segment(_docs(spark, d), mode="sentence")
+
+
+@query("h3_windows")
+def h3_windows(spark, d):
+    return segment.segment(inputs.transcripts(spark, d), mode="context_window", window=1)
+
+
+@query("h6_h7_preview", """SELECT doc_id, CASE WHEN length(text) > 120 THEN substr(trim(text, ' ' || chr(10)), 1, 120) || '...' ELSE text END AS text, pos || '-' || (pos + length(text)) AS chars FROM turns WHERE k = 2""", "turns")
+def h6_h7_preview(spark, d):
+    return segment.preview(segment.lookup(segment.segment(inputs.transcripts(spark, d)), 2)).select("doc_id", "text", "chars")
+
+
+# de-identification
+
+
+@query("i1_i3_detect")
+def i1_i3_detect(spark, d):
+    return pii.detect(_docs(spark, d))
+
+
+@query("i1_emails", r"SELECT doc_id AS text_id, unnest(regexp_extract_all(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b')) AS span FROM documents")
+def i1_emails(spark, d):
+    return pii.detect(_docs(spark, d), kinds=("EMAIL",)).select("text_id", "span")
+
+
+@query("i4_i5_rewrite")
+def i4_i5_rewrite(spark, d):
+    docs = _docs(spark, d)
+    return pii.rewrite(docs, pii.name_replacements(pii.detect(docs)))
+
+
+@query("i5_redact", r"SELECT doc_id AS text_id, regexp_replace(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b', '[REDACTED]', 'g') AS text FROM documents")
+def i5_redact(spark, d):
+    docs = _docs(spark, d)
+    return pii.rewrite(docs, pii.name_replacements(pii.detect(docs, kinds=("EMAIL",)), "redact"))
+
+
+@query("i6_coverage")
+def i6_coverage(spark, d):
+    return pii.coverage(pii.detect(_docs(spark, d)))
+
+
+@query("i7_i9_review", """SELECT coalesce(l.action, 'pending') AS action, count(*) AS n FROM (SELECT doc_id AS item_id FROM documents) d LEFT JOIN last_log l USING (item_id) GROUP BY 1""", "last_log")
+def i7_i9_review(spark, d):
+    rows = review.reviewed(inputs.items(spark, d), inputs.action_log(spark, d), ["item_id"], "text")
+    return rows.groupBy("action").agg(F.count("*").alias("n"))
+
+
+# replies
+
+
+def _prices(spark):
+    return completion.price_table(spark)
+
+
+@query("j4_j5_cost", """SELECT model, count(*) AS calls, sum(i)::BIGINT AS input_tokens, sum(o)::BIGINT AS output_tokens, round((sum(i) * pi + sum(o) * po) / 1e6, 6)::DOUBLE AS dollars FROM (
+    SELECT CASE event_id % 3 WHEN 0 THEN 'gpt-4o' WHEN 1 THEN 'gpt-4.1-nano' ELSE 'local' END AS model, event_id % 900 AS i, event_id % 70 AS o FROM events)
+    JOIN (VALUES ('gpt-4o', 2.5, 10.0), ('gpt-4.1-nano', 0.1, 0.4), ('local', 0.0, 0.0)) v(model, pi, po) USING (model) GROUP BY model, pi, po""")
+def j4_j5_cost(spark, d):
+    e = F.col("event_id")
+    usage = table(spark, d, "events").select(F.when(e % 3 == 0, "gpt-4o").when(e % 3 == 1, "gpt-4.1-nano").otherwise("local").alias("model"), (e % 900).alias("input_tokens"), (e % 70).alias("output_tokens"))
+    return completion.cost(usage, _prices(spark))
+
+
+@query("j4_estimate", f"SELECT count(*) AS n_prompts, sum(n)::BIGINT AS input_tokens, count(*) * 512 AS output_tokens, round((sum(n) * 2.5 + count(*) * 5120.0) / 1e6, 4)::DOUBLE AS dollars, (sum(n) * 2.5 + count(*) * 5120.0) / 1e6 > 5 AS over_limit FROM (SELECT {TOKENS} AS n FROM documents)")
+def j4_estimate(spark, d):
+    return completion.estimate_cost(_docs(spark, d), "text", "gpt-4o", _prices(spark))
+
+
+@query("j6_j10_classify", """SELECT CASE WHEN contains(text, ' the ') THEN 'english' ELSE 'other' END AS label, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 4)::DOUBLE AS share, false AS failed FROM documents GROUP BY 1""")
+def j6_j10_classify(spark, d):
+    stub = completion.TableProvider({" the ": '{"label": "english", "confidence": 0.9}'}, "other")
+    template = "{text}|{labels}"
+    docs = _docs(spark, d).select("doc_id", "text")
+    return completion.batch_report(completion.classify(docs, stub, ["english", "other"], template=template))
+
+
+_REPLY = "SELECT doc_id, CASE doc_id % 7 WHEN 6 THEN 'no idea' ELSE label END AS parsed FROM replies"
+
+
+@query("j7_parse", """SELECT doc_id, CASE doc_id % 7 WHEN 6 THEN 'no idea' WHEN 3 THEN label ELSE label END AS label, CASE doc_id % 7 WHEN 0 THEN 0.9 WHEN 2 THEN 0.5 END::DOUBLE AS confidence FROM replies""", "replies")
+def j7_parse(spark, d):
+    return inputs.replies(spark, d).select("doc_id", completion.parse_label(F.col("reply"), ["clean", "toxic"]).alias("p")).select("doc_id", "p.label", "p.confidence")
+
+
+@query("j8_parse_robust", _REPLY, "replies")
+def j8_parse_robust(spark, d):
+    return inputs.replies(spark, d).select("doc_id", completion.parse_label_robust(F.col("reply"), ["clean", "toxic"]).alias("parsed"))
+
+
+@query("j9_parse_plain", "SELECT doc_id, CASE doc_id % 7 WHEN 3 THEN reply WHEN 4 THEN reply WHEN 6 THEN 'no idea' ELSE label END AS parsed FROM replies", "replies")
+def j9_parse_plain(spark, d):
+    return inputs.replies(spark, d).select("doc_id", completion.parse_label_plain(F.col("reply")).alias("parsed"))
+
+
+@query("j11_unlabeled", "SELECT item_id, CASE WHEN c IS NULL THEN 'new' ELSE c END AS final_label, CASE WHEN c IS NULL THEN 'predicted' ELSE 'given' END AS source FROM coders_wide", "coders_wide")
+def j11_unlabeled(spark, d):
+    rows = inputs.coders_wide(spark, d)
+    return completion.classify_unlabeled(rows, lambda x: x.select("item_id", F.lit("new").alias("predicted")), "item_id", "c").select("item_id", "final_label", "source")
+
+
+@query("j15_variants", """WITH v AS (SELECT 'plain' AS variant, truth, CASE WHEN doc_id % 7 IN (3, 4) THEN lower(reply) WHEN doc_id % 7 = 6 THEN 'no idea' ELSE label END AS p FROM replies
+      UNION ALL SELECT 'robust', truth, CASE doc_id % 7 WHEN 6 THEN 'no idea' ELSE label END FROM replies),
+    m AS (SELECT variant, label, sum(r) AS r, sum(c) AS c, sum(tp) AS tp FROM (SELECT variant, truth AS label, 1 AS r, 0 AS c, (truth = p)::INT AS tp FROM v UNION ALL SELECT variant, p, 0, 1, 0 FROM v) GROUP BY ALL),
+    s AS (SELECT variant, sum(r)::BIGINT AS n, round(sum(tp) / sum(r), 4)::DOUBLE AS accuracy, round(avg(2 * tp / (r + c)) FILTER (r > 0), 4)::DOUBLE AS macro_f1 FROM m GROUP BY 1)
+    SELECT *, row_number() OVER (ORDER BY macro_f1 DESC, variant) = 1 AS best FROM s""", "replies")
+def j15_variants(spark, d):
+    rows = inputs.replies(spark, d)
+    plain = rows.select(F.lit("plain").alias("variant"), "truth", completion.parse_label_plain(F.col("reply")).alias("predicted"))
+    robust = rows.select(F.lit("robust").alias("variant"), "truth", completion.parse_label_robust(F.col("reply"), ["clean", "toxic"]).alias("predicted"))
+    return completion.evaluate_variants(plain.unionByName(robust))
+
+
+@query("j16_examples")
+def j16_examples(spark, d):
+    rows = table(spark, d, "benchmark").withColumn("label", F.when(F.col("item_id") % 2 == 0, "even").otherwise("odd"))
+    return tfidf.select_examples(rows, "item_id", "text", "label", 3)
+
+
+@query("j17_j18_coding", """SELECT doc_id AS item_id, CASE doc_id % 3 WHEN 0 THEN 'Work' WHEN 1 THEN 'Family life' END AS theme, least(1.0, round((doc_id % 13) / 10.0, 3))::DOUBLE AS confidence, 'because' AS reasoning, 'x' AS evidence
+    FROM documents WHERE doc_id % 3 < 2""")
+def j17_j18_coding(spark, d):
+    name = F.element_at(F.array(F.lit("work"), F.lit("family"), F.lit("unknown thing")), (F.col("doc_id") % 3 + 1).cast("int"))
+    reply = F.concat(F.lit('Here: {"themes": [{"name": "'), name, F.lit('", "confidence": '), (F.col("doc_id") % 13) / 10.0, F.lit(', "trigger_words": ["a"], "reasoning": "because", "evidence_span": " x "}]} done'))
+    rows = _docs(spark, d).select(F.col("doc_id").alias("item_id"), reply.alias("reply"))
+    return completion.parse_coding(rows, "reply", ["Work", "Family life"]).drop("triggers")
+
+
+@query("j19_extraction", """SELECT doc_id, 1::BIGINT AS segment_id, 'RQ1' AS rq_id, CASE doc_id % 3 WHEN 0 THEN 'a' ELSE 'uncategorised' END AS sub_theme, 0.7::DOUBLE AS confidence, '' AS evidence FROM documents WHERE doc_id % 3 < 2""")
+def j19_extraction(spark, d):
+    sub = F.element_at(F.array(F.lit("a"), F.lit(""), F.lit("zzz")), (F.col("doc_id") % 3 + 1).cast("int"))
+    reply = F.concat(F.lit('```json\n{"matches": [{"segment_id": 1, "rq_id": "RQ1", "sub_theme": "'), sub, F.lit('", "confidence": 0.7}, {"segment_id": 2, "rq_id": "RQ9"}]}\n```'))
+    questions = spark.createDataFrame([("RQ1", ["a", "b"])], "rq_id string, sub_themes array<string>")
+    return completion.parse_extraction(_docs(spark, d).select("doc_id", reply.alias("reply")), "reply", questions)
+
+
+# consensus, triage, export
+
+
+@query("k1_votes", "SELECT item_id, theme, votes, confidence FROM coded", "coded")
+def k1_votes(spark, d):
+    return consensus.majority_vote(inputs.codings(spark, d), 3)
+
+
+@query("k2_agreement", """WITH a AS (SELECT item_id, avg(votes / 3.0) AS a, count(*) AS n FROM votes GROUP BY 1), i AS (SELECT doc_id, coalesce(a, 1.0) AS a, coalesce(n, 0) AS n FROM documents LEFT JOIN a ON doc_id = item_id)
+    SELECT count(*) AS n_items, round(avg(a), 4)::DOUBLE AS agreement, count(*) FILTER (abs(a - 1) < 1e-12) AS n_unanimous, count(*) FILTER (n = 0) AS n_uncoded, (SELECT count(*) FROM coded) AS n_consensus_themes FROM i""", "coded")
+def k2_agreement(spark, d):
+    return consensus.consensus_summary(inputs.items(spark, d), inputs.codings(spark, d), 3)
+
+
+@query("k3_merge", "SELECT item_id, theme, list_sort(list(coder)) AS triggers, string_agg(coder || ' saw ' || theme, ' | ' ORDER BY coder) AS reasoning FROM codings GROUP BY ALL", "codings")
+def k3_merge(spark, d):
+    rows = inputs.codings(spark, d).withColumn("triggers", F.array("coder")).withColumn("reasoning", F.concat("coder", F.lit(" saw "), "theme"))
+    return consensus.merge_details(rows)
+
+
+@query("l1_triage", """SELECT doc_id AS item_id, least, CASE WHEN least >= 0.85 THEN 'high' WHEN least >= 0.6 THEN 'medium' ELSE 'low' END AS tier FROM documents LEFT JOIN (SELECT item_id, min(confidence) AS least FROM coded GROUP BY 1) ON doc_id = item_id""", "coded")
+def l1_triage(spark, d):
+    return consensus.triage(inputs.items(spark, d), k1_votes(spark, d))
+
+
+@query("l2_triage_summary", """SELECT tier, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 4)::DOUBLE AS share FROM (SELECT CASE WHEN least >= 0.85 THEN 'high' WHEN least >= 0.6 THEN 'medium' ELSE 'low' END AS tier
+    FROM documents LEFT JOIN (SELECT item_id, min(confidence) AS least FROM coded GROUP BY 1) ON doc_id = item_id) GROUP BY 1""", "coded")
+def l2_triage_summary(spark, d):
+    return consensus.triage_summary(l1_triage(spark, d))
+
+
+@query("l3_coding_review", """SELECT c.item_id, theme, coalesce(l.action, 'pending') AS action, CASE l.action WHEN 'rejected' THEN NULL WHEN 'edited' THEN l.value ELSE theme END AS final FROM coded c LEFT JOIN last_log l USING (item_id)""", "coded last_log")
+def l3_coding_review(spark, d):
+    return review.reviewed(k1_votes(spark, d), inputs.action_log(spark, d), ["item_id"], "theme").select("item_id", "theme", "action", "final")
+
+
+@query("l4_review_stats", """SELECT theme, count(*) AS total, count(*) FILTER (action = 'accepted') AS accepted, count(*) FILTER (action = 'edited') AS edited, count(*) FILTER (action = 'rejected') AS rejected, count(*) FILTER (action = 'pending') AS pending
+    FROM (SELECT theme, CASE WHEN l.action IS NULL THEN CASE WHEN confidence >= 0.85 THEN 'accepted' ELSE 'pending' END ELSE l.action END AS action FROM coded c LEFT JOIN last_log l USING (item_id)) GROUP BY 1""", "coded last_log")
+def l4_review_stats(spark, d):
+    rows = review.reviewed(k1_votes(spark, d), inputs.action_log(spark, d), ["item_id"], "theme")
+    return review.review_stats(review.accept_confident(rows, 0.85), "theme")
+
+
+@query("m1_excerpts", "SELECT item_id, theme, text, confidence, 'unreviewed' AS status, 'documents' AS source FROM coded JOIN documents ON item_id = doc_id", "coded")
+def m1_excerpts(spark, d):
+    return consensus.excerpts(inputs.items(spark, d), k1_votes(spark, d), source="documents")
+
+
+@query("m2_cooccurrence", """WITH t AS (SELECT unnest(['common', 'question', 'digits', 'long']) AS theme), p AS (SELECT a.theme AS theme_a, b.theme AS theme_b, count(*) AS n FROM coded a JOIN coded b USING (item_id) GROUP BY ALL)
+    SELECT x.theme AS theme_a, y.theme AS theme_b, coalesce(n, 0) AS n FROM t x CROSS JOIN t y LEFT JOIN p ON p.theme_a = x.theme AND p.theme_b = y.theme""", "coded")
+def m2_cooccurrence(spark, d):
+    return consensus.cooccurrence(k1_votes(spark, d), spark.createDataFrame([(t,) for t in inputs.THEMES], "theme string"))
+
+
+@query("m3_memo", """WITH r AS (SELECT theme, item_id, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS q, row_number() OVER (PARTITION BY theme ORDER BY item_id) AS k FROM coded JOIN documents ON item_id = doc_id)
+    SELECT theme, count(*) AS n, round(100 * count(*) / (SELECT count(*) FROM documents), 1)::DOUBLE AS "percent", list(q ORDER BY k) FILTER (k <= 3) AS quotes FROM r GROUP BY 1""", "coded")
+def m3_memo(spark, d):
+    return consensus.memo(inputs.items(spark, d), k1_votes(spark, d))
+
+
+@query("m4_evidence", """SELECT doc_id, p::INT - 1 AS found_at, CASE WHEN p > 0 THEN substr(text, greatest(1, p - 300), least(300, p - 1)) END AS "before", CASE WHEN p > 0 THEN substr(text, p, 3) END AS hit,
+    CASE WHEN p > 0 THEN substr(text, p + 3, 300) END AS "after" FROM (SELECT doc_id, text, strpos(lower(text), 'the') AS p FROM documents)""")
+def m4_evidence(spark, d):
+    rows = _docs(spark, d).select("doc_id", "text", F.lit("The").alias("e"))
+    return consensus.evidence_context(rows, "text", "e").select("doc_id", "found_at", "before", "hit", "after")
+
+
+@query("m5_questions", "WITH q AS (SELECT unnest(['common', 'question', 'digits', 'long', 'none']) AS rq_id) SELECT rq_id, count(item_id) AS matches, count(DISTINCT item_id) AS segments FROM q LEFT JOIN codings ON rq_id = theme GROUP BY 1", "codings")
+def m5_questions(spark, d):
+    questions = spark.createDataFrame([(t,) for t in (*inputs.THEMES, "none")], "rq_id string")
+    found = inputs.codings(spark, d).select(F.col("theme").alias("rq_id"), F.col("item_id").alias("segment_id"))
+    return consensus.question_distribution(questions, found)
+
+
+# TF-IDF
+
+
+@query("p1_tfidf", f"WITH src AS (SELECT item_id AS id, text FROM benchmark), {_WEIGHTS} SELECT id, term, round(weight, 6)::DOUBLE AS weight FROM weights")
+def p1_tfidf(spark, d):
+    return tfidf.tfidf(table(spark, d, "benchmark"), "item_id", "text").withColumn("weight", F.round("weight", 6))
+
+
+@query("p2_themes")
+def p2_themes(spark, d):
+    return tfidf.suggest_themes(table(spark, d, "benchmark"), "item_id", "text")
+
+
+@query("p4_overlap", f"""WITH src AS (SELECT item_id AS id, text FROM benchmark), {_WEIGHTS} SELECT * FROM (SELECT a.id AS a, b.id AS b, round(100 * sum(a.weight * b.weight), 1)::DOUBLE AS overlap FROM weights a JOIN weights b USING (term) WHERE a.id < b.id GROUP BY ALL) WHERE overlap > 10""")
+def p4_overlap(spark, d):
+    return tfidf.overlaps(tfidf.tfidf(table(spark, d, "benchmark"), "item_id", "text"), 10.0)
+
+
+# feeds of charts
+
+
+@query("r1_confusion_shares", "SELECT a, b, round(n / sum(n) OVER (PARTITION BY a), 4)::DOUBLE AS share FROM (SELECT truth AS a, predicted AS b, count(*) AS n FROM predicted GROUP BY ALL)", "predicted")
+def r1_confusion_shares(spark, d):
+    return consensus.normalised_confusion(agreement.pair_counts(inputs.predicted(spark, d), "truth", "predicted"))
+
+
+@query("r2_distributions", "SELECT coalesce(t.l, p.l) AS label, coalesce(t.n, 0) AS n_true, coalesce(p.n, 0) AS n_predicted FROM (SELECT truth AS l, count(*) AS n FROM predicted GROUP BY 1) t FULL JOIN (SELECT predicted AS l, count(*) AS n FROM predicted GROUP BY 1) p ON t.l = p.l", "predicted")
+def r2_distributions(spark, d):
+    m = agreement.label_margins(agreement.pair_counts(inputs.predicted(spark, d), "truth", "predicted"))
+    return m.select("label", F.col("r").alias("n_true"), F.col("c").alias("n_predicted"))
+
+
+@query("r3_histogram", "SELECT least(floor(confidence * 20), 19)::INT AS bin, count(*) AS n FROM codings GROUP BY 1", "codings")
+def r3_histogram(spark, d):
+    return consensus.confidence_histogram(inputs.codings(spark, d), "confidence")
