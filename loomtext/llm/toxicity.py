@@ -1,6 +1,6 @@
 """Toxicity: Levenshtein automata over a lexicon trie, with window features that tell quotation from abuse.
 
-The lexicon is learned from labelled rows: terms, and stems (the first 4 to 6 letters of words, whatever follows),
+The lexicon is learned from labelled rows: terms, and stems (the first 4 to 8 letters of words, whatever follows),
 whose documents are labelled toxic far more often than others. Each distinct word of a text becomes a bit-parallel
 Levenshtein automaton that walks the lexicon's trie, so misspelled terms are found (one error from 5 letters on, two
 from 9 on). Around each hit a window of words is searched for quotation marks that enclose it, words of reporting that
@@ -9,7 +9,7 @@ are separate features. A logistic regression, fitted in numpy by Newton steps, t
 
 Scale: fitting reads at most ``max_labelled`` labelled rows (those of smallest hash of their id; documented bound), so
 that they can be broadcast to the scan of the documents. Scoring is one scan without a shuffle; it broadcasts the
-lexicon (``max_terms`` at most) and seven weights. Words repeat, so each process keeps the last automaton results in a
+lexicon (``max_terms`` at most) and eight weights. Words repeat, so each process keeps the last automaton results in a
 bounded cache. Labels, ids, languages and sources aren't inputs of a score.
 
 Defined cases: null and empty texts have no hits and get the score of no hits. Documents without a label are scored
@@ -34,8 +34,8 @@ from .common import only, written
 
 WORD = re.compile(r"[^\W\d_]+")
 QUOTES = {'"': '"', "“": "”", "„": "“”", "«": "»", "‘": "’", "»": "«"}
-STEMS = (4, 5, 6)
-FEATURES = 6
+STEMS = (4, 5, 6, 7, 8)
+FEATURES = 7
 _QUOTED = re.compile(r'"[^"\n]{0,400}"|“[^”\n]{0,400}”|„[^“”\n]{0,400}[“”]|«[^»\n]{0,400}»|‘[^’\n]{0,400}’')
 
 
@@ -97,7 +97,8 @@ class LexiconTrie:
 
 
 def features(text: str | None, matches, weights, window: int) -> list[float]:
-    """Exact and misspelled hits outside and inside quotations, the strongest term, and hits that have company."""
+    """Exact hits outside and inside quotations, misspelled ones likewise, the strongest term, hits that have company,
+    and all terms together."""
     out = [0.0] * FEATURES
     if not text:
         return out
@@ -116,7 +117,8 @@ def features(text: str | None, matches, weights, window: int) -> list[float]:
             out[4] = max(out[4], weights[term])
         near = [h for h in hits[max(0, n - 1) : n + 2] if h[0] != k and abs(h[0] - k) <= window]
         out[5] += bool(near) and not inside
-    return [float(np.log1p(x)) if i != 4 else x for i, x in enumerate(out)]
+    out[6] = sum(weights[term] for term in {term for _, term, wrong, inside in hits if not inside and not wrong})
+    return [float(np.log1p(x)) if i < 4 or i == 5 else x for i, x in enumerate(out)]
 
 
 @dataclass
@@ -145,24 +147,27 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.concat(F.filter(words, lambda w: w != ""), *[stems(n) for n in STEMS]))
 
 
-def learn_lexicon(labelled: DataFrame, *, min_docs: int = 4, min_share: float = 0.8, max_terms: int = 2000) -> list[tuple[str, float]]:
-    """(term, log odds): terms in at least min_docs toxic documents, which make min_share of the term's documents.
-    labelled: (text, toxic), bounded. Of a term and a stem that covers it only the shorter stays."""
+def learn_lexicon(labelled: DataFrame, *, min_share: float = 0.3, evidence: float = 14.0, max_terms: int = 2000) -> list[tuple[str, float]]:
+    """(term, log odds ratio): terms of which min_share of the documents are toxic, where this has a log-likelihood ratio of
+    evidence against the share of all documents (14: one chance in a million). labelled: (text, toxic), bounded.
+    The best supported terms come first; what a stem among them covers is left out."""
+    toxic, total = labelled.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
+    if not 0 < toxic < total:
+        return []
+    base = toxic / total
     counted = labelled.select("toxic", F.explode(_terms(F.col("text"))).alias("term"))
-    counted = counted.groupBy("term").agg(F.sum("toxic").alias("n"), F.count("*").alias("all"))
-    rows = counted.where((F.col("n") >= min_docs) & (F.col("n") >= min_share * F.col("all")))
-    rows = rows.orderBy(F.desc("n"), "term").limit(max_terms).collect()
-    found = {r["term"]: (r["n"], float(np.log((r["n"] + 0.5) / (r["all"] - r["n"] + 0.5)))) for r in rows}
-    kept = []
-    for term in sorted(found, key=lambda t: (len(t.removesuffix("*")), t)):
-        bare = term.removesuffix("*")
-        # a stem that only stands for one known word, or is covered by a shorter stem, adds nothing
-        if any(bare.startswith(k[:-1]) for k, _ in kept if k.endswith("*")):
-            continue
-        if term.endswith("*") and any(not w.endswith("*") and w.startswith(bare) and found[w][0] >= 0.9 * found[term][0] for w in found):
-            continue
-        kept.append((term, found[term][1]))
-    return kept
+    counted = counted.groupBy("term").agg(F.sum("toxic").alias("n"), F.count("*").alias("all")).where(F.col("n") >= min_share * F.col("all"))
+    share = F.col("n") / F.col("all")
+    ratio = F.col("n") * F.log(share / base) + F.when(F.col("n") < F.col("all"), (F.col("all") - F.col("n")) * F.log((1 - share) / (1 - base))).otherwise(0.0)
+    rows = counted.withColumn("ratio", ratio).where(F.col("ratio") >= evidence).orderBy(F.desc("ratio"), F.endswith("term", F.lit("*")), F.desc(F.length("term")), "term").limit(max_terms).collect()
+    kept: dict[str, float] = {}
+    for r in rows:
+        bare = r["term"].removesuffix("*")
+        covered = any(bare[:n] + "*" in kept for n in range(1, len(bare) + 1))
+        # a stem that adds nothing to a word it comes from stays out
+        if not covered and not (r["term"].endswith("*") and any(w.startswith(bare) and not w.endswith("*") for w in kept)):
+            kept[r["term"]] = float(np.log((r["n"] + 0.5) / (r["all"] - r["n"] + 0.5)) - np.log(base / (1 - base)))
+    return list(kept.items())
 
 
 def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 30) -> np.ndarray:
