@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,9 +99,12 @@ def load_lines(spark: SparkSession, path: str) -> DataFrame:
 def load_document(spark: SparkSession, path: str, preview: int = 3000) -> DataFrame:
     """(path, text, n_chars, n_lines, preview) of whole files; UTF-8, else GB18030."""
     rows = spark.read.format("binaryFile").load(path)
-    utf = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
-    text = F.coalesce(utf, F.decode("content", "GB18030"))
-    rows = rows.select("path", text.alias("text"))
+
+    @F.pandas_udf("string")
+    def decoded(content: pd.Series) -> pd.Series:  # Spark's decode() knows few character sets
+        return content.map(lambda raw: raw.decode("utf-8" if _encoding(raw, "") else "gb18030", "replace"))
+
+    rows = rows.select("path", decoded("content").alias("text"))
     return rows.select("path", "text", F.length("text").alias("n_chars"), (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).alias("n_lines"), F.substring("text", 1, preview).alias("preview"))
 
 
