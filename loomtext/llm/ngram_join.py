@@ -37,8 +37,9 @@ from pyspark.sql import functions as F
 from .common import only, written
 from .components import connected_components
 
-FLUSH = 2_000_000
-PER_BUCKET = 3_000_000
+FLUSH = 1_000_000
+PER_BUCKET = 700_000
+PER_HOME = 3_000_000
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, dtype=bool)
@@ -176,7 +177,7 @@ def repeated_ngrams(rows: DataFrame, profile: DataFrame, n: int, percent: int, h
     in the global order, with the frequencies, as binary uint64 and uint32."""
     spark = rows.sparkSession
     total, n_docs = profile.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)), F.count("*")).first()
-    buckets, homes = max(1, total // PER_BUCKET + 1), max(1, total // PER_BUCKET + 1)
+    buckets, homes = max(1, total // PER_BUCKET + 1), max(1, total // PER_HOME + 1)
     shared = spark.sparkContext.broadcast((_hot(profile, n_docs, hot), n_docs))
     kind = rows.schema["id"].dataType.simpleString()
     schema = "b int, h binary, id binary, cls binary, n binary, hot boolean"
