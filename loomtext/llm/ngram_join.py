@@ -38,8 +38,9 @@ from .common import only, written
 from .components import connected_components
 
 FLUSH = 1_000_000
-PER_BUCKET = 700_000
+PER_BUCKET = 1_500_000
 PER_HOME = 3_000_000
+SLICE = 2048
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, dtype=bool)
@@ -134,17 +135,25 @@ def choose_level(df: np.ndarray, n: int, own: int, percent: int, levels: int) ->
 
 
 def profiles(rows: DataFrame, n: int) -> DataFrame:
-    """(id, n_shingles, digest, frequent): each document's set in brief; frequent: what its task often met, once."""
+    """(id, n_shingles, cls, digest, frequent): each document's set in brief; frequent: what its task often met, once."""
     kind = rows.schema["id"].dataType.simpleString()
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             sets = ngram_sets(batch.column(1).to_pylist(), n)
             digests = [blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets]
-            columns = [batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(_frequent(sets), pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "n_shingles", "digest", "frequent"])
+            heads = [d and int.from_bytes(d[:8], "little", signed=True) for d in digests]
+            columns = [batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(heads, pa.int64()), pa.array(digests, pa.binary()), pa.array(_frequent(sets), pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "n_shingles", "cls", "digest", "frequent"])
+
+    return rows.mapInArrow(walk, f"id {kind}, n_shingles long, cls long, digest binary, frequent binary")
+
 
-    return rows.mapInArrow(walk, f"id {kind}, n_shingles long, digest binary, frequent binary")
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, so that the sets of few documents are held at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
 
 
 def _frequent(sets: list[np.ndarray]) -> list[bytes | None]:
@@ -173,30 +182,23 @@ def _hot(profile: DataFrame, n_docs: int, hot: int) -> np.ndarray:
 
 
 def repeated_ngrams(rows: DataFrame, profile: DataFrame, n: int, percent: int, hot: int) -> DataFrame:
-    """(id, n_shingles, grams, df): for each document that can have a partner, its n-grams that other classes hold,
-    in the global order, with the frequencies, as binary uint64 and uint32."""
+    """(cls, n_shingles, grams, df): for each class of equal sets that can have a partner, its n-grams that other
+    classes hold, in the global order, with the frequencies, as binary uint64 and uint32. cls: the digest's head."""
     spark = rows.sparkSession
     total, n_docs = profile.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)), F.count("*")).first()
     buckets, homes = max(1, total // PER_BUCKET + 1), max(1, total // PER_HOME + 1)
     shared = spark.sparkContext.broadcast((_hot(profile, n_docs, hot), n_docs))
-    kind = rows.schema["id"].dataType.simpleString()
-    schema = "b int, h binary, id binary, cls binary, n binary, hot boolean"
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot_grams = shared.value[0]
-        met: set[bytes] = set()
+        met: set[int] = set()
         held, size = [], 0
-        for batch in batches:
-            for key, x in zip(batch.column(0).to_pylist(), ngram_sets(batch.column(1).to_pylist(), n), strict=True):
-                if not len(x) or key is None:
-                    continue
-                cls = blake2b(x.tobytes(), digest_size=16).digest()[:8]
-                if cls in met:  # a copy of a set this task has dealt, under a larger or smaller id: one of them is enough
-                    held.append((key, cls, x[:0], len(x)))
-                    continue
-                met.add(cls)
-                held.append((key, cls, x, len(x)))
-                size += len(x)
+        for batch in sliced(batches):
+            for x in ngram_sets(batch.column(0).to_pylist(), n):
+                if len(x) and (cls := class_of(x)) not in met:  # of equal sets in a task one is dealt
+                    met.add(cls)
+                    held.append((cls, x))
+                    size += len(x)
             if size > FLUSH:
                 yield from dealt(held, hot_grams, buckets)
                 held, size = [], 0
@@ -208,35 +210,58 @@ def repeated_ngrams(rows: DataFrame, profile: DataFrame, n: int, percent: int, h
     def gather(table: pa.Table) -> pa.Table:
         return gathered(table, percent)
 
-    blocks = rows.mapInArrow(deal, schema)
-    found = blocks.groupBy("b").applyInArrow(count, "home int, id binary, n binary, h binary, df binary")
-    return found.groupBy("home").applyInArrow(gather, f"id {kind}, n_shingles long, grams binary, df binary")
+    blocks = rows.select("text").mapInArrow(deal, "b int, h binary, cls binary, n binary, run binary, hot boolean")
+    found = blocks.groupBy("b").applyInArrow(count, "home int, cls binary, n binary, run binary, h binary, df binary")
+    return found.groupBy("home").applyInArrow(gather, "cls long, n_shingles long, grams binary, df binary")
+
+
+def class_of(x: np.ndarray) -> int:
+    return int.from_bytes(blake2b(x.tobytes(), digest_size=16).digest()[:8], "little", signed=True)
+
+
+def _narrow(h: np.ndarray) -> bytes:
+    """The low 48 bits of each hash; with its bucket they tell n-grams apart as well as 64 bits do."""
+    return np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
 
-def dealt(held: list, hot_grams: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Blocks of (hash, id, class, size), by bucket of the hash; hot n-grams by the document instead, and marked."""
-    held = [x for x in held if len(x[2])]
+def _wide(raw: bytes, bucket: int) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), dtype=np.uint8)
+    out[:, :6] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel() | _U(bucket % 65536) << _U(48)
+
+
+def _runs(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal neighbours start, and their lengths."""
+    start = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, dtype=int)
+    return start, np.diff(np.append(start, len(own))).astype(np.uint32)
+
+
+def dealt(held: list[tuple[int, np.ndarray]], hot_grams: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of hashes with runs of (class, size), by bucket of the hash; hot n-grams are marked and take any bucket,
+    that of their class."""
     if not held:
         return
-    lengths = [len(x[2]) for x in held]
-    h = np.concatenate([x[2] for x in held])
-    own = np.repeat(np.arange(len(held)), lengths)
-    ids, cls = np.array([x[0] for x in held], dtype=np.int64), np.frombuffer(b"".join(x[1] for x in held), dtype=np.uint64)
-    sizes = np.array([x[3] for x in held], dtype=np.uint32)
-    at = np.searchsorted(hot_grams, h)
-    is_hot = hot_grams[np.minimum(at, len(hot_grams) - 1)] == h if len(hot_grams) else np.zeros(len(h), dtype=bool)
+    sizes = np.array([len(x) for _, x in held], dtype=np.uint32)
+    cls = np.array([c for c, _ in held], dtype=np.int64)
+    h = np.concatenate([x for _, x in held])
+    own = np.repeat(np.arange(len(held), dtype=np.int32), sizes)
+    at = np.minimum(np.searchsorted(hot_grams, h), max(0, len(hot_grams) - 1))
+    is_hot = hot_grams[at] == h if len(hot_grams) else np.zeros(len(h), dtype=bool)
+    home = bucket_of(h, buckets)
     for hot in (False, True):
         which = np.flatnonzero(is_hot == hot)
-        bucket = ((h[which] >> _U(20)) % _U(buckets)).astype(np.int32) if not hot else (ids[own[which]] % buckets).astype(np.int32)
+        bucket = home[which] if not hot else (cls[own[which]] % buckets).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
         which, bucket = which[order], bucket[order]
         cuts = np.searchsorted(bucket, np.arange(buckets + 1))
         out: list[list] = [[] for _ in range(6)]
         for b in np.flatnonzero(np.diff(cuts)):
             part = which[cuts[b] : cuts[b + 1]]
-            who = own[part]
-            row = (int(b), h[part].tobytes(), ids[who].tobytes(), cls[who].tobytes(), sizes[who].tobytes(), hot)
-            for column, value in zip(out, row, strict=True):
+            start, run = _runs(own[part])
+            who = own[part[start]]
+            # hot n-grams keep the tag of their own bucket, in whole hashes
+            raw = _narrow(h[part]) if not hot else (h[part] & _U(2**48 - 1) | (home[part] % 65536).astype(np.uint64) << _U(48)).tobytes()
+            for column, value in zip(out, (int(b), raw, cls[who].tobytes(), sizes[who].tobytes(), run.tobytes(), hot), strict=True):
                 column.append(value)
             if len(out[0]) == 8:
                 yield _blocks(out)
@@ -245,64 +270,79 @@ def dealt(held: list, hot_grams: np.ndarray, buckets: int) -> Iterator[pa.Record
             yield _blocks(out)
 
 
+def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
+    return ((h >> _U(40)) % _U(buckets)).astype(np.int32)
+
+
 def _blocks(out: list[list]) -> pa.RecordBatch:
     kinds = (pa.int32(), *[pa.binary()] * 4, pa.bool_())
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["b", "h", "id", "cls", "n", "hot"])
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["b", "h", "cls", "n", "run", "hot"])
 
 
 def _joined(table: pa.Table, name: str, dtype, rows=None) -> np.ndarray:
-    parts = table.column(name).to_pylist()
-    return np.frombuffer(b"".join(p for k, p in enumerate(parts) if rows is None or rows[k]), dtype=dtype)
+    column = table.column(name)
+    return np.concatenate([np.zeros(0, dtype=dtype), *[np.frombuffer(column[k].as_buffer(), dtype=dtype) for k in (range(len(column)) if rows is None else rows)]])
+
+
+def _owners(table: pa.Table, rows=None) -> tuple[np.ndarray, np.ndarray]:
+    """Class and size of each entry."""
+    run = _joined(table, "run", np.uint32, rows)
+    return np.repeat(_joined(table, "cls", np.int64, rows), run), np.repeat(_joined(table, "n", np.uint32, rows), run)
 
 
 def counted(table: pa.Table, homes: int, n_docs: int) -> pa.Table:
-    """Entries of n-grams that two or more classes hold, by home of the document, with their frequency."""
+    """Entries of n-grams that two or more classes hold, by home of the class, with their frequency."""
     hot = table.column("hot").to_pylist()
-    cold = [not x for x in hot]
-    h, ids, cls, n = (_joined(table, c, t, cold) for c, t in (("h", np.uint64), ("id", np.int64), ("cls", np.uint64), ("n", np.uint32)))
+    cold_rows, hot_rows = [k for k, x in enumerate(hot) if not x], [k for k, x in enumerate(hot) if x]
+    bucket = table.column("b")[0].as_py()
+    h = np.concatenate([np.zeros(0, dtype=np.uint64), *[_wide(table.column("h")[k].as_py(), bucket) for k in cold_rows]])
+    cls, n = _owners(table, cold_rows)
     order = np.argsort(h, kind="stable")
-    new = np.concatenate([[True], h[order][1:] != h[order][:-1]]) if len(h) else np.zeros(0, dtype=bool)
-    group = np.cumsum(new) - 1
-    many = np.bincount(group)[group] > 1 if len(h) else new
-    order = order[many]
+    _, run = _runs(h[order])
+    order = order[np.repeat(run > 1, run)]
     order = order[np.lexsort((cls[order], h[order]))]
     hs, cs = h[order], cls[order]
     fresh = np.ones(len(order), dtype=bool)
     fresh[1:] = (hs[1:] != hs[:-1]) | (cs[1:] != cs[:-1])
-    first = np.ones(len(order), dtype=bool)
-    first[1:] = hs[1:] != hs[:-1]
-    group = np.cumsum(first) - 1
-    df = np.bincount(group, weights=fresh)[group].astype(np.uint32) if len(order) else np.zeros(0, dtype=np.uint32)
+    order, hs = order[fresh], hs[fresh]  # copies of a class from several tasks count once
+    _, run = _runs(hs)
+    df = np.repeat(run, run)
     order, df = order[df > 1], df[df > 1]
-    hot_h, hot_ids, hot_n = (_joined(table, c, t, hot) for c, t in (("h", np.uint64), ("id", np.int64), ("n", np.uint32)))
-    h, ids, n = np.concatenate([h[order], hot_h]), np.concatenate([ids[order], hot_ids]), np.concatenate([n[order], hot_n])
+    hot_h, (hot_cls, hot_n) = _joined(table, "h", np.uint64, hot_rows), _owners(table, hot_rows)
+    h, cls, n = np.concatenate([h[order], hot_h]), np.concatenate([cls[order], hot_cls]), np.concatenate([n[order], hot_n])
     df = np.concatenate([df, np.full(len(hot_h), max(2, n_docs), dtype=np.uint32)])
-    home = (ids % homes).astype(np.int32)
-    order = np.lexsort((ids, home))
-    h, ids, n, df, home = h[order], ids[order], n[order], df[order], home[order]
+    home = (cls % homes).astype(np.int32)
+    order = np.lexsort((cls, home))
+    h, cls, n, df, home = h[order], cls[order], n[order], df[order], home[order]
     cuts = np.searchsorted(home, np.arange(homes + 1))
-    out: list[list] = [[] for _ in range(5)]
+    out: list[list] = [[] for _ in range(6)]
     for k in np.flatnonzero(np.diff(cuts)):
         s = slice(cuts[k], cuts[k + 1])
-        for column, value in zip(out, (int(k), ids[s].tobytes(), n[s].tobytes(), h[s].tobytes(), df[s].tobytes()), strict=True):
+        start, run = _runs(cls[s])
+        for column, value in zip(out, (int(k), cls[s][start].tobytes(), n[s][start].tobytes(), run.tobytes(), h[s].tobytes(), df[s].tobytes()), strict=True):
             column.append(value)
-    kinds = (pa.int32(), *[pa.binary()] * 4)
-    return pa.table([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["home", "id", "n", "h", "df"])
+    kinds = (pa.int32(), *[pa.binary()] * 5)
+    return pa.table([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["home", "cls", "n", "run", "h", "df"])
 
 
 def gathered(table: pa.Table, percent: int) -> pa.Table:
-    """One row for each document that can have a partner."""
-    ids, n, h, df = (_joined(table, c, t) for c, t in (("id", np.int64), ("n", np.uint32), ("h", np.uint64), ("df", np.uint32)))
-    order = np.lexsort((h, df, ids))
-    ids, n, h, df = ids[order], n[order], h[order], df[order]
-    cuts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1], [True]])) if len(ids) else np.zeros(1, dtype=int)
+    """One row for each class that can have a partner."""
+    h, df = _joined(table, "h", np.uint64), _joined(table, "df", np.uint32)
+    cls, n = _owners(table)
+    order = np.lexsort((h, df, cls))
+    cls, n, h, df = cls[order], n[order], h[order], df[order]
+    start, run = _runs(cls)
     out: list[list] = [[] for _ in range(4)]
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        if b - a >= needed(int(n[a]), percent):
-            for column, value in zip(out, (int(ids[a]), int(n[a]), h[a:b].tobytes(), df[a:b].tobytes()), strict=True):
+    for a, k in zip(start.tolist(), run.tolist(), strict=True):
+        grams, freq = h[a : a + k], df[a : a + k]
+        if k > 1:
+            once = np.concatenate([[True], grams[1:] != grams[:-1]])  # hot n-grams of copies from several tasks
+            grams, freq = grams[once], freq[once]
+        if len(grams) >= needed(int(n[a]), percent):
+            for column, value in zip(out, (int(cls[a]), int(n[a]), grams.tobytes(), freq.tobytes()), strict=True):
                 column.append(value)
     kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
-    return pa.table([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["id", "n_shingles", "grams", "df"])
+    return pa.table([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["cls", "n_shingles", "grams", "df"])
 
 
 def prefix_tokens(sets: DataFrame, percent: int, levels: int) -> DataFrame:
@@ -451,14 +491,12 @@ def jaccard_components(
     rows = only(df, id_col, text_col).toDF("id", "text")
     kind = rows.schema["id"].dataType.simpleString()
     profile = written(profiles(rows, n), "profiles")
-    docs = profile.select("id", "n_shingles", "digest")
-    classes = written(docs.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("first")), "classes")
-    keyed = rows.where("id is not null").withColumn("id", F.col("id").cast("long"))
-    sets = repeated_ngrams(keyed, profile, n, percent, hot)
-    # of copies in several tasks each has its set here; the class goes on under its smallest id
-    named = docs.join(classes, "digest").select(F.col("id").cast("long"), F.col("first").cast("long"))
-    sets = sets.withColumn("id", F.col("id").cast("long")).join(named.distinct(), "id").drop("id").withColumnRenamed("first", "id")
-    sets = written(sets.dropDuplicates(["id"]), "sets")
+    docs = profile.select("id", "n_shingles", "cls", "digest")
+    classes = written(docs.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("first"), F.first("cls").alias("cls")), "classes")
+    found = repeated_ngrams(rows.where("id is not null"), profile, n, percent, hot)
+    # a class goes on under its smallest id; the profile has made the same digests
+    named = classes.select("cls", F.col("first").cast("long").alias("id"))
+    sets = written(found.join(named, "cls").select("id", "n_shingles", "grams", "df"), "sets")
 
     tokens = prefix_tokens(sets, percent, levels)
     pairs = written(candidate_pairs(tokens, small), "pairs")
@@ -476,6 +514,7 @@ def jaccard_components(
 
 def _labelled(docs: DataFrame, classes: DataFrame, labels: DataFrame, id_col: str, kind: str) -> DataFrame:
     """Each document with its class's component. Large classes (fewer than 10000) meet their rows by broadcast."""
+    docs, classes = docs.drop("cls"), classes.drop("cls")
     named = classes.join(labels, classes["first"].cast("long") == labels["node"], "left")
     named = named.select("digest", F.coalesce(F.col("component").cast(kind), F.col("first")).alias("component_id"))
     sizes = docs.where("digest is not null").groupBy("digest").count()
