@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -137,3 +138,34 @@ def features(df: DataFrame, text_col: str, label_col: str, lang_col: str | None
     base = df.agg(F.count("*").alias("n_samples"), F.count_if(labeled).alias("n_labeled"), F.floor(F.avg(F.when(~is_blank(F.col(text_col)), n_tokens(F.col(text_col))))).cast("long").alias("mean_tokens"))
     classes = imbalance(df.where(labeled), label_col).select("n_classes", F.round(F.coalesce("ratio", F.lit(0.0)), 2).alias("balance"))
     return base.join(F.broadcast(classes), F.lit(True))
+
+
+def detect_languages(df: DataFrame, text_col: str, detector, id_col: str, sample: int = 100, seed: int = 42) -> DataFrame:
+    """(value, n, share) of what detector, a Python function of a text, says about a sample of rows: those of smallest
+    hash. A report on a sample by definition; corpora that carry a language column use distribution()."""
+    rows = drop_empty(df, text_col).orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col).limit(sample)
+
+    @F.pandas_udf("string")
+    def detect(texts: pd.Series) -> pd.Series:
+        return texts.map(detector)
+
+    return distribution(rows.select(detect(text_col).alias("value")), "value", "value")
+
+
+def report_text(rows: list) -> str:
+    """A diagnostics report as lines of text, from collected (metric, value) rows."""
+    width = max((len(r["metric"]) for r in rows), default=0)
+    return "\n".join(f"{r['metric'].replace('_', ' '):<{width}}  {r['value']:,}" for r in sorted(rows, key=lambda r: r["metric"]))
+
+
+def confirm_columns(df: DataFrame, text_col: str, label_col: str | None = None) -> DataFrame:
+    """(check, value): fewer than two distinct texts or labels, and labels out of balance."""
+    base = df.agg(F.countDistinct(text_col).alias("texts"), F.countDistinct(label_col if label_col else F.lit(None)).alias("labels"))
+    issues = [F.when(F.col("texts") < 2, F.struct(F.lit("one_text").alias("check"), F.col("texts").cast("double").alias("value")))]
+    if label_col:
+        issues.append(F.when(F.col("labels") < 2, F.struct(F.lit("one_label").alias("check"), F.col("labels").cast("double").alias("value"))))
+    out = base.select(F.explode(F.array_compact(F.array(*issues))).alias("i")).select("i.*")
+    if label_col:
+        ratio = imbalance(df, label_col).where("n_classes >= 2 and ratio > 5").select(F.lit("imbalance").alias("check"), F.col("ratio").alias("value"))
+        out = out.unionByName(ratio)
+    return out

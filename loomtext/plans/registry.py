@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, n_tokens
-from ..operators import advise, agreement, completion, consensus, pii, profile, review, segment, tfidf
+from ..operators import advise, agreement, completion, consensus, methods, pii, profile, prompting, review, segment, tfidf, training
 from ..sources import io
 from . import inputs
 from .inputs import table, with_inputs
@@ -652,3 +652,108 @@ def r2_distributions(spark, d):
 @query("r3_histogram", "SELECT least(floor(confidence * 20), 19)::INT AS bin, count(*) AS n FROM codings GROUP BY 1", "codings")
 def r3_histogram(spark, d):
     return consensus.confidence_histogram(inputs.codings(spark, d), "confidence")
+
+
+# reports of several operators
+
+
+@query("c7_confirm", """WITH c AS (SELECT max(n) / min(n) AS r FROM (SELECT count(*) AS n FROM labelled GROUP BY quality)), l AS (SELECT count(DISTINCT quality) AS k FROM labelled)
+    SELECT 'imbalance' AS "check", r AS value FROM c WHERE r > 5 UNION ALL SELECT 'one_label', k::DOUBLE FROM l WHERE k < 2""", "labelled")
+def c7_confirm(spark, d):
+    return profile.confirm_columns(inputs.labelled(spark, d), "text", "quality")
+
+
+@query("c10_bridge", "SELECT text FROM turns WHERE k % 2 = 0", "turns")
+def c10_bridge(spark, d):
+    segments = segment.segment(inputs.transcripts(spark, d)).where("segment_id % 2 = 0")
+    return segments.select("text")
+
+
+@query("d5_report", f"""WITH p AS (SELECT a AS x, b AS y FROM coders_wide), {_MARGINS},
+    s AS (SELECT sum(tp) / max(n) AS po, sum(r * c) / (max(n)::DOUBLE * max(n)) AS pe FROM m, n)
+    SELECT 'kappa' AS metric, round({_KAPPA}, 4)::DOUBLE AS value FROM s UNION ALL SELECT 'specific:' || label, round(tp / (r + c - tp), 4)::DOUBLE FROM m""", "coders_wide")
+def d5_report(spark, d):
+    margins = agreement.label_margins(agreement.pair_counts(inputs.coders_wide(spark, d), "a", "b"))
+    kappa = agreement.kappa_of(margins).select(F.lit("kappa").alias("metric"), F.col("kappa").alias("value"))
+    return kappa.unionByName(agreement.per_category(margins).select(F.concat(F.lit("specific:"), "category").alias("metric"), F.col("specific").alias("value")))
+
+
+@query("d7_multilabel", f"""WITH {_SETS}, z AS (SELECT a.item_id, x, y, list_intersect(x, y) AS w FROM s a),
+    j AS (SELECT 'x' AS coder_a, 'y' AS coder_b, x AS p, y AS q FROM z UNION ALL SELECT 'x', 'z', x, w FROM z UNION ALL SELECT 'y', 'z', y, w FROM z)
+    SELECT coder_a, coder_b, round(avg(CASE WHEN len(p) + len(q) = 0 THEN 1.0 ELSE len(list_intersect(p, q)) / len(list_distinct(list_concat(p, q))) END), 4)::DOUBLE AS jaccard FROM j GROUP BY ALL""", "theme_long")
+def d7_multilabel(spark, d):
+    sets = inputs.theme_sets(spark, d).withColumn("z", F.array_intersect("x", "y"))
+    pair = lambda a, b: F.struct(F.lit(a).alias("coder_a"), F.lit(b).alias("coder_b"), F.col(a).alias("p"), F.col(b).alias("q"))
+    long = sets.select(F.explode(F.array(pair("x", "y"), pair("x", "z"), pair("y", "z"))).alias("v")).select("v.*")
+    return agreement.mean_jaccard(long, "p", "q", ("coder_a", "coder_b")).select("coder_a", "coder_b", "jaccard")
+
+
+@query("e6_languages", "SELECT count(DISTINCT lang)::INT AS n_languages FROM documents")
+def e6_languages(spark, d):
+    found = profile.distribution(_docs(spark, d), "lang")
+    return found.agg(F.count("*").cast("int").alias("n_languages"))
+
+
+@query("e6_detected")
+def e6_detected(spark, d):
+    return profile.detect_languages(_docs(spark, d), "text", lambda t: "en" if " the " in t else "other", "doc_id")
+
+
+@query("e11_report")
+def e11_report(spark, d):
+    rows = profile.diagnostics(_docs(spark, d), "text", "lang").collect()
+    return spark.createDataFrame([(profile.report_text(rows),)], "report string")
+
+
+@query("f6_interval")
+def f6_interval(spark, d):
+    low, high = advise.bootstrap_interval(spark, advise.PRIORS["simple_binary"], 0.8)
+    return spark.createDataFrame([(low, high)], "low long, high long")
+
+
+@query("j14_variants", "SELECT 0 AS k, 'Judge {text}' AS template UNION ALL SELECT 1, 'Weigh {text}'")
+def j14_variants(spark, d):
+    made = prompting.generate_variants(completion.TableProvider({"Judge": "Weigh {text}"}), "Judge {text}")
+    return spark.createDataFrame(list(enumerate(made)), "k int, template string")
+
+
+@query("j20_questions", "SELECT 'RQ1' AS rq_id, 'How?' AS description, ['a', 'b', 'c'] AS sub_themes UNION ALL SELECT 'RQ2', 'Why?', []")
+def j20_questions(spark, d):
+    return prompting.questions_table(spark, prompting.parse_questions("RQ1: How?\n- a, b\n- c\n\nRQ2：Why?"))
+
+
+@query("j21_local_classifier")
+def j21_local_classifier(spark, d):
+    rows = inputs.labelled(spark, d).select("doc_id", "text", F.col("toxic").cast("string").alias("label"))
+    fit, held = training.stratified_split(rows, "label", "doc_id")
+    found = training.predict(training.train(fit, "text", "label"), held, "text", "label")
+    return agreement.evaluate(agreement.label_margins(agreement.pair_counts(found, "label", "predicted"))).drop("tp")
+
+
+@query("k4_coders", """SELECT doc_id AS item_id, count(*) AS votes FROM (SELECT doc_id FROM documents WHERE contains(text, ' the ') UNION ALL SELECT doc_id FROM documents WHERE contains(text, ' of ')) GROUP BY 1""")
+def k4_coders(spark, d):
+    said = '{"themes": [{"name": "english", "confidence": 0.9}]}'
+    coders = {"a": completion.TableProvider({" the ": said}), "b": completion.TableProvider({" of ": said})}
+    docs = _docs(spark, d).select(F.col("doc_id").alias("item_id"), "text")
+    found = prompting.code_by_all(docs, coders, [{"name": "english", "description": ""}])
+    return consensus.votes(found).select("item_id", "votes")
+
+
+@query("l4_export", """SELECT item_id, theme, action, CASE action WHEN 'edited' THEN value ELSE theme END AS final FROM (
+    SELECT c.item_id, theme, value, CASE WHEN l.action IS NULL THEN 'pending' ELSE l.action END AS action FROM coded c LEFT JOIN last_log l USING (item_id)) WHERE action <> 'rejected'""", "coded last_log")
+def l4_export(spark, d):
+    return review.reviewed(k1_votes(spark, d), inputs.action_log(spark, d), ["item_id"], "theme").where("action <> 'rejected'").select("item_id", "theme", "action", "final")
+
+
+@query("m2_wide", """WITH t AS (SELECT unnest(['common', 'question', 'digits', 'long']) AS theme_a), p AS (SELECT a.theme AS theme_a, b.theme AS b, count(*) AS n FROM coded a JOIN coded b USING (item_id) GROUP BY ALL)
+    SELECT theme_a, coalesce(sum(n) FILTER (b = 'common'), 0)::BIGINT AS common, coalesce(sum(n) FILTER (b = 'question'), 0)::BIGINT AS question, coalesce(sum(n) FILTER (b = 'digits'), 0)::BIGINT AS digits,
+    coalesce(sum(n) FILTER (b = 'long'), 0)::BIGINT AS "long" FROM t LEFT JOIN p USING (theme_a) GROUP BY 1""", "coded")
+def m2_wide(spark, d):
+    return consensus.cooccurrence_wide(k1_votes(spark, d), list(inputs.THEMES))
+
+
+@query("n1_methods")
+def n1_methods(spark, d):
+    summary = d9_summary(spark, d).first()
+    log = {"pipeline": "quantitative", "n_samples": summary["n"], "accuracy": summary["accuracy"], "macro_f1": summary["macro_f1"]}
+    return spark.createDataFrame([(lang, methods.methods_text(log, lang)) for lang in ("en", "zh")], "language string, text string")
