@@ -3,7 +3,7 @@
 The lexicon is learned from labelled rows: terms, and stems (the first 4 to 8 letters of words, whatever follows),
 whose documents are labelled toxic far more often than others. Each distinct word of a text becomes a bit-parallel
 Levenshtein automaton that walks the lexicon's trie, so misspelled terms are found (one error from 5 letters on, two
-from 9 on). Around each hit a window of words is searched for quotation marks that enclose it, words of reporting that
+from 12 on). Around each hit a window of words is searched for quotation marks that enclose it, words of reporting that
 the labels teach nothing about aside, and for further hits; hits inside and outside quotations, exact and misspelled,
 are separate features. A logistic regression, fitted in numpy by Newton steps, turns them into a score.
 
@@ -21,6 +21,7 @@ result.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -62,7 +63,7 @@ class LexiconTrie:
 
     @staticmethod
     def errors(length: int) -> int:
-        return 0 if length < 5 else 1 if length < 9 else 2
+        return 0 if length < 5 else 1 if length < 12 else 2
 
     def match(self, word: str) -> tuple[int, int] | None:
         """(number of the term, errors): the nearest term, of equal ones the first; None if there is none."""
@@ -106,10 +107,12 @@ def features(text: str | None, matches, weights, window: int) -> list[float]:
     if not any(matches[w] for w in set(WORD.findall(low))):
         return out
     quoted = [m.span() for m in _QUOTED.finditer(low)]
+    starts = [a for a, _ in quoted]
     hits = []
     for k, m in enumerate(WORD.finditer(low)):
         if found := matches[m[0]]:
-            inside = any(a < m.start() and m.end() < b for a, b in quoted)
+            at = bisect_right(starts, m.start()) - 1
+            inside = at >= 0 and m.end() < quoted[at][1]
             hits.append((k, found[0], found[1], inside))
     for n, (k, term, wrong, inside) in enumerate(hits):
         out[2 * bool(wrong) + inside] += 1
@@ -147,9 +150,9 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.concat(F.filter(words, lambda w: w != ""), *[stems(n) for n in STEMS]))
 
 
-def learn_lexicon(labelled: DataFrame, *, min_share: float = 0.3, evidence: float = 14.0, max_terms: int = 2000) -> list[tuple[str, float]]:
+def learn_lexicon(labelled: DataFrame, *, min_share: float = 0.5, evidence: float = 20.0, max_terms: int = 500) -> list[tuple[str, float]]:
     """(term, log odds ratio): terms of which min_share of the documents are toxic, where this has a log-likelihood ratio of
-    evidence against the share of all documents (14: one chance in a million). labelled: (text, toxic), bounded.
+    evidence against the share of all documents (20: one chance in some hundred millions). labelled: (text, toxic), bounded.
     The best supported terms come first; what a stem among them covers is left out."""
     toxic, total = labelled.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
     if not 0 < toxic < total:
