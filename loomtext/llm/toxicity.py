@@ -51,7 +51,7 @@ class LexiconTrie:
     """terms: whole words, or stems written with a closing asterisk."""
 
     def __init__(self, terms: list[str]):
-        self.terms, self.root = terms, _Node()
+        self.terms, self.root, self.patterns = terms, _Node(), {}
         for k, term in enumerate(terms):
             node = self.root
             for c in term.removesuffix("*"):
@@ -65,9 +65,28 @@ class LexiconTrie:
     def errors(length: int) -> int:
         return 0 if length < 5 else 1 if length < 12 else 2
 
+    def possible(self, n: int) -> re.Pattern | None:
+        """A pattern that every word of n letters near a term fits. Of a term cut into one more piece than the errors
+        it may have, one piece at least is whole in the word, shifted by no more letters than errors."""
+        if n not in self.patterns:
+            parts = set()
+            for term in self.terms:
+                bare = term.removesuffix("*")
+                most = min(self.errors(n), self.errors(len(bare)))
+                if n < len(bare) - most or not term.endswith("*") and n > len(bare) + most:
+                    continue
+                cuts = [len(bare) * k // (most + 1) for k in range(most + 2)]
+                for a, b in zip(cuts, cuts[1:]):
+                    parts.add(f".{{{max(0, a - most)},{a + most}}}{re.escape(bare[a:b])}" if most else re.escape(bare))
+            self.patterns[n] = re.compile("|".join(sorted(parts)), re.S) if parts else None
+        return self.patterns[n]
+
     def match(self, word: str) -> tuple[int, int] | None:
         """(number of the term, errors): the nearest term, of equal ones the first; None if there is none."""
         n = len(word)
+        possible = self.possible(n)
+        if possible is None or not possible.match(word):
+            return None
         most = self.errors(n)
         masks: dict[str, int] = {}
         for i, c in enumerate(word):
