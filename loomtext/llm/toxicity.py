@@ -30,7 +30,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import _Cache
 from .common import only, written
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -116,20 +115,47 @@ class LexiconTrie:
         return best and (best[1], best[0])
 
 
-def features(text: str | None, matches, weights, window: int) -> list[float]:
+class Matcher:
+    """Hits of words, remembered: those near a term, and up to ``most`` words that are near none."""
+
+    def __init__(self, terms: list[str], most: int = 1_000_000):
+        self.trie, self.most, self.near, self.clean = LexiconTrie(terms), most, {}, set()
+
+    def any_in(self, words: set[str]) -> bool:
+        """Whether one of the words is near a term; all of them are known afterwards."""
+        found = False
+        for word in words - self.clean:
+            hit = self.near.get(word) or self.trie.match(word)
+            if hit:
+                self.near[word] = hit
+                found = True
+            else:
+                self.clean.add(word)
+        return found
+
+    def forget(self) -> None:
+        if len(self.clean) > self.most:
+            self.clean = set()
+        if len(self.near) > self.most:
+            self.near = {}
+
+
+def features(text: str | None, matches: Matcher, weights, window: int) -> list[float]:
     """Exact hits outside and inside quotations, misspelled ones likewise, the strongest term, hits that have company,
     and all terms together."""
     out = [0.0] * FEATURES
     if not text:
         return out
     low = text.lower()
-    if not any(matches[w] for w in set(WORD.findall(low))):
+    matches.forget()
+    if not matches.any_in(set(WORD.findall(low))):
         return out
+    near = matches.near
     quoted = [m.span() for m in _QUOTED.finditer(low)]
     starts = [a for a, _ in quoted]
     hits = []
     for k, m in enumerate(WORD.finditer(low)):
-        if found := matches[m[0]]:
+        if found := near.get(m[0]):
             at = bisect_right(starts, m.start()) - 1
             inside = at >= 0 and m.end() < quoted[at][1]
             hits.append((k, found[0], found[1], inside))
@@ -137,8 +163,8 @@ def features(text: str | None, matches, weights, window: int) -> list[float]:
         out[2 * bool(wrong) + inside] += 1
         if not inside and not wrong:
             out[4] = max(out[4], weights[term])
-        near = [h for h in hits[max(0, n - 1) : n + 2] if h[0] != k and abs(h[0] - k) <= window]
-        out[5] += bool(near) and not inside
+        company = [h for h in hits[max(0, n - 1) : n + 2] if h[0] != k and abs(h[0] - k) <= window]
+        out[5] += bool(company) and not inside
     out[6] = sum(weights[term] for term in {term for _, term, wrong, inside in hits if not inside and not wrong})
     return [float(np.log1p(x)) if i < 4 or i == 5 else x for i, x in enumerate(out)]
 
@@ -154,11 +180,6 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(rows @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
-def matcher(terms: list[str]) -> _Cache:
-    trie = LexiconTrie(terms)
-    return _Cache(lambda word: trie.match(word) or (), 400_000)
-
-
 def _terms(text: Column) -> Column:
     """Each distinct word of the text and its stems."""
     words = F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+"))
@@ -240,7 +261,7 @@ def _featured(rows: DataFrame, terms: list[str], odds: list[float], window: int)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, odds = shared.value
-        matches = matcher(terms)
+        matches = Matcher(terms)
         for batch in batches:
             f = [features(text.as_py(), matches, odds, window) for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f, pa.list_(pa.float64()))], names=[first, "f"])
@@ -263,7 +284,7 @@ def without_toxic(documents: DataFrame, model: ToxicityModel, *, text_col: str =
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        matches = matcher(known.terms)
+        matches = Matcher(known.terms)
         for batch in batches:
             if batch.num_rows:
                 f = np.array([features(text.as_py(), matches, known.odds, known.window) for text in batch.column(at)])
