@@ -46,7 +46,7 @@ def test_automaton_brute_force(seed):
 
 
 def test_quotation_is_apart():
-    matches = tox.matcher(["stupid", "moron"])
+    matches = tox.Matcher(["stupid", "moron"])
     plain, quoted = (tox.features(t, matches, [3.0, 2.0], 8) for t in ("you stupid moron", 'he wrote "you stupid moron" then'))
     assert plain[0] > 0 and plain[1] == 0 and plain[5] > 0 and quoted[0] == 0 and quoted[1] > 0 and quoted[4] == 0
     assert tox.features("you stupif one", matches, [3.0, 2.0], 8)[2] > 0
