@@ -366,11 +366,19 @@ def f8_curve_table(spark, d):
 
 
 def _session(spark, d):
-    items = inputs.items(spark, d).where("item_id < 200").select(F.lit("s").alias("session"), F.col("item_id").alias("item"), F.lit(None).cast("string").alias("label"))
+    """A session of each user (ids from 0): the documents dealt to it, and all its events. An event that acts on an item opens it
+    first, so no action meets the end of the items."""
+    users = table(spark, d, "events").agg(F.greatest(F.countDistinct("user_id"), F.lit(1)).alias("users"))
+    session = lambda c: F.pmod(F.col(c), "users").cast("string").alias("session")
+    items = inputs.items(spark, d).join(F.broadcast(users), F.lit(True)).select(session("item_id"), F.col("item_id").alias("item"), F.lit(None).cast("string").alias("label"))
     e = F.col("event_id")
     name = F.element_at(F.array(*[F.lit(x) for x in ("annotate", "skip", "annotate", "flag", "undo", "annotate", "goto")]), (e % 7 + 1).cast("int"))
-    log = table(spark, d, "events").where("event_id < 150").select(F.lit("s").alias("session"), e.alias("seq"), name.alias("action"), (e * 13 % 200).alias("target"), F.concat(F.lit("L"), e % 3).alias("label"), F.lit("").alias("note"))
-    return items, log
+    events = table(spark, d, "events").join(F.broadcast(users), F.lit(True)).select(session("user_id"), e, name.alias("name"))
+    events = events.join(items.groupBy("session").agg(F.count("*").alias("n_items")), "session", "left")
+    steps = F.when(F.col("name").isin("undo", "goto"), F.array("name")).otherwise(F.array(F.lit("goto"), "name"))
+    log = events.select("session", e, "n_items", F.posexplode(steps).alias("k", "action"))
+    target = F.coalesce(e * 13 % F.col("n_items"), F.lit(-1).cast("long"))
+    return items, log.select("session", (2 * e + F.col("k")).alias("seq"), "action", target.alias("target"), F.concat(F.lit("L"), e % 3).alias("label"), F.lit("").alias("note"))
 
 
 @query("g1_g4_annotations")
@@ -522,8 +530,8 @@ def j15_variants(spark, d):
 
 @query("j16_examples")
 def j16_examples(spark, d):
-    rows = table(spark, d, "benchmark").withColumn("label", F.when(F.col("item_id") % 2 == 0, "even").otherwise("odd"))
-    return tfidf.select_examples(rows, "item_id", "text", "label", 3)
+    rows = _docs(spark, d).withColumn("label", F.when(F.col("doc_id") % 2 == 0, "even").otherwise("odd"))
+    return tfidf.select_examples(rows, "doc_id", "text", "label", 3)
 
 
 @query("j17_j18_coding", """SELECT doc_id AS item_id, CASE doc_id % 3 WHEN 0 THEN 'Work' WHEN 1 THEN 'Family life' END AS theme, least(1.0, round((doc_id % 13) / 10.0, 3))::DOUBLE AS confidence, 'because' AS reasoning, 'x' AS evidence
@@ -627,7 +635,7 @@ def p1_tfidf(spark, d):
 
 @query("p2_themes")
 def p2_themes(spark, d):
-    return tfidf.suggest_themes(table(spark, d, "benchmark"), "item_id", "text")
+    return tfidf.suggest_themes(_docs(spark, d), "doc_id", "text")
 
 
 @query("p4_overlap", f"""WITH src AS (SELECT item_id AS id, text FROM benchmark), {_WEIGHTS} SELECT * FROM (SELECT a.id AS a, b.id AS b, round(100 * sum(a.weight * b.weight), 1)::DOUBLE AS overlap FROM weights a JOIN weights b USING (term) WHERE a.id < b.id GROUP BY ALL) WHERE overlap > 10""")
