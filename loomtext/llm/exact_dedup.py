@@ -14,7 +14,8 @@ has a fixed size (``filter_bits``): where it fills up, more texts are compared,
 
 Defined cases: a null text counts as empty; empty texts are equal to each other. Of equal texts the row with the
 largest (or smallest) id stays. Rows that repeat an id are each returned and counted, and are kept together. An empty
-table gives an empty result; extra columns are ignored. Texts that share a digest but not their bytes (only possible
+table gives an empty result; extra columns are ignored. A row with a null id is counted in its group and isn't the one
+that stays while another has an id; of a group without ids keep_id is null, and so is kept. Texts that share a digest but not their bytes (only possible
 with a weak ``digest``) are grouped again by their bytes.
 """
 
@@ -117,8 +118,8 @@ def exact_dedup(
 def with_group(rows: DataFrame, groups: DataFrame, hot: int = HOT) -> DataFrame:
     """rows with the keep_id and n of their digest. rows is a written table, so counting it reads no data."""
     least = rows.count() // hot
-    large = groups.where(F.col("n") > least).select("digest", F.col("keep_id").alias("hot_id"), F.col("n").alias("hot_n"))
+    large = groups.where(F.col("n") > least).select("digest", F.col("keep_id").alias("hot_id"), F.col("n").alias("hot_n"))  # hot_n is never null
     marked = rows.join(F.broadcast(large), "digest", "left")
-    by_hot = marked.where("hot_id is not null").withColumnRenamed("hot_id", "keep_id").withColumnRenamed("hot_n", "n")
-    by_rest = marked.where("hot_id is null").drop("hot_id", "hot_n").join(groups.where(F.col("n") <= least), "digest")
+    by_hot = marked.where("hot_n is not null").withColumnRenamed("hot_id", "keep_id").withColumnRenamed("hot_n", "n")
+    by_rest = marked.where("hot_n is null").drop("hot_id", "hot_n").join(groups.where(F.col("n") <= least), "digest")
     return by_hot.unionByName(by_rest)

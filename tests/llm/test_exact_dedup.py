@@ -50,3 +50,11 @@ def test_runs_compact(spark):
     kept = index.filter(level.where("n > 1"))
     probe = spark.createDataFrame([(1, b"\x01"), (2, b"\x00"), (3, b"\x07")], "id long, digest binary")
     assert 1 in {r["id"] for r in index.maybe(probe, kept).collect()}
+
+
+@pytest.mark.parametrize("hot", [1, 1_000_000])
+def test_null_ids(spark, hot):
+    rows_in = [(None, "x"), (None, "x"), (None, "y"), (None, "z"), (3, "z"), (4, "w")]
+    found = exact_dedup(spark.createDataFrame(rows_in, "doc_id long, text string"), hot=hot).collect()
+    got = sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in found), key=str)
+    assert got == sorted([(None, None, 2, None), (None, None, 2, None), (None, None, 1, None), (None, 3, 2, None), (3, 3, 2, True), (4, 4, 1, True)], key=str)
