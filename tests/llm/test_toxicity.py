@@ -77,3 +77,15 @@ def test_edges(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     unlabelled = tox.fit(docs(spark, texts), none)
     assert all(s < 0.01 for _, s in rows(tox.score(docs(spark, texts), unlabelled), "doc_id", "score"))
+
+
+def test_two_errors_from_nine_letters():
+    trie = tox.LexiconTrie(["worthless", "disgusting"])
+    assert trie.match("worthelss") == (0, 2) and trie.match("disgutsing") == (1, 2) and trie.match("wrothelss") is None
+
+
+def test_bound_follows_merging(spark):
+    """Stems of the words that come first don't use up the terms."""
+    texts = [(1, "abominable one")] * 30 + [(1, "zz")] * 12 + [(0, "plain text")] * 400
+    found = tox.learn_lexicon(spark.createDataFrame(texts, "toxic int, text string"), max_terms=3)
+    assert "zz" in [t for t, _ in found]
