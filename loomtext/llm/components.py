@@ -8,24 +8,36 @@ from pyspark.sql import functions as F
 from .common import written
 
 
-def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame) -> DataFrame:
     """links: (a, b). (node, component) for each node that has a link; component is the smallest node reachable.
 
-    Each round takes the smallest label among neighbours and then jumps to the label's label, so that chains shorten
-    by half or better. Every round is a written table; aggregation is partial before each shuffle. Raises if the
-    rounds don't suffice, and never returns labels that haven't settled.
+    Alternates large stars (each node links its larger neighbours to its smallest one) and small stars (it links itself
+    and its smaller neighbours to the smallest), which keep what is connected and shorten chains whatever the order of
+    their ids, until only stars around the smallest nodes are left. Every round is two written tables; aggregation is
+    partial before each shuffle.
     """
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b")
-    both = written(both.distinct(), "links")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
-    for _ in range(rounds):
-        heard = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("heard"))
-        nearer = labels.join(heard, labels["node"] == heard["a"]).select("node", F.col("component").alias("old"), F.least("component", "heard").alias("new"))
-        nearer = written(nearer, "nearer")
-        jump = nearer.select(F.col("node").alias("at"), F.col("new").alias("far"))
-        moved = nearer.join(jump, nearer["new"] == jump["at"], "left")
-        moved = written(moved.select("node", "old", F.coalesce("far", "new").alias("component")), "labels")
-        labels = moved.select("node", "component")
-        if moved.where("old != component").isEmpty():
-            return labels
-    raise RuntimeError(f"components haven't settled after {rounds} rounds")
+    edges = links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    edges = written(edges.distinct(), "links")
+    while not _stars(edges):
+        edges = written(_small_star(written(_large_star(edges), "large")), "small")
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def _large_star(edges: DataFrame) -> DataFrame:
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")).withColumnRenamed("a", "at")
+    return both.where("b > a").join(least, F.col("a") == F.col("at")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """edges: (a, b), a > b."""
+    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    others = edges.join(least.withColumnRenamed("a", "at"), F.col("a") == F.col("at")).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return others.unionByName(least.withColumnRenamed("m", "b")).distinct()
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether each larger node has one link, to a node that has none to a smaller one."""
+    if not edges.groupBy("a").count().where("count > 1").isEmpty():
+        return False
+    return edges.join(edges.select(F.col("a").alias("larger")), F.col("b") == F.col("larger"), "left_semi").isEmpty()

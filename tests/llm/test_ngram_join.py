@@ -86,3 +86,10 @@ def test_components_of_chains(spark):
     links = [(a, b) for a, b in zip(order[:99], order[1:100], strict=True)] + [(a, b) for a, b in zip(order[100:-1], order[101:], strict=True)] + [(5, 5)]
     found = dict(rows(connected_components(spark.createDataFrame(links, "a long, b long")), "node", "component"))
     assert {found[x] for x in order[:100]} == {min(order[:100])} and {found[x] for x in order[100:]} == {min(order[100:])}
+
+
+def test_components_of_a_long_chain(spark):
+    order = list(range(2000))
+    random.Random(1).shuffle(order)
+    links = spark.createDataFrame(list(zip(order[:-1], order[1:], strict=True)), "a long, b long")
+    assert rows(connected_components(links), "node", "component") == [(x, 0) for x in range(2000)]
