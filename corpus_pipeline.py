@@ -23,7 +23,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines whose template recurs across documents go from all but the first; documents of nothing else go."""
-    found = line_dedup.line_dedup(docs)
+    found = line_dedup.line_dedup(docs, min_docs=2)
     empty = (F.col("n_dropped") > 0) & (F.trim(F.regexp_replace("text", r"\s+", " ")) == "")
     found = found.where(~F.coalesce(empty, F.lit(False))).withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return found.select(*docs.columns)
