@@ -9,7 +9,8 @@ the ByteLevel pre-tokenizer); added tokens in a text are cut out first, as that
 Speed comes from not merging a word twice: texts are cut at spaces, and a bounded two-generation cache holds the ids
 of each piece with its leading space, as bytes. A cut there never changes the words unless white space meets white
 space; texts where it does are cut by the pattern as a whole. Each executor process builds the encoder once; its memory
-is bounded by the vocabulary and ``CACHE`` entries. Nothing shuffles; a lost task is encoded again.
+is bounded by the vocabulary and two caches of ``CACHE`` bytes each, which hold no word above ``LONG`` characters. Nothing
+shuffles; a lost task is encoded again.
 
 Defined cases: a null text counts as empty and has no ids; an empty text decodes to the empty text; white space only,
 control characters and any Unicode text round-trip; repeated rows are each returned; extra columns are ignored.
@@ -29,11 +30,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import only
+from .common import lean, only
 
 #: Fixed value: the pattern that cuts texts into words before byte-level merges, as the vocabularies were made with.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE = 600_000
+CACHE = 64 << 20
+LONG = 256
 
 
 def byte_symbols() -> list[str]:
@@ -44,26 +46,28 @@ def byte_symbols() -> list[str]:
 
 
 class _Cache(dict):
-    """A dict that fills itself; when full, the older generation goes and the younger becomes the older."""
+    """A dict of words that fills itself, of about so many bytes; when full, the older generation goes and the younger
+    becomes the older. What is longer than ``LONG`` characters isn't held."""
 
     def __init__(self, make, size: int = CACHE):
         super().__init__()
-        self.make, self.size, self.old = make, size // 2, {}
+        self.make, self.size, self.old, self.held = make, size // 2, {}, 0
 
     def __missing__(self, key):
         value = self.old.get(key, self)
         if value is self:
             value = self.make(key)
-        if len(self) >= self.size:
-            self.old = dict(self)
-            self.clear()
-        if value is not None:
+        if value is not None and len(key) <= LONG:
+            self.held += 200 + 2 * len(key) + len(value)  # two objects, their entry, and their contents
+            if self.held > self.size:
+                self.old, self.held = dict(self), 0
+                self.clear()
             self[key] = value
         return value
 
 
 class BpeCodec:
-    def __init__(self, path: str, cache: int = CACHE, library: bool = False):
+    def __init__(self, path: str, cache: int = CACHE):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, pre = spec["model"], spec["pre_tokenizer"] or {}
@@ -84,7 +88,6 @@ class BpeCodec:
         self.added = {x["content"]: x["id"] for x in spec.get("added_tokens", ())}
         self.strings |= {i: s.encode() for s, i in self.added.items()}
         self.added_pattern = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
-        self.library = self._library() if library else None
         self.words = regex.compile(PATTERN.replace(r"^\s", r"^\p{White_Space}").replace(r"\s+", r"\p{White_Space}+").replace(r"\S", r"\P{White_Space}"))
         self.word_ids = _Cache(self._merge_word, cache)
         self.piece_ids = _Cache(self._piece, cache)
@@ -116,19 +119,7 @@ class BpeCodec:
                 heappush(heap, rank << 32 | h)
         return [s for s in symbols if s >= 0]
 
-    def _library(self):
-        """tiktoken over the same vocabulary: for callers that want the ids and not this module's merging."""
-        import tiktoken
-
-        if any(a >= b for a, b in zip(self.made, self.made[1:])):
-            raise ValueError("the vocabulary's ids don't follow the ranks of its merges")
-        ranks = {s: i for i, s in self.strings.items() if i not in self.added.values()}
-        return tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-
     def _merge_word(self, word: str) -> bytes:
-        if self.library:
-            found = self.library(word)
-            return pack(f"<{len(found)}I", *found)
         ids = self.byte_ids
         merged = self.merge([ids[b] for b in word.encode("utf-8", "surrogatepass")])
         return pack(f"<{len(merged)}I", *merged)
@@ -167,9 +158,47 @@ class BpeCodec:
 
 
 @functools.cache
-def codec(path: str, library: bool = False) -> BpeCodec:
+def codec(path: str) -> BpeCodec:
     """One codec in each process for each vocabulary."""
-    return BpeCodec(path, library=library)
+    return BpeCodec(path)
+
+
+class LibraryEncoder:
+    """Ids of whole texts from a library over the same vocabulary, for callers that want the ids and not this module's
+    merging: about twice as fast, and without caches. Long runs of white space, which exhaust that library's stack, are
+    merged here."""
+
+    RUN = re.compile(r"\s{5000}")
+
+    #: Fixed value: PATTERN in the form of possessive repeats, which match the same.
+    PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
+
+    def __init__(self, path: str):
+        import tiktoken
+
+        self.own = own = codec(path)
+        if any(a >= b for a, b in zip(own.made, own.made[1:])):
+            raise ValueError("the vocabulary's ids don't follow the ranks of its merges")
+        ranks = {s: i for i, s in own.strings.items() if i not in own.added.values()}
+        self.of = tiktoken.Encoding("own", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.added, self.added_pattern = own.added, own.added_pattern
+
+    def encode(self, text: str) -> list[int]:
+        if len(text) > 5000 and self.RUN.search(text):
+            return memoryview(self.own.encode(text)).cast("I").tolist()
+        if self.added_pattern is None or not self.added_pattern.search(text):
+            return self.of(text)
+        out, at = [], 0
+        for m in self.added_pattern.finditer(text):
+            out += [*self.of(text[at : m.start()]), self.added[m[0]]]
+            at = m.end()
+        return out + self.of(text[at:])
+
+
+@functools.cache
+def library_encoder(path: str) -> LibraryEncoder:
+    """One encoder in each process for each vocabulary."""
+    return LibraryEncoder(path)
 
 
 def bpe_digests(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -189,7 +218,7 @@ def bpe_digests(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: s
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(decoded_hex, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return rows.mapInArrow(walk, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(lean(walk), f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -203,7 +232,7 @@ def encode(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str =
             ids = [memoryview(bpe.encode(text.as_py() or "")).cast("I").tolist() for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[id_col, "ids"])
 
-    return rows.mapInArrow(walk, f"`{id_col}` {kind}, ids array<int>")
+    return rows.mapInArrow(lean(walk), f"`{id_col}` {kind}, ids array<int>")
 
 
 def decode(df: DataFrame, path: str, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -217,4 +246,4 @@ def decode(df: DataFrame, path: str, *, id_col: str = "doc_id", ids_col: str = "
             texts = [bpe.decode(pack(f"<{len(ids)}I", *ids)) for ids in (x.as_py() or [] for x in batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[id_col, "text"])
 
-    return rows.mapInArrow(walk, f"`{id_col}` {kind}, text string")
+    return rows.mapInArrow(lean(walk), f"`{id_col}` {kind}, text string")

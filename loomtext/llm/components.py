@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import deleted, written
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -19,7 +19,10 @@ def connected_components(links: DataFrame) -> DataFrame:
     edges = links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     edges = written(edges.distinct(), "links")
     while not _stars(edges):
-        edges = written(_small_star(written(_large_star(edges), "large")), "small")
+        large = written(_large_star(edges), "large")
+        small = written(_small_star(large), "small")
+        deleted(edges, large)
+        edges = small
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 

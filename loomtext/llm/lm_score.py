@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, written
+from .common import lean, only, written
 
 
 @dataclass
@@ -73,7 +73,7 @@ def count_words(df: DataFrame, text_col: str = "text") -> DataFrame:
                     counts = Counter()
         yield from _counted(counts)
 
-    return df.select(text_col).mapInArrow(walk, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return df.select(text_col).mapInArrow(lean(walk), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _counted(counts) -> Iterator[pa.RecordBatch]:
@@ -136,9 +136,9 @@ def window_counts(df: DataFrame, classes: Classes, text_col: str = "text") -> np
         if total:
             yield _slices(total, 0)
 
-    rows = df.select(text_col).mapInArrow(walk, "l int, part int, blob binary")
+    rows = df.select(text_col).mapInArrow(lean(walk), "l int, part int, blob binary")
     for keys in (["l", "part"], ["l"]):
-        rows = rows.repartition(16, *keys).mapInArrow(add, "l int, part int, blob binary")
+        rows = rows.repartition(16, *keys).mapInArrow(lean(add), "l int, part int, blob binary")
     out = np.zeros((size, size**2), dtype=np.int64)
     for r in rows.collect():
         out[r["l"]] += unpacked(bytes(r["blob"]), size**2)
@@ -258,4 +258,4 @@ def score(df: DataFrame, model: LmModel, *, id_col: str = "doc_id", text_col: st
                 names=[id_col, "n_tokens", "log_likelihood", "per_token"],
             )
 
-    return rows.mapInArrow(walk, f"`{id_col}` {kind}, n_tokens long, log_likelihood double, per_token double")
+    return rows.mapInArrow(lean(walk), f"`{id_col}` {kind}, n_tokens long, log_likelihood double, per_token double")

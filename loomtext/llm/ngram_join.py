@@ -1,6 +1,7 @@
 """N-gram Jaccard join with adaptive multi-match prefixes.
 
-A text's set is that of its distinct word n-grams (as 64-bit hashes). Two sets link when their Jaccard similarity
+A text's set is that of its distinct word n-grams, as hashes of 64 bits, of which 48 and the number of the bucket are
+compared (see ``_narrow``); nothing else is approximate. Two sets link when their Jaccard similarity
 reaches the threshold. N-grams are ordered globally by their document frequency, then hash. Of a set of n, any set
 that reaches the threshold shares at least ``l`` of the first ``n - ceil(threshold * n) + l`` n-grams, for every l. So
 each document takes the l (1 to ``levels``) for which its prefix promises the least work: the members of its n-grams'
@@ -19,8 +20,8 @@ binary blocks, dealt by hash; n-grams that ``1/hot`` of all documents hold or mo
 most) are found by an exact count of what is frequent in any task, broadcast, and pass by the counting. Only documents
 that can have a partner go on with their sets. Hub pairs are salted; lists are streamed with ``small`` members held.
 
-Defined cases: null, empty and blank texts have an empty set and are components of their own; so is a row with a null
-id (its component is null). A text of fewer than n words is one n-gram. Repeated rows and copies share a component.
+Defined cases: ids are integers. Null, empty and blank texts have an empty set and are components of their own; so is
+a row with a null id (its component is null). A text of fewer than n words is one n-gram. Repeated rows and copies share a component.
 Extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -34,13 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, written
+from .common import deleted, lean, only, release, written
 from .components import connected_components
 
-FLUSH = 1_000_000
-PER_BUCKET = 1_500_000
-PER_HOME = 3_000_000
-SLICE = 2048
+FLUSH = 500_000
+PER_BUCKET = 1_000_000
+PER_HOME = 1_500_000
+SLICE = 512
+MET = 100_000
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, dtype=bool)
@@ -146,7 +148,7 @@ def profiles(rows: DataFrame, n: int) -> DataFrame:
             columns = [batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(heads, pa.int64()), pa.array(digests, pa.binary()), pa.array(_frequent(sets), pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "n_shingles", "cls", "digest", "frequent"])
 
-    return rows.mapInArrow(walk, f"id {kind}, n_shingles long, cls long, digest binary, frequent binary")
+    return rows.mapInArrow(lean(walk), f"id {kind}, n_shingles long, cls long, digest binary, frequent binary")
 
 
 def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +178,7 @@ def _hot(profile: DataFrame, n_docs: int, hot: int) -> np.ndarray:
                 h, n = np.frombuffer(blob, dtype=np.uint64).reshape(2, -1)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
 
-    counted = profile.where("frequent is not null").select("frequent").mapInArrow(spread, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    counted = profile.where("frequent is not null").select("frequent").mapInArrow(lean(spread), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     rows = counted.where(F.col("n") >= max(100, n_docs // hot)).select("h").toPandas()["h"].to_numpy(dtype=np.int64)
     return np.sort(rows.view(np.uint64))
 
@@ -196,6 +198,8 @@ def repeated_ngrams(rows: DataFrame, profile: DataFrame, n: int, percent: int, h
         for batch in sliced(batches):
             for x in ngram_sets(batch.column(0).to_pylist(), n):
                 if len(x) and (cls := class_of(x)) not in met:  # of equal sets in a task one is dealt
+                    if len(met) >= MET:  # only spares work, so it may forget
+                        met.clear()
                     met.add(cls)
                     held.append((cls, x))
                     size += len(x)
@@ -205,12 +209,14 @@ def repeated_ngrams(rows: DataFrame, profile: DataFrame, n: int, percent: int, h
         yield from dealt(held, hot_grams, buckets)
 
     def count(table: pa.Table) -> pa.Table:
+        release()
         return counted(table, homes, shared.value[1])
 
     def gather(table: pa.Table) -> pa.Table:
+        release()
         return gathered(table, percent)
 
-    blocks = rows.select("text").mapInArrow(deal, "b int, h binary, cls binary, n binary, run binary, hot boolean")
+    blocks = rows.select("text").mapInArrow(lean(deal), "b int, h binary, cls binary, n binary, run binary, hot boolean")
     found = blocks.groupBy("b").applyInArrow(count, "home int, cls binary, n binary, run binary, h binary, df binary")
     return found.groupBy("home").applyInArrow(gather, "cls long, n_shingles long, grams binary, df binary")
 
@@ -220,7 +226,8 @@ def class_of(x: np.ndarray) -> int:
 
 
 def _narrow(h: np.ndarray) -> bytes:
-    """The low 48 bits of each hash; with its bucket they tell n-grams apart as well as 64 bits do."""
+    """The low 48 bits of each hash. Of the PER_BUCKET n-grams of a bucket two share them by chance in one bucket of 500;
+    that makes an intersection larger by one n-gram."""
     return np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
 
@@ -363,7 +370,7 @@ def prefix_tokens(sets: DataFrame, percent: int, levels: int) -> DataFrame:
             columns = [pa.array(np.concatenate(x).astype(t)) for x, t in zip(out, (np.int64, np.int64, np.int64, np.int32, np.int32), strict=True)]
             yield pa.RecordBatch.from_arrays(columns, names=["gram", "own", "id", "level", "most"])
 
-    return sets.select("id", "n_shingles", "grams", "df").mapInArrow(walk, "gram long, own long, id long, level int, most int")
+    return sets.select("id", "n_shingles", "grams", "df").mapInArrow(lean(walk), "gram long, own long, id long, level int, most int")
 
 
 def candidate_pairs(tokens: DataFrame, small: int) -> DataFrame:
@@ -400,7 +407,7 @@ def candidate_pairs(tokens: DataFrame, small: int) -> DataFrame:
         yield _pairs(out)
 
     dealt = tokens.repartition("gram").sortWithinPartitions("gram", "own", "id").select("gram", "id", "level", "most")
-    return dealt.mapInArrow(walk, "hub long, id long, level int, star boolean").where("hub != id")
+    return dealt.mapInArrow(lean(walk), "hub long, id long, level int, star boolean").where("hub != id")
 
 
 def _pairs(out: list) -> pa.RecordBatch:
@@ -429,7 +436,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, salts: int = 64) -
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(link, pa.bool_())], names=["hub", "id", "star", "link"])
 
-    return both.mapInArrow(walk, "hub long, id long, star boolean, link boolean")
+    return both.mapInArrow(lean(walk), "hub long, id long, star boolean, link boolean")
 
 
 def remaining_links(stars: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, chunk: int) -> DataFrame:
@@ -455,7 +462,9 @@ def remaining_links(stars: DataFrame, labels: DataFrame, sets: DataFrame, percen
         found = between(left, right, percent)
         return pa.table([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
 
-    return rest.groupBy("hub", "c", "r").cogroup(every.groupBy("hub", "c", "r")).applyInArrow(compare, "a long, b long")
+    found = written(rest.groupBy("hub", "c", "r").cogroup(every.groupBy("hub", "c", "r")).applyInArrow(compare, "a long, b long"), "more")
+    deleted(around, largest)
+    return found
 
 
 def between(rest: pa.Table, every: pa.Table, percent: int) -> list[tuple[int, int]]:
@@ -499,13 +508,15 @@ def jaccard_components(
     sets = written(found.join(named, "cls").select("id", "n_shingles", "grams", "df"), "sets")
 
     tokens = prefix_tokens(sets, percent, levels)
-    pairs = written(candidate_pairs(tokens, small), "pairs")
+    found = pairs = written(candidate_pairs(tokens, small), "pairs")
     few = pairs.where("not star").groupBy("hub", "id", "level").count().where(F.col("count") >= F.col("level"))
     pairs = few.select("hub", "id", F.lit(False).alias("star")).unionByName(pairs.where("star").select("hub", "id", "star")).groupBy("hub", "id").agg(F.max("star").alias("star"))
     checked = written(verified(pairs, sets, percent), "checked")
+    deleted(found)
     links = checked.where("link").select(F.col("hub").alias("a"), F.col("id").alias("b"))
     labels = connected_components(links)
-    more = written(remaining_links(checked.where("star").select("hub", "id"), labels, sets, percent, chunk), "more")
+    more = remaining_links(checked.where("star").select("hub", "id"), labels, sets, percent, chunk)
+    deleted(checked)
     if not more.isEmpty():
         over = more.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
         labels = connected_components(over)

@@ -18,16 +18,16 @@ into pieces of which each fits; with capacities that no piece could meet, the op
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
-from struct import pack
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .bpe import codec
-from .common import only, written
+from .bpe import library_encoder
+from .common import lean, only, written
 
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
@@ -42,14 +42,15 @@ def pieces(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str =
     """(id, piece, start, length, ids_crc32) of each document's pieces."""
     rows = only(df, id_col, text_col)
     kind = rows.schema[id_col].dataType.simpleString()
-    end = pack("<I", end_id)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = codec(path, library=True).encode
+        encode = library_encoder(path).encode
         for batch in batches:
             of, out = [], []
             for row, text in enumerate(batch.column(1)):
-                ids = encode(text.as_py() or "") + end
+                ids = array("I", encode(text.as_py() or ""))
+                ids.append(end_id)
+                ids = np.asarray(ids, dtype="<u4").tobytes()
                 for k, (start, length) in enumerate(cut(len(ids) // 4, max_tokens)):
                     of.append(row)
                     out.append((k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])))
@@ -57,7 +58,7 @@ def pieces(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str =
             if out:
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), *columns], names=[id_col, "piece", "start", "length", "ids_crc32"])
 
-    return rows.mapInArrow(walk, f"`{id_col}` {kind}, {PIECES}")
+    return rows.mapInArrow(lean(walk), f"`{id_col}` {kind}, {PIECES}")
 
 
 def best_fit(
@@ -123,7 +124,7 @@ def packed(pieces_: DataFrame, *, max_tokens: int = 2048, max_docs: int | None =
             yield from placed()
 
     kinds = ", ".join(f"`{n}` {pieces_.schema[n].dataType.simpleString()}" for n in names)
-    return dealt.mapInArrow(walk, f"{kinds}, sequence_id long, offset long")
+    return dealt.mapInArrow(lean(walk), f"{kinds}, sequence_id long, offset long")
 
 
 def pack_documents(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", max_tokens: int = 2048, end_id: int = 0, **parameters) -> DataFrame:
