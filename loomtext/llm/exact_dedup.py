@@ -1,22 +1,22 @@
 """Exact dedup: a log-structured merge index of text digests, in DataFrame operations only.
 
 Rows are dealt into memtables by a hash of their id. Each memtable is flushed as a sorted run of
-``(digest, smallest id, largest id, count)``, written to the shared folder, with a fixed-size bitmap filter over the
-digests. Compaction merges the runs and keeps the smallest and the largest identifier of each digest. The filter over
-the digests that occur more than once decides which texts are looked at again: only these hits are compared byte for
-byte.
+``(digest, smallest id, largest id, count)``, written to the shared folder. Compaction merges the runs and keeps the
+smallest and the largest identifier of each digest. A bitmap filter over the digests that occur more than once decides
+which texts are looked at again: only these hits are compared byte for byte.
 
 Scale: flush and compaction aggregate map-side before they shuffle some 60 bytes a digest. The comparison is a
 minimum and a maximum of the text by digest, both partial before the shuffle, so a group of a third of all rows leaves
 each task as one row. Digests that hold more than 1/``HOT`` of all rows (fewer than ``HOT`` of them, by their
-definition) meet the rows by broadcast, the rest by a shuffle in which no key holds more than that share. The filter
-has a fixed size (``filter_bits``): where it fills up, more texts are compared, never fewer.
+definition) meet the rows by broadcast, the rest by a shuffle in which no key holds more than that share. The filter's
+size follows the number of repeated digests, up to 32 MB (33 million at eight bits each): where it fills up, more texts
+are compared, never fewer.
 
 Defined cases: a null text counts as empty; empty texts are equal to each other. Of equal texts the row with the
 largest (or smallest) id stays. Rows that repeat an id are each returned and counted, and are kept together. An empty
 table gives an empty result; extra columns are ignored. A row with a null id is counted in its group and isn't the one
-that stays while another has an id; of a group without ids keep_id is null, and so is kept. Texts that share a digest but not their bytes (only possible
-with a weak ``digest``) are grouped again by their bytes.
+that stays while another has an id; of a group without ids keep_id is null. A row without an id is never kept: kept is false.
+Texts that share a digest but not their bytes (only possible with a weak ``digest``) are grouped again by their bytes.
 """
 
 from __future__ import annotations
@@ -26,10 +26,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, only, written
+from .bitmap import LEAST, bitmap, bits_for, maybe
+from .common import ascii_lower, deleted, only, written
 
 HOT = 10_000
-_PAGE = 32768  # bits in a page of Spark's bitmaps
 
 
 def sha256(c: Column) -> Column:
@@ -39,10 +39,8 @@ def sha256(c: Column) -> Column:
 class DigestIndex:
     """Sorted runs of digests; ``flush`` adds runs, ``compact`` merges them, ``filter`` tests membership."""
 
-    def __init__(self, memtables: int = 4, filter_bits: int = 1 << 23):
-        if filter_bits % _PAGE:
-            raise ValueError(f"filter_bits must be a multiple of {_PAGE}")
-        self.memtables, self.filter_bits, self.runs = memtables, filter_bits, []
+    def __init__(self, memtables: int = 4):
+        self.memtables, self.filter_bits, self.runs = memtables, LEAST, []
 
     def flush(self, rows: DataFrame) -> None:
         """rows: (id, digest). Each memtable becomes a run, sorted by digest."""
@@ -58,22 +56,19 @@ class DigestIndex:
         for run in self.runs[1:]:
             merged = merged.unionByName(run)
         merged = merged.groupBy("digest").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
+        old = self.runs
         self.runs = [written(merged.withColumn("run", F.lit(0)).sortWithinPartitions("digest"), "level")]
+        deleted(*old)
         return self.runs[0].drop("run")
 
     def filter(self, digests: DataFrame) -> DataFrame:
-        """(page, bits): a bitmap over hashes of the digests, of filter_bits bits whatever their number."""
-        at = F.pmod(F.xxhash64("digest"), F.lit(self.filter_bits))
-        page = F.floor(at / _PAGE).cast("int").alias("page")
-        return digests.groupBy(page).agg(F.bitmap_construct_agg(at % _PAGE).alias("bits"))
+        """(page, bits): a bitmap over hashes of the digests, a written table; eight bits a digest, up to 32 MB."""
+        self.filter_bits = bits_for(digests.count())
+        return written(bitmap(digests, "digest", self.filter_bits), "filter")
 
     def maybe(self, rows: DataFrame, kept: DataFrame) -> DataFrame:
-        """The rows whose digest may be in the set that kept is the filter of; its bound lets it be broadcast."""
-        at = F.pmod(F.xxhash64("digest"), F.lit(self.filter_bits))
-        rows = rows.withColumn("_page", F.floor(at / _PAGE).cast("int")).withColumn("_bit", (at % _PAGE).cast("int"))
-        byte = F.conv(F.hex(F.expr("substring(bits, _bit div 8 + 1, 1)")), 16, 10).cast("int")
-        found = rows.join(F.broadcast(kept), rows["_page"] == kept["page"])
-        return found.where(byte.bitwiseAND(F.expr("shiftleft(1, _bit % 8)")) != 0).drop("_page", "_bit", "page", "bits")
+        """The rows whose digest may be in the set that kept is the latest filter of."""
+        return maybe(rows, "digest", kept, self.filter_bits)
 
 
 def exact_dedup(
@@ -96,7 +91,6 @@ def exact_dedup(
     digests = written(base.select(F.col(id_col).alias("id"), digest(text).alias("digest")), "digests")
     index.flush(digests)
     level = index.compact().select("digest", F.col("hi" if keep == "largest" else "lo").alias("keep_id"), "n")
-    groups = level.where("n > 1")
 
     # byte verification of the hits
     texts = base.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("digest", digest(F.col("text")))
@@ -111,7 +105,7 @@ def exact_dedup(
         found = again.groupBy("digest", "text").agg(best.alias("keep_id"), F.count("*").alias("n"))
         out = out.join(wrong, "digest", "left_anti").unionByName(again.join(found, ["digest", "text"]).drop("text"))
     return out.select(
-        F.col("id").alias(id_col), "keep_id", F.col("n").alias("group_size"), (F.col("id") == F.col("keep_id")).alias("kept"), "digest"
+        F.col("id").alias(id_col), "keep_id", F.col("n").alias("group_size"), F.coalesce(F.col("id") == F.col("keep_id"), F.lit(False)).alias("kept"), "digest"
     )
 
 
