@@ -44,6 +44,32 @@ def test_probe_order():
     h = ann.Hashes.draw(4, 1, 2, 1.0, 1.0, 3)
     cells = np.array([[a, b] for a in range(-4, 5) for b in range(-4, 5)])
     query = np.ones(4)
-    order = h.probes(0, query, cells, 0.9)
+    ones = np.ones(len(cells))
+    order = h.probes(0, query, cells, 0.9, ones, 1)
     assert tuple(cells[order[0]]) == tuple(np.floor(h.positions(0, query)).astype(int)) or len(order) > 1
-    assert len(h.probes(0, query, cells, 0.5)) <= len(order) == len(set(order.tolist()))
+    assert len(h.probes(0, query, cells, 0.5, ones, 70)) >= 70
+    assert len(h.probes(0, query, cells, 0.5, ones, 1)) <= len(order) == len(set(order.tolist()))
+
+
+def test_large_ids(spark):
+    rows = [(0, [1.0, 0.0]), (2**60, [2.0, 0.0]), (2**60 + 1, [2.0, 0.0]), (2**60 + 1, [2.0, 0.0])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
+    assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got) == [(1, 2**60, 1.0), (2, 2**60 + 1, 1.0)]
+
+
+def test_large_components(spark):
+    rows = [(0, [1e200, 0.0]), (1, [-1e200, 0.0]), (2, [1e200, 1.0])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
+    assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got) == [(1, 2, 1.0), (2, 1, 2e200)]
+
+
+def test_more_buckets_than_the_driver_holds(spark):
+    """Vectors of very uneven norm occupy many cells: the tables are drawn again with fewer functions, and nothing is lost."""
+    r = np.random.default_rng(4)
+    vectors = {i: (x * np.exp(2 * r.normal())).tolist() for i, x in enumerate(r.normal(size=(2000, 8)))}
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
+    got = {}
+    for row in ann.nearest(df, F.col("vec_id") % 20 == 0, bucket_rows=4, most_buckets=40).collect():
+        got.setdefault(row["query_id"], set()).add(row["vec_id"])
+    wanted = brute(vectors, [i for i in vectors if i % 20 == 0], 10)
+    assert sum(len(got[q] & {v for v, _ in found}) for q, found in wanted.items()) >= 0.9 * 10 * len(wanted)
