@@ -15,6 +15,14 @@ from loomtext.llm.common import table, written
 from loomtext.llm.queries import vocabulary
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """A name that no column of docs has."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, learned from the labelled ones among them, rejects go."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -23,17 +31,21 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines whose template recurs across documents go from all but the first; documents of nothing else go."""
-    found = line_dedup.line_dedup(docs, min_docs=2)
-    empty = (F.col("n_dropped") > 0) & (F.trim(F.regexp_replace("text", r"\s+", " ")) == "")
-    found = found.where(~F.coalesce(empty, F.lit(False))).withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return found.select(*docs.columns)
+    added = unused(docs, "lines"), unused(docs, "dropped")
+    found = line_dedup.line_dedup(docs, min_docs=2, added=added)
+    changed = F.col(added[1]) > 0
+    empty = changed & (F.trim(F.regexp_replace("text", r"\s+", " ")) == "")
+    n_chars = F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return found.where(~F.coalesce(empty, F.lit(False))).withColumn("n_chars", n_chars).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document of smallest id stays."""
+    """Of each component of near copies the document of smallest id stays. Rows that share an id and a text count as one;
+    rows that share an id but not a text stay together if one of them is to stay."""
     found = ngram_join.jaccard_components(docs, n=5, percent=75)
     stays = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    text = unused(docs, "h")
+    kept = docs.join(stays, "doc_id", "left_semi").withColumn(text, F.xxhash64("text")).dropDuplicates(["doc_id", text]).drop(text)
     return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
 
