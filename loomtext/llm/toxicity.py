@@ -3,18 +3,18 @@
 The lexicon is learned from labelled rows: terms, and stems (the first 4 to 8 letters of words, whatever follows),
 whose documents are labelled toxic far more often than others. Each distinct word of a text becomes a bit-parallel
 Levenshtein automaton that walks what an index of deletions leaves of the lexicon's trie, so misspelled terms are found (one error from 5 letters on, two
-from 9 on). Around each hit a window of words is searched for quotation marks that enclose it, words of reporting that
-the labels teach nothing about aside, and for further hits; hits inside and outside quotations, exact and misspelled,
+from 9 on). Each hit is looked at in its context: whether quotation marks of its line enclose it, at whatever distance,
+and whether a window of words around it holds a further hit. Hits inside and outside quotations, exact and misspelled,
 are separate features. A logistic regression, fitted in numpy by Newton steps, turns them into a score.
 
 Scale: fitting reads at most ``max_labelled`` labelled rows (those of smallest hash of their id; documented bound), so
 that they can be broadcast to the scan of the documents. Scoring is one scan without a shuffle; it broadcasts the
-lexicon (``max_terms`` at most) and eight weights. Words repeat, so each process keeps the last automaton results in a
+lexicon, which those rows bound, and eight weights. Words repeat, so each process keeps the last automaton results in a
 bounded cache. Labels, ids, languages and sources aren't inputs of a score.
 
 Defined cases: null and empty texts have no hits and get the score of no hits. Documents without a label are scored
 like any other. Several labels of one document count as toxic if any is; null labels are ignored. Without usable
-labels every score is 0. Repeated rows are each returned; extra columns are ignored; an empty table gives an empty
+labels every score is below 1e-12. Repeated rows are each returned; extra columns are ignored; an empty table gives an empty
 result.
 """
 
@@ -30,13 +30,35 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, written
+from .common import lean, only, written
 
 WORD = re.compile(r"[^\W\d_]+")
-QUOTES = {'"': '"', "“": "”", "„": "“”", "«": "»", "‘": "’", "»": "«"}
+CLOSERS = {'"': '"', "“": "”", "„": "“”", "«": "»", "‘": "’"}
 STEMS = (4, 5, 6, 7, 8)
 FEATURES = 7
-_QUOTED = re.compile(r'"[^"\n]{0,400}"|“[^”\n]{0,400}”|„[^“”\n]{0,400}[“”]|«[^»\n]{0,400}»|‘[^’\n]{0,400}’')
+_MARKS = re.compile('["“”„«»‘’\n]')
+
+
+def quotations(text: str) -> list[tuple[int, int]]:
+    """Spans of quotations, in order: from a mark that opens to the next one in its line that closes it. One pass over the
+    marks to the right, for what closes each, and one to the left."""
+    out, line = [], []
+    for m in _MARKS.finditer(text + "\n"):
+        if m[0] != "\n":
+            line.append((m.start(), m[0]))
+            continue
+        last, ends = {}, [-1] * len(line)
+        for i in range(len(line) - 1, -1, -1):
+            ends[i] = min((last[c] for c in CLOSERS.get(line[i][1], "") if c in last), default=-1)
+            last[line[i][1]] = i
+        i = 0
+        while i < len(line):
+            if ends[i] >= 0:
+                out.append((line[i][0], line[ends[i]][0] + 1))
+                i = ends[i]
+            i += 1
+        line = []
+    return out
 
 
 @dataclass
@@ -145,7 +167,7 @@ class LexiconTrie:
 class Matcher:
     """Hits of words, remembered: those near a term, and up to ``most`` words that are near none."""
 
-    def __init__(self, terms: list[str], most: int = 1_000_000):
+    def __init__(self, terms: list[str], most: int = 200_000):
         self.trie, self.most, self.near, self.clean = LexiconTrie(terms), most, {}, set()
 
     def any_in(self, words: set[str]) -> bool:
@@ -178,7 +200,7 @@ def features(text: str | None, matches: Matcher, weights, window: int) -> list[f
     if not matches.any_in(set(WORD.findall(low))):
         return out
     near = matches.near
-    quoted = [m.span() for m in _QUOTED.finditer(low)]
+    quoted = quotations(low)
     starts = [a for a, _ in quoted]
     hits = []
     for k, m in enumerate(WORD.finditer(low)):
@@ -217,10 +239,11 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.concat(F.filter(words, lambda w: w != ""), *[stems(n) for n in STEMS]))
 
 
-def learn_lexicon(labelled: DataFrame, *, min_share: float = 0.3, evidence: float = 14.0, max_terms: int = 2000) -> list[tuple[str, float]]:
+def learn_lexicon(labelled: DataFrame, *, min_share: float = 0.3, evidence: float = 14.0) -> list[tuple[str, float]]:
     """(term, log odds ratio): terms of which min_share of the documents are toxic, where this has a log-likelihood ratio of
     evidence against the share of all documents (14: one chance in a million). labelled: (text, toxic), bounded.
-    The best supported terms come first; what a stem among them covers is left out, and max_terms bounds what is left."""
+    The best supported terms come first; what a stem among them covers is left out. Their number is bounded by that of the
+    labelled rows: each needs three toxic documents or more."""
     toxic, total = labelled.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
     if not 0 < toxic < total:
         return []
@@ -237,8 +260,6 @@ def learn_lexicon(labelled: DataFrame, *, min_share: float = 0.3, evidence: floa
         # a stem that adds nothing to a word it comes from stays out
         if not covered and not (r["term"].endswith("*") and any(w.startswith(bare) and not w.endswith("*") for w in kept)):
             kept[r["term"]] = float(np.log((r["n"] + 0.5) / (r["all"] - r["n"] + 0.5)) - np.log(base / (1 - base)))
-            if len(kept) == max_terms:
-                break
     return list(kept.items())
 
 
@@ -295,7 +316,7 @@ def _featured(rows: DataFrame, terms: list[str], odds: list[float], window: int)
             f = [features(text.as_py(), matches, odds, window) for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f, pa.list_(pa.float64()))], names=[first, "f"])
 
-    return rows.mapInArrow(walk, f"`{first}` {kind}, f array<double>")
+    return rows.mapInArrow(lean(walk), f"`{first}` {kind}, f array<double>")
 
 
 def score(documents: DataFrame, model: ToxicityModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -319,4 +340,4 @@ def without_toxic(documents: DataFrame, model: ToxicityModel, *, text_col: str =
                 f = np.array([features(text.as_py(), matches, known.odds, known.window) for text in batch.column(at)])
                 yield batch.filter(pa.array(known.score(f) < threshold))
 
-    return documents.mapInArrow(walk, documents.schema)
+    return documents.mapInArrow(lean(walk), documents.schema)

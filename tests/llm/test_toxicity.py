@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -84,8 +85,52 @@ def test_two_errors_from_nine_letters():
     assert trie.match("worthelss") == (0, 2) and trie.match("disgutsing") == (1, 2) and trie.match("wrothelss") is None
 
 
-def test_bound_follows_merging(spark):
-    """Stems of the words that come first don't use up the terms."""
+def test_rare_terms_stay_beside_many(spark):
     texts = [(1, "abominable one")] * 30 + [(1, "zz")] * 12 + [(0, "plain text")] * 400
-    found = tox.learn_lexicon(spark.createDataFrame(texts, "toxic int, text string"), max_terms=3)
+    found = tox.learn_lexicon(spark.createDataFrame(texts, "toxic int, text string"))
     assert "zz" in [t for t, _ in found]
+
+
+def slow_quotations(text):
+    """By trying each closing mark for each opening one, line by line."""
+    out, at = [], 0
+    for line in text.split("\n"):
+        i = 0
+        while i < len(line):
+            ends = [line.find(c, i + 1) for c in tox.CLOSERS.get(line[i], "")]
+            ends = [e for e in ends if e > 0]
+            if ends:
+                out.append((at + i, at + min(ends) + 1))
+                i = min(ends)
+            i += 1
+        at += len(line) + 1
+    return out
+
+
+def slow_features(text, terms, weights, window):
+    words = list(re.finditer(r"[^\W\d_]+", text.lower()))
+    inside = lambda m: any(a <= m.start() and m.end() < b for a, b in slow_quotations(text.lower()))
+    hits = [(k, *found, inside(m)) for k, m in enumerate(words) if (found := brute(terms, m[0]))]
+    exact, wrong = [[q for _, _, e, q in hits if bool(e) == w] for w in (False, True)]
+    open_ = {t for _, t, e, q in hits if not e and not q}
+    company = sum(not q and any(0 < abs(k - j) <= window for j, *_ in hits) for k, _, _, q in hits)
+    out = [np.log1p(x) for x in (exact.count(False), exact.count(True), wrong.count(False), wrong.count(True))]
+    return [*out, max((weights[t] for t in open_), default=0.0), np.log1p(company), sum(weights[t] for t in open_)]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_features_brute_force(seed):
+    r = random.Random(seed)
+    terms, weights = ["stupid", "moron*", "worthless", "ugly"], [3.0, 2.0, 1.5, 1.0]
+    parts = ["stupid", "stupif", "morons", "worthelss", "ugly", "a", "fine", "day", '"', "“", "”", "„", "«", "»", "‘", "’", "\n", "1", "Stupid"]
+    for _ in range(300):
+        text = " ".join(r.choice(parts) for _ in range(r.randint(0, 60)))
+        assert tox.quotations(text) == slow_quotations(text)
+        assert np.allclose(tox.features(text, tox.Matcher(terms), weights, 3), slow_features(text, terms, weights, 3)), text
+
+
+def test_long_quotations():
+    matches = tox.Matcher(["stupid"])
+    for n in (300, 450, 10_000):
+        assert tox.features('"' + "word " * (n // 5) + 'stupid" he said', matches, [3.0], 8)[:2] == [0.0, float(np.log(2))]
+    assert tox.quotations("“" * 200_000) == []
