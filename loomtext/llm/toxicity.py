@@ -2,8 +2,8 @@
 
 The lexicon is learned from labelled rows: terms, and stems (the first 4 to 8 letters of words, whatever follows),
 whose documents are labelled toxic far more often than others. Each distinct word of a text becomes a bit-parallel
-Levenshtein automaton that walks what an index of deletions leaves of the lexicon's trie, so misspelled terms are found (one error from 5 letters on, two
-from 9 on). Each hit is looked at in its context: whether quotation marks of its line enclose it, at whatever distance,
+Levenshtein automaton that walks what an index of deletions leaves of the lexicon's trie, so misspelled terms are found
+(one error from 5 letters on, two from 9 on); words whose letters alone rule all terms out are passed over first. Each hit is looked at in its context: whether quotation marks of its line enclose it, at whatever distance,
 and whether a window of words around it holds a further hit. Hits inside and outside quotations, exact and misspelled,
 are separate features. A logistic regression, fitted in numpy by Newton steps, turns them into a score.
 
@@ -23,7 +23,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -61,13 +61,6 @@ def quotations(text: str) -> list[tuple[int, int]]:
     return out
 
 
-@dataclass
-class _Node:
-    next: dict = field(default_factory=dict)
-    term: int = -1  # number of the whole word that ends here
-    stem: int = -1  # number of the stem that ends here
-
-
 def deletions(word: str, most: int) -> set[str]:
     """What is left of the word without up to most of its letters."""
     out = last = {word}
@@ -78,21 +71,13 @@ def deletions(word: str, most: int) -> set[str]:
 
 
 class LexiconTrie:
-    """terms: whole words, or stems written with a closing asterisk."""
+    """terms: whole words, or stems written with a closing asterisk. The trie is kept as its terms in order: what
+    neighbours have in common at their beginning is the path to an inner node."""
 
     def __init__(self, terms: list[str]):
-        self.terms, self.root, self.indexes, self.paths = terms, _Node(), {}, []
+        self.terms, self.indexes = terms, {}
         self.bares = [term.removesuffix("*") for term in terms]
-        for k, term in enumerate(terms):
-            node, path = self.root, set()
-            for c in self.bares[k]:
-                node = node.next.setdefault(c, _Node())
-                path.add(id(node))
-            self.paths.append(path)
-            if term.endswith("*"):
-                node.stem = k
-            else:
-                node.term = k
+        self.order = {k: i for i, k in enumerate(sorted(range(len(terms)), key=self.bares.__getitem__))}
 
     @staticmethod
     def errors(length: int) -> int:
@@ -126,67 +111,130 @@ class LexiconTrie:
                         found.update(known[left])
         return found
 
-    def match(self, word: str) -> tuple[int, int] | None:
-        """(number of the term, errors): the nearest term, of equal ones the first; None if there is none."""
+    def match(self, word: str, possible: list[int] | None = None) -> tuple[int, int] | None:
+        """(number of the term, errors): the nearest term, of equal ones the first; None if there is none. possible: the
+        terms that a screen has left, of whose trie the word's automaton walks the paths."""
         n = len(word)
-        possible = self.possible(word)
+        possible = self.possible(word) if possible is None else possible
         if not possible:
             return None
-        paths = set().union(*[self.paths[k] for k in possible])
         most = self.errors(n)
         masks: dict[str, int] = {}
         for i, c in enumerate(word):
             masks[c] = masks.get(c, 0) | 1 << i
-        whole, best = 1 << n, None
+        whole, best, path = 1 << n, None, ""
+        every = (whole << 1) - 1
         # state e: bit i is set if i letters of the word fit the path with e errors
-        start = [(1 << (e + 1)) - 1 for e in range(most + 1)]
-        stack = [(self.root, start, 0)]
-        while stack:
-            node, states, depth = stack.pop()
-            for term, stem in ((node.term, False), (node.stem, True)):
-                if term >= 0:
-                    for e in range(min(most, self.errors(depth)) + 1):
-                        if states[e] if stem else states[e] & whole:
-                            if best is None or (e, term) < best:
-                                best = (e, term)
-                            break
-            for c, child in node.next.items():
-                if id(child) not in paths:
-                    continue
-                mask, moved = masks.get(c, 0), []
-                for e in range(most + 1):
-                    s = (states[e] & mask) << 1
-                    if e:
-                        s |= states[e - 1] | states[e - 1] << 1 | moved[e - 1] << 1
-                    moved.append(s & (whole << 1) - 1)
-                if moved[-1]:
-                    stack.append((child, moved, depth + 1))
+        trail = [(1, 3 if most else 0, 7 if most > 1 else 0)]
+        for k in sorted(possible, key=self.order.__getitem__):
+            bare, depth = self.bares[k], 0
+            while depth < len(path) and depth < len(bare) and path[depth] == bare[depth]:
+                depth += 1
+            del trail[depth + 1 :]
+            zero, one, two = trail[-1]
+            for c in bare[depth:]:
+                mask = masks.get(c, 0)
+                next_one = next_two = 0
+                next_zero = (zero & mask) << 1
+                if most:
+                    next_one = ((one & mask) << 1 | zero | zero << 1 | next_zero << 1) & every
+                    if most > 1:
+                        next_two = ((two & mask) << 1 | one | one << 1 | next_one << 1) & every
+                zero, one, two = next_zero, next_one, next_two
+                if not (zero or one or two):
+                    break
+                trail.append((zero, one, two))
+            path = bare[: len(trail) - 1]
+            if len(path) == len(bare):
+                stem, states = self.terms[k].endswith("*"), trail[-1]
+                for e in range(min(most, self.errors(len(bare))) + 1):
+                    if states[e] if stem else states[e] & whole:
+                        if best is None or (e, k) < best:
+                            best = (e, k)
+                        break
         return best and (best[1], best[0])
 
 
+class Screen:
+    """What letters and pairs of letters rule out, for many words at once and without a miss: a word within e errors of a
+    term lacks e of the term's letters at most, has e others at most, and lacks 2 e of its neighbouring pairs at most; of
+    a stem's word this holds for its beginning."""
+
+    def __init__(self, trie: LexiconTrie):
+        self.errors = np.vectorize(trie.errors, otypes=[np.int64])
+        self.width = max(map(len, trie.bares), default=0) + 2
+        groups: dict[tuple[int, bool], list[int]] = {}
+        for k, (term, bare) in enumerate(zip(trie.terms, trie.bares, strict=True)):
+            groups.setdefault((len(bare), term.endswith("*")), []).append(k)
+        self.groups = []
+        for (size, stem), numbers in sorted(groups.items()):
+            if size:
+                letters, pairs = self._bits([trie.bares[k] for k in numbers])
+                self.groups.append((size, stem, trie.errors(size), np.array(numbers), letters[:, size - 1], pairs[:, size - 1]))
+
+    def _bits(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Column k: the letters, and the pairs of neighbours, among each word's first k + 1 letters, as bits."""
+        codes = np.array(words, dtype=f"U{self.width}").view(np.uint32).reshape(len(words), self.width).astype(np.uint64)
+        one, last, none = np.uint64(1), np.uint64(63), np.uint64(0)
+        letters = np.where(codes > 0, one << (codes & last), none)
+        pairs = np.zeros_like(letters)
+        pairs[:, 1:] = np.where(codes[:, 1:] > 0, one << ((codes[:, :-1] * np.uint64(31) + codes[:, 1:] * np.uint64(17)) & last), none)
+        return np.bitwise_or.accumulate(letters, axis=1), np.bitwise_or.accumulate(pairs, axis=1)
+
+    def near(self, words: list[str]) -> dict[str, list[int]]:
+        """The words that the screen doesn't rule out, with the terms that it leaves for each."""
+        out: dict[str, list[int]] = {}
+        for at in range(0, len(words), 4096):
+            part = words[at : at + 4096]
+            (letters, pairs), sizes = self._bits(part), np.array([len(w) for w in part])
+            allowed = self.errors(sizes)
+            for size, stem, most, numbers, terms, term_pairs in self.groups:
+                e = np.minimum(allowed, most)
+                fits = np.flatnonzero((sizes >= size - e) & (stem | (sizes <= size + e)))
+                if not len(fits):
+                    continue
+                e, end = e[fits, None], min(size + most, self.width) - 1
+                few = np.bitwise_count(term_pairs & ~pairs[fits, end, None]) <= 2 * e
+                few &= np.bitwise_count(terms & ~letters[fits, end, None]) <= e
+                if size > most:
+                    few &= np.bitwise_count(letters[fits, size - most - 1 if stem else end, None] & ~terms) <= e
+                if not stem:
+                    few &= np.bitwise_count(pairs[fits, end, None] & ~term_pairs) <= 2 * e
+                row, column = np.nonzero(few)
+                for k, number in zip(fits[row].tolist(), numbers[column].tolist(), strict=True):
+                    out.setdefault(part[k], []).append(number)
+        return out
+
+
 class Matcher:
     """Hits of words, remembered: those near a term, and up to ``most`` words that are near none."""
 
-    def __init__(self, terms: list[str], most: int = 200_000):
+    def __init__(self, terms: list[str], most: int = 400_000):
         self.trie, self.most, self.near, self.clean = LexiconTrie(terms), most, {}, set()
+        self.screen = Screen(self.trie)
 
-    def any_in(self, words: set[str]) -> bool:
-        """Whether one of the words is near a term; all of them are known afterwards."""
-        found = False
-        for word in words - self.clean:
-            hit = self.near.get(word) or self.trie.match(word)
-            if hit:
-                self.near[word] = hit
-                found = True
-            else:
-                self.clean.add(word)
-        return found
-
-    def forget(self) -> None:
+    def learn(self, words: set[str]) -> None:
+        """All of the words are known afterwards."""
         if len(self.clean) > self.most:
             self.clean = set()
         if len(self.near) > self.most:
             self.near = {}
+        unseen = words.difference(self.clean).difference(self.near)
+        if unseen:
+            for word, left in self.screen.near(list(unseen)).items():
+                if hit := self.trie.match(word, left):
+                    self.near[word] = hit
+            self.clean |= unseen.difference(self.near)
+
+
+def featured(texts: list[str | None], matches: Matcher, weights, window: int) -> list[list[float]]:
+    """The features of each text; words of many texts are looked up at once."""
+    out: list[list[float]] = []
+    for at in range(0, len(texts), 256):
+        part = texts[at : at + 256]
+        matches.learn(set().union(*[WORD.findall((text or "").lower()) for text in part]))
+        out += [features(text, matches, weights, window) for text in part]
+    return out
 
 
 def features(text: str | None, matches: Matcher, weights, window: int) -> list[float]:
@@ -196,8 +244,9 @@ def features(text: str | None, matches: Matcher, weights, window: int) -> list[f
     if not text:
         return out
     low = text.lower()
-    matches.forget()
-    if not matches.any_in(set(WORD.findall(low))):
+    words = set(WORD.findall(low))
+    matches.learn(words)
+    if not any(word in matches.near for word in words):
         return out
     near = matches.near
     quoted = quotations(low)
@@ -313,7 +362,7 @@ def _featured(rows: DataFrame, terms: list[str], odds: list[float], window: int)
         terms, odds = shared.value
         matches = Matcher(terms)
         for batch in batches:
-            f = [features(text.as_py(), matches, odds, window) for text in batch.column(1)]
+            f = featured(batch.column(1).to_pylist(), matches, odds, window)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f, pa.list_(pa.float64()))], names=[first, "f"])
 
     return rows.mapInArrow(lean(walk), f"`{first}` {kind}, f array<double>")
@@ -337,7 +386,7 @@ def without_toxic(documents: DataFrame, model: ToxicityModel, *, text_col: str =
         matches = Matcher(known.terms)
         for batch in batches:
             if batch.num_rows:
-                f = np.array([features(text.as_py(), matches, known.odds, known.window) for text in batch.column(at)])
+                f = np.array(featured(batch.column(at).to_pylist(), matches, known.odds, known.window))
                 yield batch.filter(pa.array(known.score(f) < threshold))
 
     return documents.mapInArrow(lean(walk), documents.schema)

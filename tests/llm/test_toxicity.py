@@ -41,9 +41,28 @@ def test_automaton_brute_force(seed):
     word = lambda lo, hi: "".join(r.choice("abc") for _ in range(r.randint(lo, hi)))
     terms = list({word(3, 11) + r.choice(["", "*"]) for _ in range(25)})
     trie = tox.LexiconTrie(terms)
-    for _ in range(1500):
-        w = word(1, 13)
-        assert trie.match(w) == brute(terms, w), w
+    words = [word(1, 13) for _ in range(1500)]
+    left = tox.Screen(trie).near(words)
+    for w in words:
+        found = brute(terms, w)
+        assert trie.match(w) == trie.match(w, left.get(w, [])) == found, w
+
+
+def test_screen_rules_words_out_and_misses_none():
+    r = random.Random(3)
+    word = lambda lo, hi: "".join(r.choice("abcdefghijklmnopqrstuvwxyzéßñ漢") for _ in range(r.randint(lo, hi)))
+    terms = [word(3, 12) + r.choice(["", "*"]) for _ in range(60)]
+    misspelled = []
+    for term in terms * 20:
+        w = list(term.removesuffix("*"))
+        for _ in range(r.randint(0, 2)):
+            w[r.randrange(len(w)) : r.randrange(len(w)) + 1] = r.choice([[], [r.choice("abcxyz")], ["q", "z"]])
+            w = w or ["a"]
+        misspelled.append("".join(w) + (word(0, 4) if term.endswith("*") else ""))
+    words = misspelled + [word(1, 14) for _ in range(3000)]
+    left = set(tox.Screen(tox.LexiconTrie(terms)).near(words))
+    assert all(w in left for w in words if brute(terms, w)) and len(left & set(words[len(misspelled) :])) < 600
+    assert tox.Screen(tox.LexiconTrie([])).near(["word"]) == {}
 
 
 def test_quotation_is_apart():
