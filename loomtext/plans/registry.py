@@ -442,8 +442,9 @@ def i1_emails(spark, d):
 
 @query("i4_i5_rewrite")
 def i4_i5_rewrite(spark, d):
-    docs = _docs(spark, d)
-    return pii.rewrite(docs, pii.name_replacements(pii.detect(docs)))
+    docs, path = _docs(spark, d), _scratch(spark)
+    pii.detect(docs).write.parquet(path)  # numbering and rewriting both read what was found
+    return pii.rewrite(docs, pii.name_replacements(spark.read.parquet(path)))
 
 
 @query("i5_redact", r"SELECT doc_id AS text_id, regexp_replace(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b', '[REDACTED]', 'g') AS text FROM documents")
