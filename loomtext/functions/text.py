@@ -1,4 +1,4 @@
-"""Column functions over text: trimming, tokens, spans."""
+"""Column functions over text: trimming, tokens, clipping."""
 
 from __future__ import annotations
 
@@ -34,24 +34,6 @@ def clip(c: Column, most: int, mark: str = "…") -> Column:
     return F.when(F.length(c) > most, F.concat(F.substring(c, 1, most), F.lit(mark))).otherwise(c)
 
 
-def spans(text: Column, pattern: str) -> Column:
-    """array<struct<span, start, end>> of all matches of pattern (a Java regex without groups that capture), in code
-    points from 0. The gaps between matches come from one split, so offsets are running lengths and nothing is searched.
-    """
-    found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    gaps = F.split(text, pattern, -1)
-    pairs = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(m.alias("m"), F.length(g).alias("g")))
-    empty = F.array().cast("array<struct<span:string,start:int,end:int>>")
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["g"]
-        end = start + F.length(x["m"])
-        item = F.struct(x["m"].alias("span"), start.alias("start"), end.alias("end"))
-        return F.struct(end.alias("at"), F.array_append(acc["out"], item).alias("out"))
-
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
-
-
 def ordinal(rate: Column, *steps: tuple[float | None, str]) -> Column:
     """The name of the first step that rate stays below; the last step has no limit."""
     out = F

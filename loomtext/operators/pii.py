@@ -1,15 +1,25 @@
-"""De-identification: regex detection, overlap removal, consistent replacement, rewriting and review.
+"""De-identification: detection, overlap removal, consistent replacement, rewriting and review.
 
-Detection and rewriting are column expressions inside the row. Only the numbering of placeholders shuffles: distinct
+Detection and rewriting walk each text once, in Arrow batches, so their work grows with the text's length. Patterns may
+be joined by detectors, such as models that recognise names. Only the numbering of placeholders shuffles: distinct
 spans by type. Numbers run in the order texts are met and, within a text, from right to left, as spans are replaced.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
+
+from .review import reviewed
 
-from ..functions.text import spans
+#: Finds spans of a text: (start, end, type, confidence), in code points. It runs in the workers, so it must pickle;
+#: one that holds a model loads it on its first call.
+Detector = Callable[[str], Iterable[tuple[int, int, str, float]]]
 
 #: The hundred most frequent Chinese surnames; a parameter, for lists of any length.
 SURNAMES = "王李张刘陈杨黄赵吴周徐孙马朱胡郭何林高罗郑梁谢宋唐许韩邓冯曹彭曾肖田董潘袁蔡蒋余于杜叶程魏苏吕丁任卢姚沈钟姜崔谭陆范汪廖石金韦贾夏付方邹熊白孟秦邱侯江尹薛闫段雷龙黎史陶贺毛郝顾龚邵万覃武钱戴严莫孔向常"
@@ -32,38 +42,55 @@ def pattern(kind: str, surnames: str = SURNAMES) -> str:
     found = PATTERNS[kind]
     if found is None:
         found = rf"(?:[{surnames}][一-鿿]{{0,2}}(?:{HONORIFICS})|(?:老|小|阿)[{surnames}]|[A-Z][a-z]+(?:\s[A-Z][a-z]+)+)"
-    return "(?U)" + found
+    return found
 
 
 def _confidence(kind: str) -> float:
     return 0.88 if kind == "PERSON" else 0.95
 
 
-def _found(text: Column, kinds: tuple[str, ...], surnames: str) -> Column:
-    """All matches as array<struct<start, k, end, span, type, confidence>>, by start, then order of detection."""
+class PatternDetector:
+    """All matches of one kind's pattern."""
 
-    def of(k: int, kind: str) -> Column:
-        found = spans(text, pattern(kind, surnames))
-        return F.transform(found, lambda s: F.struct(s["start"].alias("start"), F.lit(k).alias("k"), s["end"].alias("end"), s["span"].alias("span"), F.lit(kind).alias("type"), F.lit(_confidence(kind)).alias("confidence")))
+    def __init__(self, kind: str, surnames: str = SURNAMES):
+        self.kind, self.pattern = kind, re.compile(pattern(kind, surnames))
 
-    return F.array_sort(F.concat(*[of(k, kind) for k, kind in enumerate(kinds)]))
+    def __call__(self, text: str) -> Iterator[tuple[int, int, str, float]]:
+        return ((*m.span(), self.kind, _confidence(self.kind)) for m in self.pattern.finditer(text))
 
 
-def without_overlaps(found: Column) -> Column:
-    """Keeps a span if it starts where the last kept one ends, or later."""
-    kind = "array<struct<start:int,k:int,end:int,span:string,type:string,confidence:double>>"
+def without_overlaps(found: Iterable[tuple]) -> Iterator[tuple]:
+    """Keeps a span, by start and then order of detection, if it starts where the last kept one ends, or later."""
+    at = 0
+    for span in sorted(found, key=lambda s: s[0]):
+        if span[0] >= at:
+            at = span[1]
+            yield span
 
-    def step(acc: Column, x: Column) -> Column:
-        keep = x["start"] >= acc["at"]
-        return F.struct(F.when(keep, x["end"]).otherwise(acc["at"]).alias("at"), F.when(keep, F.array_append(acc["out"], x)).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(found, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")), step, lambda acc: acc["out"])
+def detect(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", kinds: tuple[str, ...] = tuple(PATTERNS), surnames: str = SURNAMES, detectors: tuple[Detector, ...] = ()
+) -> DataFrame:
+    """(text_id, start, end, span, type, confidence): kept spans, a row each. Patterns come before detectors. Null and
+    empty texts have no spans; neither do detected ranges that are empty or outside the text."""
+    rows = df.select(F.col(id_col).alias("text_id"), F.col(text_col).alias("t"))
+    fields = [rows.schema[0], StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("span", StringType()), StructField("type", StringType()), StructField("confidence", DoubleType())]
+    all_of = (*[PatternDetector(kind, surnames) for kind in kinds], *detectors)
+    arrow = (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.float64())
+    names = [f.name for f in fields]
 
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owners, made = [], []
+            for i, value in enumerate(batch.column(1)):
+                text = value.as_py() or ""
+                for a, b, kind, confidence in without_overlaps(s for d in all_of for s in d(text) if 0 <= s[0] < s[1] <= len(text)):
+                    owners.append(i)
+                    made.append((a, b, text[a:b], kind, confidence))
+            columns = [pa.array([row[k] for row in made], kind) for k, kind in enumerate(arrow)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owners, pa.int64())), *columns], names=names)
 
-def detect(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", kinds: tuple[str, ...] = tuple(PATTERNS), surnames: str = SURNAMES) -> DataFrame:
-    """(text_id, start, end, span, type, confidence): kept spans, a row each."""
-    kept = without_overlaps(_found(F.coalesce(F.col(text_col), F.lit("")), kinds, surnames))
-    return df.select(F.col(id_col).alias("text_id"), F.explode(kept).alias("s")).select("text_id", "s.start", "s.end", "s.span", "s.type", "s.confidence")
+    return rows.mapInArrow(walk, StructType(fields))
 
 
 def name_replacements(found: DataFrame, strategy: str = "placeholder") -> DataFrame:
@@ -88,18 +115,43 @@ def _named(column: str, names: dict[str, str]) -> Column:
     return out
 
 
+def replaced(text: str, spans: Iterable[tuple[int, int, str | None]]) -> str:
+    """text with spans replaced, from left to right; a null replacement leaves the span."""
+    out, at = [], 0
+    for a, b, new in sorted(spans, key=lambda s: s[:2]):
+        out += [text[at:a], text[a:b] if new is None else new]
+        at = b
+    return "".join([*out, text[at:]])
+
+
 def rewrite(df: DataFrame, replacements: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(text_id, text): texts with their spans replaced; a null replacement leaves the span."""
-    spans_ = replacements.groupBy("text_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "replacement", "span"))).alias("r"))
-    rows = df.select(F.col(id_col).alias("text_id"), F.col(text_col).alias("text")).join(spans_, "text_id", "left")
-    text = F.col("text")
+    spans = replacements.groupBy("text_id").agg(F.collect_list(F.struct("start", "end", "replacement")).alias("r"))
+    rows = df.select(F.col(id_col).alias("text_id"), F.col(text_col).alias("text")).join(spans, "text_id", "left")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                made.append(text if text is None or not found else replaced(text, [(s["start"], s["end"], s["replacement"]) for s in found]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string())], names=["text_id", "text"])
+
+    return rows.mapInArrow(walk, rows.select("text_id", "text").schema)
+
+
+def apply_review(df: DataFrame, replacements: DataFrame, log: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(text_id, text): the originals with the reviewed replacements. log: (text_id, start, seq, action, value). Pending
+    and accepted spans take their replacement, edited ones the value, and rejected ones stay as they are."""
+    rows = reviewed(replacements, log, ["text_id", "start"], "replacement")
+    return rewrite(df, rows.withColumn("replacement", F.col("final")), id_col, text_col)
 
-    def step(acc: Column, x: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, x["start"] - acc["at"])
-        return F.struct(x["end"].alias("at"), F.concat(acc["out"], gap, F.coalesce(x["replacement"], x["span"])).alias("out"))
 
-    made = F.aggregate("r", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return rows.select("text_id", F.when(F.col("r").isNull(), text).otherwise(made).alias("text"))
+def rewrite_segments(segments: DataFrame, strategy: str = "placeholder", keys: tuple[str, ...] = ("doc_id", "segment_id"), text_col: str = "text", **parameters) -> DataFrame:
+    """segments with their texts de-identified, all other columns as they are. keys name a segment."""
+    keyed = segments.withColumn("__key", F.struct(*keys))
+    found = detect(keyed, "__key", text_col, **parameters)
+    made = rewrite(keyed, name_replacements(found, strategy), "__key", text_col).toDF("__key", "__text")
+    return keyed.join(made, "__key").withColumn(text_col, F.col("__text")).select(*segments.columns)
 
 
 def coverage(found: DataFrame) -> DataFrame:

@@ -1,91 +1,126 @@
 """Position-tracked segments of documents: paragraphs, sentences and windows of sentences.
 
-All of it is column expressions: one split each for the pieces, a fold for their offsets. Offsets count code points
-from 0, half open; lines count from 1, paragraphs from 0.
+A text is walked once, in Arrow batches: pieces come as ranges, line breaks and paragraphs are found by bisection, so
+the work grows with the text's length and not with its square. Nothing shuffles. Offsets count code points from 0,
+half open; lines count from 1, paragraphs from 0. Null and blank texts have no segments.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from ..functions.text import is_blank, spans, ustrip
+Range = tuple[int, int]
 
-#: A paragraph: lines up to a blank one. Possessive, so that it never recurses over a long text.
-PARAGRAPH = r"(?U)[^\n]++(?:\n(?!\s*\n)[^\n]*+)*+"
+#: A paragraph: lines up to a blank one.
+PARAGRAPH = re.compile(r"[^\n]+(?:\n(?!\s*?\n)[^\n]*)*")
 #: Where sentences end, first by enders of both scripts and ellipses, else by an ender before white space.
-SENTENCE = r"""(?U)(?<=[。！？!?])(?:\s*(?=[^。！？!?\s）\)」』"'])|$)|(?<=\.{3})\s+|(?<=……)\s*"""
-SENTENCE_SIMPLE = r"(?U)(?<=[。！？.!?])\s+(?=\S)"
+SENTENCE = re.compile(r"""(?<=[。！？!?])(?:\s*(?=[^。！？!?\s）\)」』"'])|$)|(?<=\.{3})\s+|(?<=……)\s*""")
+SENTENCE_SIMPLE = re.compile(r"(?<=[。！？.!?])\s+(?=\S)")
+LINE = re.compile(r"\n")
+#: Segments in an Arrow batch.
+ROWS = 5_000
+
+
+def paragraphs_of(text: str) -> list[Range]:
+    return [m.span() for m in PARAGRAPH.finditer(text)]
+
+
+def between(text: str, cut: re.Pattern) -> list[Range]:
+    """The ranges that the matches of cut leave."""
+    cuts = [m.span() for m in cut.finditer(text)]
+    return list(zip([0, *[b for _, b in cuts]], [*[a for a, _ in cuts], len(text)], strict=True))
 
 
-def paragraphs_of(text: Column) -> Column:
-    """array<struct<span, start, end>>."""
-    return spans(text, PARAGRAPH)
+def stripped(text: str, a: int, b: int) -> Range:
+    piece = text[a:b]
+    a += len(piece) - len(piece.lstrip())
+    return a, a + len(piece.strip())
 
 
-def sentences_of(text: Column) -> Column:
-    """array<struct<span, start, end>> of stripped sentences."""
-    first, second = F.split(text, SENTENCE, -1), F.split(text, SENTENCE_SIMPLE, -1)
-    many = lambda parts: F.size(F.filter(parts, lambda x: F.lit(True))) > 1
-    parts = F.when(many(first), first).when(many(second), second).otherwise(F.split(text, "\n", -1))
-    clean = F.filter(F.transform(parts, ustrip), lambda x: x != "")
-    empty = F.array().cast("array<struct<span:string,start:int,end:int>>")
+def sentences_of(text: str) -> list[Range]:
+    """Ranges of stripped sentences, cut by the first of three patterns that cuts at all."""
+    found = next((x for x in (between(text, cut) for cut in (SENTENCE, SENTENCE_SIMPLE, LINE)) if len(x) > 1), [(0, len(text))])
+    return [(a, b) for a, b in (stripped(text, *x) for x in found) if a < b]
 
-    def step(acc: Column, x: Column) -> Column:
-        found = F.call_function("locate", x, text, acc["at"] + 1)
-        start = F.when(found > 0, found - 1).otherwise(acc["at"])
-        end = start + F.length(x)
-        item = F.struct(x.alias("span"), start.alias("start"), end.alias("end"))
-        return F.struct(end.alias("at"), F.array_append(acc["out"], item).alias("out"))
 
-    return F.aggregate(clean, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+class Places:
+    """Line and paragraph of an offset."""
 
+    def __init__(self, text: str):
+        self.breaks = [m.start() for m in LINE.finditer(text)]
+        self.paragraphs = paragraphs_of(text)
+        self.starts = [a for a, _ in self.paragraphs]
 
-def line_at(text: Column, offset: Column) -> Column:
-    before = F.substring(text, F.lit(1), offset)
-    return (F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).cast("int")
+    def of(self, a: int, b: int) -> tuple[int, int, int, int, int]:
+        """line_start, line_end, char_start, char_end, paragraph_index; from a gap, the last paragraph."""
+        k = bisect_right(self.starts, a) - 1
+        if k < 0 or a >= self.paragraphs[k][1]:
+            k = max(0, len(self.starts) - 1)
+        return bisect_left(self.breaks, a) + 1, bisect_left(self.breaks, max(a, b - 1)) + 1, a, b, k
 
 
-def paragraph_at(paragraphs: Column, offset: Column) -> Column:
-    """Number of the paragraph that holds offset; the last one from a gap."""
-    inside = F.transform(paragraphs, lambda p, k: F.when((p["start"] <= offset) & (offset < p["end"]), k))
-    return F.coalesce(F.array_min(inside), F.greatest(F.lit(0), F.size(paragraphs) - 1)).cast("int")
+def pieces(text: str, mode: str, window: int) -> Iterator[tuple]:
+    """Rows of segment() without the id."""
+    places = Places(text)
+    if mode != "context_window":
+        found = sentences_of(text) if mode == "sentence" else places.paragraphs
+        for k, (a, b) in enumerate(found, 1):
+            if clean := text[a:b].strip():
+                yield k, clean, *places.of(a, b)
+        return
+    cores, k, met = sentences_of(text), 0, None
+    for i, core in enumerate(cores):
+        around = cores[max(0, i - window)][0], cores[min(len(cores) - 1, i + window)][1]
+        if around == met:  # near the ends of a text windows repeat
+            continue
+        met, k, clean = around, k + 1, text[slice(*around)].strip()
+        yield k, clean, *places.of(*around), text[slice(*core)], max(0, core[0] - around[0]), min(len(clean), core[1] - around[0])
 
 
-def _position(text: Column, start: Column, end: Column, paragraphs: Column) -> list[Column]:
-    last = F.greatest(start, end - 1)
-    return [
-        line_at(text, start).alias("line_start"), line_at(text, last).alias("line_end"), start.cast("int").alias("char_start"),
-        end.cast("int").alias("char_end"), paragraph_at(paragraphs, start).alias("paragraph_index"),
-    ]
+_POSITION = ("line_start", "line_end", "char_start", "char_end", "paragraph_index")
+
+
+def _schema(id_field: StructField, mode: str) -> StructType:
+    out = [id_field, StructField("segment_id", IntegerType()), StructField("text", StringType()), *[StructField(n, IntegerType()) for n in _POSITION]]
+    if mode == "context_window":
+        out += [StructField("core_sentence", StringType()), StructField("core_start", IntegerType()), StructField("core_end", IntegerType())]
+    return StructType(out)
 
 
 def segment(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode: str = "paragraph", window: int = 2) -> DataFrame:
     """(id, segment_id, text, line_start, line_end, char_start, char_end, paragraph_index), and for windows
-    core_sentence, core_start, core_end. mode: paragraph (also for unknown names), sentence, context_window."""
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where(~is_blank(F.col("t"))).withColumn("p", paragraphs_of(F.col("t")))
-    if mode == "context_window":
-        return _windows(rows, id_col, window)
-    pieces = sentences_of(F.col("t")) if mode == "sentence" else F.col("p")
-    out = rows.select("id", "t", "p", F.posexplode(pieces).alias("k", "s"))
-    out = out.select(F.col("id").alias(id_col), (F.col("k") + 1).alias("segment_id"), ustrip(F.col("s.span")).alias("text"), *_position(F.col("t"), F.col("s.start"), F.col("s.end"), F.col("p")))
-    return out.where("text != ''")
-
-
-def _windows(rows: DataFrame, id_col: str, n: int) -> DataFrame:
-    """Windows of n sentences to both sides, within the row's array: no shuffle."""
-    s = rows.withColumn("s", sentences_of(F.col("t")))
-    last = F.size("s") - 1
-    made = F.transform("s", lambda x, k: F.struct(F.element_at("s", F.greatest(F.lit(0), k - n) + 1)["start"].alias("a"), F.element_at("s", F.least(last, k + n) + 1)["end"].alias("b"), x.alias("core")))
-    out = s.select("id", "t", "p", F.posexplode(made).alias("k", "w"))
-    same = Window.partitionBy("id", "w.a", "w.b").orderBy("k")
-    out = out.withColumn("first", F.row_number().over(same)).where("first = 1").withColumn("segment_id", F.row_number().over(Window.partitionBy("id").orderBy("k")))
-    a, b, core = F.col("w.a"), F.col("w.b"), F.col("w.core")
-    text = ustrip(F.substring(F.col("t"), a + 1, b - a))
-    return out.select(
-        F.col("id").alias(id_col), "segment_id", text.alias("text"), *_position(F.col("t"), a, b, F.col("p")), core["span"].alias("core_sentence"),
-        F.greatest(F.lit(0), core["start"] - a).alias("core_start"), F.least(F.length(text), core["end"] - a).alias("core_end"),
-    )
+    core_sentence, core_start, core_end. mode: paragraph (also for unknown names), sentence, context_window.
+    Rows that repeat an id are segmented each by itself."""
+    rows = df.select(F.col(id_col).alias(id_col), F.col(text_col).alias("__t"))
+    schema = _schema(rows.schema[0], mode)
+    names = schema.names
+    kinds = [pa.string() if isinstance(f.dataType, StringType) else pa.int32() for f in schema.fields[1:]]
+
+    def batch_of(ids: pa.Array, owners: list[int], made: list[tuple]) -> pa.RecordBatch:
+        columns = [pa.array(c, kind) for c, kind in zip(zip(*made, strict=True), kinds, strict=True)]
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(owners, pa.int64())), *columns], names=names)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, owners, made = batch.column(0), [], []
+            for i, text in enumerate(batch.column(1)):
+                for row in pieces(text.as_py() or "", mode, window):
+                    owners.append(i)
+                    made.append(row)
+                    if len(made) == ROWS:
+                        yield batch_of(ids, owners, made)
+                        owners, made = [], []
+            if made:
+                yield batch_of(ids, owners, made)
+
+    return rows.mapInArrow(walk, schema)
 
 
 def preview(segments: DataFrame, most: int = 120) -> DataFrame:

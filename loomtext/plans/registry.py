@@ -320,10 +320,10 @@ _WEIGHTS = """tf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(reg
     weights AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS weight FROM raw)"""
 
 
-@query("e10_diversity", f"""WITH src AS (SELECT item_id AS id, text FROM benchmark), {_WEIGHTS}, s AS (SELECT sum(s * s) AS total, sum(q) AS own FROM (SELECT sum(weight) AS s, sum(weight * weight) AS q FROM weights GROUP BY term))
+@query("e10_diversity", f"""WITH src AS (SELECT doc_id AS id, text FROM documents), {_WEIGHTS}, s AS (SELECT sum(s * s) AS total, sum(q) AS own FROM (SELECT sum(weight) AS s, sum(weight * weight) AS q FROM weights GROUP BY term))
     SELECT n, round(1 - (total - own) / (n * (n - 1)), 4)::DOUBLE AS diversity FROM s, (SELECT count(DISTINCT id) AS n FROM weights)""")
 def e10_diversity(spark, d):
-    return tfidf.diversity(tfidf.tfidf(table(spark, d, "benchmark"), "item_id", "text"))
+    return tfidf.diversity(tfidf.tfidf(_docs(spark, d), "doc_id", "text"))
 
 
 # advice
@@ -464,6 +464,24 @@ def i7_i9_review(spark, d):
     return rows.groupBy("action").agg(F.count("*").alias("n"))
 
 
+@query("i8_apply_review", r"""SELECT doc_id AS text_id, CASE coalesce(action, 'pending') WHEN 'rejected' THEN text ELSE
+    regexp_replace(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b', CASE action WHEN 'edited' THEN value ELSE '[REDACTED]' END, 'g') END AS text
+    FROM documents LEFT JOIN last_log ON doc_id = item_id""", "last_log")
+def i8_apply_review(spark, d):
+    """Every span of a document takes the last action on the document."""
+    docs, path = _docs(spark, d), _scratch(spark)
+    pii.name_replacements(pii.detect(docs, kinds=("EMAIL",)), "redact").write.parquet(path)
+    found = spark.read.parquet(path)
+    log = found.select("text_id", "start").join(inputs.action_log(spark, d).withColumnRenamed("item_id", "text_id"), "text_id")
+    return pii.apply_review(docs, found, log)
+
+
+@query("i10_segments", r"SELECT doc_id, k::INT AS segment_id, regexp_replace(trim(text, ' ' || chr(10)), '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b', '[REDACTED]', 'g') AS text FROM turns", "turns")
+def i10_segments(spark, d):
+    segments = segment.segment(inputs.transcripts(spark, d)).select("doc_id", "segment_id", "text")
+    return pii.rewrite_segments(segments, "redact", kinds=("EMAIL",))
+
+
 # replies
 
 
@@ -629,9 +647,9 @@ def m5_questions(spark, d):
 # TF-IDF
 
 
-@query("p1_tfidf", f"WITH src AS (SELECT item_id AS id, text FROM benchmark), {_WEIGHTS} SELECT id, term, round(weight, 6)::DOUBLE AS weight FROM weights")
+@query("p1_tfidf", f"WITH src AS (SELECT doc_id AS id, text FROM documents), {_WEIGHTS} SELECT id, term, round(weight, 6)::DOUBLE AS weight FROM weights")
 def p1_tfidf(spark, d):
-    return tfidf.tfidf(table(spark, d, "benchmark"), "item_id", "text").withColumn("weight", F.round("weight", 6))
+    return tfidf.tfidf(_docs(spark, d), "doc_id", "text").withColumn("weight", F.round("weight", 6))
 
 
 @query("p2_themes")
@@ -672,10 +690,12 @@ def c7_confirm(spark, d):
     return profile.confirm_columns(inputs.labelled(spark, d), "text", "quality")
 
 
-@query("c10_bridge", "SELECT text FROM turns WHERE k % 2 = 0", "turns")
+@query("c10_bridge", "SELECT text FROM turns LEFT JOIN last_log ON k = item_id WHERE coalesce(action, 'pending') <> 'rejected'", "turns last_log")
 def c10_bridge(spark, d):
-    segments = segment.segment(inputs.transcripts(spark, d)).where("segment_id % 2 = 0")
-    return segments.select("text")
+    """Segments that a review didn't reject go on as texts; a number of a segment has one review in all documents."""
+    segments = segment.segment(inputs.transcripts(spark, d)).withColumnRenamed("segment_id", "item_id")
+    kept = review.reviewed(segments, inputs.action_log(spark, d), ["item_id"], "text").where("action != 'rejected'")
+    return kept.select("text")
 
 
 @query("d5_report", f"""WITH p AS (SELECT a AS x, b AS y FROM coders_wide), {_MARGINS},
