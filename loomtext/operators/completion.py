@@ -1,13 +1,19 @@
 """Language-model operators: providers, cost, prompts, and parsing of replies.
 
-A provider turns prompts into replies inside ``mapInPandas``; the one shipped answers from a table, so that every
-operator runs offline. Parsing is column expressions, and rows that need no call are filtered out before one.
+A provider turns prompts into replies inside ``mapInPandas``, some at a time in each task. One answers from a table, so
+that every operator runs offline; the others speak to chat services over HTTP. Calls that would cost more than a limit
+aren't made unless asked for. Parsing is column expressions, and rows that need no call are filtered out before one.
 """
 
 from __future__ import annotations
 
+import json
 import time
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
@@ -44,6 +50,71 @@ class Transient(Exception):
     """A failure that is worth another attempt."""
 
 
+class CostLimitExceeded(Exception):
+    """The estimate of what a run would cost is above the limit."""
+
+    def __init__(self, estimate: dict):
+        super().__init__(f"estimated {estimate['dollars']} dollars for {estimate['n_prompts']} prompts")
+        self.estimate = estimate
+
+
+#: Where each kind of service listens, and its path for chats.
+SERVICES = {
+    "openai": ("https://api.openai.com", "/v1/chat/completions"),
+    "anthropic": ("https://api.anthropic.com", "/v1/messages"),
+    "ollama": ("http://localhost:11434", "/api/chat"),
+}
+
+
+@dataclass(frozen=True)
+class ChatService:
+    """A provider over HTTP. It is sent to the workers as it is, key included; base_url points it at another host."""
+
+    service: str
+    model: str
+    key: str = ""
+    base_url: str | None = None
+    temperature: float = 0.0
+    max_tokens: int = 512
+    timeout: float = 60.0
+
+    def __post_init__(self):
+        if self.service not in SERVICES:
+            raise ValueError(f"unknown service {self.service!r}; known: {', '.join(SERVICES)}")
+
+    def request(self, prompt: str, system: str = "") -> urllib.request.Request:
+        host, path = SERVICES[self.service]
+        turns = [{"role": "user", "content": prompt}]
+        body: dict = {"model": self.model, "messages": turns}
+        headers = {"Content-Type": "application/json"}
+        if self.service == "anthropic":
+            body |= {"max_tokens": self.max_tokens, "temperature": self.temperature} | ({"system": system} if system else {})
+            headers |= {"x-api-key": self.key, "anthropic-version": "2023-06-01"}
+        else:
+            if system:
+                turns.insert(0, {"role": "system", "content": system})
+            if self.service == "openai":
+                body |= {"max_tokens": self.max_tokens, "temperature": self.temperature}
+                headers["Authorization"] = f"Bearer {self.key}"
+            else:
+                body |= {"stream": False, "options": {"temperature": self.temperature, "num_predict": self.max_tokens}}
+        return urllib.request.Request((self.base_url or host).rstrip("/") + path, json.dumps(body).encode(), headers)
+
+    def complete(self, prompt: str, system: str = "") -> str:
+        try:
+            with urllib.request.urlopen(self.request(prompt, system), timeout=self.timeout) as reply:
+                found = json.load(reply)
+        except urllib.error.HTTPError as e:
+            if e.code == 429 or e.code >= 500:
+                raise Transient(str(e)) from e
+            raise
+        except (urllib.error.URLError, TimeoutError, ConnectionError) as e:
+            raise Transient(str(e)) from e
+        if self.service == "anthropic":
+            return "".join(part.get("text", "") for part in found["content"])
+        return (found["choices"][0]["message"] if self.service == "openai" else found["message"])["content"]
+
+
 def with_retries(provider: Provider, prompt: str, system: str = "", attempts: int = 3, sleep: Callable[[float], None] = time.sleep) -> str | None:
     """The reply, or None after so many transient failures; waits 1, 2, 4 seconds, 30 at most."""
     for k in range(attempts):
@@ -54,13 +125,25 @@ def with_retries(provider: Provider, prompt: str, system: str = "", attempts: in
     return None
 
 
-def complete(df: DataFrame, provider: Provider, prompt_col: str = "prompt", system: str = "", parallelism: int | None = None) -> DataFrame:
-    """df with reply (null for failures). parallelism bounds concurrent calls by the number of partitions."""
+def complete(
+    df: DataFrame, provider: Provider, prompt_col: str = "prompt", system: str = "", parallelism: int | None = None, concurrency: int = 1,
+    model: str | None = None, max_tokens: int = 512, cost_limit: float | None = None,
+) -> DataFrame:
+    """df with reply (null for failures and for null prompts). parallelism is the number of tasks, concurrency that of
+    calls at a time in each. With a model, CostLimitExceeded is raised before any call if the estimate of the costs of
+    prompts and system prompt exceeds cost_limit (COST_LIMIT by default; infinity asks for the calls anyway)."""
+    if model is not None:
+        whole = df.select(F.concat_ws(" ", F.lit(system), F.col(prompt_col)).alias("prompt"))
+        estimate = estimate_cost(whole, "prompt", model, price_table(df.sparkSession), max_tokens).first().asDict()
+        if (estimate["dollars"] or 0) > (COST_LIMIT if cost_limit is None else cost_limit):
+            raise CostLimitExceeded(estimate)
     rows = df.repartition(parallelism) if parallelism else df
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.assign(reply=[with_retries(provider, p, system) for p in batch[prompt_col]])
+        with ThreadPoolExecutor(max(1, concurrency)) as pool:
+            for batch in batches:
+                replies = pool.map(lambda p: None if p is None else with_retries(provider, p, system), batch[prompt_col])
+                yield batch.assign(reply=list(replies))
 
     schema = rows.withColumn("reply", F.lit(None).cast("string")).schema
     return rows.mapInPandas(walk, schema)
