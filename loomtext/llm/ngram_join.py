@@ -2,23 +2,27 @@
 
 A text's set is that of its distinct word n-grams, as hashes of 64 bits, of which 48 and the number of the bucket are
 compared (see ``_narrow``); nothing else is approximate. Two sets link when their Jaccard similarity
-reaches the threshold. N-grams are ordered globally by their document frequency, then hash. Of a set of n, any set
-that reaches the threshold shares at least ``l`` of the first ``n - ceil(threshold * n) + l`` n-grams, for every l. So
-each document takes the l (1 to ``levels``) for which its prefix promises the least work: the members of its n-grams'
-lists that will be read, and the pairs that must share l of them to be verified. A pair is held to the smaller l of its
-two documents. N-grams that no other document has come first in the order and are never emitted: a document in which
-more than ``1 - threshold`` of them are such has no partner and drops out before any join.
+reaches the threshold. N-grams are ordered globally by their document frequency, then hash. Sets of n and m that link
+have at least ``o`` = ceil(t (n + m) / (1 + t)) n-grams in common, so for every l they share at least l of the first
+``n - o + l`` and ``m - o + l``. Each document takes the l (1 to ``levels``) for which its prefix, that for the smallest
+partner, promises the least work: the members of its n-grams' lists that will be read, and the pairs that must share l
+of them to be verified. A pair is held to the smaller l of its two documents and to the prefixes for its two sizes, in
+small lists, long lists and neighbourhoods alike, before its whole sets are compared. N-grams that no other document has
+come first in the order and are never emitted: a document in which more than ``1 - threshold`` of them are such has no
+partner and drops out before any join.
 
 The result is components, not pairs. Small lists give all their pairs. A long list gives the pairs with its first
-member only (of fewest own n-grams, so the most central), and these are verified at once; what remains of the hub's
-neighbourhood outside its largest component is then compared exactly with the whole neighbourhood, in blocks. Pairs
-inside one component aren't verified again, so a group of n near copies costs about n comparisons and not n squared,
-and no link between components is lost.
+member (of fewest own n-grams, so the most central); of the hub's neighbourhood, what remains outside its largest
+component is then looked up in the whole neighbourhood by prefix n-gram and size, in blocks. Pairs inside one component
+aren't verified again, so a group of n near copies costs about n comparisons and not n squared, and no link between
+components is lost. A list in which no member can meet one of its own size or larger gives nothing: a passage shared by
+many documents that don't link, as long as they are of like size, costs its tokens and no pairs.
 
 Scale: equal sets collapse into a class first, so copies don't count. Frequencies take one shuffle of the hashes as
 binary blocks, dealt by hash; n-grams that ``1/hot`` of all documents hold or more (``hot`` times the mean set, at
 most) are found by an exact count of what is frequent in any task, broadcast, and pass by the counting. Only documents
-that can have a partner go on with their sets. Hub pairs are salted; lists are streamed with ``small`` members held.
+that can have a partner go on with their sets. Hub pairs are salted; lists are streamed with ``small`` members held, and
+the longest ones aren't gathered at all (see ``candidate_pairs``).
 
 Defined cases: ids are integers. Null, empty and blank texts have an empty set and are components of their own; so is
 a row with a null id (its component is null). A text of fewer than n words is one n-gram. Repeated rows and copies share a component.
@@ -121,6 +125,11 @@ def needed(size: int, threshold_percent: int) -> int:
     return -(-threshold_percent * size // 100)
 
 
+def overlap(a, b, percent: int):
+    """Least overlap of sets of sizes a and b that link."""
+    return -(-percent * (a + b) // (100 + percent))
+
+
 def choose_level(df: np.ndarray, n: int, own: int, percent: int, levels: int) -> int:
     """The l of least estimated work: entries read from the lists of the prefix, and pairs that then share l of it.
     df: frequencies of the set's n-grams that others hold, ascending; own: how many no other holds."""
@@ -183,9 +192,9 @@ def _hot(profile: DataFrame, n_docs: int, hot: int) -> np.ndarray:
     return np.sort(rows.view(np.uint64))
 
 
-def repeated_ngrams(rows: DataFrame, profile: DataFrame, n: int, percent: int, hot: int) -> DataFrame:
-    """(cls, n_shingles, grams, df): for each class of equal sets that can have a partner, its n-grams that other
-    classes hold, in the global order, with the frequencies, as binary uint64 and uint32. cls: the digest's head."""
+def repeated_ngrams(rows: DataFrame, profile: DataFrame, n: int, percent: int, levels: int, hot: int) -> DataFrame:
+    """(cls, n_shingles, most, grams): for each class of equal sets that can have a partner, its l and its n-grams that
+    other classes hold, in the global order, as binary uint64. cls: the digest's head."""
     spark = rows.sparkSession
     total, n_docs = profile.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)), F.count("*")).first()
     buckets, homes = max(1, total // PER_BUCKET + 1), max(1, total // PER_HOME + 1)
@@ -214,11 +223,11 @@ def repeated_ngrams(rows: DataFrame, profile: DataFrame, n: int, percent: int, h
 
     def gather(table: pa.Table) -> pa.Table:
         release()
-        return gathered(table, percent)
+        return gathered(table, percent, levels)
 
     blocks = rows.select("text").mapInArrow(lean(deal), "b int, h binary, cls binary, n binary, run binary, hot boolean")
     found = blocks.groupBy("b").applyInArrow(count, "home int, cls binary, n binary, run binary, h binary, df binary")
-    return found.groupBy("home").applyInArrow(gather, "cls long, n_shingles long, grams binary, df binary")
+    return found.groupBy("home").applyInArrow(gather, "cls long, n_shingles long, most int, grams binary")
 
 
 def class_of(x: np.ndarray) -> int:
@@ -332,7 +341,7 @@ def counted(table: pa.Table, homes: int, n_docs: int) -> pa.Table:
     return pa.table([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["home", "cls", "n", "run", "h", "df"])
 
 
-def gathered(table: pa.Table, percent: int) -> pa.Table:
+def gathered(table: pa.Table, percent: int, levels: int) -> pa.Table:
     """One row for each class that can have a partner."""
     h, df = _joined(table, "h", np.uint64), _joined(table, "df", np.uint32)
     cls, n = _owners(table)
@@ -345,60 +354,79 @@ def gathered(table: pa.Table, percent: int) -> pa.Table:
         if k > 1:
             once = np.concatenate([[True], grams[1:] != grams[:-1]])  # hot n-grams of copies from several tasks
             grams, freq = grams[once], freq[once]
-        if len(grams) >= needed(int(n[a]), percent):
-            for column, value in zip(out, (int(cls[a]), int(n[a]), grams.tobytes(), freq.tobytes()), strict=True):
+        size = int(n[a])
+        if len(grams) >= needed(size, percent):
+            most = choose_level(freq, size, size - len(grams), percent, levels)
+            for column, value in zip(out, (int(cls[a]), size, most, grams.tobytes()), strict=True):
                 column.append(value)
-    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
-    return pa.table([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["cls", "n_shingles", "grams", "df"])
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
+    return pa.table([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["cls", "n_shingles", "most", "grams"])
+
 
+def prefix_end(n, held, most, percent: int):
+    """How many of the held n-grams of a set of n belong to its longest prefix, that for partners of least size."""
+    return np.clip(n - needed(n, percent) + most - (n - held), 0, held)
 
-def prefix_tokens(sets: DataFrame, percent: int, levels: int) -> DataFrame:
-    """(gram, own, id, level, most): each document's prefix; level: the first l whose prefix has the n-gram."""
+
+def prefix_tokens(sets: DataFrame, percent: int) -> DataFrame:
+    """(gram, id, n, own, pos, most, down): each document's prefix; pos: the place in the global order, among all of the
+    set's n-grams; down: 1 if by this n-gram only partners smaller than the set can be met, else 0."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list[np.ndarray]] = [[] for _ in range(5)]
-            for key, n, grams, df in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                grams, df = np.frombuffer(grams, dtype=np.int64), np.frombuffer(df, dtype=np.uint32)
-                own = n - len(grams)
-                most = choose_level(df, n, own, percent, levels)
-                base = n - needed(n, percent) + 1 - own  # n-grams of the prefix at level 1 that others hold
-                end = max(0, min(len(grams), base + most - 1))
-                level = np.maximum(1, np.arange(end) - base + 2)
-                for column, value in zip(out, (grams[:end], np.full(end, own), np.full(end, key), level, np.full(end, most)), strict=True):
+            out: list[list[np.ndarray]] = [[] for _ in range(7)]
+            for key, n, most, grams in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                grams = np.frombuffer(grams, dtype=np.int64)
+                own, end = n - len(grams), int(prefix_end(n, len(grams), most, percent))
+                pos = own + np.arange(end)
+                down = pos >= n - overlap(n, n, percent) + most
+                for column, value in zip(out, (grams[:end], *(np.full(end, x) for x in (key, n, own)), pos, np.full(end, most), down), strict=True):
                     column.append(value)
-            columns = [pa.array(np.concatenate(x).astype(t)) for x, t in zip(out, (np.int64, np.int64, np.int64, np.int32, np.int32), strict=True)]
-            yield pa.RecordBatch.from_arrays(columns, names=["gram", "own", "id", "level", "most"])
+            kinds = (np.int64, np.int64, np.int64, np.int64, np.int64, np.int32, np.int32)
+            columns = [pa.array(np.concatenate(x).astype(t)) for x, t in zip(out, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names=["gram", "id", "n", "own", "pos", "most", "down"])
 
-    return sets.select("id", "n_shingles", "grams", "df").mapInArrow(lean(walk), "gram long, own long, id long, level int, most int")
+    return sets.select("id", "n_shingles", "most", "grams").mapInArrow(lean(walk), "gram long, id long, n long, own long, pos long, most int, down int")
 
 
-def candidate_pairs(tokens: DataFrame, small: int) -> DataFrame:
-    """(hub, id, level, star): all pairs of small lists with the level they share; of long lists those with the hub."""
+def candidate_pairs(tokens: DataFrame, small: int, percent: int, long_list: int) -> DataFrame:
+    """(hub, id, level, star): all pairs of small lists that the shared n-gram counts for, with the number they have to
+    share; of long lists those with the hub. tokens: a written table. In any pair the set that isn't larger must meet the
+    other by an n-gram that isn't down, so lists of nothing else give nothing. Lists of more than ``long_list`` tokens
+    and 1/10000 of all (10,000 lists at most) learn their hub by a minimum and a broadcast; no task holds such a list."""
+    many = tokens.groupBy("gram").count().where(F.col("count") > max(long_list, tokens.count() // 10_000))
+    many = written(many.select("gram"), "many")
+    theirs = tokens.join(F.broadcast(many), "gram")
+    heads = theirs.where("down = 0").groupBy("gram").agg(F.min_by("id", F.struct("own", "id")).alias("hub"))
+    stars = theirs.join(F.broadcast(heads), "gram").select("hub", "id", F.lit(0).alias("level"), F.lit(True).alias("star"))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gram, held, long, out = None, [], False, []
 
         def close():
-            if not long:
-                for i, (a, la, ma) in enumerate(held):
-                    for b, lb, mb in held[i + 1 :]:
-                        level = max(la, lb)
-                        if level <= min(ma, mb):
-                            out.append((min(a, b), max(a, b), min(ma, mb), False))
+            if not long and held and not held[0][4]:  # those that aren't down come first
+                for i, (a, na, pa_, ma, down) in enumerate(held):
+                    if down:
+                        break
+                    for b, nb, pb, mb, _ in held[i + 1 :]:
+                        level, least = min(ma, mb), overlap(na, nb, percent)
+                        if least <= min(na, nb) and pa_ < na - least + level and pb < nb - least + level:
+                            out.append((min(a, b), max(a, b), level, False))
 
         for batch in batches:
-            for g, key, level, most in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for g, *entry in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
                 if g != gram:
                     close()
                     gram, held, long = g, [], False
                 if long:
-                    out.append((held[0][0], key, 0, True))
+                    if not held[0][4]:
+                        out.append((held[0][0], entry[0], 0, True))
                 else:
-                    held.append((key, level, most))
+                    held.append(entry)
                     if len(held) > small:
                         long = True
-                        out += [(held[0][0], x[0], 0, True) for x in held[1:]]
+                        if not held[0][4]:
+                            out += [(held[0][0], x[0], 0, True) for x in held[1:]]
                         held = held[:1]
             if len(out) > 50_000:
                 yield _pairs(out)
@@ -406,8 +434,9 @@ def candidate_pairs(tokens: DataFrame, small: int) -> DataFrame:
         close()
         yield _pairs(out)
 
-    dealt = tokens.repartition("gram").sortWithinPartitions("gram", "own", "id").select("gram", "id", "level", "most")
-    return dealt.mapInArrow(lean(walk), "hub long, id long, level int, star boolean").where("hub != id")
+    rest = tokens.join(F.broadcast(many), "gram", "left_anti").repartition("gram").sortWithinPartitions("gram", "down", "own", "id")
+    pairs = rest.select("gram", "id", "n", "pos", "most", "down").mapInArrow(lean(walk), "hub long, id long, level int, star boolean")
+    return pairs.unionByName(stars).where("hub != id")
 
 
 def _pairs(out: list) -> pa.RecordBatch:
@@ -415,24 +444,31 @@ def _pairs(out: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], names=["hub", "id", "level", "star"])
 
 
-def _links(grams_a: np.ndarray, n_a: int, grams_b: np.ndarray, n_b: int, percent: int) -> bool:
-    common = len(np.intersect1d(grams_a, grams_b, assume_unique=True))
-    return 100 * common >= percent * (n_a + n_b - common)
+def _links(a: np.ndarray, n_a: int, most_a: int, b: np.ndarray, n_b: int, most_b: int, percent: int) -> bool:
+    """Whether two sets, in the global order, link. First the prefixes for their sizes must share enough."""
+    least, level = overlap(n_a, n_b, percent), min(most_a, most_b)
+    if least > min(len(a), len(b)):
+        return False
+    ends = (max(0, level - least + len(x)) for x in (a, b))  # n - least + level, less those that no other holds
+    if len(np.intersect1d(*(x[:end] for x, end in zip((a, b), ends, strict=True)), assume_unique=True)) < level:
+        return False
+    return len(np.intersect1d(a, b, assume_unique=True)) >= least
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int, salts: int = 64) -> DataFrame:
     """(hub, id, star, link): the pairs with what their sets say. A hub's set goes to the salts that ask for it."""
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
-    member = sets.select("id", F.col("n_shingles").alias("n"), "grams")
-    center = sets.select(F.col("id").alias("hub"), F.col("n_shingles").alias("hub_n"), F.col("grams").alias("hub_grams"))
+    member = sets.select("id", F.col("n_shingles").alias("n"), "most", "grams")
+    center = sets.select(F.col("id").alias("hub"), *[F.col(c).alias(f"hub_{c}") for c in ("n_shingles", "most", "grams")])
     center = salted.select("hub", "salt").distinct().join(center, "hub")
-    both = salted.join(member, "id").join(center, ["hub", "salt"]).select("hub", "id", "star", "n", "grams", "hub_n", "hub_grams")
+    both = salted.join(member, "id").join(center, ["hub", "salt"])
+    both = both.select("hub", "id", "star", "grams", "n", "most", "hub_grams", "hub_n_shingles", "hub_most")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, grams, hub_n, hub_grams = (batch.column(k).to_pylist() for k in range(3, 7))
             link = [
-                _links(np.frombuffer(x, dtype=np.uint64), a, np.frombuffer(y, dtype=np.uint64), b, percent) for a, x, b, y in zip(n, grams, hub_n, hub_grams, strict=True)
+                _links(np.frombuffer(x, dtype=np.uint64), n, most, np.frombuffer(y, dtype=np.uint64), hub_n, hub_most, percent)
+                for x, n, most, y, hub_n, hub_most in zip(*(batch.column(k).to_pylist() for k in range(3, 9)), strict=True)
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(link, pa.bool_())], names=["hub", "id", "star", "link"])
 
@@ -449,13 +485,13 @@ def remaining_links(stars: DataFrame, labels: DataFrame, sets: DataFrame, percen
     largest = parts.groupBy("hub").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.sum("n").alias("n"), F.count("*").alias("parts"))
     largest = written(largest.where("parts > 1"), "largest")
     inside = around.join(largest.drop("parts"), "hub").withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int"))
-    inside = inside.join(sets.select("id", "n_shingles", "grams"), "id")
-    every = inside.withColumn("c", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).select("hub", "c", "id", "component", F.col("n_shingles").alias("n"), "grams")
+    inside = inside.join(sets.select("id", F.col("n_shingles").alias("n_all"), "most", "grams"), "id")
+    every = inside.withColumn("c", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).select("hub", "c", "id", "component", F.col("n_all").alias("n"), "most", "grams")
     rest = inside.where("component != largest").withColumn("c", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     # what is outside the largest component is dealt too, in blocks, so that a task has a chunk of each side
-    rest = rest.withColumn("r", F.pmod(F.xxhash64("id", F.lit(3)), F.col("chunks")).cast("int")).select("hub", "c", "r", "id", "component", F.col("n_shingles").alias("n"), "grams")
+    rest = rest.withColumn("r", F.pmod(F.xxhash64("id", F.lit(3)), F.col("chunks")).cast("int")).select("hub", "c", "r", "id", "component", F.col("n_all").alias("n"), "most", "grams")
     rest = rest.toDF(*rest.columns)  # names of their own, since both sides come from one table
-    every = every.join(rest.select("hub", "c", "r").distinct().toDF("hub", "c", "r"), ["hub", "c"]).select("hub", "c", "r", "id", "component", "n", "grams")
+    every = every.join(rest.select("hub", "c", "r").distinct().toDF("hub", "c", "r"), ["hub", "c"]).select("hub", "c", "r", "id", "component", "n", "most", "grams")
     every = every.toDF(*every.columns)
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -468,33 +504,51 @@ def remaining_links(stars: DataFrame, labels: DataFrame, sets: DataFrame, percen
 
 
 def between(rest: pa.Table, every: pa.Table, percent: int) -> list[tuple[int, int]]:
-    """One link from each document of rest to each other component of every, where there is one."""
-    ids, comps, n = (every.column(c).to_numpy() for c in ("id", "component", "n"))
-    grams = [np.frombuffer(x, dtype=np.uint64) for x in every.column("grams").to_pylist()]
-    held = np.array([len(x) for x in grams], dtype=np.int64)
+    """One link from each document of rest to each other component of every, where there is one. Candidates share as many
+    n-grams of their prefixes, for their sizes, as the smaller l of the two says; partners are looked up by size."""
+    ids, comps, n, most = (every.column(c).to_numpy() for c in ("id", "component", "n", "most"))
     if not len(ids) or not rest.num_rows:
         return []
-    flat, owner = np.concatenate(grams), np.repeat(np.arange(len(grams)), held)
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
+    sets = [np.frombuffer(x, dtype=np.uint64) for x in every.column("grams").to_pylist()]
+    held = np.array([len(x) for x in sets], dtype=np.int64)
+    ends = prefix_end(n, held, most, percent)
+    owner = np.repeat(np.arange(len(sets)), ends)
+    pos = np.arange(len(owner)) - np.repeat(np.cumsum(ends) - ends, ends) + (n - held)[owner]
+    grams, number = np.unique(np.concatenate([x[:end] for x, end in zip(sets, ends, strict=True)]), return_inverse=True)
+    if not len(grams):
+        return []
+    top = int(n.max()) + 1
+    key = number * top + n[owner]
+    order = np.argsort(key, kind="stable")
+    key, owner, pos = key[order], owner[order], pos[order]
     out = []
-    for a, comp, size, blob in zip(*(rest.column(c).to_pylist() for c in ("id", "component", "n", "grams")), strict=True):
+    for a, comp, size, level, blob in zip(*(rest.column(c).to_pylist() for c in ("id", "component", "n", "most", "grams")), strict=True):
         mine = np.frombuffer(blob, dtype=np.uint64)
-        lo, hi = np.searchsorted(flat, mine, "left"), np.searchsorted(flat, mine, "right")
-        width = hi - lo
-        at = np.repeat(lo - np.concatenate([[0], np.cumsum(width)[:-1]]), width) + np.arange(width.sum())
-        common = np.bincount(owner[at], minlength=len(ids))
-        linked = np.flatnonzero((100 * common >= percent * (size + n - common)) & (comps != comp) & (common > 0))
-        seen: set[int] = set()
-        for k in linked:
-            if comps[k] not in seen:
+        prefix = mine[: int(prefix_end(size, len(mine), level, percent))]
+        place = np.minimum(np.searchsorted(grams, prefix), len(grams) - 1)
+        hit = np.flatnonzero(grams[place] == prefix)
+        place, at = place[hit], size - len(mine) + hit
+        # by an n-gram at this place only partners between these sizes can have enough in common
+        fewest = min(needed(size, percent), top)
+        largest = np.clip((100 + percent) * (size - at + level - 1) // percent - size, fewest - 1, top - 1)
+        lo, hi = np.searchsorted(key, place * top + fewest), np.searchsorted(key, place * top + largest, "right")
+        width = np.maximum(0, hi - lo)
+        found = np.repeat(lo - np.cumsum(width) + width, width) + np.arange(width.sum())
+        b = owner[found]
+        least, levels = overlap(size, n[b], percent), np.minimum(level, most[b])
+        counts = (np.repeat(at, width) < size - least + levels) & (pos[found] < n[b] - least + levels)
+        shared = np.bincount(b[counts], minlength=len(ids))
+        seen = {comp}
+        for k in np.flatnonzero((shared >= np.minimum(level, most)) & (comps != comp)).tolist():
+            if comps[k] not in seen and len(np.intersect1d(mine, sets[k], assume_unique=True)) >= overlap(size, int(n[k]), percent):
                 seen.add(comps[k])
                 out.append((a, int(ids[k])))
     return out
 
 
 def jaccard_components(
-    df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75, levels: int = 4, small: int = 8, hot: int = 200, chunk: int = 1024
+    df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75, levels: int = 4, small: int = 8, hot: int = 200,
+    chunk: int = 1024, long_list: int = 100,
 ) -> DataFrame:
     """(id, n_shingles, component_id) for each row of df."""
     rows = only(df, id_col, text_col).toDF("id", "text")
@@ -502,13 +556,14 @@ def jaccard_components(
     profile = written(profiles(rows, n), "profiles")
     docs = profile.select("id", "n_shingles", "cls", "digest")
     classes = written(docs.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("first"), F.first("cls").alias("cls")), "classes")
-    found = repeated_ngrams(rows.where("id is not null"), profile, n, percent, hot)
+    found = repeated_ngrams(rows.where("id is not null"), profile, n, percent, levels, hot)
     # a class goes on under its smallest id; the profile has made the same digests
     named = classes.select("cls", F.col("first").cast("long").alias("id"))
-    sets = written(found.join(named, "cls").select("id", "n_shingles", "grams", "df"), "sets")
+    sets = written(found.join(named, "cls").select("id", "n_shingles", "most", "grams"), "sets")
 
-    tokens = prefix_tokens(sets, percent, levels)
-    found = pairs = written(candidate_pairs(tokens, small), "pairs")
+    tokens = written(prefix_tokens(sets, percent), "tokens")
+    found = pairs = written(candidate_pairs(tokens, small, percent, long_list), "pairs")
+    deleted(tokens)
     few = pairs.where("not star").groupBy("hub", "id", "level").count().where(F.col("count") >= F.col("level"))
     pairs = few.select("hub", "id", F.lit(False).alias("star")).unionByName(pairs.where("star").select("hub", "id", "star")).groupBy("hub", "id").agg(F.max("star").alias("star"))
     checked = written(verified(pairs, sets, percent), "checked")

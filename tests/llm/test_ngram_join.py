@@ -52,10 +52,10 @@ def corpus(seed):
     return [*out, None, "", "  ", "one two", "One  two", "one two three", "same " * 3000, "same " * 5000, "é É x y z", "É É x y z"]
 
 
-@pytest.mark.parametrize(("seed", "small", "chunk", "hot"), [(1, 2, 4, 200), (2, 8, 1024, 2)])
-def test_brute_force(spark, seed, small, chunk, hot):
+@pytest.mark.parametrize(("seed", "small", "chunk", "hot", "long_list"), [(1, 2, 4, 200, 100), (2, 8, 1024, 2, 100), (3, 2, 4, 200, 5)])
+def test_brute_force(spark, seed, small, chunk, hot, long_list):
     texts = corpus(seed)
-    found = nj.jaccard_components(docs(spark, texts, extra=True), small=small, chunk=chunk, hot=hot)
+    found = nj.jaccard_components(docs(spark, texts, extra=True), small=small, chunk=chunk, hot=hot, long_list=long_list)
     assert rows(found, "doc_id", "n_shingles", "component_id") == brute(texts)
 
 
@@ -93,3 +93,47 @@ def test_components_of_a_long_chain(spark):
     random.Random(1).shuffle(order)
     links = spark.createDataFrame(list(zip(order[:-1], order[1:], strict=True)), "a long, b long")
     assert rows(connected_components(links), "node", "component") == [(x, 0) for x in range(2000)]
+
+
+def test_common_passage_makes_no_pairs(spark, monkeypatch):
+    """2000 documents of which four fifths are one passage: too much for a prefix by size alone, too little to link."""
+    made = []
+
+    def counting(*args):
+        found = pairs(*args)
+        made.append(found.count())
+        return found
+
+    pairs = nj.candidate_pairs
+    monkeypatch.setattr(nj, "candidate_pairs", counting)
+    passage = " ".join(f"p{k}" for k in range(80))
+    texts = [f"{passage} {' '.join(f'd{i}w{k}' for k in range(20))}" for i in range(2000)] + [f"{passage} {' '.join(f'd7w{k}' for k in range(19))}"]
+    found = rows(nj.jaccard_components(docs(spark, texts)), "doc_id", "component_id")
+    assert [c for _, c in found] == [*range(2000), 7]
+    assert made[0] < 100
+
+
+def random_sets(seed):
+    """Rows of sets as the neighbourhoods hold them, in an order by frequency; some share much, some little."""
+    r = random.Random(seed)
+    pool = [np.array(r.sample(range(400), 60)) for _ in range(3)]
+    whole = [np.unique(np.concatenate([r.choice(pool)[: r.randint(20, 60)], np.array([r.randrange(400) for _ in range(r.randint(0, 12))], dtype=int)])) for _ in range(60)]
+    df = np.bincount(np.concatenate(whole), minlength=400)
+    out = []
+    for k, x in enumerate(whole):
+        x = x[np.lexsort((x, df[x]))]
+        grams = x[df[x] > 1].astype(np.uint64)
+        out.append((k, k, len(x), r.randint(1, 4), grams.tobytes()))
+    return [set(x.tolist()) for x in whole], out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_between_finds_every_link(seed):
+    import pyarrow as pa
+
+    whole, out = random_sets(seed)
+    table = pa.table([pa.array(c) for c in zip(*out, strict=True)], names=["id", "component", "n", "most", "grams"])
+    linked = {(a, b) for a, x in enumerate(whole) for b, y in enumerate(whole) if a != b and 100 * len(x & y) >= 75 * len(x | y)}
+    assert linked and set(nj.between(table, table, 75)) == linked
+    sets = [(np.frombuffer(g, dtype=np.uint64), n, most) for _, _, n, most, g in out]
+    assert {(a, b) for a, x in enumerate(sets) for b, y in enumerate(sets) if a != b and nj._links(*x, *y, 75)} == linked
