@@ -2,7 +2,7 @@
 
 Detection and rewriting walk each text once, in Arrow batches, so their work grows with the text's length. Patterns may
 be joined by detectors, such as models that recognise names. Only the numbering of placeholders shuffles: distinct
-spans by type. Numbers run in the order texts are met and, within a text, from right to left, as spans are replaced.
+spans, in ranges of their order, so that no task holds all of a type. Numbers run in the order texts are met and, within a text, from right to left, as spans are replaced.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
+from ..session import materialised
 from .review import reviewed
 
 #: Finds spans of a text: (start, end, type, confidence), in code points. It runs in the workers, so it must pickle;
@@ -103,11 +104,22 @@ def name_replacements(found: DataFrame, strategy: str = "placeholder") -> DataFr
         raise ValueError(f"unknown strategy {strategy!r}")
     keyed = found.withColumn("key", F.trim(F.lower("span")))
     first = keyed.groupBy("type", "key").agg(F.min(F.struct("text_id", -F.col("start"))).alias("seen"))
-    numbered = first.withColumn("n", F.row_number().over(Window.partitionBy("type").orderBy("seen"))).drop("seen")
+    numbered = in_order(first, "type", ["seen", "key"]).drop("seen")
     token = F.concat(F.lit("["), _named("type", PREFIXES), F.lit("_"), F.col("n"), F.lit("]"))
     return keyed.join(numbered, ["type", "key"]).withColumn("replacement", token).drop("n", "key")
 
 
+def in_order(rows: DataFrame, by: str, order: list[str]) -> DataFrame:
+    """rows with n, their number from 1 among those of the same value of by. Each range of the order is numbered by
+    itself and starts where the ones before it end."""
+    placed = materialised(rows.repartitionByRange(by, *order).withColumn("__part", F.spark_partition_id()))
+    before = Window.partitionBy(by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy(by, "__part").agg(F.count("*").alias("__n"))  # a row for each range and value of by
+    starts = starts.select(by, "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    place = F.row_number().over(Window.partitionBy(by, "__part").orderBy(*order))
+    return placed.withColumn("n", place).join(F.broadcast(starts), [by, "__part"]).withColumn("n", F.col("n") + F.col("__start")).drop("__part", "__start")
+
+
 def _named(column: str, names: dict[str, str]) -> Column:
     out = F.col(column)
     for kind, name in names.items():

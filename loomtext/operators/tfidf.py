@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import terms
+from ..session import materialised
 
 
 def tfidf(df: DataFrame, id_col: str, text_col: str, max_terms: int | None = None, min_df: int = 1, max_df: float = 1.0, stop_words: tuple[str, ...] = ()) -> DataFrame:
@@ -70,7 +71,7 @@ def suggest_themes(df: DataFrame, id_col: str, text_col: str, n_themes: int = 6,
     size = max(1, numbered.count())
     rows = weights.join(F.broadcast(numbered), "term").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("k", "weight"))).alias("v"))
     make = F.udf(lambda v: Vectors.sparse(size, [x["k"] for x in v], [x["weight"] for x in v]), VectorUDT())
-    vectors = rows.withColumn("features", make("v")).drop("v").checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else rows.withColumn("features", make("v")).drop("v").cache()
+    vectors = materialised(rows.withColumn("features", make("v")).drop("v"))
     model = KMeans(k=min(n_themes, n), seed=seed, maxIter=50).fit(vectors)
     groups = model.transform(vectors).select("id", F.col("prediction").alias("group"))
     best = top_terms(weights, groups)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, n_tokens
 from ..operators import advise, agreement, completion, consensus, methods, pii, profile, prompting, review, segment, tfidf, training
+from ..session import shared_dir
 from ..sources import io
 from . import inputs
 from .inputs import table, with_inputs
@@ -30,11 +31,9 @@ def query(name: str, sql: str | None = None, needs: str = "") -> Callable[[Query
 
 def _scratch(spark: SparkSession) -> str:
     """A folder of its own in the shared folder, for round trips."""
-    import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomtext-")
-    return f"{base.rstrip('/')}/roundtrip-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/roundtrip-{uuid.uuid4().hex}"
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:

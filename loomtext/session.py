@@ -1,10 +1,11 @@
-"""What a session needs so that executors find this package."""
+"""What a session needs so that executors find this package and share a folder."""
 
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -16,3 +17,23 @@ def ready(spark: SparkSession) -> SparkSession:
     if ROOT not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Where it is unset, a session on one
+    machine gets a folder of its own; on a cluster that is an error."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="loomtext-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared folder."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
