@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat_format, exact_dedup, line_dedup, lm_score, ngram_join, packing, toxicity, url_filter
+from . import ann, bpe, chat_format, exact_dedup, line_dedup, lm_score, ngram_join, packing, sale_enrichment, toxicity, url_filter
 from .common import table
 
 URL_RULES = (
@@ -81,6 +81,21 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.chat_digests(chat_format.format_chats(rows.unionByName(own)))
 
 
+def op13_sale_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def batch(day: Column) -> Column:
+        return F.least(F.lit(9), F.floor((day - 19723) * 10 / 152))
+
+    sales, changes = table(spark, sf_dir, "sales"), table(spark, sf_dir, "client_changes").distinct()
+    late_days = F.pmod(F.crc32(F.col("change_id").cast("string").cast("binary")), F.lit(4))
+    found = sale_enrichment.enrich(
+        sales.withColumn("batch", batch(F.unix_date(F.to_date("arrived_at")))),
+        changes.withColumn("batch", batch(F.unix_date(F.to_date("valid_at")) + late_days)),
+        batches=10,
+    )
+    cents = F.floor(100 * F.col("balance") + 0.5).cast("long").alias("balance_cents")
+    return found.select("rec", "id", "batch", "n_held", "change_id", cents, "op")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_exact_dedup": op2_exact_dedup,
@@ -92,9 +107,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_lm_score": op9_lm_score,
     "op10_chat_format": op10_chat_format,
+    "op13_sale_enrichment": op13_sale_enrichment,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: crc32 of a column's decimal text, bit by bit
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({}::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda r, z: xor(r >> 1, 3988292384 * (r & 1)))),
+    4294967295)"""
 _REST = "substr(url, strpos(url, '://') + 3)"
 
 ORACLE_SQL: dict[str, str] = {
@@ -132,4 +152,32 @@ ORACLE_SQL: dict[str, str] = {
                sum(length(role) + length(CASE WHEN text LIKE '%<|im_start|>%' OR text LIKE '%<|im_end|>%'
                    OR regexp_matches(text, '<\\\\+\\|') THEN safe ELSE text END) + 24)::BIGINT AS formatted_chars
         FROM e GROUP BY conv_id""",
+    "op13_sale_enrichment": f"""
+        WITH s AS (
+            SELECT sale_id, client_id, sold_at, least(9, floor((arrived_at::DATE - DATE '1970-01-01' - 19723) * 10 / 152)) AS b FROM sales),
+        c AS (
+            SELECT *, least(9, floor((valid_at::DATE - DATE '1970-01-01' + crc32_of % 4 - 19723) * 10 / 152)) AS b
+            FROM (SELECT DISTINCT *, {_CRC.format("change_id")} AS crc32_of FROM client_changes) WHERE valid_at IS NOT NULL),
+        k AS (SELECT range AS b FROM range(12)),
+        marks AS (
+            SELECT b, (SELECT max(sold_at) FROM s WHERE s.b < k.b) - INTERVAL 36 HOUR AS sm,
+                   (SELECT max(valid_at) FROM c WHERE c.b < k.b) - INTERVAL 36 HOUR AS cm FROM k),
+        h AS (SELECT b, cm, CASE WHEN sm IS NULL OR cm IS NULL THEN NULL ELSE least(sm, cm) END AS h FROM marks),
+        v AS (SELECT c.*, c.valid_at < h.cm AS late FROM c JOIN h USING (b)),
+        vs AS (SELECT client_id, b, {{'t': valid_at, 's': coalesce(seq, -9223372036854775808), 'c': change_id}} AS key, op, balance
+               FROM v WHERE NOT coalesce(late, false)),
+        e AS (SELECT row_number() OVER () AS r, sale_id, client_id, sold_at,
+                     coalesce((SELECT min(h.b) FROM h WHERE h.b BETWEEN s.b AND 9 AND (s.sold_at IS NULL OR s.sold_at < h.h)), 10) AS b FROM s),
+        floors AS (SELECT vs.client_id, k.b, max(vs.key) AS floor FROM vs JOIN k ON vs.b < k.b AND k.b <= 10 JOIN h ON h.b = k.b - 1
+                   WHERE vs.key.t <= h.h GROUP BY ALL),
+        found AS (
+            SELECT e.r, count(vs.key) AS n_held,
+                   arg_max({{'c': vs.key.c, 'op': vs.op, 'balance': vs.balance}}, vs.key) FILTER (vs.key.t <= e.sold_at) AS hit
+            FROM e LEFT JOIN floors f ON f.client_id = e.client_id AND f.b = e.b
+            LEFT JOIN vs ON vs.client_id = e.client_id AND vs.b <= e.b AND (vs.b = e.b OR f.floor IS NULL OR vs.key >= f.floor)
+            GROUP BY e.r)
+        SELECT 'sale' AS rec, sale_id AS id, b::BIGINT AS batch, n_held, hit.c AS change_id,
+               floor(100 * hit.balance + 0.5)::BIGINT AS balance_cents, hit.op AS op
+        FROM e JOIN found USING (r)
+        UNION ALL SELECT 'late', change_id, b::BIGINT, NULL, NULL, NULL, NULL FROM v WHERE late""",
 }
