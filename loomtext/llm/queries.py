@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat_format, exact_dedup, line_dedup, lm_score, ngram_join, packing, sale_enrichment, toxicity, url_filter
+from . import ann, bpe, chat_format, exact_dedup, lexical_search, line_dedup, lm_score, ngram_join, packing, sale_enrichment, toxicity, url_filter
 from .common import table
 
 URL_RULES = (
@@ -81,6 +81,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.chat_digests(chat_format.format_chats(rows.unionByName(own)))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
 def op13_sale_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     def batch(day: Column) -> Column:
         return F.least(F.lit(9), F.floor((day - 19723) * 10 / 152))
@@ -107,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_lm_score": op9_lm_score,
     "op10_chat_format": op10_chat_format,
+    "op11_lexical_search": op11_lexical_search,
     "op13_sale_enrichment": op13_sale_enrichment,
 }
 
@@ -152,6 +157,18 @@ ORACLE_SQL: dict[str, str] = {
                sum(length(role) + length(CASE WHEN text LIKE '%<|im_start|>%' OR text LIKE '%<|im_end|>%'
                    OR regexp_matches(text, '<\\\\+\\|') THEN safe ELSE text END) + 24)::BIGINT AS formatted_chars
         FROM e GROUP BY conv_id""",
+    "op11_lexical_search": """
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(LOWERED, '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS ts FROM documents),
+        s AS (SELECT count(*) AS nn, sum(len(ts))::BIGINT AS ll FROM d WHERE len(ts) > 0),
+        p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(ts) AS term FROM d) GROUP BY ALL),
+        w AS (SELECT term, floor(1000 * ln((2 * any_value(nn) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, s GROUP BY term),
+        m AS (SELECT r, doc_id, 50 + (50 * len(ts) * nn) // ll AS m FROM d, s),
+        i AS (SELECT q, item_id, unnest(list_distinct(regexp_extract_all(LOWERED, '[0-9a-z\\x{80}-\\x{10FFFF}]+'))) AS term
+              FROM (SELECT row_number() OVER () AS q, * FROM benchmark)),
+        x AS (SELECT q, item_id, doc_id, r, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+              FROM i JOIN w USING (term) JOIN p USING (term) JOIN m USING (r) GROUP BY ALL)
+        SELECT item_id, row_number() OVER o AS rank, doc_id, score FROM x WHERE score > 0
+        QUALIFY row_number() OVER o <= 50 WINDOW o AS (PARTITION BY q ORDER BY score DESC, doc_id)""".replace("LOWERED", _LOWER),
     "op13_sale_enrichment": f"""
         WITH s AS (
             SELECT sale_id, client_id, sold_at, least(9, floor((arrived_at::DATE - DATE '1970-01-01' - 19723) * 10 / 152)) AS b FROM sales),
