@@ -30,3 +30,13 @@ def maybe(rows: DataFrame, column: str, kept: DataFrame, bits: int) -> DataFrame
     byte = F.conv(F.hex(F.expr("substring(bits, _bit div 8 + 1, 1)")), 16, 10).cast("int")
     found = rows.join(F.broadcast(kept), rows["_page"] == kept["page"])
     return found.where(byte.bitwiseAND(F.expr("shiftleft(1, _bit % 8)")) != 0).drop("_page", "_bit", "page", "bits")
+
+
+def flagged(rows: DataFrame, column: str, kept: DataFrame, bits: int, name: str) -> DataFrame:
+    """rows with a boolean column: whether the value may be among the keys of kept."""
+    at = F.pmod(F.xxhash64(column), F.lit(bits))
+    rows = rows.withColumn("_page", F.floor(at / PAGE).cast("int")).withColumn("_bit", (at % PAGE).cast("int"))
+    found = rows.join(F.broadcast(kept.withColumnsRenamed({"page": "_page", "bits": "_bits"})), "_page", "left")
+    byte = F.conv(F.hex(F.expr("substring(_bits, _bit div 8 + 1, 1)")), 16, 10).cast("int")
+    hit = F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, _bit % 8)")) != 0, F.lit(False))
+    return found.withColumn(name, hit).drop("_page", "_bit", "_bits")

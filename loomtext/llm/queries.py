@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat_format, exact_dedup, lexical_search, line_dedup, lm_score, ngram_join, packing, sale_enrichment, toxicity, url_filter
+from . import ann, bpe, chat_format, exact_dedup, lexical_search, line_dedup, lm_score, ngram_join, packing, sale_enrichment, sanitise, toxicity, url_filter
 from .common import table
 
 URL_RULES = (
@@ -85,6 +85,13 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sanitise.private_spans(table(spark, sf_dir, "documents"), threshold=0.9, min_texts=2)
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(sanitise.KINDS)]
+    base = F.sha2(sanitise.written_as_text(F.col("spans"), sanitise.KINDS[:4]).cast("binary"), 256)
+    return found.select("doc_id", *counts, base.alias("base_sha256"), sanitise.written_as_text(F.col("spans")).alias("spans"))
+
+
 def op13_sale_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     def batch(day: Column) -> Column:
         return F.least(F.lit(9), F.floor((day - 19723) * 10 / 152))
@@ -112,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lm_score": op9_lm_score,
     "op10_chat_format": op10_chat_format,
     "op11_lexical_search": op11_lexical_search,
+    "op12_pii": op12_pii,
     "op13_sale_enrichment": op13_sale_enrichment,
 }
 
