@@ -2,7 +2,12 @@
 
 Detection and rewriting walk each text once, in Arrow batches, so their work grows with the text's length. Patterns may
 be joined by detectors, such as models that recognise names. Only the numbering of placeholders shuffles: distinct
-spans, in ranges of their order, so that no task holds all of a type. Numbers run in the order texts are met and, within a text, from right to left, as spans are replaced.
+spans, in ranges of their order, so that no task holds all of a type. Numbers run in the order texts are met and, within
+a text, from right to left, as spans are replaced.
+
+Spans belong to a text: they carry its id and a digest of it (text_key), and texts are rewritten by both, null-safely. So
+rows without an id, and rows that share one, each get their own spans; rows that share an id and a text get the same. A
+review without text_key applies to all texts of an id.
 """
 
 from __future__ import annotations
@@ -69,13 +74,19 @@ def without_overlaps(found: Iterable[tuple]) -> Iterator[tuple]:
             yield span
 
 
+def text_key(text: Column) -> Column:
+    """16 bytes that stand for a text; null for null."""
+    return F.unhex(F.md5(text))
+
+
 def detect(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", kinds: tuple[str, ...] = tuple(PATTERNS), surnames: str = SURNAMES, detectors: tuple[Detector, ...] = ()
 ) -> DataFrame:
-    """(text_id, start, end, span, type, confidence): kept spans, a row each. Patterns come before detectors. Null and
-    empty texts have no spans; neither do detected ranges that are empty or outside the text."""
-    rows = df.select(F.col(id_col).alias("text_id"), F.col(text_col).alias("t"))
-    fields = [rows.schema[0], StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("span", StringType()), StructField("type", StringType()), StructField("confidence", DoubleType())]
+    """(text_id, text_key, start, end, span, type, confidence): kept spans, a row each. Patterns come before detectors.
+    Null and empty texts have no spans; neither do detected ranges that are empty or outside the text."""
+    rows = df.select(F.col(id_col).alias("text_id"), text_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("t"))
+    own = {"start": IntegerType(), "end": IntegerType(), "span": StringType(), "type": StringType(), "confidence": DoubleType()}
+    fields = [rows.schema[0], rows.schema[1], *[StructField(name, kind) for name, kind in own.items()]]
     all_of = (*[PatternDetector(kind, surnames) for kind in kinds], *detectors)
     arrow = (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.float64())
     names = [f.name for f in fields]
@@ -83,13 +94,14 @@ def detect(
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             owners, made = [], []
-            for i, value in enumerate(batch.column(1)):
+            for i, value in enumerate(batch.column(2)):
                 text = value.as_py() or ""
                 for a, b, kind, confidence in without_overlaps(s for d in all_of for s in d(text) if 0 <= s[0] < s[1] <= len(text)):
                     owners.append(i)
                     made.append((a, b, text[a:b], kind, confidence))
             columns = [pa.array([row[k] for row in made], kind) for k, kind in enumerate(arrow)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owners, pa.int64())), *columns], names=names)
+            at = pa.array(owners, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *columns], names=names)
 
     return rows.mapInArrow(walk, StructType(fields))
 
@@ -136,34 +148,50 @@ def replaced(text: str, spans: Iterable[tuple[int, int, str | None]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def rewrite(df: DataFrame, replacements: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(text_id, text): texts with their spans replaced; a null replacement leaves the span."""
-    spans = replacements.groupBy("text_id").agg(F.collect_list(F.struct("start", "end", "replacement")).alias("r"))
-    rows = df.select(F.col(id_col).alias("text_id"), F.col(text_col).alias("text")).join(spans, "text_id", "left")
+def rewritten(df: DataFrame, replacements: DataFrame, key: Column, text_col: str = "text") -> DataFrame:
+    """df with its texts' spans replaced, row for row, and all other columns as they are. replacements name the text by
+    key, as text_id, and text_key; a null replacement leaves the span."""
+    span = F.struct("start", "end", "replacement")
+    spans = replacements.groupBy(F.col("text_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.collect_set(span).alias("__spans"))
+    same = key.eqNullSafe(F.col("__id")) & (text_key(F.col(text_col)) == F.col("__key"))
+    rows = df.join(spans, same, "left").select(*[df[c] for c in df.columns], "__spans")
+    at = df.columns.index(text_col)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = []
-            for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                made.append(text if text is None or not found else replaced(text, [(s["start"], s["end"], s["replacement"]) for s in found]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string())], names=["text_id", "text"])
+            columns, made = batch.columns, []
+            for text, found in zip(columns[at], columns.pop()):
+                text, found = text.as_py(), found.as_py()
+                made.append(replaced(text, [(s["start"], s["end"], s["replacement"]) for s in found]) if found else text)
+            columns[at] = pa.array(made, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
-    return rows.mapInArrow(walk, rows.select("text_id", "text").schema)
+    return rows.mapInArrow(walk, df.schema)
+
+
+def rewrite(df: DataFrame, replacements: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(text_id, text): texts with their spans replaced; a null replacement leaves the span."""
+    rows = df.select(F.col(id_col).alias("text_id"), F.col(text_col).alias("text"))
+    return rewritten(rows, replacements, F.col("text_id"))
 
 
 def apply_review(df: DataFrame, replacements: DataFrame, log: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(text_id, text): the originals with the reviewed replacements. log: (text_id, start, seq, action, value). Pending
-    and accepted spans take their replacement, edited ones the value, and rejected ones stay as they are."""
-    rows = reviewed(replacements, log, ["text_id", "start"], "replacement")
+    """(text_id, text): the originals with the reviewed replacements. log: (text_id, start, seq, action, value), and
+    text_key where ids are shared. Pending and accepted spans take their replacement, edited ones the value, and rejected
+    ones stay as they are."""
+    keys = ["text_id", "start", *[c for c in ("text_key",) if c in log.columns]]
+    rows = reviewed(replacements, log, keys, "replacement")
     return rewrite(df, rows.withColumn("replacement", F.col("final")), id_col, text_col)
 
 
-def rewrite_segments(segments: DataFrame, strategy: str = "placeholder", keys: tuple[str, ...] = ("doc_id", "segment_id"), text_col: str = "text", **parameters) -> DataFrame:
-    """segments with their texts de-identified, all other columns as they are. keys name a segment."""
-    keyed = segments.withColumn("__key", F.struct(*keys))
-    found = detect(keyed, "__key", text_col, **parameters)
-    made = rewrite(keyed, name_replacements(found, strategy), "__key", text_col).toDF("__key", "__text")
-    return keyed.join(made, "__key").withColumn(text_col, F.col("__text")).select(*segments.columns)
+def rewrite_segments(
+    segments: DataFrame, strategy: str = "placeholder", keys: tuple[str, ...] = ("doc_id", "segment_id"), text_col: str = "text", **parameters
+) -> DataFrame:
+    """segments with their texts de-identified, row for row, all other columns as they are. keys name a segment; they may
+    be null and repeated."""
+    keyed = segments.withColumn("__segment", F.struct(*keys))
+    found = name_replacements(detect(keyed, "__segment", text_col, **parameters), strategy)
+    return rewritten(segments, found, F.struct(*keys), text_col)
 
 
 def coverage(found: DataFrame) -> DataFrame:

@@ -96,8 +96,10 @@ def final_value(action: Column, original: Column, edited: Column, when_rejected:
 
 
 def reviewed(rows: DataFrame, log: DataFrame, keys: list[str], original: str, when_rejected: str | None = None) -> DataFrame:
-    """rows with action (pending without one) and final."""
-    out = rows.join(last_actions(log, *keys), keys, "left").withColumn("action", F.coalesce("action", F.lit("pending")))
+    """rows with action (pending without one) and final. Null keys of rows and of the log are the same key."""
+    last = last_actions(log, *keys).withColumnsRenamed({k: f"__{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    out = rows.join(last, same, "left").drop(*[f"__{k}" for k in keys]).withColumn("action", F.coalesce("action", F.lit("pending")))
     rejected = F.lit(None) if when_rejected is None else F.col(when_rejected)
     return out.withColumn("final", final_value(F.col("action"), F.col(original), F.col("value"), rejected)).drop("value")
 
