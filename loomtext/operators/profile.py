@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, n_tokens, ustrip
+from . import language
 
 #: Column names that stand for a role, and patterns of personal data in the quick check.
 TEXT_HINTS = {"text", "content", "body", "message", "sentence", "comment", "review", "post"}
@@ -22,8 +23,12 @@ def guess_column(df: DataFrame, hints: set[str]) -> str | None:
     return next((c for c in df.columns if c.strip().lower() in hints), None)
 
 
-def validate(df: DataFrame, text_col: str | None = None, label_col: str | None = None, mode: str = "quantitative", speaker_col: str | None = None) -> DataFrame:
-    """(severity, field, check, value): the issues of a table; none for a sound one. mode: quantitative, qualitative."""
+def validate(
+    df: DataFrame, text_col: str | None = None, label_col: str | None = None, mode: str = "quantitative", speaker_col: str | None = None,
+    languages: language.Model | None = None,
+) -> DataFrame:
+    """(severity, field, check, value): the issues of a table; none for a sound one. mode: quantitative, qualitative. With
+    a model of languages, a main language other than English is an issue (not_english, its share)."""
     if mode not in ("quantitative", "qualitative"):
         raise ValueError(f"unknown mode {mode!r}")
     text_col, label_col = text_col or guess_column(df, TEXT_HINTS), label_col or guess_column(df, LABEL_HINTS)
@@ -47,6 +52,9 @@ def validate(df: DataFrame, text_col: str | None = None, label_col: str | None =
         row = df.agg(*[x.alias(name) for _, name, x, _ in checks])
         issues = F.array(*[F.when(wrong(F.col(name)), F.struct(F.lit(sev).alias("severity"), F.lit(text_col).alias("field"), F.lit(name).alias("check"), F.col(name).alias("value"))) for sev, name, _, wrong in checks])
         parts.append(row.select(F.explode(F.array_compact(issues)).alias("i")).select("i.*"))
+        if languages is not None:
+            main = language.main_language(df, languages, text_col).where("language <> 'en'")
+            parts.append(main.select(F.lit("info").alias("severity"), F.lit(text_col).alias("field"), F.lit("not_english").alias("check"), F.col("share").alias("value")))
     if mode == "quantitative":
         if label_col is None:
             fixed.append(("info", "columns", "no_label_column", None))
@@ -132,12 +140,72 @@ def diagnostics(df: DataFrame, text_col: str, label_col: str | None = None) -> D
     return both.unpivot([], both.columns, "metric", "value")
 
 
-def features(df: DataFrame, text_col: str, label_col: str, lang_col: str | None = None) -> DataFrame:
-    """(n_samples, n_labeled, n_classes, balance, mean_tokens) of a task."""
+def diagnostics_report(df: DataFrame, text_col: str, label_col: str | None = None, languages: language.Model | None = None) -> DataFrame:
+    """(section, name, value): rows, columns, empty texts and duplicates; token statistics; languages; labels with their
+    shares; warnings of bias, whose value is what they are about: days between the first and the last time of a column, or
+    the share of distinct texts."""
+    text = F.col(text_col).cast("string")
+
+    def stacked(rows: DataFrame, section: str) -> DataFrame:
+        rows = rows.select(*[F.col(c).cast("double") for c in rows.columns])
+        return rows.unpivot([], rows.columns, "name", "value").select(F.lit(section).alias("section"), "name", "value")
+
+    base = df.agg(F.count("*").alias("rows"), F.lit(len(df.columns)).alias("columns"), F.count_if(is_blank(text)).alias("empty_texts"))
+    repeated = duplicates(df).select(F.col("n_duplicates").alias("duplicate_rows"), F.col("rate").alias("duplicate_rate"))
+    parts = [stacked(base, "table"), stacked(repeated, "table"), stacked(token_stats(df, text_col), "tokens")]
+    if languages is not None:
+        found = language.distribution(df, languages, text_col)
+        parts.append(found.select(F.lit("language").alias("section"), F.col("language").alias("name"), F.col("n").cast("double").alias("value")))
+    if label_col:
+        for what in ("n", "share"):
+            found = distribution(df, label_col)
+            parts.append(found.select(F.lit("label" if what == "n" else "label_share").alias("section"), F.col("label").alias("name"), F.col(what).cast("double").alias("value")))
+    for c in df.columns:
+        if c.strip().lower() in TIME_HINTS:
+            found = time_span(df, c).where("warning is not null")
+            parts.append(found.select(F.lit("bias").alias("section"), F.concat(F.lit(f"{c}:"), "warning").alias("name"), F.col("days").cast("double").alias("value")))
+    found = text_uniqueness(df, text_col).where("warning")
+    parts.append(found.select(F.lit("bias").alias("section"), F.lit("repeated_texts").alias("name"), F.col("rate").alias("value")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+#: What a user may state about a task, with what stands for anything else.
+STATED = {
+    "task_type": (("sentiment", "framing", "moral", "topic", "stance", "custom"), "custom"),
+    "budget_level": (("low", "medium", "high"), "medium"),
+}
+STATED_AS_IS = ("domain_specificity", "class_boundary_clarity", "downstream_use")
+
+
+def stated_features(stated: dict) -> dict[str, Column]:
+    """Columns of what a user states: unknown types and levels become the general ones; numbers must be readable."""
+    kind, level = (stated[k] if stated.get(k) in STATED[k][0] else STATED[k][1] for k in ("task_type", "budget_level"))
+    out = {"task_type": F.lit(kind), "budget_level": F.lit(level), "target_f1": F.lit(float(stated.get("target_f1", 0.8)))}
+    agreement = stated.get("annotation_agreement")
+    out["annotation_agreement"] = F.lit(None if agreement is None else float(agreement)).cast("double")
+    return out | {k: F.lit(stated.get(k)).cast("string") for k in STATED_AS_IS}
+
+
+def features(
+    df: DataFrame, text_col: str, label_col: str, lang_col: str | None = None, languages: language.Model | None = None, stated: dict | None = None
+) -> DataFrame:
+    """(n_samples, n_labeled, n_classes, balance, mean_tokens) of a task; with a model of languages also its language and
+    whether it is multilingual; with what a user states, the columns of stated_features() too. A stated number of classes
+    counts where no row has a label."""
     labeled = ~unlabeled(F.col(label_col))
     base = df.agg(F.count("*").alias("n_samples"), F.count_if(labeled).alias("n_labeled"), F.floor(F.avg(F.when(~is_blank(F.col(text_col)), n_tokens(F.col(text_col))))).cast("long").alias("mean_tokens"))
     classes = imbalance(df.where(labeled), label_col).select("n_classes", F.round(F.coalesce("ratio", F.lit(0.0)), 2).alias("balance"))
-    return base.join(F.broadcast(classes), F.lit(True))
+    out = base.join(F.broadcast(classes), F.lit(True))
+    if languages is not None:
+        main = language.main_language(df, languages, text_col).select("language", "multilingual")
+        out = out.join(F.broadcast(main), F.lit(True))
+    if stated is None:
+        return out
+    n = F.when((F.col("n_classes") == 0) & F.lit("n_classes" in stated), F.lit(int(stated.get("n_classes", 0))).cast("long"))
+    return out.withColumn("n_classes", F.coalesce(n, "n_classes")).withColumns(stated_features(stated))
 
 
 def detect_languages(df: DataFrame, text_col: str, detector, id_col: str, sample: int = 100, seed: int = 42) -> DataFrame:

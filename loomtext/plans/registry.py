@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, n_tokens
-from ..operators import advise, agreement, completion, consensus, methods, pii, profile, prompting, review, segment, tfidf, training
-from ..session import shared_dir
+from ..operators import advise, agreement, completion, consensus, language, methods, pii, profile, prompting, review, segment, tfidf, training
+from ..session import materialised, shared_dir
 from ..sources import io
 from . import inputs
 from .inputs import table, with_inputs
@@ -313,6 +313,91 @@ def e9_features(spark, d):
     return profile.features(rows, "text", "quality")
 
 
+# languages, learned from the documents that state one
+
+_GRAMS = """prepared AS (SELECT *, ' ' || trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}]+', ' ', 'g')) || ' ' AS s FROM documents),
+    grams AS (SELECT doc_id, lang, substr(s, i::INT, 3) AS gram FROM (SELECT doc_id, lang, s, unnest(range(1, length(s) - 1)) AS i FROM prepared)),
+    """
+
+
+def _languages(train: str, score: str) -> str:
+    """WITH clauses of (doc_id, lang, language, margin), trained on and scored for the documents of two conditions."""
+    return _GRAMS + f"""counts AS (SELECT lang, gram, count(*) AS n FROM grams WHERE trim(lang) <> '' AND {train} GROUP BY ALL),
+    totals AS (SELECT lang, sum(n) + (SELECT count(DISTINCT gram) FROM counts) AS of FROM counts GROUP BY 1),
+    known AS (SELECT DISTINCT gram FROM (SELECT gram, row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) AS place FROM counts) WHERE place <= 2000),
+    weights AS (SELECT gram, t.lang AS language, floor(1000 * ln((coalesce(n, 0) + 1) / of))::BIGINT AS w FROM known CROSS JOIN totals t LEFT JOIN counts c USING (gram, lang)),
+    sums AS (SELECT doc_id, language, sum(w)::BIGINT AS w FROM (SELECT doc_id, gram FROM grams WHERE {score}) JOIN weights USING (gram) GROUP BY ALL),
+    all_sums AS (SELECT p.doc_id, p.lang, t.lang AS language, coalesce(w, 0) AS w FROM prepared p CROSS JOIN totals t
+        LEFT JOIN sums s ON s.doc_id = p.doc_id AND s.language = t.lang WHERE trim(p.s) <> '' AND {score.replace("doc_id", "p.doc_id")}),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, language) AS place FROM all_sums),
+    identified AS (SELECT a.doc_id, a.lang, a.language, coalesce(a.w - b.w, 0)::BIGINT AS margin FROM ranked a LEFT JOIN ranked b ON a.doc_id = b.doc_id AND b.place = 2 WHERE a.place = 1)"""
+
+
+_IDENTIFIED = _languages("true", "true")
+
+
+def _language_model(spark, rows):
+    return language.fit(rows, counted=materialised)
+
+
+@query("e6_identify", f"""WITH {_IDENTIFIED} SELECT doc_id, language, margin FROM documents LEFT JOIN identified USING (doc_id)""")
+def e6_identify(spark, d):
+    return language.identify(_docs(spark, d), _language_model(spark, _docs(spark, d)))
+
+
+@query("e6_heldout", f"""WITH {_languages("doc_id % 5 <> 0", "doc_id % 5 = 0")} SELECT lang, count(*) AS n, count(*) FILTER (language = lang) AS found FROM identified WHERE trim(lang) <> '' GROUP BY 1""")
+def e6_heldout(spark, d):
+    held = F.col("doc_id") % 5 == 0  # of five folds one is held out
+    model = _language_model(spark, _docs(spark, d).where(~held))
+    rows = _docs(spark, d).where(held & ~is_blank(F.col("lang")))
+    found = language.identify(rows, model).where("language is not null").join(rows.select("doc_id", "lang"), "doc_id")
+    return found.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("language") == F.col("lang")).alias("found"))
+
+
+@query("e7_main_language", f"""WITH {_IDENTIFIED}, n AS (SELECT language, count(*) AS n FROM identified GROUP BY 1)
+    SELECT language, round(n / (SELECT sum(n) FROM n), 4)::DOUBLE AS share, n / (SELECT sum(n) FROM n) < 0.9 AND (SELECT count(*) FROM n) > 1 AS multilingual FROM n ORDER BY n DESC, language LIMIT 1""")
+def e7_main_language(spark, d):
+    return language.main_language(_docs(spark, d), _language_model(spark, _docs(spark, d)))
+
+
+@query("c3_language", f"""WITH {_IDENTIFIED}, n AS (SELECT language, count(*) AS n, sum(count(*)) OVER () AS t FROM identified WHERE lang IS NULL OR lang <> 'en' GROUP BY 1),
+    m AS (SELECT * FROM n ORDER BY n DESC, language LIMIT 1)
+    SELECT 'info' AS severity, 'text' AS field, 'not_english' AS check, round(n / t, 4)::DOUBLE AS value FROM m WHERE language <> 'en'""")
+def c3_language(spark, d):
+    model = _language_model(spark, _docs(spark, d))
+    rows = _docs(spark, d).where("lang is null or lang <> 'en'").select("text")
+    return profile.validate(rows, languages=model).where(F.col("check") == "not_english")
+
+
+@query("e1_report", f"""WITH {_IDENTIFIED}, t AS (SELECT {TOKENS} AS n FROM documents),
+    u AS (SELECT count(text) AS a, count(DISTINCT text) AS b FROM documents), l AS (SELECT lang, count(*) AS n, sum(count(*)) OVER () AS t FROM documents WHERE lang IS NOT NULL GROUP BY 1),
+    dup AS (SELECT count(*) AS n, count(DISTINCT (doc_id, text, lang, source, n_chars)) AS k FROM documents)
+    SELECT section, name, value::DOUBLE AS value FROM (
+    SELECT 'table' AS section, 'rows' AS name, count(*) AS value FROM documents UNION ALL SELECT 'table', 'columns', 5
+    UNION ALL SELECT 'table', 'empty_texts', count(*) FILTER (n = 0) FROM t
+    UNION ALL SELECT 'table', 'duplicate_rows', n - k FROM dup UNION ALL SELECT 'table', 'duplicate_rate', round((n - k) / n, 4) FROM dup
+    UNION ALL SELECT 'tokens', x.name, x.value FROM (SELECT unnest([{{'name': 'n_min', 'value': min(n)}}, {{'name': 'n_max', 'value': max(n)}}, {{'name': 'n_mean', 'value': round(avg(n), 1)}},
+        {{'name': 'p25', 'value': round(quantile_cont(n, 0.25), 1)}}, {{'name': 'median', 'value': round(quantile_cont(n, 0.5), 1)}},
+        {{'name': 'p75', 'value': round(quantile_cont(n, 0.75), 1)}}, {{'name': 'p95', 'value': round(quantile_cont(n, 0.95), 1)}}]) AS x FROM t WHERE n > 0)
+    UNION ALL SELECT 'language', language, count(*) FROM identified GROUP BY 2
+    UNION ALL SELECT 'label', lang, n FROM l UNION ALL SELECT 'label_share', lang, round(n / t, 4) FROM l
+    UNION ALL SELECT 'bias', 'repeated_texts', round(b / a, 4) FROM u WHERE b / a < 0.8)""")
+def e1_report(spark, d):
+    return profile.diagnostics_report(_docs(spark, d), "text", "lang", _language_model(spark, _docs(spark, d)))
+
+
+@query("e9_task", f"""WITH {_IDENTIFIED}, n AS (SELECT language, count(*) AS n, sum(count(*)) OVER () AS t, count(*) OVER () AS k FROM identified GROUP BY 1), m AS (SELECT * FROM n ORDER BY n DESC, language LIMIT 1)
+    SELECT count(*) AS n_samples, count(quality) AS n_labeled, (SELECT count(DISTINCT quality) FROM labels) AS n_classes,
+    (SELECT round(max(n) / min(n), 2)::DOUBLE FROM (SELECT count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY quality)) AS balance, floor(avg({TOKENS}))::BIGINT AS mean_tokens,
+    (SELECT language FROM m) AS language, (SELECT n / t < 0.9 AND k > 1 FROM m) AS multilingual, 'custom' AS task_type, 'low' AS budget_level, 0.85::DOUBLE AS target_f1,
+    0.7::DOUBLE AS annotation_agreement, NULL::VARCHAR AS domain_specificity, 'clear' AS class_boundary_clarity, NULL::VARCHAR AS downstream_use
+    FROM documents LEFT JOIN labels USING (doc_id)""")
+def e9_task(spark, d):
+    rows = _docs(spark, d).join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    stated = {"task_type": "unheard of", "budget_level": "low", "target_f1": 0.85, "n_classes": 9, "annotation_agreement": 0.7, "class_boundary_clarity": "clear"}
+    return profile.features(rows, "text", "quality", languages=_language_model(spark, _docs(spark, d)), stated=stated)
+
+
 _WEIGHTS = """tf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]{2,}')) AS term FROM src) GROUP BY ALL),
     idf AS (SELECT term, ln((1 + (SELECT count(*) FROM src)) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY 1),
     raw AS (SELECT id, term, tf * idf AS w FROM tf JOIN idf USING (term)),
