@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, n_tokens
-from ..operators import advise, agreement, completion, consensus, language, methods, pii, profile, prompting, review, segment, tfidf, training
+from ..operators import advise, agreement, completion, consensus, entities, language, methods, pii, profile, prompting, review, segment, tfidf, training
 from ..session import materialised, shared_dir
 from ..sources import io
 from . import inputs
@@ -524,6 +524,13 @@ def i1_emails(spark, d):
     return pii.detect(_docs(spark, d), kinds=("EMAIL",)).select("text_id", "span")
 
 
+@query("i2_entities")
+def i2_entities(spark, d):
+    places = entities.gazetteer((table(spark, d, "nation"), "n_name", "LOCATION"), (table(spark, d, "clients"), "city", "LOCATION"))
+    detector = entities.EntityDetector(places, entities.common_words(_docs(spark, d)))
+    return pii.detect(_docs(spark, d), kinds=(), detectors=(detector,))
+
+
 @query("i4_i5_rewrite")
 def i4_i5_rewrite(spark, d):
     docs, path = _docs(spark, d), _scratch(spark)
