@@ -128,6 +128,11 @@ _NEEDS = {
 }
 
 
+def named(name: str) -> str:
+    """The clause of one input, for a WITH that goes on."""
+    return f"{name} AS ({SQL[name]})"
+
+
 def with_inputs(names: str, body: str) -> str:
     """body after the WITH clauses of the inputs it names."""
     wanted: list[str] = []

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, n_tokens
-from ..operators import advise, agreement, completion, consensus, entities, language, methods, pii, profile, prompting, review, segment, tfidf, training
+from ..operators import advise, agreement, completion, consensus, entities, extraction_review, language, methods, pii, profile, prompting, review, segment, tfidf, training
 from ..session import materialised, shared_dir
 from ..sources import io
 from . import inputs
@@ -511,6 +511,66 @@ def h6_h7_preview(spark, d):
     return segment.preview(segment.lookup(segment.segment(inputs.transcripts(spark, d)), 2)).select("doc_id", "text", "chars")
 
 
+# review of extractions: paragraphs of transcripts, found by rules, reviewed by events
+
+_EXTRACTED = """seg AS (SELECT doc_id, k::INT AS segment_id, trim(text, ' ' || chr(10)) AS text, (1 + lines)::INT AS line_start,
+      (1 + lines + length(text) - length(replace(text, chr(10), '')))::INT AS line_end, pos::INT AS char_start, (pos + length(text))::INT AS char_end, (k - 1)::INT AS paragraph_index FROM turns),
+    found AS (SELECT doc_id, segment_id, 'asks' AS rq_label, 'question' AS sub_theme, '?' AS evidence_span FROM seg WHERE contains(text, '?')
+      UNION ALL SELECT doc_id, segment_id, 'tells', 'long', substr(text, 1, 20) FROM seg WHERE length(text) > 80
+      UNION ALL SELECT doc_id, segment_id, 'counts', 'number', regexp_extract(text, '[0-9]') FROM seg WHERE regexp_matches(text, '[0-9]')),
+    ext AS (SELECT *, round((50 + (doc_id * 3 + segment_id * 7 + length(rq_label)) % 50) / 100.0, 2)::DOUBLE AS confidence, 'rule' AS reasoning FROM found),
+    acts AS (SELECT user_id AS doc_id, event_id AS seq, ['accept', 'reject', 'edit', 'add', 'edit', 'accept', 'accept_high'][(event_id % 7 + 1)::INT] AS action, (event_id * 13 % 9)::INT AS item,
+      (event_id * 5 % 8 + 1)::INT AS segment_id, CASE WHEN event_id % 2 = 0 THEN 'new ' || event_id % 3 END AS rq_label, CASE WHEN event_id % 3 = 0 THEN 'sub ' || event_id % 4 END AS sub_theme,
+      CASE WHEN event_id % 5 = 0 THEN 0.7 END AS threshold FROM events),
+    base AS (SELECT e.*, s.text, line_start, line_end, char_start, char_end, paragraph_index, NULL::BIGINT AS added,
+      row_number() OVER (PARTITION BY e.doc_id ORDER BY rq_label, char_start, e.segment_id, sub_theme, confidence, evidence_span) - 1 AS item FROM ext e JOIN seg s USING (doc_id, segment_id)),
+    adds AS (SELECT a.doc_id, a.segment_id, a.rq_label, a.sub_theme, '' AS evidence_span, 1.0 AS confidence, 'added by hand' AS reasoning, s.text, line_start, line_end, char_start, char_end, paragraph_index,
+      a.seq AS added, row_number() OVER (PARTITION BY a.doc_id ORDER BY a.seq) - 1 + (SELECT count(*) FROM base b WHERE b.doc_id = a.doc_id) AS item
+      FROM acts a JOIN seg s USING (doc_id, segment_id) WHERE action = 'add'),
+    all_items AS (SELECT * FROM base UNION ALL BY NAME SELECT * FROM adds),
+    last AS (SELECT a.doc_id, a.item, arg_max(action, seq) AS action, arg_max(a.rq_label, seq) FILTER (action = 'edit' AND a.rq_label IS NOT NULL) AS new_rq,
+      arg_max(a.sub_theme, seq) FILTER (action = 'edit' AND a.sub_theme IS NOT NULL) AS new_sub
+      FROM acts a JOIN all_items i ON i.doc_id = a.doc_id AND i.item = a.item AND (i.added IS NULL OR a.seq > i.added) WHERE action IN ('accept', 'reject', 'edit') GROUP BY ALL),
+    high AS (SELECT doc_id, min(coalesce(threshold, 0.85)) AS high FROM acts WHERE action = 'accept_high' GROUP BY 1),
+    review AS (SELECT i.* EXCLUDE (rq_label, sub_theme, added), CASE WHEN action = 'edit' THEN coalesce(new_rq, rq_label) ELSE rq_label END AS rq_label,
+      CASE WHEN action = 'edit' THEN coalesce(new_sub, sub_theme) ELSE sub_theme END AS sub_theme,
+      CASE action WHEN 'accept' THEN 'accepted' WHEN 'reject' THEN 'rejected' WHEN 'edit' THEN 'edited' ELSE CASE WHEN added IS NOT NULL OR confidence >= high THEN 'accepted' ELSE 'pending' END END AS review_status
+      FROM all_items i LEFT JOIN last USING (doc_id, item) LEFT JOIN high USING (doc_id))"""
+
+
+def _extractions(spark, d):
+    """(extractions, segments, log): the extractions name a place, from which their segments are found."""
+    segments = segment.segment(inputs.transcripts(spark, d))
+    text, rules = F.col("text"), []
+    for rq, sub, is_found, evidence in (
+        ("asks", "question", F.contains("text", F.lit("?")), F.lit("?")), ("tells", "long", F.length("text") > 80, F.substring("text", 1, 20)),
+        ("counts", "number", text.rlike("[0-9]"), F.regexp_extract("text", "[0-9]", 0)),
+    ):
+        rules.append(F.when(is_found, F.struct(F.lit(rq).alias("rq_label"), F.lit(sub).alias("sub_theme"), evidence.alias("evidence_span"), (F.col("char_start") + F.position(evidence, text) - 1).alias("at"))))
+    found = segments.select("doc_id", F.col("segment_id").alias("k"), F.explode(F.array_compact(F.array(*rules))).alias("x")).select("doc_id", "k", "x.*")
+    found = extraction_review.place(found, segments)
+    confidence = F.round((50 + (F.col("doc_id") * 3 + F.col("segment_id") * 7 + F.length("rq_label")) % 50) / 100.0, 2)
+    found = found.select("doc_id", "segment_id", "rq_label", "sub_theme", confidence.alias("confidence"), "evidence_span", F.lit("rule").alias("reasoning"))
+    e = F.col("event_id")
+    action = F.element_at(F.array(*[F.lit(a) for a in ("accept", "reject", "edit", "add", "edit", "accept", "accept_high")]), (e % 7 + 1).cast("int"))
+    log = table(spark, d, "events").select(
+        F.col("user_id").alias("doc_id"), e.alias("seq"), action.alias("action"), (e * 13 % 9).cast("int").alias("item"), (e * 5 % 8 + 1).cast("int").alias("segment_id"),
+        F.when(e % 2 == 0, F.concat(F.lit("new "), e % 3)).alias("rq_label"), F.when(e % 3 == 0, F.concat(F.lit("sub "), e % 4)).alias("sub_theme"), F.when(e % 5 == 0, 0.7).alias("threshold"),
+    )
+    return found, segments, log
+
+
+@query("l4_extraction_review", f"WITH {inputs.named('turns')}, {_EXTRACTED} SELECT doc_id, item::INT AS item, segment_id, text, rq_label, sub_theme, confidence, line_start, line_end, char_start, char_end, paragraph_index, review_status, reasoning, evidence_span FROM review WHERE review_status <> 'rejected'")
+def l4_extraction_review(spark, d):
+    return extraction_review.export(extraction_review.reviewed(*_extractions(spark, d)))
+
+
+@query("l4_extraction_stats", f"""WITH {inputs.named('turns')}, {_EXTRACTED} SELECT rq_label, count(*) AS total, count(*) FILTER (review_status = 'accepted') AS accepted, count(*) FILTER (review_status = 'edited') AS edited,
+    count(*) FILTER (review_status = 'rejected') AS rejected, count(*) FILTER (review_status = 'pending') AS pending, round(100 * count(*) FILTER (review_status <> 'pending') / count(*), 1)::DOUBLE AS progress FROM review GROUP BY 1""")
+def l4_extraction_stats(spark, d):
+    return extraction_review.stats(extraction_review.reviewed(*_extractions(spark, d)), "rq_label")
+
+
 # de-identification
 
 
