@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, n_tokens
 from ..operators import advise, agreement, completion, consensus, entities, extraction_review, language, methods, pii, profile, prompting, review, segment, tfidf, training
 from ..session import materialised, shared_dir
 from ..sources import io
+from ..streaming import annotation_stream, review_stream
 from . import inputs
 from .inputs import table, with_inputs
 
@@ -457,12 +458,12 @@ def _session(spark, d):
     items = inputs.items(spark, d).join(F.broadcast(users), F.lit(True)).select(session("item_id"), F.col("item_id").alias("item"), F.lit(None).cast("string").alias("label"))
     e = F.col("event_id")
     name = F.element_at(F.array(*[F.lit(x) for x in ("annotate", "skip", "annotate", "flag", "undo", "annotate", "goto")]), (e % 7 + 1).cast("int"))
-    events = table(spark, d, "events").join(F.broadcast(users), F.lit(True)).select(session("user_id"), e, name.alias("name"))
+    events = table(spark, d, "events").join(F.broadcast(users), F.lit(True)).select(session("user_id"), e, F.col("ts").cast("timestamp").alias("ts"), name.alias("name"))
     events = events.join(items.groupBy("session").agg(F.count("*").alias("n_items")), "session", "left")
     steps = F.when(F.col("name").isin("undo", "goto"), F.array("name")).otherwise(F.array(F.lit("goto"), "name"))
-    log = events.select("session", e, "n_items", F.posexplode(steps).alias("k", "action"))
+    log = events.select("session", e, "ts", "n_items", F.posexplode(steps).alias("k", "action"))
     target = F.coalesce(e * 13 % F.col("n_items"), F.lit(-1).cast("long"))
-    return items, log.select("session", (2 * e + F.col("k")).alias("seq"), "action", target.alias("target"), F.concat(F.lit("L"), e % 3).alias("label"), F.lit("").alias("note"))
+    return items, log.select("session", (2 * e + F.col("k")).alias("seq"), "action", target.alias("target"), F.concat(F.lit("L"), e % 3).alias("label"), F.lit("").alias("note"), "ts")
 
 
 @query("g1_g4_annotations")
@@ -470,6 +471,35 @@ def g1_g4_annotations(spark, d):
     return review.fold_annotations(*_session(spark, d))
 
 
+@query("g2_stream")
+def g2_stream(spark, d):
+    items, log = _session(spark, d)
+    place = F.row_number().over(Window.partitionBy("session").orderBy("item")) - 1  # a session's items are numbered from 0
+    numbered = materialised(items.withColumn("k", place.cast("long")))
+    changes = annotation_stream.replayed(log, numbered.select("session", F.col("k").alias("item"), "label"), _scratch(spark))
+    state = annotation_stream.after(numbered.select("session", F.col("k").alias("item"), "label"), changes).withColumnRenamed("item", "k")
+    return state.join(numbered.select("session", "k", "item"), ["session", "k"]).select("session", "item", "label", "status", "note", "seq")
+
+
+@query("l3_action_counts", """SELECT time_bucket(INTERVAL 5 MINUTE, ts, TIMESTAMP '1970-01-01') AS start, action, count(*) AS n
+    FROM (SELECT ts, ['accepted', 'rejected', 'edited'][(event_id % 3 + 1)::INT] AS action FROM events) GROUP BY ALL""")
+def l3_action_counts(spark, d):
+    """Counted over a stream; a last row, of no action, closes all windows."""
+    action = F.element_at(F.array(F.lit("accepted"), F.lit("rejected"), F.lit("edited")), (F.col("event_id") % 3 + 1).cast("int"))
+    rows = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), action.alias("action"))
+    home = _scratch(spark)
+    end = rows.agg(F.max("ts").alias("ts")).select((F.col("ts") + F.expr("interval 1 day")).alias("ts"), F.lit(None).cast("string").alias("action"))
+    rows.unionByName(end).write.parquet(f"{home}/log")
+    counts = review_stream.action_counts(spark.readStream.schema(rows.schema).parquet(f"{home}/log"))
+    query = (
+        counts.writeStream.outputMode("append").option("checkpointLocation", f"{home}/checkpoint")
+        .foreachBatch(lambda df, k: df.write.mode("overwrite").parquet(f"{home}/counts/batch={k}")).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    found = spark.read.schema("start timestamp, action string, n long, batch int").parquet(f"{home}/counts").where("action is not null")
+    return found.select(F.col("start").cast("timestamp_ntz").alias("start"), "action", "n")
+
+
 @query("g5_g6_stats")
 def g5_g6_stats(spark, d):
     return review.annotation_stats(review.fold_annotations(*_session(spark, d)))
