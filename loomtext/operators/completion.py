@@ -183,7 +183,13 @@ def classify_prompt(text: Column, labels: list[str], definitions: dict[str, str]
 
 # replies
 
+#: What a label looks like inside a reply, the fences of code, quotation marks, and what may stand around a
+#: label.
 _LABEL = r'"label"\s*:\s*"([^"]+)"'
+_OBJECT = r'(?s)\{[^}]*"label"\s*:\s*"([^"]+)"[^}]*\}'
+_FENCE_START, _FENCE_END = r"^```(?:json)?\s*", r"\s*```\s*$"
+_QUOTES = "^[\"']+|[\"']+$"
+_BEFORE, _AFTER = r"(?i)(?:^|[\s\"'（(,，:：])\Q", r"\E(?:[\s\"'）),，:：.]|$)"
 
 
 def _first(labels: list[str], test: Callable[[Column, Column], Column]) -> Column:
@@ -203,7 +209,7 @@ def _nonempty(c: Column) -> Column:
 def parse_label(reply: Column, labels: list[str]) -> Column:
     """struct<label, confidence>: JSON, else JSON inside other text, else a label itself or in the text, else a start."""
     raw = ustrip(reply)
-    inside = F.regexp_extract(raw, r'(?s)\{[^}]*"label"\s*:\s*"([^"]+)"[^}]*\}', 1)
+    inside = F.regexp_extract(raw, _OBJECT, 1)
     whole = _json_label(raw)
     label = F.coalesce(
         whole, _nonempty(ustrip(inside)), _first(labels, lambda _, low: F.lower(raw) == low), _first(labels, lambda _, low: F.contains(F.lower(raw), low)), F.substring(raw, 1, 50)
@@ -222,10 +228,10 @@ def match_label(found: Column, labels: list[str]) -> Column:
 def parse_label_robust(reply: Column, labels: list[str]) -> Column:
     """Also takes off code fences, and looks at the first line and for labels between delimiters."""
     raw = ustrip(reply)
-    bare = ustrip(F.regexp_replace(F.regexp_replace(raw, r"^```(?:json)?\s*", ""), r"\s*```\s*$", ""))
+    bare = ustrip(F.regexp_replace(F.regexp_replace(raw, _FENCE_START, ""), _FENCE_END, ""))
     inside = _nonempty(F.regexp_extract(raw, _LABEL, 1))
-    line = ustrip(F.regexp_replace(ustrip(F.split(raw, "\n", 2)[0]), "^[\"']+|[\"']+$", ""))
-    delimited = lambda x, _: F.regexp_like(raw, F.concat(F.lit(r"(?i)(?:^|[\s\"'（(,，:：])\Q"), x, F.lit(r"\E(?:[\s\"'）),，:：.]|$)")))
+    line = ustrip(F.regexp_replace(ustrip(F.split(raw, "\n", 2)[0]), _QUOTES, ""))
+    delimited = lambda x, _: F.regexp_like(raw, F.concat(F.lit(_BEFORE), x, F.lit(_AFTER)))
     return F.coalesce(
         match_label(F.coalesce(_json_label(bare), _json_label(raw)), labels), match_label(ustrip(inside), labels), _first(labels, lambda _, low: F.lower(raw) == low),
         _first(labels, lambda _, low: F.lower(line) == low), _first(labels, delimited), _nonempty(F.substring(line, 1, 50)), F.substring(raw, 1, 50),

@@ -14,6 +14,13 @@ def test_curve_fit_recovers():
         advise.fit_curve([(10, 0.5)])
 
 
+def test_smallest_size():
+    for a, b, c in ((0.1, 0.25, 0.2), (0.02, 0.5, 0.0), (0.0, 0.5, 0.7), (10.0, 1.0, 0.0), (0.001, 0.9, 0.3), (0.3, 0.01, 0.5)):
+        for target in (0.0, 0.3, 0.55, 0.7, 0.8, 0.999, 1.0):
+            slow = next((n for n in range(1, 3001) if advise.predict(n, a, b, c) >= target), None)
+            assert advise.size_for(target, a, b, c, most=3000) == slow, (a, b, c, target)
+
+
 def test_priors_fit():
     for points in advise.PRIORS.values():
         a, b, c = advise.fit_curve(points)
