@@ -100,11 +100,26 @@ def distribution(df: DataFrame, column: str, name: str = "label") -> DataFrame:
     return counts.join(F.broadcast(total), F.lit(True)).select(name, "n", F.round(F.col("n") / F.col("total"), 4).alias("share"))
 
 
-def duplicates(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def digest(columns: list[str]) -> Column:
+    """16 bytes of a row, for telling rows apart before they are compared."""
+    return F.struct(F.xxhash64(*columns), F.xxhash64(F.lit(len(columns)), *columns))
+
+
+def kinds(df: DataFrame, columns: list[str], key: Column | None = None) -> DataFrame:
+    """(n_rows, n_kinds) of the rows' values in columns. Digests are counted first; only rows whose digest repeats are
+    compared as a whole, so texts that occur once are not shuffled. key: another digest."""
+    rows = df.select(*columns).withColumn("__key", digest(columns) if key is None else key)
+    counts = rows.groupBy("__key").agg(F.count("*").alias("n"))
+    once = counts.where("n = 1").agg(F.count("*").alias("n_rows"), F.count("*").alias("n_kinds"))
+    again = rows.join(counts.where("n > 1").select("__key"), "__key", "left_semi")
+    several = again.groupBy("__key", *columns).agg(F.count("*").alias("n")).agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_kinds"))
+    return once.unionByName(several).agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows"), F.coalesce(F.sum("n_kinds"), F.lit(0)).alias("n_kinds"))
+
+
+def duplicates(df: DataFrame, columns: list[str] | None = None, key: Column | None = None) -> DataFrame:
     """(n_rows, n_duplicates, rate): rows beyond the first of their kind, over all columns."""
-    kinds = df.groupBy(*(columns or df.columns)).agg(F.count("*").alias("n"))
-    n, extra = F.sum("n"), F.sum(F.col("n") - 1)
-    return kinds.agg(F.coalesce(n, F.lit(0)).alias("n_rows"), F.coalesce(extra, F.lit(0)).alias("n_duplicates"), F.round(F.coalesce(extra / n, F.lit(0.0)), 4).alias("rate"))
+    n, extra = F.col("n_rows"), F.col("n_rows") - F.col("n_kinds")
+    return kinds(df, columns or df.columns, key).select("n_rows", extra.alias("n_duplicates"), F.round(F.coalesce(F.try_divide(extra, n), F.lit(0.0)), 4).alias("rate"))
 
 
 def time_span(df: DataFrame, time_col: str) -> DataFrame:
@@ -119,9 +134,8 @@ def time_span(df: DataFrame, time_col: str) -> DataFrame:
 
 def text_uniqueness(df: DataFrame, text_col: str) -> DataFrame:
     """(n_texts, n_unique, rate, warning): warns below 0.8."""
-    out = df.where(F.col(text_col).isNotNull()).groupBy(text_col).agg(F.count("*").alias("n"))
-    out = out.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_texts"), F.count("*").alias("n_unique"))
-    rate = F.col("n_unique") / F.col("n_texts")
+    out = kinds(df.where(F.col(text_col).isNotNull()), [text_col]).withColumnsRenamed({"n_rows": "n_texts", "n_kinds": "n_unique"})
+    rate = F.try_divide(F.col("n_unique"), F.col("n_texts"))
     return out.select("n_texts", "n_unique", F.round(F.coalesce(rate, F.lit(1.0)), 4).alias("rate"), F.coalesce(rate < 0.8, F.lit(False)).alias("warning"))
 
 
@@ -135,8 +149,9 @@ def majority(df: DataFrame, column: str) -> DataFrame:
 def diagnostics(df: DataFrame, text_col: str, label_col: str | None = None) -> DataFrame:
     """(metric, value): the counts of a diagnostics report."""
     text = F.col(text_col).cast("string")
-    base = df.agg(F.count("*").alias("rows"), F.lit(len(df.columns)).cast("long").alias("columns"), F.count_if(is_blank(text)).alias("empty_texts"), F.countDistinct(text_col).alias("unique_texts"), *([F.countDistinct(label_col).alias("classes")] if label_col else []))
-    both = base.join(duplicates(df).select("n_duplicates"), F.lit(True))
+    base = df.agg(F.count("*").alias("rows"), F.lit(len(df.columns)).cast("long").alias("columns"), F.count_if(is_blank(text)).alias("empty_texts"), *([F.countDistinct(label_col).alias("classes")] if label_col else []))
+    both = base.join(text_uniqueness(df, text_col).select(F.col("n_unique").alias("unique_texts")), F.lit(True))
+    both = both.join(duplicates(df).select("n_duplicates"), F.lit(True))
     return both.unpivot([], both.columns, "metric", "value")
 
 

@@ -1,4 +1,4 @@
-"""TF-IDF and what builds on it: diversity, overlap of descriptions, theme suggestions, diverse examples.
+"""TF-IDF and what builds on it: diversity, overlap of descriptions, diverse examples.
 
 Weights are a sparse long table (id, term, weight), shuffled by term and by document with partial aggregation. Pairs of
 documents are never formed: the mean similarity of all pairs follows from the sums by term.
@@ -56,50 +56,19 @@ def top_terms(weights: DataFrame, groups: DataFrame, k: int = 8) -> DataFrame:
     return sums.withColumn("rank", rank).where(F.col("rank") <= k).select("group", "rank", "term", (F.col("w") / F.col("size")).alias("weight"))
 
 
-def suggest_themes(df: DataFrame, id_col: str, text_col: str, n_themes: int = 6, max_terms: int = 5000, seed: int = 42, stop_words: tuple[str, ...] = ()) -> DataFrame:
-    """(cluster, name, keywords, representatives, coverage): clusters of texts, largest first. representatives are the
-    ids of the five texts nearest their centre."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.linalg import Vectors, VectorUDT
-
-    n = df.count()
-    if n < 1:
-        return df.sparkSession.createDataFrame([], "cluster int, name string, keywords array<string>, representatives array<string>, coverage double")
-    weights = tfidf(df, id_col, text_col, max_terms, 2 if n > 10 else 1, 0.95 if n > 5 else 1.0, stop_words)
-    vocabulary = weights.select("term").distinct().orderBy("term").limit(max_terms)
-    numbered = vocabulary.withColumn("k", (F.row_number().over(Window.orderBy("term")) - 1).cast("int"))
-    size = max(1, numbered.count())
-    rows = weights.join(F.broadcast(numbered), "term").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("k", "weight"))).alias("v"))
-    make = F.udf(lambda v: Vectors.sparse(size, [x["k"] for x in v], [x["weight"] for x in v]), VectorUDT())
-    vectors = materialised(rows.withColumn("features", make("v")).drop("v"))
-    model = KMeans(k=min(n_themes, n), seed=seed, maxIter=50).fit(vectors)
-    groups = model.transform(vectors).select("id", F.col("prediction").alias("group"))
-    best = top_terms(weights, groups)
-    keywords = best.groupBy("group").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("keywords"))
-    near = weights.join(groups, "id").join(best.select("group", "term", F.col("weight").alias("c")), ["group", "term"]).groupBy("group", "id").agg(F.sum(F.col("weight") * F.col("c")).alias("s"))
-    near = near.withColumn("k", F.row_number().over(Window.partitionBy("group").orderBy(F.desc("s"), "id"))).where("k <= 5")
-    representatives = near.groupBy("group").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "id"))), lambda x: x["id"].cast("string")).alias("representatives"))
-    sizes = groups.groupBy("group").agg(F.count("*").alias("n"))
-    out = sizes.join(keywords, "group", "left").join(representatives, "group", "left")
-    return out.select(
-        F.col("group").alias("cluster"), F.concat(F.lit("Theme: "), F.array_join(F.slice("keywords", 1, 3), ", ")).alias("name"), "keywords", "representatives",
-        F.round(F.col("n") / n, 3).alias("coverage"),
-    ).orderBy(F.desc("coverage"), "cluster")
-
-
 def select_examples(df: DataFrame, id_col: str, text_col: str, label_col: str, n: int = 3) -> DataFrame:
     """(label, pick, id): n diverse texts of each label: the first, then each time the one farthest from those chosen.
 
     Greedy and sequential, so a round is a plan: similarities of all texts to the last pick, by label, n - 1 times."""
     rows = df.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"))
-    weights = tfidf(df, id_col, text_col, 3000).join(rows, "id")
+    weights = materialised(tfidf(df, id_col, text_col, 3000).join(rows, "id"))  # every pick reads them
     nearest = rows.withColumn("near", F.lit(-1.0))
     picks = rows.groupBy("label").agg(F.min("id").alias("id")).withColumn("pick", F.lit(1))
     chosen = picks
     for k in range(2, n + 1):
         last = weights.join(F.broadcast(picks.select(F.col("label").alias("l"), F.col("id").alias("p"))), (F.col("label") == F.col("l")) & (F.col("id") == F.col("p")))
         last = last.select(F.col("label").alias("l"), F.col("term").alias("t"), F.col("weight").alias("w"))
-        similar = weights.join(F.broadcast(last), (F.col("label") == F.col("l")) & (F.col("term") == F.col("t"))).groupBy("id").agg(F.sum(F.col("weight") * F.col("w")).alias("s"))
+        similar = weights.join(last, (F.col("label") == F.col("l")) & (F.col("term") == F.col("t"))).groupBy("id").agg(F.sum(F.col("weight") * F.col("w")).alias("s"))
         nearest = nearest.join(similar, "id", "left").select("id", "label", F.greatest("near", F.coalesce("s", F.lit(0.0))).alias("near"))
         left = nearest.join(F.broadcast(chosen.select("id")), "id", "left_anti")
         picks = left.groupBy("label").agg(F.min_by("id", F.struct(F.round("near", 9), "id")).alias("id")).withColumn("pick", F.lit(k))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, n_tokens
-from ..operators import advise, agreement, completion, consensus, entities, extraction_review, language, methods, pii, profile, prompting, review, segment, tfidf, training
+from ..operators import advise, agreement, completion, consensus, entities, extraction_review, language, methods, pii, profile, prompting, review, segment, tfidf, themes, training
 from ..session import materialised, shared_dir
 from ..sources import io
 from ..streaming import annotation_stream, review_stream
@@ -835,7 +835,7 @@ def p1_tfidf(spark, d):
 
 @query("p2_themes")
 def p2_themes(spark, d):
-    return tfidf.suggest_themes(_docs(spark, d), "doc_id", "text")
+    return themes.suggest_themes(_docs(spark, d), "doc_id", "text")
 
 
 @query("p4_overlap", f"""WITH src AS (SELECT item_id AS id, text FROM benchmark), {_WEIGHTS} SELECT * FROM (SELECT a.id AS a, b.id AS b, round(100 * sum(a.weight * b.weight), 1)::DOUBLE AS overlap FROM weights a JOIN weights b USING (term) WHERE a.id < b.id GROUP BY ALL) WHERE overlap > 10""")
@@ -940,6 +940,14 @@ def j21_local_classifier(spark, d):
     return agreement.evaluate(agreement.label_margins(agreement.pair_counts(found, "label", "predicted"))).drop("tp")
 
 
+@query("j21_split", """WITH n AS (SELECT lang, count(*) AS n FROM documents GROUP BY 1) SELECT lang, n - CASE WHEN n > 1 THEN greatest(1, floor(n * 0.2)) ELSE 0 END::BIGINT AS fit,
+    CASE WHEN n > 1 THEN greatest(1, floor(n * 0.2)) ELSE 0 END::BIGINT AS held FROM n""")
+def j21_split(spark, d):
+    fit, held = training.stratified_split(_docs(spark, d), "lang", "doc_id")
+    both = fit.select("lang", F.lit(1).alias("f"), F.lit(0).alias("h")).unionAll(held.select("lang", F.lit(0), F.lit(1)))
+    return both.groupBy("lang").agg(F.sum("f").alias("fit"), F.sum("h").alias("held"))
+
+
 @query("k4_coders", """SELECT doc_id AS item_id, count(*) AS votes FROM (SELECT doc_id FROM documents WHERE contains(text, ' the ') UNION ALL SELECT doc_id FROM documents WHERE contains(text, ' of ')) GROUP BY 1""")
 def k4_coders(spark, d):
     said = '{"themes": [{"name": "english", "confidence": 0.9}]}'
