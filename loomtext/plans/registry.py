@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, n_tokens
-from ..operators import advise, agreement, completion, consensus, entities, extraction_review, language, methods, pii, profile, prompting, review, segment, tfidf, themes, training
+from ..operators import advise, agreement, completion, consensus, entities, extraction_review, language, methods, pii, profile, prompting, reliability, review, segment, tfidf, themes, training
 from ..session import materialised, shared_dir
-from ..sources import io
+from ..sources import archive, io
 from ..streaming import annotation_stream, review_stream
 from . import inputs
 from .inputs import table, with_inputs
@@ -233,6 +233,45 @@ def d7_pairwise(spark, d):
     return agreement.pairwise_kappa(inputs.coders_long(spark, d))
 
 
+_PAIRS = """q AS (SELECT 'a vs b' AS name, a AS x, b AS y FROM coders_wide UNION ALL SELECT 'a vs c', a, coalesce(c, 'nan') FROM coders_wide UNION ALL SELECT 'b vs c', b, coalesce(c, 'nan') FROM coders_wide),
+    m AS (SELECT name, label, sum(r) AS r, sum(c) AS c, sum(tp) AS tp FROM (SELECT name, x AS label, 1 AS r, 0 AS c, (x = y)::INT AS tp FROM q UNION ALL SELECT name, y, 0, 1, 0 FROM q) GROUP BY ALL),
+    z AS (SELECT name, sum(tp) / sum(r) AS po, sum(r * c) / (sum(r)::DOUBLE * sum(r)) AS pe FROM m GROUP BY ALL)"""
+_JACCARD_SCALE = "CASE WHEN k < 0.2 THEN 'Poor agreement' WHEN k < 0.4 THEN 'Fair agreement' WHEN k < 0.6 THEN 'Moderate agreement' WHEN k < 0.8 THEN 'Substantial agreement' ELSE 'Almost perfect agreement' END"
+
+
+@query("d7_report", f"""{_ALPHA.format(observed="sum(m * m - q) / sum(m * (m - 1))::DOUBLE").replace("WITH c AS", "WITH {coders}, c AS", 1).rsplit("SELECT round(a, 4)", 1)[0].rstrip()}, {_PAIRS.replace("m AS", "mm AS").replace("FROM m ", "FROM mm ")},
+    t2 AS (SELECT name, {_KAPPA} AS k FROM z), mean AS (SELECT avg(round(k, 4)) AS k FROM t2)
+    SELECT 'alpha' AS section, NULL AS name, round(a, 4)::DOUBLE AS value, CASE WHEN a < 0.667 THEN 'Unreliable — discard or recode' WHEN a < 0.8 THEN 'Tentatively reliable' ELSE 'Reliable' END AS interpretation FROM t
+    UNION ALL SELECT 'pair', name, round(k, 4)::DOUBLE, {_SCALE} FROM t2 UNION ALL SELECT 'average', NULL, round(k, 4)::DOUBLE, {_SCALE} FROM mean""".replace("{coders}", ", ".join(inputs.named(n) for n in ("labelled", "coders_wide", "coders_long"))))
+def d7_report(spark, d):
+    return reliability.report(inputs.coders_wide(spark, d), ["a", "b", "c"])
+
+
+@query("d6_report", f"""WITH {_SETS}, t AS (SELECT theme, count(*) FILTER (list_contains(x, theme)) AS r, count(*) FILTER (list_contains(y, theme)) AS c,
+      count(*) FILTER (list_contains(x, theme) AND list_contains(y, theme)) AS tp, count(*) AS n FROM s, (SELECT DISTINCT theme FROM theme_long) GROUP BY 1),
+    k AS (SELECT *, (n - r - c + 2 * tp) / n AS po, (r * c + (n - r) * (n - c)) / (n::DOUBLE * n) AS pe FROM t),
+    v AS (SELECT theme, round({_KAPPA}, 4)::DOUBLE AS k, round(po, 4)::DOUBLE AS observed, round(tp / (r + c - tp), 4)::DOUBLE AS specific FROM k),
+    j AS (SELECT avg(CASE WHEN len(x) + len(y) = 0 THEN 1.0 ELSE len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) END) AS k FROM s), mean AS (SELECT avg(k) AS k FROM v)
+    SELECT 'jaccard' AS section, NULL AS name, round(k, 4)::DOUBLE AS value, {_JACCARD_SCALE} AS interpretation FROM j
+    UNION ALL SELECT 'kappa', theme, k, {_SCALE} FROM v UNION ALL SELECT 'observed', theme, observed, NULL FROM v UNION ALL SELECT 'specific', theme, specific, NULL FROM v
+    UNION ALL SELECT 'average', NULL, round(k, 4)::DOUBLE, {_SCALE} FROM mean""", "theme_long")
+def d6_report(spark, d):
+    return reliability.report(inputs.theme_sets(spark, d), ["x", "y"], "multi")
+
+
+@query("d7_multilabel", f"""WITH w AS (SELECT doc_id AS item_id, coalesce(x, []) AS x, coalesce(y, []) AS y, coalesce(z, []) AS z FROM documents d
+      LEFT JOIN (SELECT item_id, list(theme) AS x FROM codings WHERE coder = 'c1' GROUP BY 1) a ON a.item_id = d.doc_id
+      LEFT JOIN (SELECT item_id, list(theme) AS y FROM codings WHERE coder = 'c2' GROUP BY 1) b ON b.item_id = d.doc_id
+      LEFT JOIN (SELECT item_id, list(theme) AS z FROM codings WHERE coder = 'c3' GROUP BY 1) c ON c.item_id = d.doc_id),
+    p AS (SELECT 'c1 vs c2' AS name, x AS a, y AS b FROM w UNION ALL SELECT 'c1 vs c3', x, z FROM w UNION ALL SELECT 'c2 vs c3', y, z FROM w),
+    j AS (SELECT name, avg(CASE WHEN len(a) + len(b) = 0 THEN 1.0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END) AS k FROM p GROUP BY 1), mean AS (SELECT avg(round(k, 4)) AS k FROM j)
+    SELECT 'pair' AS section, name, round(k, 4)::DOUBLE AS value, {_JACCARD_SCALE} AS interpretation FROM j UNION ALL SELECT 'average', NULL, round(k, 4)::DOUBLE, {_JACCARD_SCALE} FROM mean""", "codings")
+def d7_multilabel(spark, d):
+    """The three coders of the documents, from cells that list themes with commas."""
+    coded = inputs.codings(spark, d).groupBy("item_id").pivot("coder", ["c1", "c2", "c3"]).agg(F.array_join(F.collect_list("theme"), ", "))
+    return reliability.report(inputs.items(spark, d).select("item_id").join(coded, "item_id", "left"), ["c1", "c2", "c3"], "multi")
+
+
 _EVAL = f"""p AS (SELECT truth AS x, predicted AS y FROM predicted), {_MARGINS},
     e AS (SELECT label, round(CASE WHEN c > 0 THEN tp / c ELSE 0 END, 4)::DOUBLE AS "precision", round(CASE WHEN r > 0 THEN tp / r ELSE 0 END, 4)::DOUBLE AS recall,
       round(2 * tp / (r + c), 4)::DOUBLE AS f1, r AS support, n AS total, tp FROM m, n)"""
@@ -590,7 +629,20 @@ def _extractions(spark, d):
     return found, segments, log
 
 
-@query("l4_extraction_review", f"WITH {inputs.named('turns')}, {_EXTRACTED} SELECT doc_id, item::INT AS item, segment_id, text, rq_label, sub_theme, confidence, line_start, line_end, char_start, char_end, paragraph_index, review_status, reasoning, evidence_span FROM review WHERE review_status <> 'rejected'")
+_REVIEW_SQL = f"WITH {inputs.named('turns')}, {_EXTRACTED} SELECT doc_id, item::INT AS item, segment_id, text, rq_label, sub_theme, confidence, line_start, line_end, char_start, char_end, paragraph_index, review_status, reasoning, evidence_span FROM review WHERE review_status <> 'rejected'"
+
+
+@query("b7_archive", _REVIEW_SQL)
+def b7_archive(spark, d):
+    """A review that goes on from an archive."""
+    found, segments, log = _extractions(spark, d)
+    path = _scratch(spark)
+    archive.save({"found": ("extractions", found), "segments": ("segments", segments), "log": ("extraction_log", log)}, {"lang": "en"}, path)
+    tables, _, _ = archive.load(spark, path)
+    return extraction_review.export(extraction_review.reviewed(tables["found"], tables["segments"], tables["log"]))
+
+
+@query("l4_extraction_review", _REVIEW_SQL)
 def l4_extraction_review(spark, d):
     return extraction_review.export(extraction_review.reviewed(*_extractions(spark, d)))
 
