@@ -1022,8 +1022,24 @@ def m2_wide(spark, d):
     return consensus.cooccurrence_wide(k1_votes(spark, d), list(inputs.THEMES))
 
 
+@query("b6_log", f"""WITH {_EVAL}, k AS (SELECT sum(tp) / max(n) AS po, sum(r * c) / (max(n)::DOUBLE * max(n)) AS pe FROM m, n)
+    SELECT unnest([{{'name': 'n_samples', 'value': max(total)::DOUBLE}}, {{'name': 'n_classes', 'value': (SELECT count(DISTINCT predicted) FROM predicted)::DOUBLE}}, {{'name': 'accuracy', 'value': round(sum(tp) / max(total), 4)::DOUBLE}},
+      {{'name': 'macro_f1', 'value': round(avg(f1), 4)::DOUBLE}}, {{'name': 'weighted_f1', 'value': round(sum(f1 * support) / sum(support), 4)::DOUBLE}},
+      {{'name': 'cohens_kappa', 'value': (SELECT round({_KAPPA}, 4)::DOUBLE FROM k)}}], recursive := true) FROM e""", "predicted")
+def b6_log(spark, d):
+    """The numbers of a run's log, written and read again."""
+    io.save_log(spark, methods.quantitative_log(inputs.predicted(spark, d), "predicted", "truth"), path := _scratch(spark))
+    log = io.load_log(spark, path)
+    return spark.createDataFrame([(k, float(v)) for k, v in log.items() if isinstance(v, (int, float))], "name string, value double")
+
+
 @query("n1_methods")
 def n1_methods(spark, d):
-    summary = d9_summary(spark, d).first()
-    log = {"pipeline": "quantitative", "n_samples": summary["n"], "accuracy": summary["accuracy"], "macro_f1": summary["macro_f1"]}
-    return spark.createDataFrame([(lang, methods.methods_text(log, lang)) for lang in ("en", "zh")], "language string, text string")
+    """Of a classification and of a coding, whose figures come from the tables."""
+    spans = pii.coverage(pii.detect(_docs(spark, d), kinds=("EMAIL",))).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    reviewed = review.reviewed(k1_votes(spark, d), inputs.action_log(spark, d), ["item_id"], "theme")
+    logs = [
+        methods.quantitative_log(inputs.predicted(spark, d), "predicted", "truth", classification_method="few-shot"),
+        methods.qualitative_log(reviewed, "item_id", "theme", "action", deidentification_performed=True, n_pii_detected=spans),
+    ]
+    return spark.createDataFrame([(log["pipeline"], lang, methods.methods_text(log, lang)) for log in logs for lang in ("en", "zh")], "pipeline string, language string, text string")
