@@ -71,13 +71,17 @@ def triage_summary(triaged: DataFrame) -> DataFrame:
 
 
 def excerpts(items: DataFrame, coded: DataFrame, actions: DataFrame | None = None, source: str = "") -> DataFrame:
-    """(item_id, theme, text, confidence, status, source): a row for each theme of an item."""
-    out = items.select("item_id", "text").join(coded.select("item_id", "theme", "confidence"), "item_id")
+    """(item_id, theme, text, confidence, status, source): a row for each theme of an item; and, where coded has triggers
+    and reasoning, those too, the triggers joined by commas."""
+    more = [c for c in ("triggers", "reasoning") if c in coded.columns]
+    out = items.select("item_id", "text").join(coded.select("item_id", "theme", "confidence", *more), "item_id")
     status = F.lit("unreviewed")
     if actions is not None:
         out = out.join(actions.select("item_id", "status"), "item_id", "left")
         status = F.coalesce("status", status)
-    return out.select("item_id", "theme", "text", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), status.alias("status"), F.lit(source).alias("source"))
+    told = {"triggers": lambda: F.array_join(F.coalesce("triggers", F.array().cast("array<string>")), ", "), "reasoning": lambda: F.coalesce("reasoning", F.lit(""))}
+    own = [F.coalesce("confidence", F.lit(0.0)).alias("confidence"), status.alias("status"), F.lit(source).alias("source")]
+    return out.select("item_id", "theme", "text", *own, *[told[c]().alias(c) for c in more])
 
 
 def cooccurrence(coded: DataFrame, themes: DataFrame) -> DataFrame:
@@ -109,6 +113,23 @@ def memo(items: DataFrame, coded: DataFrame, quotes: int = 3, most: int = 200) -
     return out.select("theme", "n", F.round(100 * F.col("n") / F.col("total"), 1).alias("percent"), "quotes")
 
 
+def memo_lines(items: DataFrame, coded: DataFrame, themes: DataFrame) -> DataFrame:
+    """(part, k, line): a Markdown memo: a head, then a section for each theme of the codebook (place, theme,
+    description), also for those that no item has, with its definition, frequency, first quotes and room for notes."""
+    found = memo(items, coded.join(F.broadcast(themes.select("theme")), "theme", "left_semi"))
+    sizes = items.agg(F.count("*").alias("n")).join(themes.agg(F.count("*").alias("k")), F.lit(True))
+    head = [F.lit("# Memo"), F.lit(""), F.concat(F.lit("Texts: "), F.col("n")), F.concat(F.lit("Themes: "), F.col("k")), F.lit("")]
+    rows = themes.join(found, "theme", "left")
+    quotes = F.flatten(F.transform(F.coalesce("quotes", F.array().cast("array<string>")), lambda q: F.array(F.concat(F.lit("> "), F.regexp_replace(q, "\n", "\n> ")), F.lit(""))))
+    times = F.concat(F.lit("Frequency: "), F.coalesce("n", F.lit(0)), F.lit(" texts ("), F.coalesce("percent", F.lit(0.0)), F.lit("%)"))
+    body = F.concat(
+        F.array(F.concat(F.lit("## "), "theme"), F.lit(""), F.concat(F.lit("Definition: "), F.coalesce("description", F.lit(""))), F.lit(""), times, F.lit("")),
+        quotes, F.array(F.lit("Notes:"), F.lit("")),
+    )
+    out = sizes.select(F.lit(-1).cast("long").alias("part"), F.posexplode(F.array(*head)).alias("k", "line"))
+    return out.unionByName(rows.select(F.col("place").cast("long").alias("part"), F.posexplode(body).alias("k", "line")))
+
+
 def evidence_context(df: DataFrame, text: str, evidence: str, around: int = 300) -> DataFrame:
     """df with found_at (from 0; -1 if absent), before, hit, after: the first hit without regard to case."""
     at = F.when(F.length(evidence) > 0, F.expr(f"locate(lower(`{evidence}`), lower(`{text}`))")).otherwise(0)
@@ -138,6 +159,11 @@ def confidence_histogram(df: DataFrame, column: str, bins: int = 20) -> DataFram
     return df.where(F.col(column).isNotNull()).groupBy(b.alias("bin")).agg(F.count("*").alias("n"))
 
 
+def confidence_summary(df: DataFrame, column: str) -> DataFrame:
+    """(n, median, mean) of the confidences there are, to four places."""
+    return df.agg(F.count(column).alias("n"), F.round(F.median(column), 4).alias("median"), F.round(F.avg(column), 4).alias("mean"))
+
+
 def normalised_confusion(counts: DataFrame) -> DataFrame:
     """(a, b, share): share of the row's total."""
     return counts.select("a", "b", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("a")), 4).alias("share"))

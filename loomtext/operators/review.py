@@ -11,11 +11,32 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import ustrip
+
 STATE = "session string, item long, label string, status string, note string, seq long"
 
 
-def replay(n_items: int, actions: list[tuple], preset: dict[int, str] | None = None) -> tuple[list[dict], int]:
-    """Items and cursor after the actions (name, item, label, note): annotate, skip, flag, undo, goto."""
+def create_session(
+    df: DataFrame, id_col: str, text_col: str, label_col: str | None = None, labels: list[str] | None = None, session: str = "", shuffle_seed: int | None = None
+) -> tuple[DataFrame, list[str]]:
+    """(items, labels): (session, item from 0, id, text, label) in the order of the ids, or of their hashes with a seed;
+    labels that rows have already are kept, blank ones apart, and are the session's labels, sorted, if none are given.
+    Items are numbered by ranges of that order, so that no task holds them all. Null texts are read as empty."""
+    from .pii import in_order
+
+    label = F.lit(None).cast("string") if label_col is None else F.nullif(ustrip(F.col(label_col).cast("string")), F.lit(""))
+    rows = df.select(F.lit(session).alias("session"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), label.alias("label"))
+    order = ["id", "text"] if shuffle_seed is None else ["place", "id", "text"]
+    rows = rows if shuffle_seed is None else rows.withColumn("place", F.xxhash64("id", "text", F.lit(shuffle_seed)))
+    items = in_order(rows, "session", order).select("session", (F.col("n") - 1).alias("item"), "id", "text", "label")
+    if labels is None:
+        labels = [r["label"] for r in rows.where("label is not null").select("label").distinct().orderBy("label").collect()]
+    return items, labels
+
+
+def replay(n_items: int, actions: list[tuple], preset: dict[int, str] | None = None, labels: list[str] | None = None) -> tuple[list[dict], int]:
+    """Items and cursor after the actions (name, item, label, note): annotate, skip, flag, undo, goto. A label that isn't
+    among labels, where there are any, is an error."""
     items = [{"label": (preset or {}).get(k), "status": "labeled" if (preset or {}).get(k) else "pending", "note": "", "seq": None} for k in range(n_items)]
     history: list[int] = []
 
@@ -38,6 +59,8 @@ def replay(n_items: int, actions: list[tuple], preset: dict[int, str] | None = N
             raise IndexError("no more items")
         item = items[cursor]
         if name == "annotate":
+            if labels and label not in labels:
+                raise ValueError(f"unknown label {label!r}; known: {labels}")
             item |= {"label": label, "status": "labeled", "note": note or ""}
         elif name == "skip":
             item["status"] = "skipped"
@@ -51,13 +74,14 @@ def replay(n_items: int, actions: list[tuple], preset: dict[int, str] | None = N
     return items, cursor
 
 
-def fold_annotations(items: DataFrame, log: DataFrame) -> DataFrame:
-    """(session, item, label, status, note, seq) after each session's log. items: (session, item from 0, label)."""
+def fold_annotations(items: DataFrame, log: DataFrame, labels: list[str] | None = None) -> DataFrame:
+    """(session, item, label, status, note, seq) after each session's log. items: (session, item from 0, label). With
+    labels, an action that sets another one is an error."""
 
     def fold(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = sorted(left.to_pylist(), key=lambda r: r["item"])
         acts = sorted(right.to_pylist(), key=lambda r: r["seq"])
-        done, _ = replay(len(rows), [(r["action"], r["target"], r["label"], r["note"]) for r in acts], {k: r["label"] for k, r in enumerate(rows) if r["label"]})
+        done, _ = replay(len(rows), [(r["action"], r["target"], r["label"], r["note"]) for r in acts], {k: r["label"] for k, r in enumerate(rows) if r["label"]}, labels)
         out = [{"session": r["session"], "item": r["item"]} | d for r, d in zip(rows, done, strict=True)]
         kinds = [("session", pa.string()), ("item", pa.int64()), ("label", pa.string()), ("status", pa.string()), ("note", pa.string()), ("seq", pa.int64())]
         return pa.table({n: pa.array([r[n] for r in out], t) for n, t in kinds})
@@ -78,6 +102,12 @@ def export_annotations(state: DataFrame, include_all: bool = False) -> DataFrame
     return state if include_all else state.where("status = 'labeled'")
 
 
+def export_for_training(items: DataFrame, state: DataFrame) -> DataFrame:
+    """(id, text, label) of the labelled items of create_session()."""
+    done = state.where("status = 'labeled' and label is not null").select("session", "item", F.col("label").alias("__label"))
+    return items.join(done, ["session", "item"]).select("id", "text", F.col("__label").alias("label"))
+
+
 def merge_labels(df: DataFrame, state: DataFrame, text_col: str, label_col: str) -> DataFrame:
     """df with labels of equal texts from state (text, item, label); the last item's label wins for repeated texts."""
     last = state.where("label is not null").groupBy(F.col("text").alias("__text")).agg(F.max_by("label", "item").alias("__label"))

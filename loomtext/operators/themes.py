@@ -135,3 +135,17 @@ def suggest_themes(
     out = spark.createDataFrame(told, "cluster int, name string, description string, keywords array<string>").join(sizes, "cluster").join(best, "cluster")
     out = out.withColumn("coverage", F.round(F.col("n") / n, 3))
     return out.orderBy(F.desc("n"), "cluster").select("cluster", "name", "description", "keywords", "representatives", "coverage")
+
+
+def suggest(df: DataFrame, id_col: str, text_col: str, provider=None, n_themes: int = 6, first: int = 30, **parameters) -> DataFrame:
+    """Themes that a model names from the first texts by id, as many as its prompt holds; without a model, or where its
+    reply can't be read, those of suggest_themes(). Themes of a model have no keywords, representatives or coverage."""
+    from .prompting import suggest_themes_by
+
+    if provider is not None:
+        rows = df.where(F.length(F.trim(F.coalesce(F.col(text_col), F.lit("")))) > 0).orderBy(id_col).select(text_col).limit(first).collect()
+        found = suggest_themes_by(provider, [r[0] for r in rows], n_themes, first) if rows else None
+        if found:
+            told = [(k, str(t["name"]), str(t.get("description") or ""), None, None, None) for k, t in enumerate(found)]
+            return df.sparkSession.createDataFrame(told, THEMES)
+    return suggest_themes(df, id_col, text_col, n_themes, **parameters)

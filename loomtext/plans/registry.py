@@ -481,6 +481,27 @@ def f5_curve(spark, d):
     return advise.curve(spark, 0.1, 0.25, 0.2)
 
 
+_CURVES = "(SELECT DISTINCT user_id AS task, 0.05 + (user_id % 5) / 50.0 AS a, 0.2 + (user_id % 3) / 20.0 AS b, (user_id % 4) / 10.0 AS c FROM events)"
+
+
+@query("f5_task_curves", f"SELECT task, n::INT AS n, round(least(1.0, a * pow(n, b) + c), 4)::DOUBLE AS f1 FROM {_CURVES}, range(100, 5001, 100) r(n)")
+def f5_task_curves(spark, d):
+    u = F.col("user_id")
+    tasks = table(spark, d, "events").select("user_id").distinct().select(u.alias("task"), (0.05 + (u % 5) / 50.0).alias("a"), (0.2 + (u % 3) / 20.0).alias("b"), ((u % 4) / 10.0).alias("c"))
+    return advise.task_curves(tasks)
+
+
+@query("f7_budgets")
+def f7_budgets(spark, d):
+    """A task for each language: how often a rule of length is right among its first n documents, as its curve."""
+    rows = inputs.labelled(spark, d).withColumn("right", (F.col("quality") == (F.col("n_chars") >= 500).cast("int")).cast("int"))
+    first = Window.partitionBy("lang").orderBy("doc_id")
+    grown = rows.select(F.col("lang").alias("task"), F.row_number().over(first).alias("n"), F.avg("right").over(first.rowsBetween(Window.unboundedPreceding, 0)).alias("f1"))
+    points = grown.where((F.col("n") >= 5) & (F.log2("n") == F.floor(F.log2("n"))))
+    tasks = rows.select(F.col("lang").alias("task")).distinct().withColumns({"task_type": F.lit("topic"), "n_classes": F.lit(2), "target": F.lit(0.7)})
+    return advise.budgets(tasks, points)
+
+
 @query("f8_curve_table", "WITH c AS (SELECT n::INT AS n, round(least(1.0, 0.1 * pow(n, 0.25) + 0.2), 6)::DOUBLE AS f1 FROM range(100, 5001, 100) r(n)) SELECT n, f1, n = 1300 AS recommended FROM c WHERE (n - 100) // 100 % 6 = 0 OR n = 1300")
 def f8_curve_table(spark, d):
     return advise.curve_table(advise.curve(spark, 0.1, 0.25, 0.2), 1250)
@@ -549,6 +570,14 @@ def g7_export(spark, d):
     return review.export_annotations(review.fold_annotations(*_session(spark, d)))
 
 
+@query("g1_session", """SELECT '' AS session, row_number() OVER (ORDER BY doc_id) - 1 AS item, doc_id AS id, text, quality::VARCHAR AS label,
+    (SELECT list(DISTINCT quality::VARCHAR ORDER BY quality::VARCHAR) FROM labelled) AS labels FROM documents LEFT JOIN labels USING (doc_id)""", "labelled")
+def g1_session(spark, d):
+    rows = _docs(spark, d).join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    items, labels = review.create_session(rows, "doc_id", "text", "quality")
+    return items.withColumn("labels", F.array(*[F.lit(x) for x in labels]))
+
+
 @query("g8_merge_labels", """WITH l AS (SELECT text, arg_max(quality, doc_id)::VARCHAR AS label FROM labelled GROUP BY 1) SELECT doc_id, label FROM documents LEFT JOIN l USING (text)""", "labelled")
 def g8_merge_labels(spark, d):
     state = inputs.labelled(spark, d).select("text", F.col("doc_id").alias("item"), F.col("quality").cast("string").alias("label"))
@@ -697,6 +726,34 @@ def i7_i9_review(spark, d):
     return rows.groupBy("action").agg(F.count("*").alias("n"))
 
 
+_EMAIL = r"'\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b'"
+_EMAIL_SPANS = f"(SELECT doc_id AS item_id, unnest(regexp_extract_all(text, {_EMAIL})) AS span FROM documents)"
+
+
+def _reviewed_spans(spark, d):
+    """E-mail addresses of the documents, each with the last action on its document."""
+    found = pii.name_replacements(pii.detect(_docs(spark, d), kinds=("EMAIL",)), "redact")
+    log = inputs.action_log(spark, d).withColumnRenamed("item_id", "text_id")
+    return review.reviewed(found, log, ["text_id"], "replacement", "span")
+
+
+@query("i7_spans", f"""SELECT coalesce(action, 'pending') AS action, CASE action WHEN 'rejected' THEN span WHEN 'edited' THEN value ELSE '[REDACTED]' END AS final, count(*) AS n
+    FROM {_EMAIL_SPANS} LEFT JOIN last_log USING (item_id) GROUP BY ALL""", "last_log")
+def i7_spans(spark, d):
+    return _reviewed_spans(spark, d).groupBy("action", "final").agg(F.count("*").alias("n"))
+
+
+@query("i7_accept_confident", f"""SELECT count(*) AS total, count(*) FILTER (action IS NULL OR action = 'accepted') AS accepted, count(*) FILTER (action = 'edited') AS edited,
+    count(*) FILTER (action = 'rejected') AS rejected, 0::BIGINT AS pending FROM {_EMAIL_SPANS} LEFT JOIN last_log USING (item_id)""", "last_log")
+def i7_accept_confident(spark, d):
+    return review.review_stats(review.accept_confident(_reviewed_spans(spark, d), 0.9))
+
+
+@query("i9_correspondence", f"SELECT '[REDACTED]' AS replacement, span, 'EMAIL' AS type, count(*) AS n FROM {_EMAIL_SPANS} GROUP BY 2")
+def i9_correspondence(spark, d):
+    return pii.correspondence(pii.name_replacements(pii.detect(_docs(spark, d), kinds=("EMAIL",)), "redact"))
+
+
 @query("i8_apply_review", r"""SELECT doc_id AS text_id, CASE coalesce(action, 'pending') WHEN 'rejected' THEN text ELSE
     regexp_replace(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b', CASE action WHEN 'edited' THEN value ELSE '[REDACTED]' END, 'g') END AS text
     FROM documents LEFT JOIN last_log ON doc_id = item_id""", "last_log")
@@ -851,6 +908,46 @@ def m1_excerpts(spark, d):
     return consensus.excerpts(inputs.items(spark, d), k1_votes(spark, d), source="documents")
 
 
+@query("m1_reasons", """SELECT c.item_id, theme, text, confidence, 'unreviewed' AS status, 'documents' AS source, theme || ', ' || lang AS triggers, 'because' AS reasoning
+    FROM coded c JOIN documents ON item_id = doc_id""", "coded")
+def m1_reasons(spark, d):
+    reasons = _docs(spark, d).select(F.col("doc_id").alias("item_id"), "lang")
+    coded = k1_votes(spark, d).join(reasons, "item_id").withColumns({"triggers": F.array("theme", "lang"), "reasoning": F.lit("because")})
+    return consensus.excerpts(inputs.items(spark, d), coded, source="documents")
+
+
+@query("b3_sheets", """SELECT 'excerpts' AS sheet, theme AS a, NULL AS b, count(*) AS n FROM coded JOIN documents ON item_id = doc_id GROUP BY ALL
+    UNION ALL SELECT 'cooccurrence', x.theme, y.theme, (SELECT count(*) FROM coded p JOIN coded q USING (item_id) WHERE p.theme = x.theme AND q.theme = y.theme)
+    FROM (SELECT unnest(['common', 'question', 'digits', 'long']) AS theme) x CROSS JOIN (SELECT unnest(['common', 'question', 'digits', 'long']) AS theme) y""", "coded")
+def b3_sheets(spark, d):
+    """Both sheets of a coding, written and read again."""
+    path = _scratch(spark)
+    io.save_sheets({"excerpts": m1_excerpts(spark, d), "cooccurrence": m2_cooccurrence(spark, d)}, path)
+    excerpts, pairs = (spark.read.parquet(f"{path}/{name}") for name in ("excerpts", "cooccurrence"))
+    first = excerpts.groupBy(F.lit("excerpts").alias("sheet"), F.col("theme").alias("a"), F.lit(None).cast("string").alias("b")).agg(F.count("*").alias("n"))
+    return first.unionByName(pairs.select(F.lit("cooccurrence").alias("sheet"), F.col("theme_a").alias("a"), F.col("theme_b").alias("b"), "n"))
+
+
+@query("b2_display", """SELECT doc_id AS id, CASE WHEN quality IS NULL THEN 'pending' ELSE 'labeled' END AS status, quality::VARCHAR AS label,
+    CASE WHEN length(text) > 80 THEN substr(text, 1, 80) || '...' ELSE text END AS text FROM documents LEFT JOIN labels USING (doc_id)""")
+def b2_display(spark, d):
+    rows = _docs(spark, d).join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    status = F.when(F.col("quality").isNull(), "pending").otherwise("labeled")
+    return io.annotations_display(rows.select(F.col("doc_id").alias("id"), status.alias("status"), F.col("quality").cast("string").alias("label"), "text"))
+
+
+@query("b4_markdown", """WITH t AS (SELECT * FROM (VALUES (0, 'common', 'd common'), (1, 'question', 'd question'), (2, 'digits', 'd digits'), (3, 'long', 'd long'), (4, 'absent', 'd absent')) v(place, theme, description)),
+    r AS (SELECT theme, item_id, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS q, row_number() OVER (PARTITION BY theme ORDER BY item_id) AS k FROM coded JOIN documents ON item_id = doc_id),
+    m AS (SELECT theme, count(*) AS n, round(100 * count(*) / (SELECT count(*) FROM documents), 1)::DOUBLE AS pct, list(q ORDER BY k) FILTER (k <= 3) AS quotes FROM r GROUP BY 1),
+    l AS (SELECT place AS part, list_concat(['## ' || theme, '', 'Definition: ' || description, '', 'Frequency: ' || coalesce(n, 0) || ' texts (' || coalesce(pct, 0.0)::DOUBLE || '%)', ''],
+      flatten(list_transform(coalesce(quotes, []), lambda q: ['> ' || replace(q, chr(10), chr(10) || '> '), ''])), ['Notes:', '']) AS ls FROM t LEFT JOIN m USING (theme)
+      UNION ALL SELECT -1, ['# Memo', '', 'Texts: ' || (SELECT count(*) FROM documents), 'Themes: 5', ''])
+    SELECT part::BIGINT AS part, k::INT - 1 AS k, ls[k] AS line FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS k FROM l)""", "coded")
+def b4_markdown(spark, d):
+    themes = spark.createDataFrame([(k, t, f"d {t}") for k, t in enumerate((*inputs.THEMES, "absent"))], "place int, theme string, description string")
+    return consensus.memo_lines(inputs.items(spark, d), k1_votes(spark, d), themes)
+
+
 @query("m2_cooccurrence", """WITH t AS (SELECT unnest(['common', 'question', 'digits', 'long']) AS theme), p AS (SELECT a.theme AS theme_a, b.theme AS theme_b, count(*) AS n FROM coded a JOIN coded b USING (item_id) GROUP BY ALL)
     SELECT x.theme AS theme_a, y.theme AS theme_b, coalesce(n, 0) AS n FROM t x CROSS JOIN t y LEFT JOIN p ON p.theme_a = x.theme AND p.theme_b = y.theme""", "coded")
 def m2_cooccurrence(spark, d):
@@ -914,6 +1011,11 @@ def r3_histogram(spark, d):
     return consensus.confidence_histogram(inputs.codings(spark, d), "confidence")
 
 
+@query("r3_median", "SELECT count(confidence) AS n, round(median(confidence), 4)::DOUBLE AS median, round(avg(confidence), 4)::DOUBLE AS mean FROM codings", "codings")
+def r3_median(spark, d):
+    return consensus.confidence_summary(inputs.codings(spark, d), "confidence")
+
+
 # reports of several operators
 
 
