@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, n_tokens
-from ..operators import advise, agreement, completion, consensus, entities, extraction_review, language, methods, pii, profile, prompting, reliability, review, segment, tfidf, themes, training
+from ..operators import advise, agreement, completion, consensus, entities, extraction_review, language, methods, pii, profile, prompting, reliability, review, runs, segment, tfidf, themes, training
 from ..session import materialised, shared_dir
 from ..sources import archive, io
 from ..streaming import annotation_stream, review_stream
@@ -860,6 +862,54 @@ def j19_extraction(spark, d):
     return completion.parse_extraction(_docs(spark, d).select("doc_id", reply.alias("reply")), "reply", questions)
 
 
+class _Asks:
+    """Finds the segments of a prompt that ask something, and for a strict prompt those alone that say who."""
+
+    def complete(self, prompt: str, system: str = "") -> str:
+        if "STRICT" in prompt or "Is it" in prompt:
+            hit = (" the " if "STRICT" in prompt else "e") in prompt.split("Text:", 1)[1]
+            return json.dumps({"label": "toxic" if hit else "clean"})
+        body, _, _ = prompt.partition("\n\nWhich segments")
+        found = [part for part in re.split(r"(?m)^(?=\[\d+\] )", body) if "?" in part]
+        return "Here: " + json.dumps({"matches": [{"segment_id": int(part[1 : part.index("]")]), "rq_id": "RQ1", "sub_theme": "asks", "confidence": 1.7, "evidence_span": "?"} for part in found if part.startswith("[")]})
+
+
+_QUESTIONS = [{"rq_id": "RQ1", "description": "What is asked", "sub_themes": ["asks"]}, {"rq_id": "RQ2", "description": "What is answered"}]
+#: Segments are cut at 500 characters in a prompt, so a question beyond isn't seen.
+_ASKED = "asked AS (SELECT * FROM seg WHERE contains(substr(text, 1, 500), '?'))"
+
+
+def _extracted(spark, d):
+    segments = segment.segment(inputs.transcripts(spark, d))
+    return runs.extract(segments, _QUESTIONS, _Asks(), _scratch(spark))
+
+
+@query("j19_run", f"""WITH {inputs.named('turns')}, {_EXTRACTED.split("found AS")[0]} {_ASKED}
+    SELECT doc_id, segment_id, 'RQ1' AS rq_id, 'asks' AS sub_theme, 1.0::DOUBLE AS confidence, '?' AS evidence, text, line_start, line_end, char_start, char_end, paragraph_index FROM asked""")
+def j19_run(spark, d):
+    return _extracted(spark, d)[0]
+
+
+@query("j19_report", f"""WITH {inputs.named('turns')}, {_EXTRACTED.split("found AS")[0]} {_ASKED}
+    SELECT 'batches' AS name, count(*) AS n FROM (SELECT DISTINCT doc_id, (segment_id - 1) // 15 FROM seg) UNION ALL SELECT 'failed', 0
+    UNION ALL SELECT 'matches', count(*) FROM asked UNION ALL SELECT 'segments', count(*) FROM asked UNION ALL SELECT 'RQ1', count(*) FROM asked UNION ALL SELECT 'RQ2', 0""")
+def j19_report(spark, d):
+    return runs.extraction_report(*_extracted(spark, d), _QUESTIONS)
+
+
+_VARIANTS = {"strict": "STRICT toxic or clean? Text: {text}", "open": "Is it toxic?"}
+
+
+@query("j15_detail", """SELECT doc_id AS id, CASE WHEN length(text) > 60 THEN substr(text, 1, 60) || '…' ELSE text END AS text, truth, strict, strict = truth AS "strict right", open, open = truth AS "open right"
+    FROM (SELECT doc_id, text, CASE WHEN toxic = 1 THEN 'toxic' ELSE 'clean' END AS truth, CASE WHEN contains(' ' || text, '  the ') OR contains(text, ' the ') THEN 'toxic' ELSE 'clean' END AS strict,
+      CASE WHEN contains(text, 'e') THEN 'toxic' ELSE 'clean' END AS open FROM labelled)""", "labelled")
+def j15_detail(spark, d):
+    """Every labelled document, asked with two prompts."""
+    rows = inputs.labelled(spark, d).withColumn("truth", F.when(F.col("toxic") == 1, "toxic").otherwise("clean"))
+    found = runs.run_variants(rows, _VARIANTS, _Asks(), ["clean", "toxic"], "doc_id", "text", "truth", _scratch(spark), most=None)
+    return runs.variant_detail(found, list(_VARIANTS))
+
+
 # consensus, triage, export
 
 
