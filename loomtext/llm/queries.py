@@ -86,8 +86,11 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def count(kind: int) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{sanitise.KINDS[kind]}")
+
     found = sanitise.private_spans(table(spark, sf_dir, "documents"), threshold=0.9, min_texts=2)
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(sanitise.KINDS)]
+    counts = [count(k) for k in range(len(sanitise.KINDS))]
     base = F.sha2(sanitise.written_as_text(F.col("spans"), sanitise.KINDS[:4]).cast("binary"), 256)
     return found.select("doc_id", *counts, base.alias("base_sha256"), sanitise.written_as_text(F.col("spans")).alias("spans"))
 
@@ -176,7 +179,7 @@ ORACLE_SQL: dict[str, str] = {
         x AS (SELECT q, item_id, doc_id, r, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
               FROM i JOIN w USING (term) JOIN p USING (term) JOIN m USING (r) GROUP BY ALL)
         SELECT item_id, row_number() OVER o AS rank, doc_id, score FROM x WHERE score > 0
-        QUALIFY row_number() OVER o <= 50 WINDOW o AS (PARTITION BY q ORDER BY score DESC, doc_id)""".replace("LOWERED", _LOWER),
+        WINDOW o AS (PARTITION BY q ORDER BY score DESC, doc_id) QUALIFY row_number() OVER o <= 50""".replace("LOWERED", _LOWER),
     "op13_sale_enrichment": f"""
         WITH s AS (
             SELECT sale_id, client_id, sold_at, least(9, floor((arrived_at::DATE - DATE '1970-01-01' - 19723) * 10 / 152)) AS b FROM sales),

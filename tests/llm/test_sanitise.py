@@ -101,6 +101,25 @@ def test_disclosing_terms(spark, threshold, min_texts):
         assert "Springfield" not in clean[101] and "Zorro" in clean[101] and clean[203] == "springboard"
 
 
+def test_query(spark, tmp_path):
+    """The registered query's counts, digest and spans, over awkward rows."""
+    import hashlib
+
+    from loomtext.llm.queries import op12_pii
+
+    rows = [*corpus(), (400, "x@y.z 1.2.3.4 and 5.6.7.8; 4111 1111 1111 1111 +1 (555) 123-4567 q@r.s"), (401, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    expected = []
+    for (doc, _), (_, found) in zip(rows, slow(rows, 0.9, 2)):
+        found = sorted(s[:3] for s in found)
+        told = [",".join(f"{sanitise.KINDS[k]}:{a}:{b}" for k, a, b in found if k < most) for most in (4, 5)]
+        expected.append((doc, *[sum(k == kind for k, _, _ in found) for kind in range(4)], hashlib.sha256(told[0].encode()).hexdigest(), told[1]))
+    names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
+    got = [tuple(r[n] for n in names) for r in op12_pii(spark, str(tmp_path)).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, expected)) and any("term:" in e[-1] for e in expected)
+    assert (400, 2, 2, 1, 1) in {g[:5] for g in got}
+
+
 def test_rewriting():
     text = "a 1.2.3.4 b"
     assert sanitise.rewritten(text, [(1, 2, 9, "[IP]"), (4, 4, 7, "x"), (4, 10, 11, "")]) == "a [IP] "
