@@ -8,7 +8,8 @@ buckets of ``least`` times k rows (a query far from all others has its neighbour
 is found in the buckets is reranked by exact Euclidean distance in double precision, and merged over the tables.
 
 Width and r come from a bounded sample (``sample`` vectors of smallest id hash), everything else from all rows, and
-every row is indexed. The number of functions follows the number of rows so that buckets keep their size.
+every row is indexed. The number of functions follows the number of rows up to five, so that buckets keep their size
+until there are some 250,000 rows and grow from there on.
 
 Scale: an entry of the index is a row with its vector, shuffled by bucket; buckets are dealt over chunks of about
 ``chunk`` vectors and queries over blocks of about ``block``, so that no task holds more than one of each, whatever one
@@ -17,7 +18,7 @@ lists are merged by a window with a group limit. The driver holds a row for each
 ``most_buckets`` a table are counted (vectors of very uneven norm), the tables are drawn again with a function less, so
 that the same rows lie in fewer, larger buckets.
 
-Defined cases: vectors that are null, empty, zero or hold a null or a component that isn't finite take no part; vectors
+Defined cases: a row without an id takes no part. Vectors that are null, empty, zero or hold a null or a component that isn't finite take no part; vectors
 of another dimension aren't neighbours. Ties go to the smaller id; a query is never its own neighbour by id. Rows that
 repeat an id and vector count once. With fewer than k candidates all that were found are returned. Extra columns are
 ignored; an empty table gives an empty result.

@@ -13,7 +13,7 @@ is bounded by the vocabulary and two caches of ``CACHE`` bytes each, which hold
 shuffles; a lost task is encoded again.
 
 Defined cases: a null text counts as empty and has no ids; an empty text decodes to the empty text; white space only,
-control characters and any Unicode text round-trip; repeated rows are each returned; extra columns are ignored.
+control characters and any Unicode text round-trip; repeated rows and rows without an id are each returned; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -20,7 +20,8 @@ many documents that don't link, as long as they are of like size, costs its toke
 
 Scale: equal sets collapse into a class first, so copies don't count. Frequencies take one shuffle of the hashes as
 binary blocks, dealt by hash; n-grams that ``1/hot`` of all documents hold or more (``hot`` times the mean set, at
-most) are found by an exact count of what is frequent in any task, broadcast, and pass by the counting. Only documents
+most) are looked for in tasks of 200 texts or more: what is frequent in one is counted exactly, broadcast, and passes by
+the counting; one that is frequent in no such task is counted like all others. Only documents
 that can have a partner go on with their sets. Hub pairs are salted; lists are streamed with ``small`` members held, and
 the longest ones aren't gathered at all (see ``candidate_pairs``).
 

@@ -11,7 +11,7 @@ Scale: tokenising is one scan without a shuffle, and writes a few dozen bytes a
 a block leaves about one sequence part-filled, which is under 0.1 % of its sequences. Memory is bounded by a block.
 
 Defined cases: a null text counts as empty, and an empty document is its end id alone. Repeated rows are packed as
-often as they occur. Extra columns are ignored. An empty table gives an empty result. A document of any length is cut
+often as they occur, as are rows without an id. Extra columns are ignored. An empty table gives an empty result. A document of any length is cut
 into pieces of which each fits; with capacities that no piece could meet, the operator raises.
 """
 

@@ -2,9 +2,9 @@
 
 The lexicon is learned from labelled rows: terms, and stems (the first 4 to 8 letters of words, whatever follows),
 whose documents are labelled toxic far more often than others. Each distinct word of a text becomes a bit-parallel
-Levenshtein automaton that walks what an index of deletions leaves of the lexicon's trie, so misspelled terms are found
-(one error from 5 letters on, two from 9 on); words whose letters alone rule all terms out are passed over first. Each hit is looked at in its context: whether quotation marks of its line enclose it, at whatever distance,
-and whether a window of words around it holds a further hit. Hits inside and outside quotations, exact and misspelled,
+Levenshtein automaton that walks those paths of the lexicon's trie whose terms a screen by letters and pairs of letters
+leaves, so misspelled terms are found (one error from 5 letters on, two from 9 on). Each hit is looked at in its
+context: whether quotation marks of its line enclose it, at whatever distance, and whether a window of words around it holds a further hit. Hits inside and outside quotations, exact and misspelled,
 are separate features. A logistic regression, fitted in numpy by Newton steps, turns them into a score.
 
 Scale: fitting reads at most ``max_labelled`` labelled rows (those of smallest hash of their id; documented bound), so
@@ -13,7 +13,7 @@ lexicon, which those rows bound, and eight weights. Words repeat, so each proces
 bounded cache. Labels, ids, languages and sources aren't inputs of a score.
 
 Defined cases: null and empty texts have no hits and get the score of no hits. Documents without a label are scored
-like any other. Several labels of one document count as toxic if any is; null labels are ignored. Without usable
+like any other, as are those without an id, which are never held out. Several labels of one document count as toxic if any is; null labels are ignored. Without usable
 labels every score is below 1e-12. Repeated rows are each returned; extra columns are ignored; an empty table gives an empty
 result.
 """
@@ -327,7 +327,8 @@ def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int =
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+    """Whether a document is kept from learning; one without an id isn't."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def fit(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 20_000, window: int = 8) -> ToxicityModel:

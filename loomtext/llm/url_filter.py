@@ -6,7 +6,7 @@ label and path segment, whatever the number of rules. The scan reads the id and
 
 Defined cases: a null url, or one without ``://``, has empty host and path, fits no rule and gets the default
 verdict; so do urls no rule fits. Equal rules of both verdicts: block wins. An empty rule list allows everything.
-Repeated urls each keep their row; extra columns of the input are ignored.
+Repeated urls, and rows without an id, each keep their row; an empty table gives an empty result; extra columns of the input are ignored.
 """
 
 from __future__ import annotations
