@@ -5,10 +5,11 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import completion
+from ..session import materialised
+from . import completion, tfidf
 from .completion import Provider
 
 PLACEHOLDERS = ("text", "labels", "definitions", "examples")
@@ -135,6 +136,28 @@ def extract_segments(segments: DataFrame, provider: Provider, questions: DataFra
     return found.join(segments.select(doc_col, "segment_id", "text"), [doc_col, "segment_id"], "left")
 
 
+def select_examples_by(provider: Provider, df: DataFrame, id_col: str, text_col: str, label_col: str, n: int = 3, most: int = 50) -> DataFrame:
+    """(label, pick, id): n examples of each label, which a model picks from the label's first texts by id (a prompt holds
+    ``most``); all of them where there are n at most. A label whose reply can't be read, or names none of the texts, gets
+    the diverse ones of tfidf.select_examples(). A prompt for each label; the calls run in tasks."""
+    rows = df.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
+    rows = rows.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text"))
+    first = Window.partitionBy("label").orderBy("id")
+    shown = rows.withColumn("k", F.row_number().over(first)).where(F.col("k") <= most)
+    line = F.concat(F.lit("["), F.col("k"), F.lit("] "), "text")
+    asked = shown.groupBy("label").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("k", line.alias("line")))).alias("s"))
+    head = f"Pick the {n} texts that show best, and most differently, what this label covers. Reply as a JSON list of their numbers.\n\nLabel: "
+    asked = asked.where(F.col("n") > n).select("label", F.concat(F.lit(head), "label", F.lit("\n"), F.array_join(F.transform("s", lambda x: x["line"]), "\n")).alias("prompt"))
+    picked = F.from_json(F.regexp_extract(F.col("reply"), r"(?s)(\[[\d\s,]*\])", 1), "array<int>")
+    replies = materialised(completion.complete(asked, provider).select("label", F.slice(F.array_distinct(F.coalesce(picked, F.array().cast("array<int>"))), 1, n).alias("ks")))
+    by_model = replies.select("label", F.posexplode("ks").alias("pick", "k")).join(shown.select("label", "k", "id"), ["label", "k"]).select("label", (F.col("pick") + 1).alias("pick"), "id")
+    by_model = materialised(by_model)
+    few = shown.withColumn("all", F.count("*").over(Window.partitionBy("label"))).where(F.col("all") <= n).select("label", F.col("k").alias("pick"), "id")
+    left = rows.join(by_model.unionByName(few).select("label").distinct(), "label", "left_anti")
+    others = tfidf.select_examples(left, "id", "text", "label", n)
+    return by_model.unionByName(few).unionByName(others.select("label", "pick", "id"))
+
+
 def suggest_themes_by(provider: Provider, texts: list[str], n_themes: int = 6, most: int = 30) -> list[dict] | None:
     """Themes from a reply over the first texts (a prompt holds that many); None if the reply can't be read."""
     prompt = f"Suggest {n_themes} themes as a JSON list of name and description.\n\n" + "\n".join(f"- {t}" for t in texts[:most])

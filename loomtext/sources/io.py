@@ -45,10 +45,23 @@ def load(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _head(spark: SparkSession, path: str) -> bytes:
-    rows = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, HEAD).alias("head")).limit(1).collect()
-    if not rows:
+    """The first bytes of a file, or of the first file of a folder that has any, whatever its size. Only they are read."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    files = []
+    for found in fs.globStatus(at) or []:
+        inside = fs.listStatus(found.getPath()) if found.isDirectory() else [found]
+        files += [(x.getPath().toString(), x) for x in inside if not x.isDirectory() and x.getPath().getName()[0] not in "_."]
+    if not files:
         raise LoadError(f"{path}: nothing there")
-    return bytes(rows[0]["head"])
+    first = next((x for _, x in sorted(files, key=lambda f: f[0]) if x.getLen()), None)
+    if first is None:
+        return b""
+    stream = fs.open(first.getPath())
+    try:
+        return bytes(stream.readNBytes(HEAD))
+    finally:
+        stream.close()
 
 
 def _encoding(head: bytes, then: str) -> str:
@@ -61,13 +74,14 @@ def _encoding(head: bytes, then: str) -> str:
     return then
 
 
-def load_csv(spark: SparkSession, path: str) -> DataFrame:
-    """UTF-8 (with a mark or without), else Latin-1; a single column that holds tabs is read by tabs."""
+def load_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """UTF-8 (with a mark or without), else Latin-1; a single column that holds tabs is read by tabs. Fields may hold line
+    breaks, for which a file is one task's; without multi_line large files are split."""
     head = _head(spark, path)
     encoding = _encoding(head, "iso-8859-1")
     first = head.decode(encoding, "replace").lstrip("﻿").split("\n", 1)[0]
     separator = "\t" if "," not in first and "\t" in first else ","
-    options = {"header": True, "inferSchema": True, "multiLine": True, "quote": '"', "escape": '"', "encoding": encoding, "sep": separator}
+    options = {"header": True, "inferSchema": True, "multiLine": multi_line, "quote": '"', "escape": '"', "encoding": encoding, "sep": separator}
     df = spark.read.options(**options).csv(path)
     return df.toDF(*[c.lstrip("﻿") for c in df.columns])
 

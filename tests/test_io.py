@@ -66,3 +66,16 @@ def test_retries():
             raise completion.Transient
 
     assert completion.with_retries(Down(), "p", sleep=waits.append) is None
+
+
+def test_head(spark, tmp_path):
+    (tmp_path / "big.csv").write_bytes(b"a,b\n" + b"1,2\n" * 50_000)
+    assert io._head(spark, str(tmp_path / "big.csv")) == (b"a,b\n" + b"1,2\n" * 50_000)[: io.HEAD]
+    (tmp_path / "d.csv").mkdir()
+    (tmp_path / "d.csv" / "_SUCCESS").write_bytes(b"")
+    (tmp_path / "d.csv" / "part-0").write_bytes(b"x\ty\n1\t2\n")
+    assert io._head(spark, str(tmp_path / "d.csv")) == b"x\ty\n1\t2\n"
+    assert io.load_csv(spark, str(tmp_path / "d.csv"), multi_line=False).columns == ["x", "y"]
+    assert io.load_csv(spark, str(tmp_path / "big.csv"), multi_line=False).count() == 50_000
+    with pytest.raises(io.LoadError):
+        io._head(spark, str(tmp_path / "nothing"))

@@ -107,3 +107,21 @@ def test_themes_by_model(spark):
     assert [(r["name"], r["description"], r["coverage"]) for r in by_model] == [("Plants", "d", None)]
     for provider in (None, completion.TableProvider({}, "no idea")):
         assert [r["coverage"] for r in themes.suggest(df, "id", "text", provider, starts=2, n_themes=2).collect()] == [0.5, 0.5]
+
+
+class Picks:
+    """Picks the last texts of one label, gives nonsense for another, and a number too high for a third."""
+
+    def complete(self, prompt, system=""):
+        label = prompt.split("Label: ")[1].split("\n")[0]
+        return {"a": "Sure: [4, 2, 4]", "b": "none of them", "c": "[99]"}[label]
+
+
+def test_examples_by_model(spark):
+    from loomtext.operators import prompting, tfidf
+
+    rows = [(10 * k + j, label, f"{label} word{j} {'same ' * j}") for k, label in enumerate("abcd") for j in range(5 if label != "d" else 2)] + [(99, None, "x"), (98, "a", None)]
+    df = spark.createDataFrame(rows, "id long, label string, text string")
+    found = sorted(map(tuple, prompting.select_examples_by(Picks(), df, "id", "text", "label", 2).collect()))
+    diverse = sorted(map(tuple, tfidf.select_examples(df.where("label in ('b', 'c')"), "id", "text", "label", 2).select("label", "pick", "id").collect()))
+    assert found == sorted([("a", 1, 3), ("a", 2, 1), *diverse, ("d", 1, 30), ("d", 2, 31)])
