@@ -104,7 +104,8 @@ SQL = {
         UNION ALL SELECT doc_id, 'c2', 'question', contains(text, '!') FROM documents
         UNION ALL SELECT doc_id, 'c2', 'digits', regexp_matches(text, '[0-9][0-9]') FROM documents
         UNION ALL SELECT doc_id, 'c2', 'long', n_chars > 1500 FROM documents) WHERE yes""",
-    "codings": """SELECT item_id, coder, theme, round((50 + (item_id * (CASE coder WHEN 'c1' THEN 3 WHEN 'c2' THEN 7 ELSE 11 END) + length(theme) * 7) % 50) / 100.0, 2)::DOUBLE AS confidence
+    "codings": """SELECT item_id, coder, theme, round((50 + (item_id * (CASE coder WHEN 'c1' THEN 3 WHEN 'c2' THEN 7 ELSE 11 END) + length(theme) * 7)
+      % 50) / 100.0, 2)::DOUBLE AS confidence
         FROM (SELECT * FROM theme_long UNION ALL SELECT a.item_id, 'c3', a.theme FROM theme_long a JOIN theme_long b
               ON a.item_id = b.item_id AND a.theme = b.theme AND a.coder = 'c1' AND b.coder = 'c2' WHERE a.item_id % 2 = 0)""",
     "votes": "SELECT item_id, theme, count(*) AS votes, avg(confidence) AS conf FROM codings GROUP BY ALL",
@@ -116,10 +117,13 @@ SQL = {
         WHEN 3 THEN upper(x) WHEN 4 THEN 'I think it is ' || x || '.' WHEN 5 THEN '"' || x || '"' ELSE 'no idea' END AS reply
         FROM (SELECT *, CASE WHEN doc_id % 5 = 0 OR toxic = 1 THEN 'toxic' ELSE 'clean' END AS x FROM labelled)""",
     "turns": """SELECT conv_id AS doc_id, turn, text, row_number() OVER w AS k,
-        coalesce(sum(length(text) + 2) OVER (PARTITION BY conv_id ORDER BY turn, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos,
-        coalesce(sum(length(text) - length(replace(text, chr(10), '')) + 2) OVER (PARTITION BY conv_id ORDER BY turn, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS lines
+        coalesce(sum(length(text) + 2) OVER (PARTITION BY conv_id ORDER BY turn, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS
+      pos,
+        coalesce(sum(length(text) - length(replace(text, chr(10), '')) + 2) OVER (PARTITION BY conv_id ORDER BY turn, text ROWS BETWEEN UNBOUNDED
+      PRECEDING AND 1 PRECEDING), 0)::BIGINT AS lines
         FROM conversations WHERE text IS NOT NULL WINDOW w AS (PARTITION BY conv_id ORDER BY turn, text)""",
-    "log": """SELECT user_id % 500 AS item_id, event_id AS seq, ['accepted', 'rejected', 'edited'][(event_id % 3 + 1)::INT] AS action, 'edit ' || event_id AS value FROM events""",
+    "log": """SELECT user_id % 500 AS item_id, event_id AS seq, ['accepted', 'rejected', 'edited'][(event_id % 3 + 1)::INT] AS action, 'edit ' ||
+      event_id AS value FROM events""",
     "last_log": "SELECT item_id, arg_max(action, seq) AS action, arg_max(value, seq) AS value FROM log GROUP BY item_id",
 }
 _NEEDS = {

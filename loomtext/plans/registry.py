@@ -202,60 +202,76 @@ _SETS = """d AS (SELECT doc_id AS item_id FROM documents),
       LEFT JOIN (SELECT item_id, list(theme) AS y FROM theme_long WHERE coder = 'c2' GROUP BY 1) b ON b.item_id = d.item_id)"""
 
 
-@query("d3_jaccard", f"""WITH {_SETS}, j AS (SELECT avg(CASE WHEN len(x) + len(y) = 0 THEN 1.0 ELSE len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) END) AS k, count(*) AS n FROM s)
-    SELECT round(k, 4)::DOUBLE AS jaccard, n AS n_items, CASE WHEN k < 0.2 THEN 'Poor agreement' WHEN k < 0.4 THEN 'Fair agreement' WHEN k < 0.6 THEN 'Moderate agreement'
+@query("d3_jaccard", f"""WITH {_SETS}, j AS (SELECT avg(CASE WHEN len(x) + len(y) = 0 THEN 1.0 ELSE len(list_intersect(x, y)) /
+      len(list_distinct(list_concat(x, y))) END) AS k, count(*) AS n FROM s)
+    SELECT round(k, 4)::DOUBLE AS jaccard, n AS n_items, CASE WHEN k < 0.2 THEN 'Poor agreement' WHEN k < 0.4 THEN 'Fair agreement' WHEN k < 0.6 THEN
+      'Moderate agreement'
     WHEN k < 0.8 THEN 'Substantial agreement' ELSE 'Almost perfect agreement' END AS interpretation FROM j""", "theme_long")
 def d3_jaccard(spark, d):
     return agreement.mean_jaccard(inputs.theme_sets(spark, d), "x", "y")
 
 
 @query("d4_per_category", f"""WITH p AS (SELECT a AS x, b AS y FROM coders_wide), {_MARGINS}
-    SELECT label AS category, round((n - r - c + 2 * tp) / n, 4)::DOUBLE AS observed, round((r / n) * (c / n) + (1 - r / n) * (1 - c / n), 4)::DOUBLE AS expected,
+    SELECT label AS category, round((n - r - c + 2 * tp) / n, 4)::DOUBLE AS observed, round((r / n) * (c / n) + (1 - r / n) * (1 - c / n), 4)::DOUBLE
+      AS expected,
     round(tp / (r + c - tp), 4)::DOUBLE AS specific FROM m, n""", "coders_wide")
 def d4_per_category(spark, d):
     return agreement.per_category(agreement.label_margins(agreement.pair_counts(inputs.coders_wide(spark, d), "a", "b")))
 
 
-@query("d6_theme_kappa", f"""WITH {_SETS}, t AS (SELECT theme, count(*) FILTER (list_contains(x, theme)) AS r, count(*) FILTER (list_contains(y, theme)) AS c,
-      count(*) FILTER (list_contains(x, theme) AND list_contains(y, theme)) AS tp, count(*) AS n FROM s, (SELECT DISTINCT theme FROM theme_long) GROUP BY 1),
+@query("d6_theme_kappa", f"""WITH {_SETS}, t AS (SELECT theme, count(*) FILTER (list_contains(x, theme)) AS r, count(*) FILTER (list_contains(y,
+      theme)) AS c,
+      count(*) FILTER (list_contains(x, theme) AND list_contains(y, theme)) AS tp, count(*) AS n FROM s, (SELECT DISTINCT theme FROM theme_long) GROUP
+      BY 1),
     k AS (SELECT *, (n - r - c + 2 * tp) / n AS po, (r * c + (n - r) * (n - c)) / (n::DOUBLE * n) AS pe FROM t)
     SELECT theme, round({_KAPPA}, 4)::DOUBLE AS kappa, round(po, 4)::DOUBLE AS observed, round(tp / (r + c - tp), 4)::DOUBLE AS specific FROM k""", "theme_long")
 def d6_theme_kappa(spark, d):
     return agreement.multilabel_kappa(inputs.theme_sets(spark, d), "item_id", "x", "y")
 
 
-@query("d7_pairwise", f"""WITH q AS (SELECT 'a' AS coder_a, 'b' AS coder_b, a AS x, b AS y FROM coders_wide UNION ALL SELECT 'a', 'c', a, coalesce(c, 'nan') FROM coders_wide
+@query("d7_pairwise", f"""WITH q AS (SELECT 'a' AS coder_a, 'b' AS coder_b, a AS x, b AS y FROM coders_wide UNION ALL SELECT 'a', 'c', a, coalesce(c,
+      'nan') FROM coders_wide
       UNION ALL SELECT 'b', 'c', b, coalesce(c, 'nan') FROM coders_wide),
     m AS (SELECT coder_a, coder_b, label, sum(r) AS r, sum(c) AS c, sum(tp) AS tp FROM (
-        SELECT coder_a, coder_b, x AS label, 1 AS r, 0 AS c, (x = y)::INT AS tp FROM q UNION ALL SELECT coder_a, coder_b, y, 0, 1, 0 FROM q) GROUP BY ALL),
-    s AS (SELECT coder_a, coder_b, sum(tp) / sum(r) AS po, sum(r * c) / (sum(r)::DOUBLE * sum(r)) AS pe, sum(r)::BIGINT AS n_items, count(*) AS n_categories FROM m GROUP BY ALL),
+        SELECT coder_a, coder_b, x AS label, 1 AS r, 0 AS c, (x = y)::INT AS tp FROM q UNION ALL SELECT coder_a, coder_b, y, 0, 1, 0 FROM q) GROUP BY
+      ALL),
+    s AS (SELECT coder_a, coder_b, sum(tp) / sum(r) AS po, sum(r * c) / (sum(r)::DOUBLE * sum(r)) AS pe, sum(r)::BIGINT AS n_items, count(*) AS
+      n_categories FROM m GROUP BY ALL),
     t AS (SELECT *, {_KAPPA} AS k FROM s)
     SELECT coder_a, coder_b, round(k, 4)::DOUBLE AS kappa, n_items, n_categories, {_SCALE} AS interpretation FROM t""", "coders_wide")
 def d7_pairwise(spark, d):
     return agreement.pairwise_kappa(inputs.coders_long(spark, d))
 
 
-_PAIRS = """q AS (SELECT 'a vs b' AS name, a AS x, b AS y FROM coders_wide UNION ALL SELECT 'a vs c', a, coalesce(c, 'nan') FROM coders_wide UNION ALL SELECT 'b vs c', b, coalesce(c, 'nan') FROM coders_wide),
-    m AS (SELECT name, label, sum(r) AS r, sum(c) AS c, sum(tp) AS tp FROM (SELECT name, x AS label, 1 AS r, 0 AS c, (x = y)::INT AS tp FROM q UNION ALL SELECT name, y, 0, 1, 0 FROM q) GROUP BY ALL),
+_PAIRS = """q AS (SELECT 'a vs b' AS name, a AS x, b AS y FROM coders_wide UNION ALL SELECT 'a vs c', a, coalesce(c, 'nan') FROM coders_wide UNION ALL
+      SELECT 'b vs c', b, coalesce(c, 'nan') FROM coders_wide),
+    m AS (SELECT name, label, sum(r) AS r, sum(c) AS c, sum(tp) AS tp FROM (SELECT name, x AS label, 1 AS r, 0 AS c, (x = y)::INT AS tp FROM q UNION
+      ALL SELECT name, y, 0, 1, 0 FROM q) GROUP BY ALL),
     z AS (SELECT name, sum(tp) / sum(r) AS po, sum(r * c) / (sum(r)::DOUBLE * sum(r)) AS pe FROM m GROUP BY ALL)"""
 _JACCARD_SCALE = "CASE WHEN k < 0.2 THEN 'Poor agreement' WHEN k < 0.4 THEN 'Fair agreement' WHEN k < 0.6 THEN 'Moderate agreement' WHEN k < 0.8 THEN 'Substantial agreement' ELSE 'Almost perfect agreement' END"
 
 
-@query("d7_report", f"""{_ALPHA.format(observed="sum(m * m - q) / sum(m * (m - 1))::DOUBLE").replace("WITH c AS", "WITH {coders}, c AS", 1).rsplit("SELECT round(a, 4)", 1)[0].rstrip()}, {_PAIRS.replace("m AS", "mm AS").replace("FROM m ", "FROM mm ")},
+@query("d7_report", f"""{_ALPHA.format(observed="sum(m * m - q) / sum(m * (m - 1))::DOUBLE").replace("WITH c AS", "WITH {coders}, c AS", 1).rsplit("SELECT round(a, 4)", 1)[0].rstrip()},
+      {_PAIRS.replace("m AS", "mm AS").replace("FROM m ", "FROM mm ")},
     t2 AS (SELECT name, {_KAPPA} AS k FROM z), mean AS (SELECT avg(round(k, 4)) AS k FROM t2)
-    SELECT 'alpha' AS section, NULL AS name, round(a, 4)::DOUBLE AS value, CASE WHEN a < 0.667 THEN 'Unreliable — discard or recode' WHEN a < 0.8 THEN 'Tentatively reliable' ELSE 'Reliable' END AS interpretation FROM t
+    SELECT 'alpha' AS section, NULL AS name, round(a, 4)::DOUBLE AS value, CASE WHEN a < 0.667 THEN 'Unreliable — discard or recode' WHEN a < 0.8 THEN
+      'Tentatively reliable' ELSE 'Reliable' END AS interpretation FROM t
     UNION ALL SELECT 'pair', name, round(k, 4)::DOUBLE, {_SCALE} FROM t2 UNION ALL SELECT 'average', NULL, round(k, 4)::DOUBLE, {_SCALE} FROM mean""".replace("{coders}", ", ".join(inputs.named(n) for n in ("labelled", "coders_wide", "coders_long"))))
 def d7_report(spark, d):
     return reliability.report(inputs.coders_wide(spark, d), ["a", "b", "c"])
 
 
-@query("d6_report", f"""WITH {_SETS}, t AS (SELECT theme, count(*) FILTER (list_contains(x, theme)) AS r, count(*) FILTER (list_contains(y, theme)) AS c,
-      count(*) FILTER (list_contains(x, theme) AND list_contains(y, theme)) AS tp, count(*) AS n FROM s, (SELECT DISTINCT theme FROM theme_long) GROUP BY 1),
+@query("d6_report", f"""WITH {_SETS}, t AS (SELECT theme, count(*) FILTER (list_contains(x, theme)) AS r, count(*) FILTER (list_contains(y, theme)) AS
+      c,
+      count(*) FILTER (list_contains(x, theme) AND list_contains(y, theme)) AS tp, count(*) AS n FROM s, (SELECT DISTINCT theme FROM theme_long) GROUP
+      BY 1),
     k AS (SELECT *, (n - r - c + 2 * tp) / n AS po, (r * c + (n - r) * (n - c)) / (n::DOUBLE * n) AS pe FROM t),
     v AS (SELECT theme, round({_KAPPA}, 4)::DOUBLE AS k, round(po, 4)::DOUBLE AS observed, round(tp / (r + c - tp), 4)::DOUBLE AS specific FROM k),
-    j AS (SELECT avg(CASE WHEN len(x) + len(y) = 0 THEN 1.0 ELSE len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) END) AS k FROM s), mean AS (SELECT avg(k) AS k FROM v)
+    j AS (SELECT avg(CASE WHEN len(x) + len(y) = 0 THEN 1.0 ELSE len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) END) AS k FROM s),
+      mean AS (SELECT avg(k) AS k FROM v)
     SELECT 'jaccard' AS section, NULL AS name, round(k, 4)::DOUBLE AS value, {_JACCARD_SCALE} AS interpretation FROM j
-    UNION ALL SELECT 'kappa', theme, k, {_SCALE} FROM v UNION ALL SELECT 'observed', theme, observed, NULL FROM v UNION ALL SELECT 'specific', theme, specific, NULL FROM v
+    UNION ALL SELECT 'kappa', theme, k, {_SCALE} FROM v UNION ALL SELECT 'observed', theme, observed, NULL FROM v UNION ALL SELECT 'specific', theme,
+      specific, NULL FROM v
     UNION ALL SELECT 'average', NULL, round(k, 4)::DOUBLE, {_SCALE} FROM mean""", "theme_long")
 def d6_report(spark, d):
     return reliability.report(inputs.theme_sets(spark, d), ["x", "y"], "multi")
@@ -266,8 +282,10 @@ def d6_report(spark, d):
       LEFT JOIN (SELECT item_id, list(theme) AS y FROM codings WHERE coder = 'c2' GROUP BY 1) b ON b.item_id = d.doc_id
       LEFT JOIN (SELECT item_id, list(theme) AS z FROM codings WHERE coder = 'c3' GROUP BY 1) c ON c.item_id = d.doc_id),
     p AS (SELECT 'c1 vs c2' AS name, x AS a, y AS b FROM w UNION ALL SELECT 'c1 vs c3', x, z FROM w UNION ALL SELECT 'c2 vs c3', y, z FROM w),
-    j AS (SELECT name, avg(CASE WHEN len(a) + len(b) = 0 THEN 1.0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END) AS k FROM p GROUP BY 1), mean AS (SELECT avg(round(k, 4)) AS k FROM j)
-    SELECT 'pair' AS section, name, round(k, 4)::DOUBLE AS value, {_JACCARD_SCALE} AS interpretation FROM j UNION ALL SELECT 'average', NULL, round(k, 4)::DOUBLE, {_JACCARD_SCALE} FROM mean""", "codings")
+    j AS (SELECT name, avg(CASE WHEN len(a) + len(b) = 0 THEN 1.0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END) AS k
+      FROM p GROUP BY 1), mean AS (SELECT avg(round(k, 4)) AS k FROM j)
+    SELECT 'pair' AS section, name, round(k, 4)::DOUBLE AS value, {_JACCARD_SCALE} AS interpretation FROM j UNION ALL SELECT 'average', NULL, round(k,
+      4)::DOUBLE, {_JACCARD_SCALE} FROM mean""", "codings")
 def d7_multilabel(spark, d):
     """The three coders of the documents, from cells that list themes with commas."""
     coded = inputs.codings(spark, d).groupBy("item_id").pivot("coder", ["c1", "c2", "c3"]).agg(F.array_join(F.collect_list("theme"), ", "))
@@ -275,7 +293,8 @@ def d7_multilabel(spark, d):
 
 
 _EVAL = f"""p AS (SELECT truth AS x, predicted AS y FROM predicted), {_MARGINS},
-    e AS (SELECT label, round(CASE WHEN c > 0 THEN tp / c ELSE 0 END, 4)::DOUBLE AS "precision", round(CASE WHEN r > 0 THEN tp / r ELSE 0 END, 4)::DOUBLE AS recall,
+    e AS (SELECT label, round(CASE WHEN c > 0 THEN tp / c ELSE 0 END, 4)::DOUBLE AS "precision", round(CASE WHEN r > 0 THEN tp / r ELSE 0 END,
+      4)::DOUBLE AS recall,
       round(2 * tp / (r + c), 4)::DOUBLE AS f1, r AS support, n AS total, tp FROM m, n)"""
 
 
@@ -289,7 +308,8 @@ def d9_summary(spark, d):
     return agreement.evaluation_summary(agreement.evaluate(agreement.label_margins(agreement.pair_counts(inputs.predicted(spark, d), "truth", "predicted"))))
 
 
-@query("d11_confusion", """SELECT 'true:' || t AS "row", count(*) FILTER (truth = t AND predicted = '0') AS "pred:0", count(*) FILTER (truth = t AND predicted = '1') AS "pred:1"
+@query("d11_confusion", """SELECT 'true:' || t AS "row", count(*) FILTER (truth = t AND predicted = '0') AS "pred:0", count(*) FILTER (truth = t AND
+      predicted = '1') AS "pred:1"
     FROM predicted, (VALUES ('0'), ('1')) v(t) GROUP BY t""", "predicted")
 def d11_confusion(spark, d):
     return agreement.confusion_wide(agreement.pair_counts(inputs.predicted(spark, d), "truth", "predicted"), ["0", "1"])
@@ -303,15 +323,18 @@ def d13_macro_f1(spark, d):
 # diagnostics and features
 
 
-@query("e1_diagnostics", """SELECT 'rows' AS metric, count(*) AS value FROM documents UNION ALL SELECT 'columns', 5 UNION ALL SELECT 'empty_texts', count(*) FILTER (trim(coalesce(text, '')) = '') FROM documents
+@query("e1_diagnostics", """SELECT 'rows' AS metric, count(*) AS value FROM documents UNION ALL SELECT 'columns', 5 UNION ALL SELECT 'empty_texts',
+      count(*) FILTER (trim(coalesce(text, '')) = '') FROM documents
     UNION ALL SELECT 'unique_texts', count(DISTINCT text) FROM documents UNION ALL SELECT 'classes', count(DISTINCT lang) FROM documents
     UNION ALL SELECT 'n_duplicates', count(*) - count(DISTINCT (doc_id, text, lang, source, n_chars)) FROM documents""")
 def e1_diagnostics(spark, d):
     return profile.diagnostics(_docs(spark, d), "text", "lang")
 
 
-@query("e2_token_stats", f"""SELECT min(n) AS n_min, max(n) AS n_max, round(avg(n), 1)::DOUBLE AS n_mean, round(quantile_cont(n, 0.25), 1)::DOUBLE AS p25, round(quantile_cont(n, 0.5), 1)::DOUBLE AS median,
-    round(quantile_cont(n, 0.75), 1)::DOUBLE AS p75, round(quantile_cont(n, 0.95), 1)::DOUBLE AS p95 FROM (SELECT {TOKENS} AS n FROM documents) WHERE n > 0""")
+@query("e2_token_stats", f"""SELECT min(n) AS n_min, max(n) AS n_max, round(avg(n), 1)::DOUBLE AS n_mean, round(quantile_cont(n, 0.25), 1)::DOUBLE AS
+      p25, round(quantile_cont(n, 0.5), 1)::DOUBLE AS median,
+    round(quantile_cont(n, 0.75), 1)::DOUBLE AS p75, round(quantile_cont(n, 0.95), 1)::DOUBLE AS p95 FROM (SELECT {TOKENS} AS n FROM documents) WHERE
+      n > 0""")
 def e2_token_stats(spark, d):
     return profile.token_stats(_docs(spark, d), "text")
 
@@ -326,7 +349,8 @@ def e4_duplicates(spark, d):
     return profile.duplicates(_docs(spark, d), ["text"])
 
 
-@query("e5_time_span", """SELECT n_valid, days, CASE WHEN n_valid <= 10 THEN NULL WHEN days <= 1 THEN 'one_day' WHEN days <= 7 THEN 'one_week' END AS warning
+@query("e5_time_span", """SELECT n_valid, days, CASE WHEN n_valid <= 10 THEN NULL WHEN days <= 1 THEN 'one_day' WHEN days <= 7 THEN 'one_week' END AS
+      warning
     FROM (SELECT count(ts) AS n_valid, ((epoch_us(max(ts)) - epoch_us(min(ts))) // 86400000000)::BIGINT AS days FROM events)""")
 def e5_time_span(spark, d):
     return profile.time_span(table(spark, d, "events"), "ts")
@@ -337,7 +361,8 @@ def e5_uniqueness(spark, d):
     return profile.text_uniqueness(_docs(spark, d), "text")
 
 
-@query("e7_majority", """SELECT lang AS value, round(n / t, 4)::DOUBLE AS share, n / t < 0.9 AS mixed FROM (SELECT lang, count(*) AS n, sum(count(*)) OVER () AS t FROM documents GROUP BY 1) ORDER BY n DESC, lang LIMIT 1""")
+@query("e7_majority", """SELECT lang AS value, round(n / t, 4)::DOUBLE AS share, n / t < 0.9 AS mixed FROM (SELECT lang, count(*) AS n, sum(count(*))
+      OVER () AS t FROM documents GROUP BY 1) ORDER BY n DESC, lang LIMIT 1""")
 def e7_majority(spark, d):
     return profile.majority(_docs(spark, d), "lang")
 
@@ -348,7 +373,8 @@ def e8_tokens(spark, d):
 
 
 @query("e9_features", f"""SELECT count(*) AS n_samples, count(quality) AS n_labeled, (SELECT count(DISTINCT quality) FROM labels) AS n_classes,
-    (SELECT round(max(n) / min(n), 2)::DOUBLE FROM (SELECT count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY quality)) AS balance, floor(avg({TOKENS}))::BIGINT AS mean_tokens
+    (SELECT round(max(n) / min(n), 2)::DOUBLE FROM (SELECT count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY quality)) AS balance,
+      floor(avg({TOKENS}))::BIGINT AS mean_tokens
     FROM documents LEFT JOIN labels USING (doc_id)""")
 def e9_features(spark, d):
     rows = _docs(spark, d).join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
@@ -366,13 +392,16 @@ def _languages(train: str, score: str) -> str:
     """WITH clauses of (doc_id, lang, language, margin), trained on and scored for the documents of two conditions."""
     return _GRAMS + f"""counts AS (SELECT lang, gram, count(*) AS n FROM grams WHERE trim(lang) <> '' AND {train} GROUP BY ALL),
     totals AS (SELECT lang, sum(n) + (SELECT count(DISTINCT gram) FROM counts) AS of FROM counts GROUP BY 1),
-    known AS (SELECT DISTINCT gram FROM (SELECT gram, row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) AS place FROM counts) WHERE place <= 2000),
-    weights AS (SELECT gram, t.lang AS language, floor(1000 * ln((coalesce(n, 0) + 1) / of))::BIGINT AS w FROM known CROSS JOIN totals t LEFT JOIN counts c USING (gram, lang)),
+    known AS (SELECT DISTINCT gram FROM (SELECT gram, row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) AS place FROM counts) WHERE place <=
+      2000),
+    weights AS (SELECT gram, t.lang AS language, floor(1000 * ln((coalesce(n, 0) + 1) / of))::BIGINT AS w FROM known CROSS JOIN totals t LEFT JOIN
+      counts c USING (gram, lang)),
     sums AS (SELECT doc_id, language, sum(w)::BIGINT AS w FROM (SELECT doc_id, gram FROM grams WHERE {score}) JOIN weights USING (gram) GROUP BY ALL),
     all_sums AS (SELECT p.doc_id, p.lang, t.lang AS language, coalesce(w, 0) AS w FROM prepared p CROSS JOIN totals t
         LEFT JOIN sums s ON s.doc_id = p.doc_id AND s.language = t.lang WHERE trim(p.s) <> '' AND {score.replace("doc_id", "p.doc_id")}),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, language) AS place FROM all_sums),
-    identified AS (SELECT a.doc_id, a.lang, a.language, coalesce(a.w - b.w, 0)::BIGINT AS margin FROM ranked a LEFT JOIN ranked b ON a.doc_id = b.doc_id AND b.place = 2 WHERE a.place = 1)"""
+    identified AS (SELECT a.doc_id, a.lang, a.language, coalesce(a.w - b.w, 0)::BIGINT AS margin FROM ranked a LEFT JOIN ranked b ON a.doc_id =
+      b.doc_id AND b.place = 2 WHERE a.place = 1)"""
 
 
 _IDENTIFIED = _languages("true", "true")
@@ -387,7 +416,8 @@ def e6_identify(spark, d):
     return language.identify(_docs(spark, d), _language_model(spark, _docs(spark, d)))
 
 
-@query("e6_heldout", f"""WITH {_languages("doc_id % 5 <> 0", "doc_id % 5 = 0")} SELECT lang, count(*) AS n, count(*) FILTER (language = lang) AS found FROM identified WHERE trim(lang) <> '' GROUP BY 1""")
+@query("e6_heldout", f"""WITH {_languages("doc_id % 5 <> 0", "doc_id % 5 = 0")} SELECT lang, count(*) AS n, count(*) FILTER (language = lang) AS found
+      FROM identified WHERE trim(lang) <> '' GROUP BY 1""")
 def e6_heldout(spark, d):
     held = F.col("doc_id") % 5 == 0  # of five folds one is held out
     model = _language_model(spark, _docs(spark, d).where(~held))
@@ -397,12 +427,14 @@ def e6_heldout(spark, d):
 
 
 @query("e7_main_language", f"""WITH {_IDENTIFIED}, n AS (SELECT language, count(*) AS n FROM identified GROUP BY 1)
-    SELECT language, round(n / (SELECT sum(n) FROM n), 4)::DOUBLE AS share, n / (SELECT sum(n) FROM n) < 0.9 AND (SELECT count(*) FROM n) > 1 AS multilingual FROM n ORDER BY n DESC, language LIMIT 1""")
+    SELECT language, round(n / (SELECT sum(n) FROM n), 4)::DOUBLE AS share, n / (SELECT sum(n) FROM n) < 0.9 AND (SELECT count(*) FROM n) > 1 AS
+      multilingual FROM n ORDER BY n DESC, language LIMIT 1""")
 def e7_main_language(spark, d):
     return language.main_language(_docs(spark, d), _language_model(spark, _docs(spark, d)))
 
 
-@query("c3_language", f"""WITH {_IDENTIFIED}, n AS (SELECT language, count(*) AS n, sum(count(*)) OVER () AS t FROM identified WHERE lang IS NULL OR lang <> 'en' GROUP BY 1),
+@query("c3_language", f"""WITH {_IDENTIFIED}, n AS (SELECT language, count(*) AS n, sum(count(*)) OVER () AS t FROM identified WHERE lang IS NULL OR
+      lang <> 'en' GROUP BY 1),
     m AS (SELECT * FROM n ORDER BY n DESC, language LIMIT 1)
     SELECT 'info' AS severity, 'text' AS field, 'not_english' AS check, round(n / t, 4)::DOUBLE AS value FROM m WHERE language <> 'en'""")
 def c3_language(spark, d):
@@ -412,15 +444,18 @@ def c3_language(spark, d):
 
 
 @query("e1_report", f"""WITH {_IDENTIFIED}, t AS (SELECT {TOKENS} AS n FROM documents),
-    u AS (SELECT count(text) AS a, count(DISTINCT text) AS b FROM documents), l AS (SELECT lang, count(*) AS n, sum(count(*)) OVER () AS t FROM documents WHERE lang IS NOT NULL GROUP BY 1),
+    u AS (SELECT count(text) AS a, count(DISTINCT text) AS b FROM documents), l AS (SELECT lang, count(*) AS n, sum(count(*)) OVER () AS t FROM
+      documents WHERE lang IS NOT NULL GROUP BY 1),
     dup AS (SELECT count(*) AS n, count(DISTINCT (doc_id, text, lang, source, n_chars)) AS k FROM documents)
     SELECT section, name, value::DOUBLE AS value FROM (
     SELECT 'table' AS section, 'rows' AS name, count(*) AS value FROM documents UNION ALL SELECT 'table', 'columns', 5
     UNION ALL SELECT 'table', 'empty_texts', count(*) FILTER (n = 0) FROM t
     UNION ALL SELECT 'table', 'duplicate_rows', n - k FROM dup UNION ALL SELECT 'table', 'duplicate_rate', round((n - k) / n, 4) FROM dup
-    UNION ALL SELECT 'tokens', x.name, x.value FROM (SELECT unnest([{{'name': 'n_min', 'value': min(n)}}, {{'name': 'n_max', 'value': max(n)}}, {{'name': 'n_mean', 'value': round(avg(n), 1)}},
+    UNION ALL SELECT 'tokens', x.name, x.value FROM (SELECT unnest([{{'name': 'n_min', 'value': min(n)}}, {{'name': 'n_max', 'value': max(n)}},
+      {{'name': 'n_mean', 'value': round(avg(n), 1)}},
         {{'name': 'p25', 'value': round(quantile_cont(n, 0.25), 1)}}, {{'name': 'median', 'value': round(quantile_cont(n, 0.5), 1)}},
-        {{'name': 'p75', 'value': round(quantile_cont(n, 0.75), 1)}}, {{'name': 'p95', 'value': round(quantile_cont(n, 0.95), 1)}}]) AS x FROM t WHERE n > 0)
+        {{'name': 'p75', 'value': round(quantile_cont(n, 0.75), 1)}}, {{'name': 'p95', 'value': round(quantile_cont(n, 0.95), 1)}}]) AS x FROM t WHERE
+      n > 0)
     UNION ALL SELECT 'language', language, count(*) FROM identified GROUP BY 2
     UNION ALL SELECT 'label', lang, n FROM l UNION ALL SELECT 'label_share', lang, round(n / t, 4) FROM l
     UNION ALL SELECT 'bias', 'repeated_texts', round(b / a, 4) FROM u WHERE b / a < 0.8)""")
@@ -428,10 +463,13 @@ def e1_report(spark, d):
     return profile.diagnostics_report(_docs(spark, d), "text", "lang", _language_model(spark, _docs(spark, d)))
 
 
-@query("e9_task", f"""WITH {_IDENTIFIED}, n AS (SELECT language, count(*) AS n, sum(count(*)) OVER () AS t, count(*) OVER () AS k FROM identified GROUP BY 1), m AS (SELECT * FROM n ORDER BY n DESC, language LIMIT 1)
+@query("e9_task", f"""WITH {_IDENTIFIED}, n AS (SELECT language, count(*) AS n, sum(count(*)) OVER () AS t, count(*) OVER () AS k FROM identified
+      GROUP BY 1), m AS (SELECT * FROM n ORDER BY n DESC, language LIMIT 1)
     SELECT count(*) AS n_samples, count(quality) AS n_labeled, (SELECT count(DISTINCT quality) FROM labels) AS n_classes,
-    (SELECT round(max(n) / min(n), 2)::DOUBLE FROM (SELECT count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY quality)) AS balance, floor(avg({TOKENS}))::BIGINT AS mean_tokens,
-    (SELECT language FROM m) AS language, (SELECT n / t < 0.9 AND k > 1 FROM m) AS multilingual, 'custom' AS task_type, 'low' AS budget_level, 0.85::DOUBLE AS target_f1,
+    (SELECT round(max(n) / min(n), 2)::DOUBLE FROM (SELECT count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY quality)) AS balance,
+      floor(avg({TOKENS}))::BIGINT AS mean_tokens,
+    (SELECT language FROM m) AS language, (SELECT n / t < 0.9 AND k > 1 FROM m) AS multilingual, 'custom' AS task_type, 'low' AS budget_level,
+      0.85::DOUBLE AS target_f1,
     0.7::DOUBLE AS annotation_agreement, NULL::VARCHAR AS domain_specificity, 'clear' AS class_boundary_clarity, NULL::VARCHAR AS downstream_use
     FROM documents LEFT JOIN labels USING (doc_id)""")
 def e9_task(spark, d):
@@ -440,13 +478,15 @@ def e9_task(spark, d):
     return profile.features(rows, "text", "quality", languages=_language_model(spark, _docs(spark, d)), stated=stated)
 
 
-_WEIGHTS = """tf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]{2,}')) AS term FROM src) GROUP BY ALL),
+_WEIGHTS = """tf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]{2,}')) AS term
+      FROM src) GROUP BY ALL),
     idf AS (SELECT term, ln((1 + (SELECT count(*) FROM src)) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY 1),
     raw AS (SELECT id, term, tf * idf AS w FROM tf JOIN idf USING (term)),
     weights AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS weight FROM raw)"""
 
 
-@query("e10_diversity", f"""WITH src AS (SELECT doc_id AS id, text FROM documents), {_WEIGHTS}, s AS (SELECT sum(s * s) AS total, sum(q) AS own FROM (SELECT sum(weight) AS s, sum(weight * weight) AS q FROM weights GROUP BY term))
+@query("e10_diversity", f"""WITH src AS (SELECT doc_id AS id, text FROM documents), {_WEIGHTS}, s AS (SELECT sum(s * s) AS total, sum(q) AS own FROM
+      (SELECT sum(weight) AS s, sum(weight * weight) AS q FROM weights GROUP BY term))
     SELECT n, round(1 - (total - own) / (n * (n - 1)), 4)::DOUBLE AS diversity FROM s, (SELECT count(DISTINCT id) AS n FROM weights)""")
 def e10_diversity(spark, d):
     return tfidf.diversity(tfidf.tfidf(_docs(spark, d), "doc_id", "text"))
@@ -457,12 +497,15 @@ def e10_diversity(spark, d):
 _TASKS = "SELECT user_id AS task, (user_id * 37 % 900) * (user_id % 3) AS n_labeled, CASE WHEN user_id % 2 = 0 THEN 'sentiment' ELSE 'topic' END AS task_type, user_id % 7 + 2 AS n_classes, CASE WHEN user_id % 5 < 3 THEN 0.8 ELSE 0.9 END AS target_f1, CASE WHEN user_id % 4 = 0 THEN 'hypothesis_testing' ELSE 'description' END AS downstream_use FROM (SELECT DISTINCT user_id FROM events)"
 
 
-@query("f1_f2_recommend", f"""WITH t AS ({_TASKS}), r AS (SELECT *, CASE WHEN n_labeled = 0 AND target_f1 <= 0.85 AND task_type = 'sentiment' AND n_classes <= 3 THEN 1 WHEN n_labeled = 0 AND target_f1 <= 0.85 THEN 2
+@query("f1_f2_recommend", f"""WITH t AS ({_TASKS}), r AS (SELECT *, CASE WHEN n_labeled = 0 AND target_f1 <= 0.85 AND task_type = 'sentiment' AND
+      n_classes <= 3 THEN 1 WHEN n_labeled = 0 AND target_f1 <= 0.85 THEN 2
       WHEN n_labeled = 0 THEN 3 WHEN n_labeled < 200 THEN 4 WHEN n_labeled < 500 THEN 5 WHEN target_f1 <= 0.85 THEN 6 ELSE 7 END AS rule,
       CASE WHEN n_classes <= 3 AND task_type = 'sentiment' THEN 1 WHEN n_classes <= 5 THEN 2 ELSE 3 END AS lv FROM t)
-    SELECT task, rule, ['zero_shot', 'few_shot', 'fine_tune', 'few_shot', 'few_shot', 'fine_tune', 'active_learning'][rule] AS method, [0.75, 0.65, 0.70, 0.75, 0.78, 0.85, 0.87][rule]::DOUBLE AS expected_f1,
+    SELECT task, rule, ['zero_shot', 'few_shot', 'fine_tune', 'few_shot', 'few_shot', 'fine_tune', 'active_learning'][rule] AS method, [0.75, 0.65,
+      0.70, 0.75, 0.78, 0.85, 0.87][rule]::DOUBLE AS expected_f1,
     [0.05, 0.08, 0.08, 0.05, 0.05, 0.03, 0.03][rule]::DOUBLE AS margin, downstream_use = 'hypothesis_testing' AS sensitivity_analysis,
-    CASE WHEN rule = 3 THEN [200, 300, 500][lv] END AS minimum_n, CASE WHEN rule = 3 THEN [500, 800, 1200][lv] END AS recommended_n, CASE WHEN rule = 3 THEN [1000, 1500, 2000][lv] END AS diminishing_n FROM r""")
+    CASE WHEN rule = 3 THEN [200, 300, 500][lv] END AS minimum_n, CASE WHEN rule = 3 THEN [500, 800, 1200][lv] END AS recommended_n, CASE WHEN rule =
+      3 THEN [1000, 1500, 2000][lv] END AS diminishing_n FROM r""")
 def f1_f2_recommend(spark, d):
     u = F.col("user_id")
     tasks = table(spark, d, "events").select("user_id").distinct().select(
@@ -580,7 +623,8 @@ def g1_session(spark, d):
     return items.withColumn("labels", F.array(*[F.lit(x) for x in labels]))
 
 
-@query("g8_merge_labels", """WITH l AS (SELECT text, arg_max(quality, doc_id)::VARCHAR AS label FROM labelled GROUP BY 1) SELECT doc_id, label FROM documents LEFT JOIN l USING (text)""", "labelled")
+@query("g8_merge_labels", """WITH l AS (SELECT text, arg_max(quality, doc_id)::VARCHAR AS label FROM labelled GROUP BY 1) SELECT doc_id, label FROM
+      documents LEFT JOIN l USING (text)""", "labelled")
 def g8_merge_labels(spark, d):
     state = inputs.labelled(spark, d).select("text", F.col("doc_id").alias("item"), F.col("quality").cast("string").alias("label"))
     docs = _docs(spark, d).select("doc_id", "text", F.lit(None).cast("string").alias("label"))
@@ -590,7 +634,8 @@ def g8_merge_labels(spark, d):
 # segmentation
 
 
-@query("h1_h4_paragraphs", """SELECT doc_id, k::INT AS segment_id, trim(text, ' ' || chr(10)) AS text, (1 + lines)::INT AS line_start, (1 + lines + length(text) - length(replace(text, chr(10), '')))::INT AS line_end,
+@query("h1_h4_paragraphs", """SELECT doc_id, k::INT AS segment_id, trim(text, ' ' || chr(10)) AS text, (1 + lines)::INT AS line_start, (1 + lines +
+      length(text) - length(replace(text, chr(10), '')))::INT AS line_end,
     pos::INT AS char_start, (pos + length(text))::INT AS char_end, (k - 1)::INT AS paragraph_index FROM turns""", "turns")
 def h1_h4_paragraphs(spark, d):
     return segment.segment(inputs.transcripts(spark, d))
@@ -606,7 +651,8 @@ def h3_windows(spark, d):
     return segment.segment(inputs.transcripts(spark, d), mode="context_window", window=1)
 
 
-@query("h6_h7_preview", """SELECT doc_id, CASE WHEN length(text) > 120 THEN substr(trim(text, ' ' || chr(10)), 1, 120) || '...' ELSE text END AS text, pos || '-' || (pos + length(text)) AS chars FROM turns WHERE k = 2""", "turns")
+@query("h6_h7_preview", """SELECT doc_id, CASE WHEN length(text) > 120 THEN substr(trim(text, ' ' || chr(10)), 1, 120) || '...' ELSE text END AS text,
+      pos || '-' || (pos + length(text)) AS chars FROM turns WHERE k = 2""", "turns")
 def h6_h7_preview(spark, d):
     return segment.preview(segment.lookup(segment.segment(inputs.transcripts(spark, d)), 2)).select("doc_id", "text", "chars")
 
@@ -614,27 +660,37 @@ def h6_h7_preview(spark, d):
 # review of extractions: paragraphs of transcripts, found by rules, reviewed by events
 
 _EXTRACTED = """seg AS (SELECT doc_id, k::INT AS segment_id, trim(text, ' ' || chr(10)) AS text, (1 + lines)::INT AS line_start,
-      (1 + lines + length(text) - length(replace(text, chr(10), '')))::INT AS line_end, pos::INT AS char_start, (pos + length(text))::INT AS char_end, (k - 1)::INT AS paragraph_index FROM turns),
+      (1 + lines + length(text) - length(replace(text, chr(10), '')))::INT AS line_end, pos::INT AS char_start, (pos + length(text))::INT AS char_end,
+      (k - 1)::INT AS paragraph_index FROM turns),
     found AS (SELECT doc_id, segment_id, 'asks' AS rq_label, 'question' AS sub_theme, '?' AS evidence_span FROM seg WHERE contains(text, '?')
       UNION ALL SELECT doc_id, segment_id, 'tells', 'long', substr(text, 1, 20) FROM seg WHERE length(text) > 80
       UNION ALL SELECT doc_id, segment_id, 'counts', 'number', regexp_extract(text, '[0-9]') FROM seg WHERE regexp_matches(text, '[0-9]')),
-    ext AS (SELECT *, round((50 + (doc_id * 3 + segment_id * 7 + length(rq_label)) % 50) / 100.0, 2)::DOUBLE AS confidence, 'rule' AS reasoning FROM found),
-    acts AS (SELECT user_id AS doc_id, event_id AS seq, ['accept', 'reject', 'edit', 'add', 'edit', 'accept', 'accept_high'][(event_id % 7 + 1)::INT] AS action, (event_id * 13 % 9)::INT AS item,
-      (event_id * 5 % 8 + 1)::INT AS segment_id, CASE WHEN event_id % 2 = 0 THEN 'new ' || event_id % 3 END AS rq_label, CASE WHEN event_id % 3 = 0 THEN 'sub ' || event_id % 4 END AS sub_theme,
+    ext AS (SELECT *, round((50 + (doc_id * 3 + segment_id * 7 + length(rq_label)) % 50) / 100.0, 2)::DOUBLE AS confidence, 'rule' AS reasoning FROM
+      found),
+    acts AS (SELECT user_id AS doc_id, event_id AS seq, ['accept', 'reject', 'edit', 'add', 'edit', 'accept', 'accept_high'][(event_id % 7 + 1)::INT]
+      AS action, (event_id * 13 % 9)::INT AS item,
+      (event_id * 5 % 8 + 1)::INT AS segment_id, CASE WHEN event_id % 2 = 0 THEN 'new ' || event_id % 3 END AS rq_label, CASE WHEN event_id % 3 = 0
+      THEN 'sub ' || event_id % 4 END AS sub_theme,
       CASE WHEN event_id % 5 = 0 THEN 0.7 END AS threshold FROM events),
     base AS (SELECT e.*, s.text, line_start, line_end, char_start, char_end, paragraph_index, NULL::BIGINT AS added,
-      row_number() OVER (PARTITION BY e.doc_id ORDER BY rq_label, char_start, e.segment_id, sub_theme, confidence, evidence_span) - 1 AS item FROM ext e JOIN seg s USING (doc_id, segment_id)),
-    adds AS (SELECT a.doc_id, a.segment_id, a.rq_label, a.sub_theme, '' AS evidence_span, 1.0 AS confidence, 'added by hand' AS reasoning, s.text, line_start, line_end, char_start, char_end, paragraph_index,
+      row_number() OVER (PARTITION BY e.doc_id ORDER BY rq_label, char_start, e.segment_id, sub_theme, confidence, evidence_span) - 1 AS item FROM ext
+      e JOIN seg s USING (doc_id, segment_id)),
+    adds AS (SELECT a.doc_id, a.segment_id, a.rq_label, a.sub_theme, '' AS evidence_span, 1.0 AS confidence, 'added by hand' AS reasoning, s.text,
+      line_start, line_end, char_start, char_end, paragraph_index,
       a.seq AS added, row_number() OVER (PARTITION BY a.doc_id ORDER BY a.seq) - 1 + (SELECT count(*) FROM base b WHERE b.doc_id = a.doc_id) AS item
       FROM acts a JOIN seg s USING (doc_id, segment_id) WHERE action = 'add'),
     all_items AS (SELECT * FROM base UNION ALL BY NAME SELECT * FROM adds),
-    last AS (SELECT a.doc_id, a.item, arg_max(action, seq) AS action, arg_max(a.rq_label, seq) FILTER (action = 'edit' AND a.rq_label IS NOT NULL) AS new_rq,
+    last AS (SELECT a.doc_id, a.item, arg_max(action, seq) AS action, arg_max(a.rq_label, seq) FILTER (action = 'edit' AND a.rq_label IS NOT NULL) AS
+      new_rq,
       arg_max(a.sub_theme, seq) FILTER (action = 'edit' AND a.sub_theme IS NOT NULL) AS new_sub
-      FROM acts a JOIN all_items i ON i.doc_id = a.doc_id AND i.item = a.item AND (i.added IS NULL OR a.seq > i.added) WHERE action IN ('accept', 'reject', 'edit') GROUP BY ALL),
+      FROM acts a JOIN all_items i ON i.doc_id = a.doc_id AND i.item = a.item AND (i.added IS NULL OR a.seq > i.added) WHERE action IN ('accept',
+      'reject', 'edit') GROUP BY ALL),
     high AS (SELECT doc_id, min(coalesce(threshold, 0.85)) AS high FROM acts WHERE action = 'accept_high' GROUP BY 1),
-    review AS (SELECT i.* EXCLUDE (rq_label, sub_theme, added), CASE WHEN action = 'edit' THEN coalesce(new_rq, rq_label) ELSE rq_label END AS rq_label,
+    review AS (SELECT i.* EXCLUDE (rq_label, sub_theme, added), CASE WHEN action = 'edit' THEN coalesce(new_rq, rq_label) ELSE rq_label END AS
+      rq_label,
       CASE WHEN action = 'edit' THEN coalesce(new_sub, sub_theme) ELSE sub_theme END AS sub_theme,
-      CASE action WHEN 'accept' THEN 'accepted' WHEN 'reject' THEN 'rejected' WHEN 'edit' THEN 'edited' ELSE CASE WHEN added IS NOT NULL OR confidence >= high THEN 'accepted' ELSE 'pending' END END AS review_status
+      CASE action WHEN 'accept' THEN 'accepted' WHEN 'reject' THEN 'rejected' WHEN 'edit' THEN 'edited' ELSE CASE WHEN added IS NOT NULL OR confidence
+      >= high THEN 'accepted' ELSE 'pending' END END AS review_status
       FROM all_items i LEFT JOIN last USING (doc_id, item) LEFT JOIN high USING (doc_id))"""
 
 
@@ -678,8 +734,10 @@ def l4_extraction_review(spark, d):
     return extraction_review.export(extraction_review.reviewed(*_extractions(spark, d)))
 
 
-@query("l4_extraction_stats", f"""WITH {inputs.named('turns')}, {_EXTRACTED} SELECT rq_label, count(*) AS total, count(*) FILTER (review_status = 'accepted') AS accepted, count(*) FILTER (review_status = 'edited') AS edited,
-    count(*) FILTER (review_status = 'rejected') AS rejected, count(*) FILTER (review_status = 'pending') AS pending, round(100 * count(*) FILTER (review_status <> 'pending') / count(*), 1)::DOUBLE AS progress FROM review GROUP BY 1""")
+@query("l4_extraction_stats", f"""WITH {inputs.named('turns')}, {_EXTRACTED} SELECT rq_label, count(*) AS total, count(*) FILTER (review_status =
+      'accepted') AS accepted, count(*) FILTER (review_status = 'edited') AS edited,
+    count(*) FILTER (review_status = 'rejected') AS rejected, count(*) FILTER (review_status = 'pending') AS pending, round(100 * count(*) FILTER
+      (review_status <> 'pending') / count(*), 1)::DOUBLE AS progress FROM review GROUP BY 1""")
 def l4_extraction_stats(spark, d):
     return extraction_review.stats(extraction_review.reviewed(*_extractions(spark, d)), "rq_label")
 
@@ -722,7 +780,8 @@ def i6_coverage(spark, d):
     return pii.coverage(pii.detect(_docs(spark, d)))
 
 
-@query("i7_i9_review", """SELECT coalesce(l.action, 'pending') AS action, count(*) AS n FROM (SELECT doc_id AS item_id FROM documents) d LEFT JOIN last_log l USING (item_id) GROUP BY 1""", "last_log")
+@query("i7_i9_review", """SELECT coalesce(l.action, 'pending') AS action, count(*) AS n FROM (SELECT doc_id AS item_id FROM documents) d LEFT JOIN
+      last_log l USING (item_id) GROUP BY 1""", "last_log")
 def i7_i9_review(spark, d):
     rows = review.reviewed(inputs.items(spark, d), inputs.action_log(spark, d), ["item_id"], "text")
     return rows.groupBy("action").agg(F.count("*").alias("n"))
@@ -739,13 +798,15 @@ def _reviewed_spans(spark, d):
     return review.reviewed(found, log, ["text_id"], "replacement", "span")
 
 
-@query("i7_spans", f"""SELECT coalesce(action, 'pending') AS action, CASE action WHEN 'rejected' THEN span WHEN 'edited' THEN value ELSE '[REDACTED]' END AS final, count(*) AS n
+@query("i7_spans", f"""SELECT coalesce(action, 'pending') AS action, CASE action WHEN 'rejected' THEN span WHEN 'edited' THEN value ELSE '[REDACTED]'
+      END AS final, count(*) AS n
     FROM {_EMAIL_SPANS} LEFT JOIN last_log USING (item_id) GROUP BY ALL""", "last_log")
 def i7_spans(spark, d):
     return _reviewed_spans(spark, d).groupBy("action", "final").agg(F.count("*").alias("n"))
 
 
-@query("i7_accept_confident", f"""SELECT count(*) AS total, count(*) FILTER (action IS NULL OR action = 'accepted') AS accepted, count(*) FILTER (action = 'edited') AS edited,
+@query("i7_accept_confident", f"""SELECT count(*) AS total, count(*) FILTER (action IS NULL OR action = 'accepted') AS accepted, count(*) FILTER
+      (action = 'edited') AS edited,
     count(*) FILTER (action = 'rejected') AS rejected, 0::BIGINT AS pending FROM {_EMAIL_SPANS} LEFT JOIN last_log USING (item_id)""", "last_log")
 def i7_accept_confident(spark, d):
     return review.review_stats(review.accept_confident(_reviewed_spans(spark, d), 0.9))
@@ -757,7 +818,8 @@ def i9_correspondence(spark, d):
 
 
 @query("i8_apply_review", r"""SELECT doc_id AS text_id, CASE coalesce(action, 'pending') WHEN 'rejected' THEN text ELSE
-    regexp_replace(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b', CASE action WHEN 'edited' THEN value ELSE '[REDACTED]' END, 'g') END AS text
+    regexp_replace(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b', CASE action WHEN 'edited' THEN value ELSE '[REDACTED]' END, 'g') END
+      AS text
     FROM documents LEFT JOIN last_log ON doc_id = item_id""", "last_log")
 def i8_apply_review(spark, d):
     """Every span of a document takes the last action on the document."""
@@ -781,8 +843,10 @@ def _prices(spark):
     return completion.price_table(spark)
 
 
-@query("j4_j5_cost", """SELECT model, count(*) AS calls, sum(i)::BIGINT AS input_tokens, sum(o)::BIGINT AS output_tokens, round((sum(i) * pi + sum(o) * po) / 1e6, 6)::DOUBLE AS dollars FROM (
-    SELECT CASE event_id % 3 WHEN 0 THEN 'gpt-4o' WHEN 1 THEN 'gpt-4.1-nano' ELSE 'local' END AS model, event_id % 900 AS i, event_id % 70 AS o FROM events)
+@query("j4_j5_cost", """SELECT model, count(*) AS calls, sum(i)::BIGINT AS input_tokens, sum(o)::BIGINT AS output_tokens, round((sum(i) * pi + sum(o)
+      * po) / 1e6, 6)::DOUBLE AS dollars FROM (
+    SELECT CASE event_id % 3 WHEN 0 THEN 'gpt-4o' WHEN 1 THEN 'gpt-4.1-nano' ELSE 'local' END AS model, event_id % 900 AS i, event_id % 70 AS o FROM
+      events)
     JOIN (VALUES ('gpt-4o', 2.5, 10.0), ('gpt-4.1-nano', 0.1, 0.4), ('local', 0.0, 0.0)) v(model, pi, po) USING (model) GROUP BY model, pi, po""")
 def j4_j5_cost(spark, d):
     e = F.col("event_id")
@@ -795,7 +859,8 @@ def j4_estimate(spark, d):
     return completion.estimate_cost(_docs(spark, d), "text", "gpt-4o", _prices(spark))
 
 
-@query("j6_j10_classify", """SELECT CASE WHEN contains(text, ' the ') THEN 'english' ELSE 'other' END AS label, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 4)::DOUBLE AS share, false AS failed FROM documents GROUP BY 1""")
+@query("j6_j10_classify", """SELECT CASE WHEN contains(text, ' the ') THEN 'english' ELSE 'other' END AS label, count(*) AS n, round(count(*) /
+      sum(count(*)) OVER (), 4)::DOUBLE AS share, false AS failed FROM documents GROUP BY 1""")
 def j6_j10_classify(spark, d):
     stub = completion.TableProvider({" the ": '{"label": "english", "confidence": 0.9}'}, "other")
     template = "{text}|{labels}"
@@ -806,7 +871,8 @@ def j6_j10_classify(spark, d):
 _REPLY = "SELECT doc_id, CASE doc_id % 7 WHEN 6 THEN 'no idea' ELSE label END AS parsed FROM replies"
 
 
-@query("j7_parse", """SELECT doc_id, CASE doc_id % 7 WHEN 6 THEN 'no idea' WHEN 3 THEN label ELSE label END AS label, CASE doc_id % 7 WHEN 0 THEN 0.9 WHEN 2 THEN 0.5 END::DOUBLE AS confidence FROM replies""", "replies")
+@query("j7_parse", """SELECT doc_id, CASE doc_id % 7 WHEN 6 THEN 'no idea' WHEN 3 THEN label ELSE label END AS label, CASE doc_id % 7 WHEN 0 THEN 0.9
+      WHEN 2 THEN 0.5 END::DOUBLE AS confidence FROM replies""", "replies")
 def j7_parse(spark, d):
     return inputs.replies(spark, d).select("doc_id", completion.parse_label(F.col("reply"), ["clean", "toxic"]).alias("p")).select("doc_id", "p.label", "p.confidence")
 
@@ -827,10 +893,13 @@ def j11_unlabeled(spark, d):
     return completion.classify_unlabeled(rows, lambda x: x.select("item_id", F.lit("new").alias("predicted")), "item_id", "c").select("item_id", "final_label", "source")
 
 
-@query("j15_variants", """WITH v AS (SELECT 'plain' AS variant, truth, CASE WHEN doc_id % 7 IN (3, 4) THEN lower(reply) WHEN doc_id % 7 = 6 THEN 'no idea' ELSE label END AS p FROM replies
+@query("j15_variants", """WITH v AS (SELECT 'plain' AS variant, truth, CASE WHEN doc_id % 7 IN (3, 4) THEN lower(reply) WHEN doc_id % 7 = 6 THEN
+      'no idea' ELSE label END AS p FROM replies
       UNION ALL SELECT 'robust', truth, CASE doc_id % 7 WHEN 6 THEN 'no idea' ELSE label END FROM replies),
-    m AS (SELECT variant, label, sum(r) AS r, sum(c) AS c, sum(tp) AS tp FROM (SELECT variant, truth AS label, 1 AS r, 0 AS c, (truth = p)::INT AS tp FROM v UNION ALL SELECT variant, p, 0, 1, 0 FROM v) GROUP BY ALL),
-    s AS (SELECT variant, sum(r)::BIGINT AS n, round(sum(tp) / sum(r), 4)::DOUBLE AS accuracy, round(avg(2 * tp / (r + c)) FILTER (r > 0), 4)::DOUBLE AS macro_f1 FROM m GROUP BY 1)
+    m AS (SELECT variant, label, sum(r) AS r, sum(c) AS c, sum(tp) AS tp FROM (SELECT variant, truth AS label, 1 AS r, 0 AS c, (truth = p)::INT AS tp
+      FROM v UNION ALL SELECT variant, p, 0, 1, 0 FROM v) GROUP BY ALL),
+    s AS (SELECT variant, sum(r)::BIGINT AS n, round(sum(tp) / sum(r), 4)::DOUBLE AS accuracy, round(avg(2 * tp / (r + c)) FILTER (r > 0), 4)::DOUBLE
+      AS macro_f1 FROM m GROUP BY 1)
     SELECT *, row_number() OVER (ORDER BY macro_f1 DESC, variant) = 1 AS best FROM s""", "replies")
 def j15_variants(spark, d):
     rows = inputs.replies(spark, d)
@@ -845,7 +914,8 @@ def j16_examples(spark, d):
     return tfidf.select_examples(rows, "doc_id", "text", "label", 3)
 
 
-@query("j17_j18_coding", """SELECT doc_id AS item_id, CASE doc_id % 3 WHEN 0 THEN 'Work' WHEN 1 THEN 'Family life' END AS theme, least(1.0, round((doc_id % 13) / 10.0, 3))::DOUBLE AS confidence, 'because' AS reasoning, 'x' AS evidence
+@query("j17_j18_coding", """SELECT doc_id AS item_id, CASE doc_id % 3 WHEN 0 THEN 'Work' WHEN 1 THEN 'Family life' END AS theme, least(1.0,
+      round((doc_id % 13) / 10.0, 3))::DOUBLE AS confidence, 'because' AS reasoning, 'x' AS evidence
     FROM documents WHERE doc_id % 3 < 2""")
 def j17_j18_coding(spark, d):
     name = F.element_at(F.array(F.lit("work"), F.lit("family"), F.lit("unknown thing")), (F.col("doc_id") % 3 + 1).cast("int"))
@@ -854,7 +924,8 @@ def j17_j18_coding(spark, d):
     return completion.parse_coding(rows, "reply", ["Work", "Family life"]).drop("triggers")
 
 
-@query("j19_extraction", """SELECT doc_id, 1::BIGINT AS segment_id, 'RQ1' AS rq_id, CASE doc_id % 3 WHEN 0 THEN 'a' ELSE 'uncategorised' END AS sub_theme, 0.7::DOUBLE AS confidence, '' AS evidence FROM documents WHERE doc_id % 3 < 2""")
+@query("j19_extraction", """SELECT doc_id, 1::BIGINT AS segment_id, 'RQ1' AS rq_id, CASE doc_id % 3 WHEN 0 THEN 'a' ELSE 'uncategorised' END AS
+      sub_theme, 0.7::DOUBLE AS confidence, '' AS evidence FROM documents WHERE doc_id % 3 < 2""")
 def j19_extraction(spark, d):
     sub = F.element_at(F.array(F.lit("a"), F.lit(""), F.lit("zzz")), (F.col("doc_id") % 3 + 1).cast("int"))
     reply = F.concat(F.lit('```json\n{"matches": [{"segment_id": 1, "rq_id": "RQ1", "sub_theme": "'), sub, F.lit('", "confidence": 0.7}, {"segment_id": 2, "rq_id": "RQ9"}]}\n```'))
@@ -885,14 +956,16 @@ def _extracted(spark, d):
 
 
 @query("j19_run", f"""WITH {inputs.named('turns')}, {_EXTRACTED.split("found AS")[0]} {_ASKED}
-    SELECT doc_id, segment_id, 'RQ1' AS rq_id, 'asks' AS sub_theme, 1.0::DOUBLE AS confidence, '?' AS evidence, text, line_start, line_end, char_start, char_end, paragraph_index FROM asked""")
+    SELECT doc_id, segment_id, 'RQ1' AS rq_id, 'asks' AS sub_theme, 1.0::DOUBLE AS confidence, '?' AS evidence, text, line_start, line_end,
+      char_start, char_end, paragraph_index FROM asked""")
 def j19_run(spark, d):
     return _extracted(spark, d)[0]
 
 
 @query("j19_report", f"""WITH {inputs.named('turns')}, {_EXTRACTED.split("found AS")[0]} {_ASKED}
     SELECT 'batches' AS name, count(*) AS n FROM (SELECT DISTINCT doc_id, (segment_id - 1) // 15 FROM seg) UNION ALL SELECT 'failed', 0
-    UNION ALL SELECT 'matches', count(*) FROM asked UNION ALL SELECT 'segments', count(*) FROM asked UNION ALL SELECT 'RQ1', count(*) FROM asked UNION ALL SELECT 'RQ2', 0""")
+    UNION ALL SELECT 'matches', count(*) FROM asked UNION ALL SELECT 'segments', count(*) FROM asked UNION ALL SELECT 'RQ1', count(*) FROM asked UNION
+      ALL SELECT 'RQ2', 0""")
 def j19_report(spark, d):
     return runs.extraction_report(*_extracted(spark, d), _QUESTIONS)
 
@@ -900,8 +973,10 @@ def j19_report(spark, d):
 _VARIANTS = {"strict": "STRICT toxic or clean? Text: {text}", "open": "Is it toxic?"}
 
 
-@query("j15_detail", """SELECT doc_id AS id, CASE WHEN length(text) > 60 THEN substr(text, 1, 60) || '…' ELSE text END AS text, truth, strict, strict = truth AS "strict right", open, open = truth AS "open right"
-    FROM (SELECT doc_id, text, CASE WHEN toxic = 1 THEN 'toxic' ELSE 'clean' END AS truth, CASE WHEN contains(' ' || text, '  the ') OR contains(text, ' the ') THEN 'toxic' ELSE 'clean' END AS strict,
+@query("j15_detail", """SELECT doc_id AS id, CASE WHEN length(text) > 60 THEN substr(text, 1, 60) || '…' ELSE text END AS text, truth, strict, strict
+      = truth AS "strict right", open, open = truth AS "open right"
+    FROM (SELECT doc_id, text, CASE WHEN toxic = 1 THEN 'toxic' ELSE 'clean' END AS truth, CASE WHEN contains(' ' || text, '  the ') OR contains(text,
+      ' the ') THEN 'toxic' ELSE 'clean' END AS strict,
       CASE WHEN contains(text, 'e') THEN 'toxic' ELSE 'clean' END AS open FROM labelled)""", "labelled")
 def j15_detail(spark, d):
     """Every labelled document, asked with two prompts."""
@@ -918,8 +993,10 @@ def k1_votes(spark, d):
     return consensus.majority_vote(inputs.codings(spark, d), 3)
 
 
-@query("k2_agreement", """WITH a AS (SELECT item_id, avg(votes / 3.0) AS a, count(*) AS n FROM votes GROUP BY 1), i AS (SELECT doc_id, coalesce(a, 1.0) AS a, coalesce(n, 0) AS n FROM documents LEFT JOIN a ON doc_id = item_id)
-    SELECT count(*) AS n_items, round(avg(a), 4)::DOUBLE AS agreement, count(*) FILTER (abs(a - 1) < 1e-12) AS n_unanimous, count(*) FILTER (n = 0) AS n_uncoded, (SELECT count(*) FROM coded) AS n_consensus_themes FROM i""", "coded")
+@query("k2_agreement", """WITH a AS (SELECT item_id, avg(votes / 3.0) AS a, count(*) AS n FROM votes GROUP BY 1), i AS (SELECT doc_id, coalesce(a,
+      1.0) AS a, coalesce(n, 0) AS n FROM documents LEFT JOIN a ON doc_id = item_id)
+    SELECT count(*) AS n_items, round(avg(a), 4)::DOUBLE AS agreement, count(*) FILTER (abs(a - 1) < 1e-12) AS n_unanimous, count(*) FILTER (n = 0) AS
+      n_uncoded, (SELECT count(*) FROM coded) AS n_consensus_themes FROM i""", "coded")
 def k2_agreement(spark, d):
     return consensus.consensus_summary(inputs.items(spark, d), inputs.codings(spark, d), 3)
 
@@ -930,24 +1007,29 @@ def k3_merge(spark, d):
     return consensus.merge_details(rows)
 
 
-@query("l1_triage", """SELECT doc_id AS item_id, least, CASE WHEN least >= 0.85 THEN 'high' WHEN least >= 0.6 THEN 'medium' ELSE 'low' END AS tier FROM documents LEFT JOIN (SELECT item_id, min(confidence) AS least FROM coded GROUP BY 1) ON doc_id = item_id""", "coded")
+@query("l1_triage", """SELECT doc_id AS item_id, least, CASE WHEN least >= 0.85 THEN 'high' WHEN least >= 0.6 THEN 'medium' ELSE 'low' END AS tier
+      FROM documents LEFT JOIN (SELECT item_id, min(confidence) AS least FROM coded GROUP BY 1) ON doc_id = item_id""", "coded")
 def l1_triage(spark, d):
     return consensus.triage(inputs.items(spark, d), k1_votes(spark, d))
 
 
-@query("l2_triage_summary", """SELECT tier, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 4)::DOUBLE AS share FROM (SELECT CASE WHEN least >= 0.85 THEN 'high' WHEN least >= 0.6 THEN 'medium' ELSE 'low' END AS tier
+@query("l2_triage_summary", """SELECT tier, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 4)::DOUBLE AS share FROM (SELECT CASE WHEN least >=
+      0.85 THEN 'high' WHEN least >= 0.6 THEN 'medium' ELSE 'low' END AS tier
     FROM documents LEFT JOIN (SELECT item_id, min(confidence) AS least FROM coded GROUP BY 1) ON doc_id = item_id) GROUP BY 1""", "coded")
 def l2_triage_summary(spark, d):
     return consensus.triage_summary(l1_triage(spark, d))
 
 
-@query("l3_coding_review", """SELECT c.item_id, theme, coalesce(l.action, 'pending') AS action, CASE l.action WHEN 'rejected' THEN NULL WHEN 'edited' THEN l.value ELSE theme END AS final FROM coded c LEFT JOIN last_log l USING (item_id)""", "coded last_log")
+@query("l3_coding_review", """SELECT c.item_id, theme, coalesce(l.action, 'pending') AS action, CASE l.action WHEN 'rejected' THEN NULL WHEN 'edited'
+      THEN l.value ELSE theme END AS final FROM coded c LEFT JOIN last_log l USING (item_id)""", "coded last_log")
 def l3_coding_review(spark, d):
     return review.reviewed(k1_votes(spark, d), inputs.action_log(spark, d), ["item_id"], "theme").select("item_id", "theme", "action", "final")
 
 
-@query("l4_review_stats", """SELECT theme, count(*) AS total, count(*) FILTER (action = 'accepted') AS accepted, count(*) FILTER (action = 'edited') AS edited, count(*) FILTER (action = 'rejected') AS rejected, count(*) FILTER (action = 'pending') AS pending
-    FROM (SELECT theme, CASE WHEN l.action IS NULL THEN CASE WHEN confidence >= 0.85 THEN 'accepted' ELSE 'pending' END ELSE l.action END AS action FROM coded c LEFT JOIN last_log l USING (item_id)) GROUP BY 1""", "coded last_log")
+@query("l4_review_stats", """SELECT theme, count(*) AS total, count(*) FILTER (action = 'accepted') AS accepted, count(*) FILTER (action = 'edited')
+      AS edited, count(*) FILTER (action = 'rejected') AS rejected, count(*) FILTER (action = 'pending') AS pending
+    FROM (SELECT theme, CASE WHEN l.action IS NULL THEN CASE WHEN confidence >= 0.85 THEN 'accepted' ELSE 'pending' END ELSE l.action END AS action
+      FROM coded c LEFT JOIN last_log l USING (item_id)) GROUP BY 1""", "coded last_log")
 def l4_review_stats(spark, d):
     rows = review.reviewed(k1_votes(spark, d), inputs.action_log(spark, d), ["item_id"], "theme")
     return review.review_stats(review.accept_confident(rows, 0.85), "theme")
@@ -958,7 +1040,8 @@ def m1_excerpts(spark, d):
     return consensus.excerpts(inputs.items(spark, d), k1_votes(spark, d), source="documents")
 
 
-@query("m1_reasons", """SELECT c.item_id, theme, text, confidence, 'unreviewed' AS status, 'documents' AS source, theme || ', ' || lang AS triggers, 'because' AS reasoning
+@query("m1_reasons", """SELECT c.item_id, theme, text, confidence, 'unreviewed' AS status, 'documents' AS source, theme || ', ' || lang AS triggers,
+      'because' AS reasoning
     FROM coded c JOIN documents ON item_id = doc_id""", "coded")
 def m1_reasons(spark, d):
     reasons = _docs(spark, d).select(F.col("doc_id").alias("item_id"), "lang")
@@ -967,8 +1050,10 @@ def m1_reasons(spark, d):
 
 
 @query("b3_sheets", """SELECT 'excerpts' AS sheet, theme AS a, NULL AS b, count(*) AS n FROM coded JOIN documents ON item_id = doc_id GROUP BY ALL
-    UNION ALL SELECT 'cooccurrence', x.theme, y.theme, (SELECT count(*) FROM coded p JOIN coded q USING (item_id) WHERE p.theme = x.theme AND q.theme = y.theme)
-    FROM (SELECT unnest(['common', 'question', 'digits', 'long']) AS theme) x CROSS JOIN (SELECT unnest(['common', 'question', 'digits', 'long']) AS theme) y""", "coded")
+    UNION ALL SELECT 'cooccurrence', x.theme, y.theme, (SELECT count(*) FROM coded p JOIN coded q USING (item_id) WHERE p.theme = x.theme AND q.theme
+      = y.theme)
+    FROM (SELECT unnest(['common', 'question', 'digits', 'long']) AS theme) x CROSS JOIN (SELECT unnest(['common', 'question', 'digits', 'long']) AS
+      theme) y""", "coded")
 def b3_sheets(spark, d):
     """Both sheets of a coding, written and read again."""
     path = _scratch(spark)
@@ -986,11 +1071,16 @@ def b2_display(spark, d):
     return io.annotations_display(rows.select(F.col("doc_id").alias("id"), status.alias("status"), F.col("quality").cast("string").alias("label"), "text"))
 
 
-@query("b4_markdown", """WITH t AS (SELECT * FROM (VALUES (0, 'common', 'd common'), (1, 'question', 'd question'), (2, 'digits', 'd digits'), (3, 'long', 'd long'), (4, 'absent', 'd absent')) v(place, theme, description)),
-    r AS (SELECT theme, item_id, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS q, row_number() OVER (PARTITION BY theme ORDER BY item_id) AS k FROM coded JOIN documents ON item_id = doc_id),
-    m AS (SELECT theme, count(*) AS n, round(100 * count(*) / (SELECT count(*) FROM documents), 1)::DOUBLE AS pct, list(q ORDER BY k) FILTER (k <= 3) AS quotes FROM r GROUP BY 1),
-    l AS (SELECT place AS part, list_concat(['## ' || theme, '', 'Definition: ' || description, '', 'Frequency: ' || coalesce(n, 0) || ' texts (' || coalesce(pct, 0.0)::DOUBLE || '%)', ''],
-      flatten(list_transform(coalesce(quotes, []), lambda q: ['> ' || replace(q, chr(10), chr(10) || '> '), ''])), ['Notes:', '']) AS ls FROM t LEFT JOIN m USING (theme)
+@query("b4_markdown", """WITH t AS (SELECT * FROM (VALUES (0, 'common', 'd common'), (1, 'question', 'd question'), (2, 'digits', 'd digits'), (3,
+      'long', 'd long'), (4, 'absent', 'd absent')) v(place, theme, description)),
+    r AS (SELECT theme, item_id, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS q, row_number() OVER (PARTITION BY
+      theme ORDER BY item_id) AS k FROM coded JOIN documents ON item_id = doc_id),
+    m AS (SELECT theme, count(*) AS n, round(100 * count(*) / (SELECT count(*) FROM documents), 1)::DOUBLE AS pct, list(q ORDER BY k) FILTER (k <= 3)
+      AS quotes FROM r GROUP BY 1),
+    l AS (SELECT place AS part, list_concat(['## ' || theme, '', 'Definition: ' || description, '', 'Frequency: ' || coalesce(n, 0) || ' texts (' ||
+      coalesce(pct, 0.0)::DOUBLE || '%)', ''],
+      flatten(list_transform(coalesce(quotes, []), lambda q: ['> ' || replace(q, chr(10), chr(10) || '> '), ''])), ['Notes:', '']) AS ls FROM t LEFT
+      JOIN m USING (theme)
       UNION ALL SELECT -1, ['# Memo', '', 'Texts: ' || (SELECT count(*) FROM documents), 'Themes: 5', ''])
     SELECT part::BIGINT AS part, k::INT - 1 AS k, ls[k] AS line FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS k FROM l)""", "coded")
 def b4_markdown(spark, d):
@@ -998,19 +1088,24 @@ def b4_markdown(spark, d):
     return consensus.memo_lines(inputs.items(spark, d), k1_votes(spark, d), themes)
 
 
-@query("m2_cooccurrence", """WITH t AS (SELECT unnest(['common', 'question', 'digits', 'long']) AS theme), p AS (SELECT a.theme AS theme_a, b.theme AS theme_b, count(*) AS n FROM coded a JOIN coded b USING (item_id) GROUP BY ALL)
-    SELECT x.theme AS theme_a, y.theme AS theme_b, coalesce(n, 0) AS n FROM t x CROSS JOIN t y LEFT JOIN p ON p.theme_a = x.theme AND p.theme_b = y.theme""", "coded")
+@query("m2_cooccurrence", """WITH t AS (SELECT unnest(['common', 'question', 'digits', 'long']) AS theme), p AS (SELECT a.theme AS theme_a, b.theme AS
+      theme_b, count(*) AS n FROM coded a JOIN coded b USING (item_id) GROUP BY ALL)
+    SELECT x.theme AS theme_a, y.theme AS theme_b, coalesce(n, 0) AS n FROM t x CROSS JOIN t y LEFT JOIN p ON p.theme_a = x.theme AND p.theme_b =
+      y.theme""", "coded")
 def m2_cooccurrence(spark, d):
     return consensus.cooccurrence(k1_votes(spark, d), spark.createDataFrame([(t,) for t in inputs.THEMES], "theme string"))
 
 
-@query("m3_memo", """WITH r AS (SELECT theme, item_id, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS q, row_number() OVER (PARTITION BY theme ORDER BY item_id) AS k FROM coded JOIN documents ON item_id = doc_id)
-    SELECT theme, count(*) AS n, round(100 * count(*) / (SELECT count(*) FROM documents), 1)::DOUBLE AS "percent", list(q ORDER BY k) FILTER (k <= 3) AS quotes FROM r GROUP BY 1""", "coded")
+@query("m3_memo", """WITH r AS (SELECT theme, item_id, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS q,
+      row_number() OVER (PARTITION BY theme ORDER BY item_id) AS k FROM coded JOIN documents ON item_id = doc_id)
+    SELECT theme, count(*) AS n, round(100 * count(*) / (SELECT count(*) FROM documents), 1)::DOUBLE AS "percent", list(q ORDER BY k) FILTER (k <= 3)
+      AS quotes FROM r GROUP BY 1""", "coded")
 def m3_memo(spark, d):
     return consensus.memo(inputs.items(spark, d), k1_votes(spark, d))
 
 
-@query("m4_evidence", """SELECT doc_id, p::INT - 1 AS found_at, CASE WHEN p > 0 THEN substr(text, greatest(1, p - 300), least(300, p - 1)) END AS "before", CASE WHEN p > 0 THEN substr(text, p, 3) END AS hit,
+@query("m4_evidence", """SELECT doc_id, p::INT - 1 AS found_at, CASE WHEN p > 0 THEN substr(text, greatest(1, p - 300), least(300, p - 1)) END AS
+      "before", CASE WHEN p > 0 THEN substr(text, p, 3) END AS hit,
     CASE WHEN p > 0 THEN substr(text, p + 3, 300) END AS "after" FROM (SELECT doc_id, text, strpos(lower(text), 'the') AS p FROM documents)""")
 def m4_evidence(spark, d):
     rows = _docs(spark, d).select("doc_id", "text", F.lit("The").alias("e"))
@@ -1037,7 +1132,8 @@ def p2_themes(spark, d):
     return themes.suggest_themes(_docs(spark, d), "doc_id", "text")
 
 
-@query("p4_overlap", f"""WITH src AS (SELECT item_id AS id, text FROM benchmark), {_WEIGHTS} SELECT * FROM (SELECT a.id AS a, b.id AS b, round(100 * sum(a.weight * b.weight), 1)::DOUBLE AS overlap FROM weights a JOIN weights b USING (term) WHERE a.id < b.id GROUP BY ALL) WHERE overlap > 10""")
+@query("p4_overlap", f"""WITH src AS (SELECT item_id AS id, text FROM benchmark), {_WEIGHTS} SELECT * FROM (SELECT a.id AS a, b.id AS b, round(100 *
+      sum(a.weight * b.weight), 1)::DOUBLE AS overlap FROM weights a JOIN weights b USING (term) WHERE a.id < b.id GROUP BY ALL) WHERE overlap > 10""")
 def p4_overlap(spark, d):
     return tfidf.overlaps(tfidf.tfidf(table(spark, d, "benchmark"), "item_id", "text"), 10.0)
 
@@ -1069,7 +1165,8 @@ def r3_median(spark, d):
 # reports of several operators
 
 
-@query("c7_confirm", """WITH c AS (SELECT max(n) / min(n) AS r FROM (SELECT count(*) AS n FROM labelled GROUP BY quality)), l AS (SELECT count(DISTINCT quality) AS k FROM labelled)
+@query("c7_confirm", """WITH c AS (SELECT max(n) / min(n) AS r FROM (SELECT count(*) AS n FROM labelled GROUP BY quality)), l AS (SELECT
+      count(DISTINCT quality) AS k FROM labelled)
     SELECT 'imbalance' AS "check", r AS value FROM c WHERE r > 5 UNION ALL SELECT 'one_label', k::DOUBLE FROM l WHERE k < 2""", "labelled")
 def c7_confirm(spark, d):
     return profile.confirm_columns(inputs.labelled(spark, d), "text", "quality")
@@ -1085,7 +1182,8 @@ def c10_bridge(spark, d):
 
 @query("d5_report", f"""WITH p AS (SELECT a AS x, b AS y FROM coders_wide), {_MARGINS},
     s AS (SELECT sum(tp) / max(n) AS po, sum(r * c) / (max(n)::DOUBLE * max(n)) AS pe FROM m, n)
-    SELECT 'kappa' AS metric, round({_KAPPA}, 4)::DOUBLE AS value FROM s UNION ALL SELECT 'specific:' || label, round(tp / (r + c - tp), 4)::DOUBLE FROM m""", "coders_wide")
+    SELECT 'kappa' AS metric, round({_KAPPA}, 4)::DOUBLE AS value FROM s UNION ALL SELECT 'specific:' || label, round(tp / (r + c - tp), 4)::DOUBLE
+      FROM m""", "coders_wide")
 def d5_report(spark, d):
     margins = agreement.label_margins(agreement.pair_counts(inputs.coders_wide(spark, d), "a", "b"))
     kappa = agreement.kappa_of(margins).select(F.lit("kappa").alias("metric"), F.col("kappa").alias("value"))
@@ -1094,7 +1192,8 @@ def d5_report(spark, d):
 
 @query("d7_multilabel", f"""WITH {_SETS}, z AS (SELECT a.item_id, x, y, list_intersect(x, y) AS w FROM s a),
     j AS (SELECT 'x' AS coder_a, 'y' AS coder_b, x AS p, y AS q FROM z UNION ALL SELECT 'x', 'z', x, w FROM z UNION ALL SELECT 'y', 'z', y, w FROM z)
-    SELECT coder_a, coder_b, round(avg(CASE WHEN len(p) + len(q) = 0 THEN 1.0 ELSE len(list_intersect(p, q)) / len(list_distinct(list_concat(p, q))) END), 4)::DOUBLE AS jaccard FROM j GROUP BY ALL""", "theme_long")
+    SELECT coder_a, coder_b, round(avg(CASE WHEN len(p) + len(q) = 0 THEN 1.0 ELSE len(list_intersect(p, q)) / len(list_distinct(list_concat(p, q)))
+      END), 4)::DOUBLE AS jaccard FROM j GROUP BY ALL""", "theme_long")
 def d7_multilabel(spark, d):
     sets = inputs.theme_sets(spark, d).withColumn("z", F.array_intersect("x", "y"))
     pair = lambda a, b: F.struct(F.lit(a).alias("coder_a"), F.lit(b).alias("coder_b"), F.col(a).alias("p"), F.col(b).alias("q"))
@@ -1144,7 +1243,8 @@ def j21_local_classifier(spark, d):
     return agreement.evaluate(agreement.label_margins(agreement.pair_counts(found, "label", "predicted"))).drop("tp")
 
 
-@query("j21_split", """WITH n AS (SELECT lang, count(*) AS n FROM documents GROUP BY 1) SELECT lang, n - CASE WHEN n > 1 THEN greatest(1, floor(n * 0.2)) ELSE 0 END::BIGINT AS fit,
+@query("j21_split", """WITH n AS (SELECT lang, count(*) AS n FROM documents GROUP BY 1) SELECT lang, n - CASE WHEN n > 1 THEN greatest(1, floor(n *
+      0.2)) ELSE 0 END::BIGINT AS fit,
     CASE WHEN n > 1 THEN greatest(1, floor(n * 0.2)) ELSE 0 END::BIGINT AS held FROM n""")
 def j21_split(spark, d):
     fit, held = training.stratified_split(_docs(spark, d), "lang", "doc_id")
@@ -1152,7 +1252,8 @@ def j21_split(spark, d):
     return both.groupBy("lang").agg(F.sum("f").alias("fit"), F.sum("h").alias("held"))
 
 
-@query("k4_coders", """SELECT doc_id AS item_id, count(*) AS votes FROM (SELECT doc_id FROM documents WHERE contains(text, ' the ') UNION ALL SELECT doc_id FROM documents WHERE contains(text, ' of ')) GROUP BY 1""")
+@query("k4_coders", """SELECT doc_id AS item_id, count(*) AS votes FROM (SELECT doc_id FROM documents WHERE contains(text, ' the ') UNION ALL SELECT
+      doc_id FROM documents WHERE contains(text, ' of ')) GROUP BY 1""")
 def k4_coders(spark, d):
     said = '{"themes": [{"name": "english", "confidence": 0.9}]}'
     coders = {"a": completion.TableProvider({" the ": said}), "b": completion.TableProvider({" of ": said})}
@@ -1162,21 +1263,27 @@ def k4_coders(spark, d):
 
 
 @query("l4_export", """SELECT item_id, theme, action, CASE action WHEN 'edited' THEN value ELSE theme END AS final FROM (
-    SELECT c.item_id, theme, value, CASE WHEN l.action IS NULL THEN 'pending' ELSE l.action END AS action FROM coded c LEFT JOIN last_log l USING (item_id)) WHERE action <> 'rejected'""", "coded last_log")
+    SELECT c.item_id, theme, value, CASE WHEN l.action IS NULL THEN 'pending' ELSE l.action END AS action FROM coded c LEFT JOIN last_log l USING
+      (item_id)) WHERE action <> 'rejected'""", "coded last_log")
 def l4_export(spark, d):
     return review.reviewed(k1_votes(spark, d), inputs.action_log(spark, d), ["item_id"], "theme").where("action <> 'rejected'").select("item_id", "theme", "action", "final")
 
 
-@query("m2_wide", """WITH t AS (SELECT unnest(['common', 'question', 'digits', 'long']) AS theme_a), p AS (SELECT a.theme AS theme_a, b.theme AS b, count(*) AS n FROM coded a JOIN coded b USING (item_id) GROUP BY ALL)
-    SELECT theme_a, coalesce(sum(n) FILTER (b = 'common'), 0)::BIGINT AS common, coalesce(sum(n) FILTER (b = 'question'), 0)::BIGINT AS question, coalesce(sum(n) FILTER (b = 'digits'), 0)::BIGINT AS digits,
+@query("m2_wide", """WITH t AS (SELECT unnest(['common', 'question', 'digits', 'long']) AS theme_a), p AS (SELECT a.theme AS theme_a, b.theme AS b,
+      count(*) AS n FROM coded a JOIN coded b USING (item_id) GROUP BY ALL)
+    SELECT theme_a, coalesce(sum(n) FILTER (b = 'common'), 0)::BIGINT AS common, coalesce(sum(n) FILTER (b = 'question'), 0)::BIGINT AS question,
+      coalesce(sum(n) FILTER (b = 'digits'), 0)::BIGINT AS digits,
     coalesce(sum(n) FILTER (b = 'long'), 0)::BIGINT AS "long" FROM t LEFT JOIN p USING (theme_a) GROUP BY 1""", "coded")
 def m2_wide(spark, d):
     return consensus.cooccurrence_wide(k1_votes(spark, d), list(inputs.THEMES))
 
 
 @query("b6_log", f"""WITH {_EVAL}, k AS (SELECT sum(tp) / max(n) AS po, sum(r * c) / (max(n)::DOUBLE * max(n)) AS pe FROM m, n)
-    SELECT unnest([{{'name': 'n_samples', 'value': max(total)::DOUBLE}}, {{'name': 'n_classes', 'value': (SELECT count(DISTINCT predicted) FROM predicted)::DOUBLE}}, {{'name': 'accuracy', 'value': round(sum(tp) / max(total), 4)::DOUBLE}},
-      {{'name': 'macro_f1', 'value': round(avg(f1), 4)::DOUBLE}}, {{'name': 'weighted_f1', 'value': round(sum(f1 * support) / sum(support), 4)::DOUBLE}},
+    SELECT unnest([{{'name': 'n_samples', 'value': max(total)::DOUBLE}},
+      {{'name': 'n_classes', 'value': (SELECT count(DISTINCT predicted) FROM predicted)::DOUBLE}},
+      {{'name': 'accuracy', 'value': round(sum(tp) / max(total), 4)::DOUBLE}},
+      {{'name': 'macro_f1', 'value': round(avg(f1), 4)::DOUBLE}},
+      {{'name': 'weighted_f1', 'value': round(sum(f1 * support) / sum(support), 4)::DOUBLE}},
       {{'name': 'cohens_kappa', 'value': (SELECT round({_KAPPA}, 4)::DOUBLE FROM k)}}], recursive := true) FROM e""", "predicted")
 def b6_log(spark, d):
     """The numbers of a run's log, written and read again."""
