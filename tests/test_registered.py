@@ -1,5 +1,7 @@
 """Registered queries that have no SQL, held against plain Python over the same tables."""
 
+import math
+import re
 from collections import Counter
 
 import pytest
@@ -19,8 +21,6 @@ def texts(spark, sf_dir):
 @pytest.fixture(scope="module")
 def spans(texts):
     """(doc, start, end, type), kept by start, then order of detection."""
-    import re
-
     out = []
     for doc, text in sorted(texts.items()):
         found = sorted((m.start(), k, m.end()) for k, kind in enumerate(ORDER) for m in re.finditer(pii.pattern(kind), text or ""))
@@ -70,7 +70,9 @@ def test_numbers_run_through_ranges(spark):
     assert pii.in_order(rows.limit(0), "type", ["seen"]).count() == 0
 
 
-def test_annotations(spark, sf_dir):
+@pytest.fixture(scope="module")
+def annotated(spark, sf_dir):
+    """(session, item, label, status) after all actions, replayed one by one."""
     items, log = registry._session(spark, sf_dir)
     expected = []
     logs = {}
@@ -94,9 +96,61 @@ def test_annotations(spark, sf_dir):
                 done.append(at)
                 at = next((k for k in range(at + 1, len(names)) if state[k][1] == "pending"), len(names))
         expected += [(session, names[k], *value) for k, value in state.items()]
+    return expected
+
+
+def test_annotations(spark, sf_dir, annotated):
     found = registry.QUERIES["g1_g4_annotations"](spark, sf_dir).collect()
     key = lambda r: (r[0], r[1])
-    assert sorted(((r["session"], r["item"], r["label"], r["status"]) for r in found), key=key) == sorted(expected, key=key)
+    assert sorted(((r["session"], r["item"], r["label"], r["status"]) for r in found), key=key) == sorted(annotated, key=key)
+
+
+def test_annotation_stats_and_export(spark, sf_dir, annotated):
+    by_session = {}
+    for session, _, _, status in annotated:
+        by_session.setdefault(session, Counter())[status] += 1
+    for r in registry.QUERIES["g5_g6_stats"](spark, sf_dir).collect():
+        n = by_session.pop(r["session"])
+        total = sum(n.values())
+        assert (r["total"], *[r[s] for s in ("labeled", "skipped", "flagged", "pending")]) == (total, n["labeled"], n["skipped"], n["flagged"], n["pending"])
+        assert abs(r["progress"] - 100 * (total - n["pending"]) / total) <= 0.05 + 1e-9 and r["complete"] == (n["pending"] == 0)
+    assert not by_session
+    found = registry.QUERIES["g7_export"](spark, sf_dir).collect()
+    assert sorted((r["session"], r["item"], r["label"]) for r in found) == sorted(a[:3] for a in annotated if a[3] == "labeled")
+
+
+def unit_vectors(texts, most):
+    words = {i: re.findall(r"\b\w\w+\b", (t or "").lower()) for i, t in texts.items()}
+    df, total = Counter(w for ws in words.values() for w in set(ws)), Counter(w for ws in words.values() for w in ws)
+    kept = set(sorted(df, key=lambda w: (-total[w], w))[:most])
+    out = {}
+    for i, ws in words.items():
+        v = {w: c * (math.log((1 + len(texts)) / (1 + df[w])) + 1) for w, c in Counter(ws).items() if w in kept}
+        length = math.sqrt(sum(x * x for x in v.values()))
+        out[i] = {w: x / length for w, x in v.items()}
+    return out
+
+
+def cosine(a, b):
+    return sum(x * b.get(w, 0.0) for w, x in a.items())
+
+
+def test_examples(spark, sf_dir, texts):
+    vectors, expected = unit_vectors(texts, 3000), []
+    for label, ids in (("even", [i for i in texts if i % 2 == 0]), ("odd", [i for i in texts if i % 2])):
+        chosen = [min(ids)]
+        while len(chosen) < 3:
+            near = {i: max(round(cosine(vectors[i], vectors[c]), 9) for c in chosen) for i in ids if i not in chosen}
+            chosen.append(min(near, key=lambda i: (near[i], i)))
+        expected += [(label, k, i) for k, i in enumerate(chosen, 1)]
+    assert sorted((r["label"], r["pick"], r["id"]) for r in registry.QUERIES["j16_examples"](spark, sf_dir).collect()) == sorted(expected)
+
+
+def test_report(spark, sf_dir):
+    counts = {r["metric"]: r["value"] for r in registry.QUERIES["e1_diagnostics"](spark, sf_dir).collect()}
+    text = "\n".join(r[0] for r in registry.QUERIES["e11_report"](spark, sf_dir).collect())
+    for metric, value in counts.items():
+        assert re.search(rf"^{metric.replace('_', ' ')} +{value:,}$", text, re.M), metric
 
 
 def test_detected_languages(spark, sf_dir, texts):
