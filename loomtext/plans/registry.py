@@ -934,14 +934,15 @@ def j19_extraction(spark, d):
 
 
 class _Asks:
-    """Finds the segments of a prompt that ask something, and for a strict prompt those alone that say who."""
+    """Finds the segments of a prompt that ask something, and for a strict prompt those alone that say who. Prompts are told
+    apart by how they begin, and segments by the blank line before their number, which no segment holds; texts may say anything."""
 
     def complete(self, prompt: str, system: str = "") -> str:
-        if "STRICT" in prompt or "Is it" in prompt:
-            hit = (" the " if "STRICT" in prompt else "e") in prompt.split("Text:", 1)[1]
+        if prompt.startswith(("STRICT", "Is it")):
+            hit = (" the " if prompt.startswith("STRICT") else "e") in prompt.split("Text:", 1)[1]
             return json.dumps({"label": "toxic" if hit else "clean"})
-        body, _, _ = prompt.partition("\n\nWhich segments")
-        found = [part for part in re.split(r"(?m)^(?=\[\d+\] )", body) if "?" in part]
+        body, _, _ = prompt.rpartition("\n\nWhich segments")
+        found = [part for part in re.split(r"\n\n(?=\[\d+\] )", body) if "?" in part]
         return "Here: " + json.dumps({"matches": [{"segment_id": int(part[1 : part.index("]")]), "rq_id": "RQ1", "sub_theme": "asks", "confidence": 1.7, "evidence_span": "?"} for part in found if part.startswith("[")]})
 
 
