@@ -5,9 +5,12 @@ first level is the number of fields, the next ``depth`` levels are the leading f
 leaf two templates agree if they are equal in at least ``similarity`` of their fields, and a family is what agreement
 connects, however long the chain: a template that joins never parts others. Templates that agree differ in d fields at
 most, so of d + 1 blocks of fields one is equal, and only templates that share a block are compared: each with the
-``SEEDS`` most frequent ones of the block's group (of equal frequency those of larger hash). In groups up to that size
-all that agree are found; in larger ones a template is connected through those, so work grows with the templates and not
-with their square. A family that recurs in ``min_docs`` documents or more is dropped from all of them but the one of
+``SEEDS`` most frequent ones of the block (of equal frequency those of larger hash). In blocks up to that size all that
+agree are found. In larger ones those that stay outside the block's largest family are compared with all of other families, if
+they are few (``SEEDS`` or d + 1); else the block's templates are cut again, by the fields that the block leaves, of which
+d + 1 new blocks hold one equal one, and so on. A block that leaves d fields or fewer holds only templates that agree. So
+all families are found, and a round makes at most max(SEEDS, d + 1) rows or pairs of each row it is given.
+A family that recurs in ``min_docs`` documents or more is dropped from all of them but the one of
 smallest id, so that no content goes from the corpus as a whole (``keep_first=False`` drops it there too).
 
 Scale: two scans judge the lines; only lines with a digit or unusual blanks pass the masking patterns. The first counts
@@ -27,6 +30,8 @@ ones take their place. An empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,36 +76,96 @@ def recurring_lines(rows: DataFrame, *, min_docs: int, depth: int) -> DataFrame:
     return found
 
 
-def blocks(texts: DataFrame, depth: int, similarity: float) -> DataFrame:
-    """(leaf, n, t1, t2, block): hashes of the blocks of fields, of which templates that agree share one; no row for a
-    template that agrees with none but itself. What the blocks are cut from is a column, so that it is made once."""
-    rows = texts.select("leaf", "n", *KEY, F.split("template", " ").alias("fields")).withColumn("size", F.size("fields"))
-    rows = rows.withColumn("apart", F.floor(F.col("size") * (1 - similarity) + 1e-9).cast("int")).where("apart > 0")
-    rows = rows.withColumn("lead", F.least("size", F.lit(depth)))
-    rows = rows.withColumn("parts", F.expr("if(size - lead <= apart, 1, apart + 1)"))
-    ends = "cast((i + 1) * (size - lead) div parts as int)", "cast(i * (size - lead) div parts as int)"
-    block = f"if(parts = 1, xxhash64(i), xxhash64(i, slice(fields, lead + {ends[1]} + 1, {ends[0]} - {ends[1]})))"
-    return rows.select("leaf", "n", *KEY, F.expr(f"explode(transform(sequence(0, parts - 1), i -> {block}))").alias("block"))
+def _fields(texts: DataFrame, depth: int, similarity: float) -> DataFrame:
+    """(leaf, n, t1, t2, group, apart, rest): how many fields may differ, and those in which templates of a leaf can; no
+    row for a template that agrees with none but itself."""
+    rows = texts.select("leaf", "n", *KEY, F.lit(0).cast("long").alias("group"), F.split("template", " ").alias("fields"))
+    rows = rows.withColumn("apart", F.floor(F.size("fields") * (1 - similarity) + 1e-9).cast("int")).where("apart > 0")
+    return rows.withColumn("rest", F.slice("fields", depth + 1, F.greatest(F.size("fields") - depth, F.lit(0)))).drop("fields")
 
 
-def families(texts: DataFrame, *, depth: int, similarity: float) -> DataFrame:
-    """(t1, t2, g1, g2): the templates that agree with others, and their family. texts: (t1, t2, leaf, template, n)."""
-    several = texts.groupBy("leaf").agg(F.count("*").alias("members")).where("members > 1").select("leaf")
-    texts = written(texts.join(several, "leaf", "left_semi"), "several")  # most leaves hold one template
-    parts = written(blocks(texts, depth, similarity), "blocks")
+def blocks(rows: DataFrame) -> DataFrame:
+    """(leaf, n, t1, t2, group, apart, whole, start, stop, block): hashes of the blocks of fields, of which templates of a
+    group that agree share one. All of a group agree where no more fields are left than may differ (whole): there one block
+    stands for all. What the blocks are cut from is a column, so that it is made once."""
+    rows = rows.withColumn("size", F.size("rest")).withColumn("whole", F.expr("size <= apart")).withColumn("parts", F.expr("if(whole, 1, apart + 1)"))
+    ends = "cast(i * size div parts as int) AS start, cast((i + 1) * size div parts as int) AS stop"
+    rows = rows.select("leaf", "n", *KEY, "group", "apart", "whole", "rest", F.expr(f"explode(transform(sequence(0, parts - 1), i -> struct(i, {ends})))").alias("b")).select("*", "b.*")
+    block = F.expr("if(whole, xxhash64(group, i), xxhash64(group, i, slice(rest, start + 1, stop - start)))")
+    return rows.select("leaf", "n", *KEY, "group", "apart", "whole", "start", "stop", block.alias("block"))
+
+
+def _seeded(parts: DataFrame) -> DataFrame:
+    """(t1, t2, g1, g2): each template with the SEEDS most frequent ones of its blocks."""
     own = F.struct("n", *KEY)
     place = F.row_number().over(Window.partitionBy("leaf", "block").orderBy(F.desc("n"), F.desc("t1"), F.desc("t2")))
     seeds = parts.withColumn("place", place).where(F.col("place") <= SEEDS).select("leaf", "block", own.alias("seed"))
     pairs = parts.join(seeds, ["leaf", "block"]).where(F.col("seed") > own)
-    pairs = pairs.select(*KEY, F.col("seed.t1").alias("g1"), F.col("seed.t2").alias("g2")).distinct()
-    pairs = pairs.join(texts.select(*KEY, "template"), KEY).join(texts.select(F.col("t1").alias("g1"), F.col("t2").alias("g2"), F.col("template").alias("seed")), ["g1", "g2"])
+    return pairs.select(*KEY, F.col("seed.t1").alias("g1"), F.col("seed.t2").alias("g2"))
+
+
+def _crossed(parted: DataFrame) -> DataFrame:
+    """(t1, t2, g1, g2): the templates outside a block's largest family, with all of other families."""
+    outside = parted.where("family != most").select("leaf", "block", F.col("t1").alias("g1"), F.col("t2").alias("g2"), F.col("family").alias("other"))
+    once = (F.col("family") == F.col("most")) | (F.struct(*KEY) < F.struct("g1", "g2"))
+    return parted.join(outside, ["leaf", "block"]).where((F.col("family") != F.col("other")) & once).select(*KEY, "g1", "g2")
+
+
+def _agreeing(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): those of the pairs (t1, t2, g1, g2) that agree."""
+    pairs = pairs.distinct().join(texts.select(*KEY, "template"), KEY).join(texts.select(F.col("t1").alias("g1"), F.col("t2").alias("g2"), F.col("template").alias("seed")), ["g1", "g2"])
     fields = F.split("template", " ")
     agree = F.size(F.filter(F.zip_with(fields, F.split("seed", " "), lambda a, b: a == b), lambda x: x))
     near = pairs.where(agree >= similarity * F.size(fields))
-    links = written(near.select(F.struct(*KEY).alias("a"), F.struct(F.col("g1").alias("t1"), F.col("g2").alias("t2")).alias("b")), "agreeing")
-    found = connected_components(links).select("node.t1", "node.t2", F.col("component.t1").alias("g1"), F.col("component.t2").alias("g2"))
-    deleted(texts, parts, links)
-    return found
+    return near.select(F.struct(*KEY).alias("a"), F.struct(F.col("g1").alias("t1"), F.col("g2").alias("t2")).alias("b"))
+
+
+def _parted(parts: DataFrame, found: DataFrame) -> DataFrame | None:
+    """The rows of blocks of more than SEEDS templates that aren't all of one family, with their family, the block's
+    largest one (most) and the number of its templates outside that (others); None where there are none."""
+    sizes = parts.groupBy("leaf", "block").agg(F.count("*").alias("members")).where(F.col("members") > SEEDS)
+    if sizes.isEmpty():
+        return None
+    families_of = found.select(F.col("node.t1"), F.col("node.t2"), F.col("component").alias("family"))
+    large = parts.join(sizes.drop("members"), ["leaf", "block"]).join(families_of, KEY, "left")
+    large = written(large.withColumn("family", F.coalesce("family", F.struct(*KEY))), "large")
+    shares = large.groupBy("leaf", "block", "family").agg(F.count("*").alias("k")).groupBy("leaf", "block")
+    shares = shares.agg(F.max(F.struct("k", "family")).alias("x"), F.sum("k").alias("members")).where("members > x.k")
+    out = written(large.join(shares.select("leaf", "block", F.col("x.family").alias("most"), F.expr("members - x.k").alias("others")), ["leaf", "block"]), "parted")
+    deleted(large)
+    return None if out.isEmpty() else out
+
+
+def families(texts: DataFrame, *, depth: int, similarity: float) -> DataFrame:
+    """(t1, t2, g1, g2): the templates that agree with others, and their family. texts: (t1, t2, leaf, template, n)."""
+    several = texts.groupBy("leaf").agg(F.count("*").alias("members")).where("members > 1").select("leaf")
+    texts = written(texts.join(several, "leaf", "left_semi"), "several")  # most leaves hold one template
+    rows, links, found = _fields(texts, depth, similarity), [], None
+    while rows is not None:
+        parts = written(blocks(rows), "blocks")
+        links.append(written(_agreeing(_seeded(parts), texts, similarity), "agreeing"))
+        found, links = _linked(links, found), []
+        parted, left = _parted(parts, found), None
+        if parted is not None:
+            few = F.col("whole") | (F.col("others") <= F.greatest(F.lit(SEEDS), F.col("apart") + 1))
+            links.append(written(_agreeing(_crossed(parted.where(few)), texts, similarity), "agreeing"))
+            left = parted.where(~few).select("leaf", *KEY, "group", "block", "start", "stop").join(rows, ["leaf", *KEY, "group"])
+            rest = F.concat(F.slice("rest", F.lit(1), F.col("start")), F.slice("rest", F.col("stop") + 1, F.size("rest")))
+            left = written(left.select("leaf", "n", *KEY, F.col("block").alias("group"), "apart", rest.alias("rest")), "left")
+            left = None if left.isEmpty() else left
+        deleted(rows, parts, *(() if parted is None else (parted,)))
+        rows = left
+    found = _linked(links, found) if links else found
+    deleted(texts)
+    return found.select("node.t1", "node.t2", F.col("component.t1").alias("g1"), F.col("component.t2").alias("g2"))
+
+
+def _linked(links: list[DataFrame], found: DataFrame | None) -> DataFrame:
+    """(node, component) of the links (a, b) and of what was found before."""
+    edges = reduce(DataFrame.unionByName, [*links, *([] if found is None else [found.select(F.col("node").alias("a"), F.col("component").alias("b"))])])
+    out = connected_components(edges)
+    deleted(*links)
+    return out
 
 
 def _spread_join(rows: DataFrame, keyed: DataFrame, least: int) -> DataFrame:

@@ -142,3 +142,30 @@ def test_query_drops_what_two_documents_share(spark, tmp_path):
     shared = "this line stands in just two documents of them all"
     docs(spark, [f"one thing\n{shared}", f"another thing\n{shared}", "third"]).write.parquet(str(tmp_path / "documents.parquet"))
     assert rows(op3_line_dedup(spark, str(tmp_path)), "doc_id", "n_dropped") == [(0, 0), (1, 1), (2, 0)]
+
+
+def rare_pair(n, r):
+    """Templates that share a block and nothing else, and two rare ones of them that agree."""
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(9))
+    texts = [" ".join(["a b c p q", *[word() for _ in range(5)]]) for _ in range(n)]
+    texts = [t for t in texts for _ in range(2)]
+    one = "a b c p q v w x y z"
+    return [*texts, one, one.replace("v", "vv").replace("y", "yy")]
+
+
+@pytest.mark.parametrize("n", [20, 33, 80])
+def test_rare_templates_of_a_large_block(spark, n):
+    """Two templates that agree, beside more frequent ones of their block that agree with neither."""
+    texts = rare_pair(n, random.Random(n))
+    found = rows(line_dedup(docs(spark, texts), min_docs=2), "doc_id", "n_dropped")
+    assert found == [(k, k % 2) for k in range(2 * n + 2)]
+
+
+@pytest.mark.parametrize(("seed", "seeds"), [(1, 1), (2, 2), (3, 5)])
+def test_blocks_cut_again(spark, monkeypatch, seed, seeds):
+    monkeypatch.setattr("loomtext.llm.line_dedup.SEEDS", seeds)
+    r = random.Random(seed)
+    texts = ["\n".join("a b c " + " ".join(r.choice("pqrst") for _ in range(r.choice([3, 7, 12]))) for _ in range(2)) for _ in range(70)]
+    texts += ["a b c " + " ".join(r.choice(["p", "q"]) if k < 6 else r.choice("stuvwx") for k in range(12)) for _ in range(50)]
+    found = line_dedup(docs(spark, texts), min_docs=3)
+    assert sorted(rows(found, "doc_id", "text")) == brute(texts, min_docs=3)
