@@ -1,7 +1,9 @@
 """TF-IDF and what builds on it: diversity, overlap of descriptions, diverse examples.
 
-Weights are a sparse long table (id, term, weight), shuffled by term and by document with partial aggregation. Pairs of
-documents are never formed: the mean similarity of all pairs follows from the sums by term.
+Weights are a sparse long table (id, term, weight). Texts are shuffled by their id, which is all that
+counting a document's terms and its norm need. The counts by term, added up in each task first, meet them by broadcast up to
+``HELD_TERMS`` terms, and by a shuffle beyond. Pairs of documents are never formed: the mean similarity of all pairs
+follows from the sums by term.
 """
 
 from __future__ import annotations
@@ -12,6 +14,8 @@ from pyspark.sql import functions as F
 from ..functions.text import terms
 from ..session import materialised
 
+#: Terms, with a number each, that a task holds (about 50 MB).
+HELD_TERMS = 500_000
 
 def tfidf(df: DataFrame, id_col: str, text_col: str, max_terms: int | None = None, min_df: int = 1, max_df: float = 1.0, stop_words: tuple[str, ...] = ()) -> DataFrame:
     """(id, term, weight): lower-cased terms of two or more word characters, idf ln((1 + n) / (1 + df)) + 1, unit rows.
@@ -19,14 +23,16 @@ def tfidf(df: DataFrame, id_col: str, text_col: str, max_terms: int | None = Non
     words = terms(F.col(text_col))
     if stop_words:
         words = F.filter(words, lambda w: ~w.isin(*stop_words))
-    tf = df.select(F.col(id_col).alias("id"), F.explode(words).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    own = df.select(F.col(id_col).alias("id"), F.col(text_col)).repartition("id")  # texts, which are smaller than their terms
+    tf = own.select("id", F.explode(words).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
     total = df.agg(F.count("*").alias("total"))
     counts = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("all")).join(F.broadcast(total), F.lit(True))
     counts = counts.where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("total")))
     if max_terms:
         counts = counts.orderBy(F.desc("all"), "term").limit(max_terms)
     idf = counts.select("term", (F.log((1 + F.col("total")) / (1 + F.col("df"))) + 1).alias("idf"))
-    raw = tf.join(idf, "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    n_terms = max_terms or df.select(F.explode(words).alias("term")).agg(F.approx_count_distinct("term")).first()[0]
+    raw = tf.join(F.broadcast(idf) if n_terms <= HELD_TERMS else idf, "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
     return raw.select("id", "term", (F.col("w") / norm).alias("weight"))
 
