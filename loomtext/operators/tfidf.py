@@ -65,7 +65,8 @@ def top_terms(weights: DataFrame, groups: DataFrame, k: int = 8) -> DataFrame:
 def select_examples(df: DataFrame, id_col: str, text_col: str, label_col: str, n: int = 3) -> DataFrame:
     """(label, pick, id): n diverse texts of each label: the first, then each time the one farthest from those chosen.
 
-    Greedy and sequential, so a round is a plan: similarities of all texts to the last pick, by label, n - 1 times."""
+    Greedy and sequential, so a round is a plan: similarities of all texts to the last pick, by label, n - 1 times.
+    The picks' weights, of one text a label, meet all others by broadcast."""
     rows = df.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"))
     weights = materialised(tfidf(df, id_col, text_col, 3000).join(rows, "id"))  # every pick reads them
     nearest = rows.withColumn("near", F.lit(-1.0))
@@ -74,7 +75,7 @@ def select_examples(df: DataFrame, id_col: str, text_col: str, label_col: str, n
     for k in range(2, n + 1):
         last = weights.join(F.broadcast(picks.select(F.col("label").alias("l"), F.col("id").alias("p"))), (F.col("label") == F.col("l")) & (F.col("id") == F.col("p")))
         last = last.select(F.col("label").alias("l"), F.col("term").alias("t"), F.col("weight").alias("w"))
-        similar = weights.join(last, (F.col("label") == F.col("l")) & (F.col("term") == F.col("t"))).groupBy("id").agg(F.sum(F.col("weight") * F.col("w")).alias("s"))
+        similar = weights.join(F.broadcast(last), (F.col("label") == F.col("l")) & (F.col("term") == F.col("t"))).groupBy("id").agg(F.sum(F.col("weight") * F.col("w")).alias("s"))
         nearest = nearest.join(similar, "id", "left").select("id", "label", F.greatest("near", F.coalesce("s", F.lit(0.0))).alias("near"))
         left = nearest.join(F.broadcast(chosen.select("id")), "id", "left_anti")
         picks = left.groupBy("label").agg(F.min_by("id", F.struct(F.round("near", 9), "id")).alias("id")).withColumn("pick", F.lit(k))
