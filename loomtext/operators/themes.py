@@ -11,7 +11,6 @@ than themes give as many themes as texts at most; one text is one theme, none is
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +32,8 @@ STOP_WORDS = tuple(
     "not now of off on once only or other our ours out over own same she should so some such than that the their theirs them then there these they "
     "this those through to too under until up very was we were what when where which while who whom why will with would you your yours".split()
 )
+#: Vectors that a task compares with the centres at a time.
+ROWS = 2000
 THEMES = "cluster int, name string, description string, keywords array<string>, representatives array<string>, coverage double"
 
 
@@ -60,42 +61,24 @@ def centres_of(vectors: DataFrame, k: int, starts: int, seed: int, iterations: i
     return np.array(best.clusterCenters())
 
 
-def within(rows: DataFrame, words: list[str]) -> DataFrame:
-    """Rows (id, terms) with only the terms among words, where any is left."""
-    kind = rows.schema["id"].dataType.simpleString()
+def nearest_centres(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
+    """(id, cluster, cosine) of each row (id, features), sparse unit vectors that aren't zero: the centre of least
+    distance, the first among equals, and the cosine with it. Every task holds the centres, which are bounded."""
+    kind = vectors.schema["id"].dataType.simpleString()
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = frozenset(words)
-        for batch in batches:
-            kept = [[t for t in terms_of.as_py() if t in known] for terms_of in batch.column(1)]
-            at = pa.array([i for i, terms_of in enumerate(kept) if terms_of], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array([t for t in kept if t], pa.list_(pa.string()))], names=["id", "terms"])
-
-    return rows.select("id", "terms").mapInArrow(walk, f"id {kind}, terms array<string>")
-
-
-def nearest_centres(rows: DataFrame, words: list[str], idf: np.ndarray, centres: np.ndarray) -> DataFrame:
-    """(id, cluster, cosine) of each row (id, terms) of terms among words: the centre of least distance, the first among
-    equals, and the cosine with it. Centres and words are held by every task; both are bounded."""
-    kind = rows.schema["id"].dataType.simpleString()
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, squares = {w: k for k, w in enumerate(words)}, (centres**2).sum(axis=1)
+        squares = (centres**2).sum(axis=1)
         norms = np.sqrt(squares)
-        for batch in batches:
-            clusters, cosines = [], []
-            for terms_of in batch.column(1):
-                counts = Counter(terms_of.as_py())
-                at = np.array([number[t] for t in counts])
-                w = np.array(list(counts.values())) * idf[at]
-                dots = centres[:, at] @ (w / np.sqrt((w * w).sum()))
-                best = int(np.argmin(squares - 2 * dots))
-                clusters.append(best)
-                cosines.append(float(dots[best] / norms[best]) if norms[best] else 0.0)
-            columns = [batch.column(0), pa.array(clusters, pa.int32()), pa.array(cosines, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "cluster", "cosine"])
-
-    return rows.select("id", "terms").mapInArrow(walk, f"id {kind}, cluster int, cosine double")
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
+            indices, values = batch.column(1), batch.column(2)
+            starts = indices.offsets.to_numpy()[:-1] - indices.offsets[0].as_py()
+            dots = np.add.reduceat(centres[:, indices.flatten().to_numpy()] * values.flatten().to_numpy(), starts, axis=1)
+            best = np.argmin(squares[:, None] - 2 * dots, axis=0)
+            cosines = np.where(norms[best] > 0, dots[best, np.arange(len(best))] / np.where(norms[best] > 0, norms[best], 1), 0.0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best, pa.int32()), pa.array(cosines, pa.float64())], names=["id", "cluster", "cosine"])
+
+    parts = F.unwrap_udt("features")
+    return vectors.select("id", parts["indices"].alias("indices"), parts["values"].alias("values")).mapInArrow(walk, f"id {kind}, cluster int, cosine double")
 
 
 def suggest_themes(
@@ -114,15 +97,15 @@ def suggest_themes(
     if not found:
         return spark.createDataFrame([], THEMES)
     names, idf = [t for t, _ in found], weights_of(n, np.array([k for _, k in found], float))
-    rows = materialised(within(rows, names))
-    counted = CountVectorizerModel.from_vocabulary(names, inputCol="terms", outputCol="counts").transform(rows)
+    counted = CountVectorizerModel.from_vocabulary(names, inputCol="terms", outputCol="counts").transform(rows)  # leaves other terms out
+    counted = counted.where(F.size(F.unwrap_udt("counts")["indices"]) > 0)
     weighted = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="counts", outputCol="weighted").transform(counted)
-    vectors = materialised(Normalizer(p=2.0, inputCol="weighted", outputCol="features").transform(weighted).select("features"))
+    vectors = materialised(Normalizer(p=2.0, inputCol="weighted", outputCol="features").transform(weighted).select("id", "features"))
     k = min(n_themes, vectors.count())
     if k < 1:
         return spark.createDataFrame([], THEMES)
     centres = centres_of(vectors, k, starts, seed, iterations)
-    near = nearest_centres(rows, names, idf, centres)
+    near = materialised(nearest_centres(vectors, centres))  # read twice: sizes and representatives
     place = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("cosine"), F.col("id").asc_nulls_last()))
     best = near.withColumn("k", place).where("k <= 5").groupBy("cluster")
     best = best.agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "id"))), lambda x: x["id"].cast("string")).alias("representatives"))

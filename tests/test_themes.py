@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -110,3 +111,27 @@ def test_duplicates(spark, weak):
     assert tuple(profile.duplicates(df, key=key).first()) == (15, 15 - kinds, round((15 - kinds) / 15, 4))
     assert tuple(profile.kinds(df.limit(0), ["text"], key).first()) == (0, 0)
     assert tuple(profile.text_uniqueness(df, "text").first()) == (9, 3, round(3 / 9, 4), True)
+
+
+def test_nearest_centres_of_sparse_vectors(spark, monkeypatch):
+    """Centres are compared with the vectors as they are, in slices, and not with lists of terms; first among equals."""
+    from pyspark.ml.linalg import SparseVector, VectorUDT
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    monkeypatch.setattr(themes, "ROWS", 3)
+    r = np.random.default_rng(5)
+    centres = np.vstack([r.random((3, 9)), np.zeros((1, 9))])
+    centres = np.vstack([centres, centres[:1]])  # the last equals the first
+    rows, expected = [], {}
+    for k in range(40):
+        at = np.sort(r.choice(9, r.integers(1, 6), replace=False))
+        x = np.zeros(9)
+        x[at] = r.random(len(at)) + 0.1
+        x /= np.sqrt((x * x).sum())
+        rows.append((k, SparseVector(9, at, x[at])))
+        c = int(np.argmin(((centres - x) ** 2).sum(axis=1)))
+        expected[k] = (c, round(float(centres[c] @ x / np.linalg.norm(centres[c])), 9) if centres[c].any() else 0.0)
+    schema = StructType([StructField("id", LongType()), StructField("features", VectorUDT())])
+    found = themes.nearest_centres(spark.createDataFrame(rows, schema).repartition(4), centres).collect()
+    assert {x["id"]: (x["cluster"], round(x["cosine"], 9)) for x in found} == expected
+    assert 4 not in {c for c, _ in expected.values()}
