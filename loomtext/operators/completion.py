@@ -1,8 +1,9 @@
 """Language-model operators: providers, cost, prompts, and parsing of replies.
 
-A provider turns prompts into replies inside ``mapInPandas``, some at a time in each task. One answers from a table, so
-that every operator runs offline; the others speak to chat services over HTTP. Calls that would cost more than a limit
-aren't made unless asked for. Parsing is column expressions, and rows that need no call are filtered out before one.
+A provider turns prompts into replies inside ``mapInArrow``, some at a time in each task; other columns pass as they are.
+One answers from a table, so that every operator runs offline; the others speak to chat services over HTTP. Calls that
+would cost more than a limit aren't made unless asked for. Parsing is column expressions, and rows that need no call are
+filtered out before one.
 """
 
 from __future__ import annotations
@@ -16,10 +17,11 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.batches import in_slices
 from ..functions.text import n_tokens, ustrip
 from .profile import unlabeled
 
@@ -139,14 +141,18 @@ def complete(
             raise CostLimitExceeded(estimate)
     rows = df.repartition(parallelism) if parallelism else df
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = rows.withColumn("reply", F.lit(None).cast("string")).schema
+    names = schema.names
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with ThreadPoolExecutor(max(1, concurrency)) as pool:
-            for batch in batches:
-                replies = pool.map(lambda p: None if p is None else with_retries(provider, p, system), batch[prompt_col])
-                yield batch.assign(reply=list(replies))
+            for batch in in_slices(batches):
+                prompts = (p.as_py() for p in batch.column(batch.schema.names.index(prompt_col)))
+                replies = pool.map(lambda p: None if p is None else with_retries(provider, p, system), prompts)
+                columns = dict(zip(batch.schema.names, batch.columns)) | {"reply": pa.array(replies, pa.string())}
+                yield pa.RecordBatch.from_arrays([columns[name] for name in names], names=names)
 
-    schema = rows.withColumn("reply", F.lit(None).cast("string")).schema
-    return rows.mapInPandas(walk, schema)
+    return rows.mapInArrow(walk, schema)
 
 
 def cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
