@@ -49,7 +49,8 @@ def ask(df: DataFrame, keys: list[str], provider: Provider, path: str, rounds: i
         left = df.join(replies().select(*keys), keys, "left_anti")
         if left.isEmpty():
             break
-        complete(left, Guarded(provider), **options).where("reply is not null").select(*schema.names).write.mode("append").parquet(path)
+        asked = left.select(*keys, options.get("prompt_col", "prompt"))  # nothing else is written
+        complete(asked, Guarded(provider), **options).where("reply is not null").select(*schema.names).write.mode("append").parquet(path)
     return df.join(replies(), keys, "left")
 
 
