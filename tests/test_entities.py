@@ -112,3 +112,24 @@ def test_query(spark, sf_dir):
     found = registry.QUERIES["i2_entities"](spark, sf_dir).collect()
     assert sorted((r["text_id"], r["start"], r["end"], r["type"], r["confidence"]) for r in found) == sorted(expected) and expected
     assert pii.coverage(registry.QUERIES["i2_entities"](spark, sf_dir)).count() == len({e[3] for e in expected})
+
+
+def test_kept_tags_and_scores():
+    """Runs of tokens that were met before aren't decoded again, and are tagged as if they were."""
+    texts = [f"Then Dr. {a} of {b} met {c} in Paris on 3 May 2021." for a in ("Ann Lee", "Bo", "UNESCO") for b in ("Bath University", "Rome") for c in ("Jo van Dam", "they", "IBM Corp")]
+    detector = entities.EntityDetector({"Paris": "LOCATION", "Rome": "LOCATION", "Bath": "LOCATION"}, frozenset({"then"}))
+    entities.decoded_kept.cache_clear()
+    found = [list(detector(t)) for t in texts * 3]
+    assert found[: len(texts)] == found[len(texts) : 2 * len(texts)]
+    assert entities.decoded_kept.cache_info().misses < len(texts) * 2
+    for text in texts:
+        spans, scores = detector.scored(text)
+        k = 0
+        while k < len(spans):
+            end = k
+            while end < len(spans) and scores[end] is not None:
+                end += 1
+            if end > k:
+                assert entities.decoded_kept(tuple(scores[k:end])) == entities.decoded([list(s) for s in scores[k:end]])
+            k = end + 1
+    assert [text[a:b] for text in texts for a, b in entities.dates(text)] == ["3 May 2021"] * len(texts)
