@@ -19,7 +19,8 @@ def stratified_split(df: DataFrame, label_col: str, id_col: str, share: float =
     """(train, validation): of each label the share of rows of smallest hash, at least one where it has two.
 
     The cut of a label is found in two passes: counts of leading bits of the hashes tell in which of their 4096 ranges it
-    falls, and only the rows of that range are ranked. So no task sorts a label. Null labels are a label."""
+    falls, and only the rows of that range are ranked. So no task sorts a label. The cuts, a row a label, meet the rows by broadcast: a shuffle would bring all of a
+    label's rows to one task. Null labels are a label."""
     h = F.xxhash64(F.col(id_col), F.lit(seed))
     marked = df.withColumn("__h", h).withColumn("__b", F.shiftright(h, 64 - LEADING).cast("int"))
     counts = marked.groupBy(F.col(label_col).alias("__label"), "__b").agg(F.count("*").alias("n"))
@@ -29,7 +30,7 @@ def stratified_split(df: DataFrame, label_col: str, id_col: str, share: float =
     counts = counts.select("__label", "__b", "n", upto.alias("upto"), cut.alias("cut"))
     at = counts.where((F.col("cut") > F.col("upto") - F.col("n")) & (F.col("cut") <= F.col("upto")))
     at = at.select("__label", F.col("__b").alias("__at"), (F.col("cut") - F.col("upto") + F.col("n")).alias("__need"))
-    marked = marked.join(at, F.col(label_col).eqNullSafe(F.col("__label")), "left").withColumn("__at", F.coalesce("__at", F.lit(-(2**31))))
+    marked = marked.join(F.broadcast(at), F.col(label_col).eqNullSafe(F.col("__label")), "left").withColumn("__at", F.coalesce("__at", F.lit(-(2**31))))
     inside = F.when(F.col("__b") == F.col("__at"), F.row_number().over(Window.partitionBy("__label", "__b").orderBy("__h", id_col)))
     own = ["__h", "__b", "__label", "__at", "__need", "__place"]
     edge = marked.where("__b = __at").withColumn("__place", inside)
