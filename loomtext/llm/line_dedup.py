@@ -13,10 +13,10 @@ all families are found, and a round makes at most max(SEEDS, d + 1) rows or pair
 A family that recurs in ``min_docs`` documents or more is dropped from all of them but the one of
 smallest id, so that no content goes from the corpus as a whole (``keep_first=False`` drops it there too).
 
-Scale: two scans judge the lines; only lines with a digit or unusual blanks pass the masking patterns. The first counts
-leaves (map-side, 16 bytes a leaf); a bitmap over the leaves that recur, sized by their number and broadcast, holds back
-all other lines in the second, so only recurring lines are written with their text. From there on templates are known by
-hashes of 128 bits; texts are shuffled once a template, to be compared. Families are components of the links, found in
+Scale: two scans judge the lines; only lines of texts with a digit or unusual blanks pass the masking patterns. The first
+counts leaves (map-side, 32 bytes a leaf); a bitmap over the leaves that recur, sized by their number and broadcast, holds
+back all other lines in the second, and one over those of several templates says which lines are written with their text.
+From there on templates are known by hashes of 128 bits; texts are shuffled once a template, to be compared. Families are components of the links, found in
 rounds whose number grows with the logarithm of their length. Templates that hold more than 1/``hot`` of all
 occurrences (fewer than ``hot``, by that definition) meet the lines by broadcast, all others by a shuffle in which no
 key is larger. The whole text is shuffled once, by document, for the rewriting.
@@ -35,7 +35,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bitmap import bitmap, bits_for, maybe
+from .bitmap import bitmap, bits_for, flagged, maybe
 from .common import deleted, written
 from .components import connected_components
 
@@ -43,36 +43,39 @@ HOT = 10_000
 SEEDS = 32
 VARIABLE = "<*>"
 KEY = ["t1", "t2"]
+#: Characters one by one: with ranges or alternatives, the pattern takes up to twice as long.
+ODD = r"[0123456789\t\x0B\f\r]"
 
 
-def templates(text: Column) -> Column:
-    """The templates of the text's lines: variable fields masked, runs of blanks as one space."""
-
-    def even(line: Column) -> Column:
-        odd = line.rlike(r"[\t\x0B\f\r]") | F.contains(line, F.lit("  "))
-        return F.when(odd, F.regexp_replace(line, r"[ \t\x0B\f\r]{2,}|[\t\x0B\f\r]", " ")).otherwise(line)
-
-    def mask(line: Column) -> Column:
-        return F.trim(F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"(?<!\S)[^\s0-9]*+[0-9]\S*+", VARIABLE)).otherwise(line))
-
-    return F.transform(F.transform(F.split(text, "\n"), even), mask)
+def templates(rows: DataFrame) -> DataFrame:
+    """(id, th, line, template) of rows (id, th, text): the templates of the texts' lines, with variable fields masked and
+    runs of blanks as one space; lines of blanks alone are left out."""
+    rows = rows.withColumn("odd", F.col("text").rlike(ODD) | F.contains("text", F.lit("  ")))  # once a text, not once a line
+    rows = rows.select("id", "th", "odd", F.posexplode(F.split("text", "\n")).alias("line", "template"))
+    line, rows = F.col("template"), rows.where(F.ltrim("template", F.lit(" \t\x0b\f\r")) != "")
+    even = F.when(F.col("odd"), F.regexp_replace(line, r"[ \t\x0B\f\r]{2,}|[\t\x0B\f\r]", " ")).otherwise(line)
+    mask = F.when(F.col("odd"), F.regexp_replace(line, r"(?<!\S)[^\s0-9]*+[0-9]\S*+", VARIABLE)).otherwise(line)
+    return rows.withColumn("template", even).withColumn("template", F.trim(mask)).drop("odd")
 
 
 def _leaf(line: Column, depth: int) -> Column:
-    fields = F.length(line) - F.length(F.replace(line, F.lit(" "))) + 1
+    fields = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "))) + 1
     return F.xxhash64(fields, F.substring_index(line, " ", depth))
 
 
 def recurring_lines(rows: DataFrame, *, min_docs: int, depth: int) -> DataFrame:
-    """(id, th, line, template, leaf, t1, t2): the lines in leaves that hold min_docs lines, and few others."""
-    lines = rows.select("id", "th", F.posexplode(templates(F.col("text"))).alias("line", "template")).where("template != ''")
-    lines = lines.withColumn("leaf", _leaf(F.col("template"), depth))
-    leaves = written(lines.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf"), "leaves")
+    """(id, th, line, template, leaf, t1, t2): the lines in leaves that hold min_docs lines, and few others; the template is
+    null in leaves that hold only one."""
+    lines = templates(rows).withColumn("leaf", _leaf(F.col("template"), depth)).withColumn("t1", F.xxhash64("template"))
+    leaves = lines.groupBy("leaf").agg(F.count("*").alias("n"), F.min("t1").alias("least"), F.max("t1").alias("most"))
+    leaves = written(leaves.where(F.col("n") >= min_docs).select("leaf", (F.col("least") != F.col("most")).alias("several")), "leaves")
     bits = bits_for(leaves.count())
+    several = written(bitmap(leaves.where("several"), "leaf", bits), "leaves_of_several")
     kept = written(bitmap(leaves, "leaf", bits), "leaf_filter")
-    found = maybe(lines, "leaf", kept, bits).withColumn("t1", F.xxhash64("template")).withColumn("t2", F.xxhash64(F.lit(1), "template"))
+    found = flagged(maybe(lines, "leaf", kept, bits), "leaf", several, bits, "several")
+    found = found.select("id", "th", "line", F.expr("if(several, template, null)").alias("template"), "leaf", "t1", F.xxhash64(F.lit(1), "template").alias("t2"))
     found = written(found, "lines")
-    deleted(leaves, kept)
+    deleted(leaves, kept, several)
     return found
 
 
@@ -89,10 +92,10 @@ def blocks(rows: DataFrame) -> DataFrame:
     group that agree share one. All of a group agree where no more fields are left than may differ (whole): there one block
     stands for all. What the blocks are cut from is a column, so that it is made once."""
     rows = rows.withColumn("size", F.size("rest")).withColumn("whole", F.expr("size <= apart")).withColumn("parts", F.expr("if(whole, 1, apart + 1)"))
-    ends = "cast(i * size div parts as int) AS start, cast((i + 1) * size div parts as int) AS stop"
-    rows = rows.select("leaf", "n", *KEY, "group", "apart", "whole", "rest", F.expr(f"explode(transform(sequence(0, parts - 1), i -> struct(i, {ends})))").alias("b")).select("*", "b.*")
-    block = F.expr("if(whole, xxhash64(group, i), xxhash64(group, i, slice(rest, start + 1, stop - start)))")
-    return rows.select("leaf", "n", *KEY, "group", "apart", "whole", "start", "stop", block.alias("block"))
+    start, stop = "cast(i * size div parts as int)", "cast((i + 1) * size div parts as int)"
+    block = f"if(whole, xxhash64(group, i), xxhash64(group, i, slice(rest, {start} + 1, {stop} - {start})))"
+    cut = F.explode(F.expr(f"transform(sequence(0, parts - 1), i -> struct({start} AS start, {stop} AS stop, {block} AS block))"))
+    return rows.select("leaf", "n", *KEY, "group", "apart", "whole", cut.alias("b")).select("leaf", "n", *KEY, "group", "apart", "whole", "b.*")
 
 
 def _seeded(parts: DataFrame) -> DataFrame:
@@ -162,6 +165,8 @@ def families(texts: DataFrame, *, depth: int, similarity: float) -> DataFrame:
 
 def _linked(links: list[DataFrame], found: DataFrame | None) -> DataFrame:
     """(node, component) of the links (a, b) and of what was found before."""
+    if found is not None and all(x.isEmpty() for x in links):
+        return found
     edges = reduce(DataFrame.unionByName, [*links, *([] if found is None else [found.select(F.col("node").alias("a"), F.col("component").alias("b"))])])
     out = connected_components(edges)
     deleted(*links)
@@ -181,7 +186,7 @@ def recurring_templates(lines: DataFrame, *, min_docs: int, depth: int, similari
     once = written(lines.select(*KEY, "id", "th").distinct(), "once")
     stats = written(once.groupBy(*KEY).agg(F.count("*").alias("n"), F.min("id").alias("first_id")), "templates")
     least = once.count() // hot
-    texts = lines.where(F.size(F.split("template", " ")) * (1 - similarity) >= 1 - 1e-9).groupBy(*KEY).agg(F.first("leaf").alias("leaf"), F.first("template").alias("template"))
+    texts = lines.where("template is not null").where(F.size(F.split("template", " ")) * (1 - similarity) >= 1 - 1e-9).groupBy(*KEY).agg(F.first("leaf").alias("leaf"), F.first("template").alias("template"))
     texts = written(texts.join(stats.select(*KEY, "n"), KEY), "texts")
     member = written(families(texts, depth=depth, similarity=similarity).join(stats.select(*KEY, "n"), KEY), "members")
     # documents of a family count once, whatever many of its templates they have

@@ -4,7 +4,7 @@ import time
 
 import pytest
 
-from loomtext.llm.line_dedup import line_dedup
+from loomtext.llm.line_dedup import line_dedup, recurring_lines, templates
 
 from .helpers import docs, rows
 
@@ -169,3 +169,29 @@ def test_blocks_cut_again(spark, monkeypatch, seed, seeds):
     texts += ["a b c " + " ".join(r.choice(["p", "q"]) if k < 6 else r.choice("stuvwx") for k in range(12)) for _ in range(50)]
     found = line_dedup(docs(spark, texts), min_docs=3)
     assert sorted(rows(found, "doc_id", "text")) == brute(texts, min_docs=3)
+
+
+def judged(spark, texts):
+    return docs(spark, texts).selectExpr("doc_id AS id", "text", "xxhash64(text) AS th")
+
+
+def test_templates_of_odd_lines(spark):
+    """Digits and unusual blanks in one line of a text, several or none, beside plain ones."""
+    texts = [
+        "plain words\n\n  two at the start\nid=7\tx  9a b9 \r", "\t\nno digit\x0bhere\f\f\n   ", "a b\nc d ", " \u00e9t\u00e9 \u0661 x\ny\u00e97 z", "", "one\r\ntwo",
+        "a  b", "x 1\n2 y\n3", "-4\n\r\n.",
+    ]
+    want = sorted((k, i, template(x)) for k, text in enumerate(texts) for i, x in enumerate(text.split("\n")) if template(x))
+    assert sorted(rows(templates(judged(spark, texts)), "id", "line", "template")) == want
+
+
+def test_each_line_is_judged_once(spark):
+    """The patterns run once a line, in compiled code: not in functions over arrays, nor again in a filter below."""
+    plan = templates(judged(spark, ["a 1"]))._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(" not in plan and plan.count("regexp_replace(") == 2 and plan.lower().count("rlike(") == 1
+
+
+def test_text_travels_where_templates_are_compared(spark):
+    one, two = "just this line in its leaf", ["a b c d e f g h i j", "a b c d e f g h i k"]
+    found = rows(recurring_lines(judged(spark, [one, one, "own", *two]), min_docs=2, depth=3), "template", "id")
+    assert sorted(found, key=lambda r: r[1]) == [(None, 0), (None, 1), (two[0], 3), (two[1], 4)]
