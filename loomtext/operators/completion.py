@@ -304,10 +304,12 @@ def parse_coding(df: DataFrame, reply_col: str, themes: list[str], id_col: str =
     return out.where("theme is not null").select(id_col, "theme", confidence.alias("confidence"), F.coalesce("t.trigger_words", F.array().cast("array<string>")).alias("triggers"), F.coalesce("t.reasoning", F.lit("")).alias("reasoning"), F.trim(F.coalesce("t.evidence_span", F.lit(""))).alias("evidence"))
 
 
-def extraction_batches(segments: DataFrame, doc_col: str = "doc_id", size: int = 15, most: int = 500) -> DataFrame:
-    """(doc, batch, prompt): segments in batches of size, each cut at most characters."""
-    cut = F.when(F.length("text") > most, F.concat(F.substring("text", 1, most), F.lit("…"))).otherwise(F.col("text"))
-    line = F.concat(F.lit("["), "segment_id", F.lit("] "), cut)
+def extraction_batches(segments: DataFrame, doc_col: str = "doc_id", size: int = 15, most: int | None = None) -> DataFrame:
+    """(doc, batch, prompt): segments in batches of size, whole; with most, each cut at so many characters."""
+    text = F.col("text")
+    if most is not None:
+        text = F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("…"))).otherwise(text)
+    line = F.concat(F.lit("["), "segment_id", F.lit("] "), text)
     rows = segments.select(doc_col, F.floor((F.col("segment_id") - 1) / size).cast("int").alias("batch"), F.struct("segment_id", line.alias("line")).alias("s"))
     return rows.groupBy(doc_col, "batch").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda x: x["line"]), "\n\n").alias("prompt"))
 

@@ -66,9 +66,10 @@ def framework(questions: list[dict]) -> str:
     return "\n".join(lines)
 
 
-def extract(segments: DataFrame, questions: list[dict], provider: Provider, path: str, size: int = 15, most: int = 500, rounds: int = 3, **options) -> tuple[DataFrame, DataFrame]:
+def extract(segments: DataFrame, questions: list[dict], provider: Provider, path: str, size: int = 15, most: int | None = None, rounds: int = 3, **options) -> tuple[DataFrame, DataFrame]:
     """(matches, batches). matches: (doc_id, segment_id, rq_id, sub_theme, confidence, evidence) with the segment's text
-    and place; batches: (doc_id, batch, reply), a null reply for those that failed in every round."""
+    and place; batches: (doc_id, batch, reply), a null reply for those that failed in every round. Segments stand whole
+    in the prompts; with most, they are cut at so many characters."""
     spark = segments.sparkSession
     asked = extraction_batches(segments, "doc_id", size, most)
     head, tail = F.lit(framework(questions) + "\n\n"), F.lit(f"\n\nWhich segments speak to which question? Reply as JSON: {FORM}")

@@ -947,23 +947,23 @@ class _Asks:
 
 
 _QUESTIONS = [{"rq_id": "RQ1", "description": "What is asked", "sub_themes": ["asks"]}, {"rq_id": "RQ2", "description": "What is answered"}]
-#: Segments are cut at 500 characters in a prompt, so a question beyond isn't seen.
-_ASKED = "asked AS (SELECT * FROM seg WHERE contains(substr(text, 1, 500), '?'))"
+#: What j19_run shows of a segment, by its SQL: a question beyond isn't seen there. j19_report shows segments whole.
+_SHOWN = 500
 
 
-def _extracted(spark, d):
+def _extracted(spark, d, most=None):
     segments = segment.segment(inputs.transcripts(spark, d))
-    return runs.extract(segments, _QUESTIONS, _Asks(), _scratch(spark))
+    return runs.extract(segments, _QUESTIONS, _Asks(), _scratch(spark), most=most)
 
 
-@query("j19_run", f"""WITH {inputs.named('turns')}, {_EXTRACTED.split("found AS")[0]} {_ASKED}
+@query("j19_run", f"""WITH {inputs.named('turns')}, {_EXTRACTED.split("found AS")[0]} asked AS (SELECT * FROM seg WHERE contains(substr(text, 1, {_SHOWN}), '?'))
     SELECT doc_id, segment_id, 'RQ1' AS rq_id, 'asks' AS sub_theme, 1.0::DOUBLE AS confidence, '?' AS evidence, text, line_start, line_end,
       char_start, char_end, paragraph_index FROM asked""")
 def j19_run(spark, d):
-    return _extracted(spark, d)[0]
+    return _extracted(spark, d, _SHOWN)[0]
 
 
-@query("j19_report", f"""WITH {inputs.named('turns')}, {_EXTRACTED.split("found AS")[0]} {_ASKED}
+@query("j19_report", f"""WITH {inputs.named('turns')}, {_EXTRACTED.split("found AS")[0]} asked AS (SELECT * FROM seg WHERE contains(text, '?'))
     SELECT 'batches' AS name, count(*) AS n FROM (SELECT DISTINCT doc_id, (segment_id - 1) // 15 FROM seg) UNION ALL SELECT 'failed', 0
     UNION ALL SELECT 'matches', count(*) FROM asked UNION ALL SELECT 'segments', count(*) FROM asked UNION ALL SELECT 'RQ1', count(*) FROM asked UNION
       ALL SELECT 'RQ2', 0""")
